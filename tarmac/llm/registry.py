@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tarmac.llm import lm
+from tarmac.llm import lm, secrets
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
+    "op2_secret_scans": secrets.op2_secret_scans,
+}
+ORACLES = {
+    "op2_secret_scans": secrets.OP2_SQL,
 }
-ORACLES: dict[str, str] = {}
