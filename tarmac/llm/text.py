@@ -19,7 +19,7 @@ IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)[FOLD] | U(1)
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
