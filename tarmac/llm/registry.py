@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tarmac.llm import lm, secrets
+from tarmac.llm import lm, secrets, topk
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op6_exact_top_k": topk.op6_exact_top_k,
 }
 ORACLES = {
     "op2_secret_scans": secrets.OP2_SQL,
+    "op6_exact_top_k": topk.OP6_SQL,
 }
