@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tarmac.llm import lm, secrets, topk
+from tarmac.llm import chat, lm, secrets, topk
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op6_exact_top_k": topk.op6_exact_top_k,
 }
 ORACLES = {
     "op2_secret_scans": secrets.OP2_SQL,
+    "op3_chat_formatting": chat.OP3_SQL,
     "op6_exact_top_k": topk.OP6_SQL,
 }
