@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, lm, secrets, topk
+from tarmac.llm import chat, lm, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_exact_top_k": topk.op6_exact_top_k,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 ORACLES = {
     "op2_secret_scans": secrets.OP2_SQL,

@@ -16,6 +16,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+IS_NO_LETTER = np.array([not (65 <= b <= 90 or 97 <= b <= 122 or b > 127) for b in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)[FOLD] | U(1)
@@ -67,13 +68,13 @@ def spans(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         a = min(b, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word."""
+def words(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word; `apart` marks the bytes between words."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~IS_SPACE[data]
+    word = ~apart[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     head = word.copy()
@@ -84,14 +85,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.flatnonzero(tail) + 1, np.searchsorted(offsets, start, "right") - 1
 
 
-def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each data[start:end], letters in lower case."""
-    up, down = _Powers.get(len(data) + 1)
+def running(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which sliced() hashes any slice of `data`."""
+    up, _ = _Powers.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(CODES[data] * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def sliced(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each slice start:end, letters in lower case."""
+    _, down = _Powers.get(len(sums))
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return sliced(running(data), start, end)
+
+
 def hashed(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """First row, end row, word hashes, and number of words of each row, chunk by chunk."""
     data, offsets = string_buffers(col)
