@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, lm, quality, secrets, topk, toxicity
+from tarmac.llm import chat, jaccard, lm, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
 }
 ORACLES = {
     "op2_secret_scans": secrets.OP2_SQL,
