@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarmac.llm import chat, jaccard, lm, packing, quality, secrets, topk, toxicity
+from tarmac.llm import bpe, chat, jaccard, lm, packing, quality, secrets, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op6_exact_top_k": topk.op6_exact_top_k,
+    "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_ngram_jaccard_join": jaccard.op10_ngram_jaccard_join,
