@@ -133,15 +133,15 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
-    """`docs` with a double column score; the table of numbers, 1 MB, is broadcast."""
+def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a double column `out`; the table of numbers, 1 MB, is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.scores(pa.array(texts.fillna(""), pa.string())))
 
-    return docs.withColumn("score", scored(F.col(col).cast("string")))
+    return docs.withColumn(out, scored(F.col(col).cast("string")))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -154,3 +154,8 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the classifier doesn't reject."""
+    return score(docs, model, out="__score").where("__score >= 0.7").drop("__score")

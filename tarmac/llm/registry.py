@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarmac.llm import bpe, chat, jaccard, lm, packing, quality, secrets, topk, toxicity
+from tarmac.llm import bpe, chat, jaccard, lm, packing, quality, rpforest, secrets, topk, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm.op1_lm_scoring,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_chat_formatting": chat.op3_chat_formatting,
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_embedding_near_dedup": rpforest.op5_embedding_near_dedup,
     "op6_exact_top_k": topk.op6_exact_top_k,
     "op7_bpe": bpe.op7_bpe,
     "op8_packing": packing.op8_packing,

@@ -103,6 +103,14 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647)))))
 
 
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """`docs` with secrets in text masked, and n_chars (if it's there) what the new text has."""
+    found = find_secrets(docs, keep_text=True)
+    text = redacted(F.col("text"), F.col("spans"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

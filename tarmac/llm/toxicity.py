@@ -187,15 +187,15 @@ def _descend(y: np.ndarray, used: np.ndarray, x: tuple, d: tuple, weight: np.nda
     return out, b
 
 
-def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
-    """`docs` with a double column score; the few weights that aren't 0 are broadcast."""
+def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a double column `out`; the few weights that aren't 0 are broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series(held.value.scores(pa.array(texts.fillna(""), pa.string())))
 
-    return docs.withColumn("score", scored(F.col(col).cast("string")))
+    return docs.withColumn(out, scored(F.col(col).cast("string")))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -208,3 +208,8 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def harmless(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs` that the classifier doesn't reject."""
+    return score(docs, model, out="__score").where("__score < 0.5").drop("__score")
