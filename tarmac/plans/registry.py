@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tarmac.plans import reports, rows  # noqa: F401
+from tarmac.plans.common import ORACLES, QUERIES  # noqa: F401

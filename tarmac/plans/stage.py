@@ -1,0 +1,15 @@
+"""Where queries write their stage tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+
+def stage_path(spark, name: str) -> str:
+    """A new folder below the one that all executors share, or a temporary one on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-stage-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
