@@ -20,6 +20,7 @@ of label 1, or 0.5 without labels.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,7 @@ from tarmac.llm.common import remainder, table
 from tarmac.llm.labelled import training_rows
 from tarmac.llm.text import IS_NO_LETTER, U, running, sliced, spans, string_buffers, words
 
-BITS, STEPS, SWAP, SPARSE, RARE = 40, 300, 1.0, 8e-4, 3
+BITS, STEPS, SWAP, SPARSE, RARE, SKETCH = 40, 300, 1.0, 8e-4, 3, 22
 PREFIX = (5, 6, 7)
 LEVELS = np.array([1, 2, 3, 5])
 #: Groups of identity terms that can stand for each other.
@@ -79,33 +80,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place and count of what each text holds."""
+def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row, place and count of what texts hold, some texts at a time."""
     data, offsets = string_buffers(texts)
-    out = []
     for a, b in spans(offsets):
         row, place = places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        key, n = np.unique((row.astype(np.int64) + a << BITS) | place, return_counts=True)
-        out.append((key, n))
+        key, n = np.unique((row.astype(np.int64) << BITS) | place, return_counts=True)
+        yield (key >> BITS).astype(np.int32) + np.int32(a), key & ((1 << BITS) - 1), np.minimum(n, 255).astype(np.uint8)
+
+
+def _features(texts: pa.Array, rare: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for all texts, without most places of fewer than `rare` texts: those whose group of places, by
+    SKETCH bits, is met in fewer. That takes a second pass but keeps what is held small."""
+    often = np.zeros(1 << SKETCH, np.int32)
+    low = (1 << SKETCH) - 1
+    if rare > 1:
+        for _, place, _ in _chunks(texts):
+            often += np.bincount(place & low, minlength=1 << SKETCH).astype(np.int32)
+    out = [(row[m], place[m], n[m]) for row, place, n in _chunks(texts) for m in [often[place & low] >= rare if rare > 1 else slice(None)]]
     if not out:
-        return (np.zeros(0, np.int64),) * 3
-    key, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return key >> BITS, key & ((1 << BITS) - 1), n
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _levels(row: np.ndarray, place: np.ndarray, n: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of each feature and level; columns count LEVELS for each known place."""
     i = np.minimum(np.searchsorted(known, place), max(len(known) - 1, 0))
     hit = known[i] == place if len(known) else np.zeros(len(place), bool)
-    row, i, n = row[hit], i[hit], n[hit]
-    parts = [(row[n >= least], i[n >= least] * len(LEVELS) + k) for k, least in enumerate(LEVELS)]
+    row, i, n = row[hit], i[hit].astype(np.int32), n[hit]
+    parts = [(row[n >= least], i[n >= least] * np.int32(len(LEVELS)) + np.int32(k)) for k, least in enumerate(LEVELS)]
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def swapped(text: str, groups: list[list[str]] = IDENTITY) -> str:
     """`text` with each identity term replaced by the next of its group."""
     after = {a: b for g in groups for a, b in zip(g, g[1:] + g[:1], strict=True)}
-    return re.sub(r"[A-Za-z\x80-\U0010ffff]+", lambda m: after.get(m[0].lower(), m[0]), text)
+    letter = r"A-Za-z\x80-\U0010ffff"
+    return re.sub(rf"(?<![{letter}])({'|'.join(sorted(after, key=len, reverse=True))})(?![{letter}])", lambda m: after[m[0].lower()], text, flags=re.I | re.A)
 
 
 def fit(texts: pa.Array, labels: list[int], swap: float = SWAP, groups: list[list[str]] = IDENTITY, sparse: float = SPARSE) -> Model:
@@ -114,13 +125,15 @@ def fit(texts: pa.Array, labels: list[int], swap: float = SWAP, groups: list[lis
     if len(set(labels)) < 2:
         share = y.mean() if n else 0.5
         return Model(np.zeros(0, np.int64), np.zeros((0, len(LEVELS))), float(np.log((share + 0.01) / (1.01 - share))))
-    row, place, count = _features(texts)
+    row, place, count = _features(texts, RARE)
     known, df = np.unique(place, return_counts=True)
-    other = [swapped(t, groups) for t in texts.to_pylist()]
-    moved = np.array([i for i, (a, b) in enumerate(zip(texts.to_pylist(), other, strict=True)) if a != b], np.int64)
-    orow, oplace, ocount = _features(pa.array([other[i] for i in moved], pa.string()))
+    other = {i: new for i, t in enumerate(texts) if (new := swapped(old := t.as_py(), groups)) != old}
+    moved = np.array(list(other), np.int64)
+    orow, oplace, ocount = _features(pa.array(list(other.values()), pa.string()))
     known = np.unique(np.concatenate([known[df >= RARE], np.intersect1d(oplace, known)]))
+    del df
     r, c = _levels(row, place, count, known)
+    del row, place, count
     # a text minus its swapped copy
     same = np.isin(r, moved)
     dr, dc = _levels(orow, oplace, ocount, known)
