@@ -117,7 +117,7 @@ def kpis(df: DataFrame) -> DataFrame:
     """rows, mean_severity, severe_pct, counties and peak_hour (the earliest of ties)."""
     peak = df.where("start_time is not null").groupBy(F.hour("start_time").alias("h")).count().orderBy(F.desc("count"), "h").limit(1).select(F.col("h").alias("peak_hour"))
     one = df.agg(F.count("*").alias("rows"), F.avg("severity").alias("mean_severity"), F.avg((F.col("severity") >= 3).cast("int")).alias("__s"), F.count_distinct("county").alias("counties"))
-    return one.crossJoin(F.broadcast(peak)).select("rows", "mean_severity", (F.col("__s") * 100).alias("severe_pct"), "counties", "peak_hour")
+    return one.join(F.broadcast(peak), F.lit(True), "left").select("rows", "mean_severity", (F.col("__s") * 100).alias("severe_pct"), "counties", "peak_hour")
 
 
 def day_hour_pivot(df: DataFrame, agg: Column, ts: str = "start_time") -> DataFrame:

@@ -197,7 +197,7 @@ def near_zero_variance(spark, d):
     return rounded(association.near_zero_variance(incidents(spark, d), ["visibility_mi", "severity", "bump"]))
 
 
-V = "sqrt(greatest(sum(n * n / (r * c / total)) - max(total), 0) / (max(total) * (least(count(DISTINCT level), count(DISTINCT g)) - 1)))"
+V = "sqrt(greatest(sum(n * n / (r * c / total)) - max(total), 0) / nullif(max(total) * (least(count(DISTINCT level), count(DISTINCT g)) - 1), 0))"
 
 
 @query(f"{I}, l AS (SELECT variable, level, severity AS g, count(*) AS n FROM (SELECT severity, weather_condition, sunrise_sunset, state FROM i) UNPIVOT (level FOR variable IN (weather_condition, sunrise_sunset, state)) GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY variable, level) AS r, sum(n) OVER (PARTITION BY variable, g) AS c, sum(n) OVER (PARTITION BY variable) AS total FROM l) SELECT variable, round({V}, 6) AS v FROM m GROUP BY 1")

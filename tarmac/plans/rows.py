@@ -145,11 +145,11 @@ def casts_and_relabels(spark, d):
     return df.select("id", clean.safe_numeric("airport_code").alias("code"), clean.relabel(F.col("severity").cast("string"), {"1": "one", "2": "two"}).alias("word"))
 
 
-@query(f"{I} SELECT 'kept' AS what, string_agg(c, ',' ORDER BY c) AS cols FROM (SELECT unnest(['amenity', 'crossing', 'junction', 'pressure_in', 'severity', 'state', 'stop', 'traffic_signal']) AS c) WHERE (SELECT count(*) FROM i) > 0")
+@query(f"{I} SELECT 'kept' AS what, string_agg(c, ',' ORDER BY c) AS cols FROM (SELECT unnest(['amenity', 'crossing', 'junction', 'county', 'pressure_in', 'severity', 'stop', 'traffic_signal']) AS c) WHERE (SELECT count(*) FROM i) > 0")
 def constant_and_null_columns(spark, d):
-    df = incidents(spark, d).select("severity", "pressure_in", "humidity", "state", *FLAGS)
+    df = incidents(spark, d).select("severity", "pressure_in", "humidity", "county", *FLAGS)
     df = df.select(*[F.col(f.name).cast("string").alias(f.name) if f.dataType.simpleString() == "boolean" else F.col(f.name) for f in df.schema])
-    kept = clean.drop_null_columns(clean.drop_constant(df, ["severity", "pressure_in", "humidity"], ["state", *FLAGS]))
+    kept = clean.drop_null_columns(clean.drop_constant(df, ["severity", "pressure_in", "humidity"], ["county", *FLAGS]))
     return spark.createDataFrame([("kept", ",".join(sorted(kept.columns)))], "what string, cols string")
 
 
