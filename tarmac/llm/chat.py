@@ -90,6 +90,10 @@ def _role(c: Column) -> Column:
     return F.coalesce(named[F.lower(c)], F.lower(c), F.lit(""))
 
 
+def _turn(role: str, text: str):
+    return lambda t: F.struct(_role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+
+
 def turns_of_json(df: DataFrame, col: str) -> DataFrame:
     """Adds layout (fingerprint, null for text that isn't JSON) and turns array<struct<role, text>>."""
     v = F.try_parse_json(F.col(col))
@@ -98,7 +102,7 @@ def turns_of_json(df: DataFrame, col: str) -> DataFrame:
     for mark, m in VARIANT_MAPPINGS.items():
         if "turns" in m:
             many = get(f"$.{m['turns']}", f"array<struct<`{m['role']}`: string, `{m['text']}`: string>>")
-            made = F.transform(many, lambda t, m=m: F.struct(_role(t[m["role"]]).alias("role"), F.coalesce(t[m["text"]], F.lit("")).alias("text")))
+            made = F.transform(many, _turn(m["role"], m["text"]))
         elif "fields" in m:
             made = F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(get(f"$.{p}", "string"), F.lit("")) for p in paths]).alias("text")) for role, paths in m["fields"]])
         else:
@@ -109,8 +113,13 @@ def turns_of_json(df: DataFrame, col: str) -> DataFrame:
 
 
 def turn_rows(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table that holds a turn per row, by its schema's fingerprint."""
-    mapping = MAPPINGS.get(fingerprint(schema_paths(df.schema)))
+    """(conv_id, turn, role, text) of a table that holds a turn per row, by its schema's fingerprint.
+
+    With columns beyond those of a known layout, the largest layout inside them counts.
+    """
+    paths = set(schema_paths(df.schema))
+    inside = sorted((p for p, _ in LAYOUTS if set(p) <= paths), key=len)
+    mapping = MAPPINGS.get(fingerprint(list(paths))) or (MAPPINGS[fingerprint(inside[-1])] if inside else None)
     if mapping is None or "row" not in mapping:
         raise ValueError(f"no mapping for a table with fields {schema_paths(df.schema)}")
     role, text = mapping["row"]

@@ -304,18 +304,20 @@ def _either(run, grp: str):
     return lambda pdf: run(pdf) if pdf.grp.iloc[0] == grp else pdf
 
 
+ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
-    """`docs` without its text, with n_tokens, n_known, train_tokens, base_score, score and perplexity.
+    """`docs` without its text (and columns of these names), with n_tokens, n_known, train_tokens, base_score, score and perplexity.
 
     score is the log10 probability of the text under the model, perplexity is 10 ** (-score / n_tokens).
     """
-    rest = [c for c in docs.columns if c != col]
-    schema = docs.select(*rest).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("perplexity", "double")
+    rest = [c for c in docs.columns if c not in (col, *ADDED)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("perplexity", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(col))
-            other = batch.select(rest)
+            texts, other = batch.column(0), batch.select(list(range(1, len(rest) + 1)))
             for a, b, tok, n in tokens(texts):
                 c, p = model.score(tok, n)
                 first = np.cumsum(n) - n
@@ -324,7 +326,7 @@ def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
                 part = other.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.full(b - a, model.n_tokens), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(s), pa.array(10.0 ** np.minimum(-s / n, 300))], names=[*rest, *schema.names[len(rest) :]])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.col(f"`{col}`").cast("string"), *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
 
 def held_out(col: str | Column = "doc_id") -> Column:

@@ -62,13 +62,13 @@ def _parts(kind: str, text: Column) -> Column:
 
 
 def find_secrets(df: DataFrame, text: str = "text", radius: int = RADIUS, keep_text: bool = False) -> DataFrame:
-    """The columns of `df` without its text, and spans array<struct<kind, start, end>>.
+    """The columns of `df` without its text (and any column spans), and spans array<struct<kind, start, end>>.
 
     Spans are in code points, end exclusive, by start and then kind as in KINDS. keep_text also
     returns the text, which then goes through the shuffle once.
     """
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    carried = [c for c in df.columns if c != text or keep_text]
+    carried = [c for c in df.columns if (c != text or keep_text) and c != "spans"]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     none = F.struct(F.lit("").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok"))
     typed = "array<struct<kind:string,i:int,gap:int,len:int,ok:boolean>>"
@@ -105,9 +105,11 @@ def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def without_secrets(docs: DataFrame) -> DataFrame:
     """`docs` with secrets in text masked, and n_chars (if it's there) what the new text has."""
-    found = find_secrets(docs, keep_text=True)
-    text = redacted(F.col("text"), F.col("spans"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    if "spans" in docs.columns:  # it makes room, and comes back
+        return without_secrets(docs.withColumnRenamed("spans", "__spans")).select(*[F.col("__spans").alias(c) if c == "spans" else F.col(f"`{c}`") for c in docs.columns])
+    # under a name of its own first: in one select, n_chars would be made of the new text column masked again
+    found = find_secrets(docs, keep_text=True).withColumn("__text", redacted(F.col("text"), F.col("spans")))
+    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
