@@ -90,6 +90,7 @@ def assign(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, label:
 
 def lloyd(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, max_iter: int = 60, tol: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """k-means from given centres: each round is one scan and a group-by of k groups."""
+    df = df.select(key, *cols).persist()
     for _ in range(max_iter):
         got = assign(df, centres, cols, key).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).collect()
         new = centres.copy()
@@ -99,6 +100,7 @@ def lloyd(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, max_ite
         centres = new
         if moved < tol:
             break
+    df.unpersist()
     return assign(df, centres, cols, key), centres
 
 
@@ -159,6 +161,7 @@ def silhouette(df: DataFrame, cols: list[str], label: str, key: str = "row_id",
 def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "row_id", dunn_sample: int = 1000) -> DataFrame:
     """(k, silhouette, ch, dunn, within, between, ratio) of the labellings k3, k4, ... of df."""
     rows = []
+    df = df.persist()
     for k in ks:
         lab = f"k{k}"
         g = df.groupBy(lab).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.coalesce(F.var_pop(c) * F.count("*"), F.lit(0.0)).alias(f"s_{c}") for c in cols]).collect()
@@ -173,6 +176,7 @@ def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "
         widest = d[same].max() if same.any() else 0.0
         dunn = float(d[~same].min() / widest) if (~same).any() and widest > 0 else 0.0
         rows.append((k, float(silhouette_sample(d, labels).mean()), between / max(len(g) - 1, 1) / (within / max(n - len(g), 1)) if within else 0.0, dunn, within, between, between / (within + between) if within + between else 0.0))
+    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, ch double, dunn double, within double, between double, ratio double")
 
 
@@ -190,7 +194,7 @@ def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str
     Starts compete on a bounded sample; the best one goes on over all rows. A round is one scan: nearest
     prototypes in Arrow batches, then sums of numbers and counts of levels per cluster.
     """
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat]).dropna()
+    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat]).dropna().persist()
     if lam is None:
         var = np.mean([x or 0.0 for x in d.agg(*[F.var_samp(c) for c in num]).first()])
         total = d.count()
@@ -247,6 +251,7 @@ def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str
         if np.abs(new_n - pn).max() < 1e-9 and (new_c == pc).all():
             break
         pn, pc = new_n, new_c
+    d.unpersist()
     return labelled(pn, pc).select(key, "cluster"), {"num": pn, "cat": pc, "lambda": lam}
 
 

@@ -76,7 +76,7 @@ def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support:
 
     Starts from medians and absolute deviations; each step keeps the share `support` of nearest rows.
     """
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
+    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols).persist()
     p = len(cols)
     med = np.array(d.agg(*[F.percentile(c, 0.5) for c in cols]).first(), float)
     mad = np.array(d.agg(*[F.percentile(F.abs(F.col(c) - float(m)), 0.5) for c, m in zip(cols, med, strict=True)]).first(), float)
@@ -92,6 +92,7 @@ def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support:
         if abs(last - det) < 1e-9:
             break
         last = det
+    d.unpersist()
     # the covariance of the central share is widened to that of all rows of a normal sample
     from tarmac.functions.stats import chi2_sf
 

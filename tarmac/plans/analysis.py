@@ -59,12 +59,19 @@ def outliers_by_robust_distance(spark, d):
     return outliers.outlier_robust(incidents(spark, d), NUM)
 
 
-@query()
+SQUARES = " + ".join(f"(z.{c} - r.{c}) ** 2" for c in NUM)
+NEAR = f"""{I}, b AS (SELECT row_id, {LIST} FROM i WHERE {" AND ".join(f"{c} IS NOT NULL" for c in NUM)}), m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in NUM)} FROM b),
+ z AS (SELECT row_id, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NUM)} FROM b, m), r AS (SELECT * FROM z ORDER BY md5(concat(row_id::VARCHAR, '42')), row_id LIMIT 2000),
+ k AS (SELECT * FROM (SELECT z.row_id, r.row_id AS neighbour, sqrt({SQUARES}) AS d, row_number() OVER (PARTITION BY z.row_id ORDER BY {SQUARES}, r.row_id) AS rn FROM z JOIN r ON z.row_id <> r.row_id) WHERE rn <= 5)"""
+
+
+@query(f"{NEAR} SELECT row_id, round(d, 6) AS distance, 'knn' AS method FROM k WHERE rn = 5 ORDER BY d DESC, row_id LIMIT 200")
 def outliers_by_knn(spark, d):
     return rounded(outliers.outlier_knn(incidents(spark, d), NUM, k=5, top_n=200, reference=2000))
 
 
-@query()
+@query(f"""{NEAR}, kd AS (SELECT row_id, d AS kd FROM k WHERE rn = 5), lrd AS (SELECT k.row_id, 1 / greatest(avg(greatest(d, kd)), 1e-10) AS lrd FROM k JOIN kd ON kd.row_id = k.neighbour GROUP BY 1)
+ SELECT k.row_id, 'lof' AS method FROM k JOIN lrd a ON a.row_id = k.neighbour JOIN lrd b ON b.row_id = k.row_id GROUP BY k.row_id, b.lrd HAVING avg(a.lrd) / b.lrd > 2""")
 def outliers_by_lof(spark, d):
     return outliers.outlier_lof(incidents(spark, d), NUM, reference=2000)
 
@@ -281,7 +288,7 @@ def vtests_of_categories(spark, d):
     return rounded(profile.vtest_category(incidents(spark, d), ["weather_condition", "sunrise_sunset", "state"], "severity"), 4)
 
 
-@query()
+@query(f"""{I}, {G}, o AS (SELECT variable, count(*) AS n0, avg(value) AS m0, var_pop(value) AS s2 FROM ({LONG}) WHERE value IS NOT NULL GROUP BY 1) SELECT variable, round(max(abs((m - m0) / sqrt(s2 / n * (n0 - n) / (n0 - 1)))), 4) AS max_abs_vtest FROM g JOIN o USING (variable) GROUP BY 1""")
 def variables_by_vtest(spark, d):
     return rounded(profile.variable_ranking(profile.vtest_numeric(incidents(spark, d), NUM, "severity")), 4)
 
@@ -527,7 +534,15 @@ def correspondence_of_text(spark, d):
 # space
 
 
-@query()
+E2 = "(0.0066943799901413165::DOUBLE)"
+EP2 = "(0.006739496742276434::DOUBLE)"
+
+
+@query(f"""{I}, p AS (SELECT row_id, radians(start_lat) AS phi, radians(start_lng + 75) AS lam FROM i WHERE start_lat BETWEEN -90 AND 90 AND start_lng BETWEEN -180 AND 180),
+ q AS (SELECT row_id, phi, 6378.137::DOUBLE / sqrt(1 - {E2} * sin(phi) ** 2) AS n, tan(phi) ** 2 AS t, {EP2} * cos(phi) ** 2 AS c, cos(phi) * lam AS a,
+ 6378.137::DOUBLE * ((1 - {E2} / 4 - 3 * {E2} ** 2 / 64 - 5 * {E2} ** 3 / 256) * phi - (3 * {E2} / 8 + 3 * {E2} ** 2 / 32 + 45 * {E2} ** 3 / 1024) * sin(2 * phi) + (15 * {E2} ** 2 / 256 + 45 * {E2} ** 3 / 1024) * sin(4 * phi) - (35 * {E2} ** 3 / 3072) * sin(6 * phi)) AS m FROM p)
+ SELECT row_id, round(0.9996::DOUBLE * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {EP2}) * a ** 5 / 120) + 500, 6) AS x_km,
+ round(0.9996::DOUBLE * (m + n * tan(phi) * (a ** 2 / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {EP2}) * a ** 6 / 720)), 6) AS y_km FROM q""")
 def utm_coordinates(spark, d):
     df = clean.valid_coords(incidents(spark, d))
     x, y = spatial.utm(F.col("start_lat"), F.col("start_lng"))
@@ -557,7 +572,9 @@ def kernel_density(spark, d):
     return rounded(spatial.kde(_points(spark, d).where("sunrise_sunset is not null"), "x", "y", 6.0, 5.0, "sunrise_sunset"))
 
 
-@query()
+@query(f"""{I}, c AS (SELECT floor(x / 5)::BIGINT AS cx, floor(y / 5)::BIGINT AS cy, count(*) AS n FROM {XY} GROUP BY 1, 2), o AS (SELECT i, j, exp(-((i * 5) ** 2 + (j * 5) ** 2) / 72.0) / (2 * pi() * 36) AS w FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE sqrt(i * i + j * j) * 5 <= 18),
+ p AS (SELECT * FROM (VALUES ('centre', -7490.0::DOUBLE, 4010.0::DOUBLE), ('nowhere', 0.0::DOUBLE, 0.0::DOUBLE)) v(place, x, y)), d AS (SELECT cx + i AS gx, cy + j AS gy, sum(n * w) AS density FROM c, o GROUP BY 1, 2)
+ SELECT place, x, y, round(coalesce(density, 0), 6) AS density FROM p LEFT JOIN d ON gx = floor(x / 5) AND gy = floor(y / 5)""")
 def density_at_places(spark, d):
     grid = spatial.kde(_points(spark, d), "x", "y", 6.0, 5.0)
     places = spark.createDataFrame([("centre", -7490.0, 4010.0), ("nowhere", 0.0, 0.0)], "place string, x double, y double")
