@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import table
+from tarmac.llm.common import kept, table
 
 CHUNK, CACHE = 1 << 16, 600_000
 #: The split pattern of such files, as sets of letters and numbers, and white space.
@@ -285,16 +285,6 @@ class Decoder:
         return "" if self.decoder is None else self.utf8.decode(b"", True)
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
-
-
-def tokenizer(path: str) -> Tokenizer:
-    """One per worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = Tokenizer(path)
-    return _TOKENIZERS[path]
-
-
 def encoded(text: str, tok: Tokenizer, chunk: int = CHUNK) -> Iterator[list[int]]:
     """ids of a text, chunk by chunk."""
     machine = Encoder(tok)
@@ -308,7 +298,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = kept(("bpe", path), lambda: Tokenizer(path))
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -327,7 +317,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(path)
+        tok = kept(("bpe", path), lambda: Tokenizer(path))
         for batch in batches:
             out = []
             for text in batch.column(1):

@@ -70,3 +70,20 @@ def shards(n_bytes: int, each: int) -> int:
 def remainder(doc_id: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m: the fold of a document."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % m
+
+
+#: What a Python worker keeps between tasks: one thing at a time, so that no job lives with another's.
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make):
+    """make() of an earlier task of this worker under the same key, or a new one, for which all else goes."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Frees what earlier tasks of this worker kept."""
+    _KEPT.clear()

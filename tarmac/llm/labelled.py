@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
+import math
+import pickle
+from collections.abc import Callable
+
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most labelled rows that a classifier is fitted on, and bytes of text of them; those with the smallest hash of the id are taken.
-MAX_ROWS, MAX_BYTES = 6000, 32 << 20
+from tarmac.llm.common import forget
+
+#: Most labelled rows that a classifier is fitted on, half of them of each label, and most bytes of their
+#: texts; those of the smallest hash of the id are taken.
+MAX_ROWS, MAX_BYTES = 4000, 16 << 20
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int = MAX_ROWS) -> tuple[pa.Array, list[int], list[int]]:
-    """Texts, labels (0 or 1) and ids of a bounded sample of labelled documents for which `fold` holds.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: Column, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, tuple[int, int]]:
+    """(k, y, text) of a bounded sample of labelled documents for which `fold` holds, and the numbers of all labels 0 and 1.
 
-    At most max_rows labels with the smallest hash of doc_id, then as many of their whole texts, in
-    that order, as fit into MAX_BYTES. Rows without id or label are left out; of repeated ids, the
-    largest label and the smallest text count. The sample is small enough to be broadcast and collected.
+    Of each label at most max_rows / 2 with the smallest hash of doc_id, then as many of their whole
+    texts, in that order, as fit into max_bytes. Rows without id or label are left out; of repeated ids,
+    the largest label and the smallest text count. Ids of the sample are few enough to be broadcast.
     """
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(label))).orderBy("h", "doc_id").limit(max_rows)
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & fold).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64(F.col("doc_id"), F.lit(label)))
+    count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+    chosen = known.withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "doc_id"))).where(F.col("r") <= max_rows // 2).drop("r")
     sizes = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "h").agg(F.max("n").alias("n")).orderBy("h", "doc_id").collect()
     ids, total = [], 0
     for r in sizes:
-        if total + r.n > MAX_BYTES:
+        if total + r.n > max_bytes:
             break
-        ids.append((r.doc_id, r.y))
+        ids.append((len(ids), r.doc_id, r.y))
         total += r.n
-    spark = docs.sparkSession
-    keys = spark.createDataFrame([(i, y, k) for k, (i, y) in enumerate(ids)], "doc_id long, y int, k int")
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id").groupBy("doc_id", "y", "k").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: r.k)
-    return pa.array([r.text for r in rows], pa.string()), [r.y for r in rows], [r.doc_id for r in rows]
+    keys = docs.sparkSession.createDataFrame(ids, "k int, doc_id long, y int")
+    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(keys), "doc_id").groupBy("k", "y").agg(F.min("text").alias("text")), (count.get(0, 0), count.get(1, 0))
+
+
+def fitted(rows: DataFrame, counts: tuple[int, int], fit: Callable):
+    """fit(texts, labels) of a sample, in one task: the sample is bounded, and only the model comes to the driver.
+
+    The offset of the model is moved from the sample's share of labels to that of all of them.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget()
+        pdf = pdf.sort_values("k")
+        texts, labels = pa.array(pdf.text, pa.string()), pdf.y.tolist()
+        del pdf
+        model, n1 = fit(texts, labels), sum(labels)
+        if 0 < n1 < len(labels) and min(counts):
+            model.offset += math.log(counts[1] / counts[0]) - math.log(n1 / (len(labels) - n1))
+        return pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    got = rows.groupBy().applyInPandas(run, "model binary").collect()
+    return pickle.loads(got[0].model) if got else fit(pa.array([], pa.string()), [])

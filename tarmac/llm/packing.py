@@ -27,9 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import table
+from tarmac.llm.common import kept, table
 
-LENGTH, SEGMENTS, POOL, END_ID = 2048, 256, 256, 1
+LENGTH, SEGMENTS, POOL, END_ID = 2048, 256, 64, 1
 #: How byte-level BPE of this kind splits text, and Unicode's white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -92,16 +92,6 @@ class Encoder:
         return out + split(text[at:])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 class Packer:
     """Fills sequences from pieces (key, start, tokens, loss); limits are (tokens, segments, loss)."""
 
@@ -184,7 +174,7 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
             out.clear()
             return batch
 
-        enc, packer, n_rows = encoder(path), Packer(limits, pool, emit), 0
+        enc, packer, n_rows = kept(("encoder", path), lambda: Encoder(path)), Packer(limits, pool, emit), 0
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)

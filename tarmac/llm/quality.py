@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import remainder, table
-from tarmac.llm.labelled import training_rows
+from tarmac.llm.labelled import fitted, training_rows
 from tarmac.llm.text import U, mix, slice_hashes, spans, string_buffers, words
 
 BITS, DIM, EPOCHS, RATE, SEED = 18, 8, 6, 0.5, 11
@@ -146,8 +146,7 @@ def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score")
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled rows outside the held-out fold (crc32(doc_id) mod 4 is 2)."""
-    texts, y, _ = training_rows(docs, labels, "quality", remainder("doc_id", 4) != 2)
-    return fit(texts, y)
+    return fitted(*training_rows(docs, labels, "quality", remainder("doc_id", 4) != 2), fit)
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:

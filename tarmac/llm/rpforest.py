@@ -193,7 +193,9 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     nodes = written(usable.groupBy("dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "dim", "v", "copies"), "distinct-vectors")
     forests = {}
     for dim, n in nodes.groupBy("dim").count().collect():
-        sample = [r.v for r in nodes.where(F.col("dim") == dim).select("node", "v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()]
+        share = min(1.0, 2.0 * SAMPLE / n + 0.001)  # what can't be among the first SAMPLE stays in the tasks
+        head = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))
+        sample = [r.v for r in nodes.where((F.col("dim") == dim) & head).select("node", "v").orderBy(F.pmod(F.xxhash64("node"), F.lit(1 << 20)), F.xxhash64("node"), "node").limit(SAMPLE).collect()]
         forests[dim] = build(_unit([bytes(v) for v in sample], dim), n, trees, leaf, spill)
     if not forests:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

@@ -16,8 +16,6 @@ Null or empty text: no spans. Null ids and repeated rows: one result each. Extra
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import remainder, table
-from tarmac.llm.labelled import training_rows
+from tarmac.llm.labelled import fitted, training_rows
 from tarmac.llm.text import IS_NO_LETTER, U, running, sliced, spans, string_buffers, words
 
 BITS, STEPS, SWAP, SPARSE, RARE, SKETCH = 40, 300, 1.0, 8e-4, 3, 22
@@ -213,8 +213,7 @@ def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score")
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on the labelled rows outside the held-out fold (crc32(doc_id) mod 5 is 0)."""
-    texts, y, _ = training_rows(docs, labels, "toxic", remainder("doc_id", 5) != 0)
-    return fit(texts, y)
+    return fitted(*training_rows(docs, labels, "toxic", remainder("doc_id", 5) != 0), fit)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
