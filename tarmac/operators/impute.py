@@ -42,7 +42,7 @@ def impute_random(df: DataFrame, col: str, key: str = "row_id", seed: int = 500)
     seen = df.where(F.col(col).isNotNull()).select(bucket(0).alias("__b"), F.col(col).alias("__v"), F.col(key).alias("__k"))
     seen = seen.withColumn("__i", F.row_number().over(Window.partitionBy("__b").orderBy("__k")) - 1)
     sizes = seen.groupBy("__b").agg(F.count("*").alias("__n"))
-    # empty buckets pass their rows to the next one that isn't
+    # a bucket may be without observed rows; its missing ones all take the same observed value
     miss = df.where(F.col(col).isNull()).select(key, bucket(1).alias("__b"))
     used = sizes.select(F.col("__b"), "__n")
     draw = miss.join(used, "__b", "left")

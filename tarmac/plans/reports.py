@@ -8,7 +8,7 @@ from tarmac.functions import features
 from tarmac.operators import sampling, summary
 from tarmac.operators import joins
 from tarmac.plans.common import I, query, rounded, t
-from tarmac.plans.rows import DURATION_SQL, RULES_SQL
+from tarmac.plans.rows import RULES_SQL
 from tarmac.sources.incidents import incidents
 
 NUM = ["humidity", "pressure_in", "temperature_f", "wind_speed_mph"]
