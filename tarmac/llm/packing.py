@@ -33,7 +33,7 @@ LENGTH, SEGMENTS, POOL, END_ID = 2048, 256, 64, 1
 #: How byte-level BPE of this kind splits text, and Unicode's white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE = 1_000_000
+CACHE = 700_000
 
 
 def tokenizer_path() -> str:
