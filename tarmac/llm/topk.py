@@ -138,7 +138,7 @@ def _refined(pairs: DataFrame, state: DataFrame, k: int) -> DataFrame:
                 ns[r.block] = n
                 for a in range(0, len(n), 256):  # a few queries at a time bound what is held
                     b = np.floor((s[n[a : a + 256]] - lo[a : a + 256, None]) / width[a : a + 256, None])
-                    i, j = np.nonzero((b >= 0) & (b < BINS))
+                    i, j = np.nonzero((b >= 0) & (s[n[a : a + 256]] < hi[a : a + 256, None]))  # bins may pass hi; `above` holds what lies there
                     h[a : a + 256] += np.bincount(i * BINS + b[i, j].astype(np.int64), minlength=len(b) * BINS).reshape(len(b), BINS)
         for block, h in sums.items():
             yield pd.DataFrame({"block": block, "n": ns[block], "h": list(h)})
@@ -149,7 +149,7 @@ def _refined(pairs: DataFrame, state: DataFrame, k: int) -> DataFrame:
     at_least = F.aggregate(F.sequence(F.lit(BINS - 1), F.lit(0), F.lit(-1)), F.struct(F.lit(-1).alias("bin"), F.col("above").alias("above"), F.lit(0).cast("long").alias("here")), lambda a, b: F.when(a["bin"] >= 0, a).when(a["above"] + F.col("h")[b] >= k, F.struct(b.alias("bin"), a["above"].alias("above"), F.col("h")[b].alias("here"))).otherwise(F.struct(F.lit(-1).alias("bin"), (a["above"] + F.col("h")[b]).alias("above"), F.lit(0).cast("long").alias("here"))))
     new = todo.join(total, ["block", "n"]).withColumn("w", width).withColumn("a", at_least)
     lo = F.when(F.col("a.bin") >= 0, F.col("lo") + F.col("a.bin") * F.col("w")).otherwise(F.col("lo")).cast("long")
-    new = new.select("block", "n", lo.alias("lo"), (F.when(F.col("a.bin") >= 0, lo + F.col("w")).otherwise(F.col("hi"))).cast("long").alias("hi"), F.col("a.above").alias("above"), ((F.col("a.bin") < 0) | (F.col("w") == 1) | (F.col("a.above") + F.col("a.here") <= FEW)).alias("done"))
+    new = new.select("block", "n", lo.alias("lo"), (F.when(F.col("a.bin") >= 0, F.least(lo + F.col("w"), F.col("hi"))).otherwise(F.col("hi"))).cast("long").alias("hi"), F.col("a.above").alias("above"), ((F.col("a.bin") < 0) | (F.col("w") == 1) | (F.col("a.above") + F.col("a.here") <= FEW)).alias("done"))
     return new.union(state.where("done").select(*new.columns))
 
 

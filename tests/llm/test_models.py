@@ -172,6 +172,23 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(rows.limit(0), rows, 5).count() == 0
 
 
+def test_top_k_keeps_rows_where_bins_pass_the_range(spark):
+    rng = np.random.default_rng(6)
+    columns = [[0, *np.linspace(101600, 101999, 100).astype(int), 102010, 102050, 102399]]
+    for _ in range(39):  # a low score, a group that one bin holds, and 1 to 4 scores just above it
+        top, width = rng.integers(60_000, 140_000), rng.integers(100, 500)
+        columns.append([0, *rng.integers(top - width, top, 102 - (m := rng.integers(1, 5))), *rng.integers(top, top + width, m), top + width])
+    scores = np.array(columns).T.astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(scores)], "id long, v array<double>")
+    queries = spark.createDataFrame([(1000 + q, v.tolist()) for q, v in enumerate(np.eye(40))], "id long, v array<double>")
+    got = {}
+    for r in topk.top_k(queries, rows, 5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(40):
+        s = sorted((-int(x), i) for i, x in enumerate(scores[:, q]))[:5]
+        assert sorted(got[1000 + q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
+
+
 def test_pipeline_against_its_operators(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
