@@ -4,7 +4,10 @@ A tree splits by a random direction at the median, again and again; points near
 points on each side, go both ways. Upper splits are fitted on a bounded sample of SAMPLE vectors, the
 ones with the smallest hash of their id; below, when there are more vectors than the sample resolves,
 directions go on at random, through the centre of the sample's leaf. A node whose sample is one clump (mean
-cosine to its centre over TIGHT) isn't split. Every vector is placed in every tree. Leaves are cut into
+cosine to its centre over TIGHT) isn't split. Deeper trees miss more, so their number follows from the depth.
+Splits would part the pairs of a large loose group, so groups in which the sample shows links come first: a ball
+around a group is a leaf of its own, as wide as the linked vectors of its core reach in the sample. A vector of a
+core meets its links there and is placed in no tree; every other one is placed in every tree. Leaves are cut into
 tiles of two blocks of at most BLOCK vectors, so a hot leaf is many tasks; a tile compares all its
 pairs in double precision. A pair that meets in several leaves counts in the first of them, which
 each side's list of leaves shows, so no pair is emitted: a tile returns numbers of links and a spanning
@@ -31,6 +34,10 @@ from tarmac.llm.components import components
 from tarmac.llm.jaccard import forest
 
 THRESHOLD, TREES, LEAF, SPILL, SAMPLE, TIGHT, BLOCK, SEED = 0.9, 4, 512, 0.07, 8192, 0.95, 1024, 5
+#: Cosine to the centre of a group's core; share of linked pairs in a ball from which it is compared as a whole; most balls.
+CORE, LINKED, BALLS = 0.85, 0.00001, 256
+#: Share of close pairs that one level of one tree keeps together, and what all trees are to keep.
+LEVEL, RECALL = 0.953, 0.99
 
 
 class Tree:
@@ -93,9 +100,59 @@ class Tree:
         return at, code
 
 
-def build(sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> list[Tree]:
-    """Trees for n vectors from unit vectors of a sample."""
+class Balls:
+    """Loose or tight large groups of a sample: centres, and the least cosines to them of cores and balls."""
+
+    def __init__(self, sample: np.ndarray, n: int, leaf: int, threshold: float):
+        self.centre, self.edge = np.zeros((0, sample.shape[1])), np.zeros(0)
+        x = sample.astype(np.float32)
+        least = max(16, leaf / 2 * len(x) / max(n, 1))  # smaller groups hardly meet a split
+        if n <= leaf or len(x) < least:
+            return
+        near = np.concatenate([(x[a : a + 1024] @ x.T >= threshold - 0.1).sum(1) for a in range(0, len(x), 1024)])
+        open_ = near >= least
+        while open_.any() and len(self.edge) < BALLS:
+            i = int(np.argmax(np.where(open_, near, 0)))
+            open_[i] = False
+            members = x @ x[i] >= threshold - 0.1
+            for _ in range(5):
+                c = x[members].mean(0)
+                c /= np.linalg.norm(c)
+                cos = x @ c
+                members = cos >= CORE
+                if not members.any():
+                    break
+            if members.sum() < least:
+                continue
+            core, reach = np.flatnonzero(members), []
+            for a in range(0, len(core), 1024):
+                part = core[a : a + 1024]
+                linked = x[part] @ x.T >= threshold
+                linked[np.arange(len(part)), part] = False
+                reach.append(cos[np.nonzero(linked)[1]])
+            reach = np.concatenate(reach)
+            open_[members] = False
+            if not len(reach):
+                continue
+            edge = min(CORE, float(np.quantile(reach, 0.002)) - 0.005)
+            if len(reach) < LINKED * float((cos >= edge).sum()) * len(core):
+                continue
+            self.centre, self.edge = np.vstack([self.centre, c.astype(np.float64)]), np.append(self.edge, edge)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, ball) of each ball that a row of x falls into, and the rows that are in no core."""
+        if not len(self.edge):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.arange(len(x))
+        cos = x @ self.centre.T
+        rows, balls = np.nonzero(cos >= self.edge)
+        return rows, balls, np.flatnonzero((cos < CORE).all(1))
+
+
+def build(sample: np.ndarray, n: int, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL) -> list[Tree]:
+    """Trees for n vectors from unit vectors of a sample; without a number of trees, as many as RECALL takes."""
     depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
+    if trees is None:
+        trees = max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - LEVEL**depth)))) if depth else TREES
     upper = min(depth, max(0, int(np.log2(max(len(sample), 1) / 32))))
     rngs = np.random.default_rng(SEED).spawn(trees)
     return [Tree(sample, upper, depth - upper, rng, spill) for rng in rngs]
@@ -124,19 +181,31 @@ def _packed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, dim int, v binary")
 
 
-def _placed(nodes: DataFrame, forests: dict[int, list[Tree]]) -> DataFrame:
+def _grown(sample: np.ndarray, n: int, trees: int | None, leaf: int, spill: float, threshold: float) -> tuple[Balls, list[Tree]]:
+    balls = Balls(sample, n, leaf, threshold)
+    rest = sample[balls.place(sample)[2]]
+    return balls, build(rest, int(np.ceil(n * len(rest) / len(sample))), trees, leaf, spill)
+
+
+def _codes(balls: Balls, trees: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of each leaf of a row of x, balls being numbered after the trees."""
+    row, ball, rest = balls.place(x)
+    rows, codes = [row], [ball + (len(trees) << 56)]
+    for t, tree in enumerate(trees if len(rest) else []):
+        r, c = tree.place(x[rest])
+        rows.append(rest[r])
+        codes.append(c + (t << 56))
+    return np.concatenate(rows), np.concatenate(codes)
+
+
+def _placed(nodes: DataFrame, forests: dict[int, tuple[Balls, list[Tree]]]) -> DataFrame:
     held = nodes.sparkSession.sparkContext.broadcast(forests)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 x = _unit(part.v.tolist(), int(dim))
-                rows, codes = [], []
-                for t, tree in enumerate(held.value[int(dim)]):
-                    r, c = tree.place(x)
-                    rows.append(r)
-                    codes.append(c + (t << 56))
-                rows, codes = np.concatenate(rows), np.concatenate(codes)
+                rows, codes = _codes(*held.value[int(dim)], x)
                 by = np.lexsort((codes, rows))
                 cut = np.searchsorted(rows[by], np.arange(1, len(x)))
                 yield part.assign(codes=np.split(codes[by], cut))
@@ -186,7 +255,7 @@ def _compare(threshold: float):
     return run
 
 
-def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int | None = None, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding)."""
     rows = written(_packed(vectors.select(F.col("vec_id").cast("long"), "embedding")), "vectors")
     usable = rows.where("v is not null and vec_id is not null")
@@ -196,7 +265,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
         share = min(1.0, 2.0 * SAMPLE / n + 0.001)  # what can't be among the first SAMPLE stays in the tasks
         head = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))
         sample = [r.v for r in nodes.where((F.col("dim") == dim) & head).select("node", "v").orderBy(F.pmod(F.xxhash64("node"), F.lit(1 << 20)), F.xxhash64("node"), "node").limit(SAMPLE).collect()]
-        forests[dim] = build(_unit([bytes(v) for v in sample], dim), n, trees, leaf, spill)
+        forests[dim] = _grown(_unit([bytes(v) for v in sample], dim), n, trees, leaf, spill, threshold)
     if not forests:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     placed = written(_placed(nodes, forests), "placed")

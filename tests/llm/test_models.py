@@ -149,6 +149,17 @@ def test_forest_recall_and_edges(spark):
     assert [exact[i] for i in range(len(vs))] == links
 
 
+def test_forest_recall_in_a_loose_large_group(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:2000] = np.sqrt(0.85) * x[-1] + np.sqrt(0.15) * x[:2000]  # mean pairwise cosine 0.85
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= 0.9).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in rpforest.link_vectors(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), leaf=64).collect()}
+    assert sum(got.values()) >= 0.98 * links.sum() > 0 and all(got[i] <= n for i, n in enumerate(links))
+
+
 def test_forest_goes_deeper_than_its_sample():
     x = np.random.default_rng(2).normal(size=(4000, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
