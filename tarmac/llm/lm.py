@@ -20,6 +20,7 @@ every token has that share with V = 0.
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,8 @@ from tarmac.llm.text import U, hashed, mix
 BOS, END = U(0x5BD1E995A1B2C3D4), U(0x1234F00DCAFE5678)
 #: Tokens that are counted or scored at once, and bytes of text for each shard.
 BLOCK, SHARD_BYTES = 1 << 21, 12 << 20
+#: Words in the longest n-gram of the registered query.
+ORDER = 3
 BLOCKS = "grp string, shard int, ctx array<binary>, word binary, n binary"
 
 
@@ -91,11 +94,17 @@ def blocks(grp: str, ctxs: list[np.ndarray], word: np.ndarray, n: np.ndarray, n_
     for s in range(n_shards):
         if cut[s] < cut[s + 1]:
             rows = by[cut[s] : cut[s + 1]]
-            yield {"grp": grp, "shard": s, "ctx": [c[rows].tobytes() for c in ctxs], "word": word[rows].tobytes(), "n": n[rows].astype(np.uint32 if n.max() < 1 << 32 else np.uint64).tobytes()}
+            yield {"grp": grp, "shard": s, "ctx": [c[rows].tobytes() for c in ctxs], "word": word[rows].tobytes(), "n": narrow(n[rows]).tobytes()}
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """x in the smallest unsigned type that holds it."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
 
 
 def numbers(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64 if n and len(raw) // n == 8 else np.uint32).astype(np.int64)
+    """n numbers of narrow()."""
+    return np.frombuffer(raw, f"u{len(raw) // n if n else 1}").astype(np.int64)
 
 
 def _arrow(rows: list[dict]) -> pa.RecordBatch:
@@ -140,7 +149,7 @@ def merge(path: str, order: int, n_shards: int):
         key = key_of(ctxs[0], word)
         by = np.argsort(key)
         publish(f"{path}/n{order}-{s}-key.npy", key[by])
-        publish(f"{path}/n{order}-{s}-n.npy", n[by].astype(np.uint32 if n.max() < 1 << 32 else np.uint64))
+        publish(f"{path}/n{order}-{s}-n.npy", narrow(n[by]))
         few = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
         rows = [{"grp": "few", "shard": order, "ctx": [], "word": few.tobytes(), "n": b""}]
         first = np.flatnonzero(np.concatenate(([True], ctxs[0][1:] != ctxs[0][:-1])))
@@ -156,7 +165,7 @@ def merge(path: str, order: int, n_shards: int):
 
 def _stats(grp: str, key: np.ndarray, values: list[np.ndarray], n_shards: int) -> list[dict]:
     sh = shard_of(key, np.zeros(1, np.uint64), n_shards)
-    return [{"grp": grp, "shard": int(s), "ctx": [v[sh == s].tobytes() for v in values], "word": key[sh == s].tobytes(), "n": b""} for s in np.unique(sh)]
+    return [{"grp": grp, "shard": int(s), "ctx": [narrow(v[sh == s]).tobytes() for v in values], "word": key[sh == s].tobytes(), "n": b""} for s in np.unique(sh)]
 
 
 def merge_stats(path: str, discounts: dict[int, list[float]]):
@@ -165,7 +174,7 @@ def merge_stats(path: str, discounts: dict[int, list[float]]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s, grp = int(pdf.shard.iloc[0]), pdf.grp.iloc[0]
         key = np.concatenate([np.frombuffer(w, np.uint64) for w in pdf.word])
-        v = [np.concatenate([np.frombuffer(c[k], np.int64) for c in pdf.ctx]) for k in range(4)]
+        v = [np.concatenate([numbers(c[k], len(w) // 8) for c, w in zip(pdf.ctx, pdf.word, strict=True)]) for k in range(4)]
         by = np.argsort(key)
         key = key[by]
         first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -280,19 +289,20 @@ def fit(docs: DataFrame, col: str = "text", order: int = 2) -> Model:
     os.makedirs(f"{local}/arrays")
     n_shards = shards(text_bytes(docs, col), SHARD_BYTES)
     rows = docs.select(F.col(col).cast("string")).mapInArrow(count_blocks(order, n_shards), BLOCKS)
-    spark, discounts, stats = docs.sparkSession, {}, []
+    spark, discounts = docs.sparkSession, {}
     for k in range(order, 1, -1):
         out = f"{path}/order{k}"
         rows.groupBy("grp", "shard").applyInPandas(_either(merge(f"{local}/arrays", k, n_shards), f"n{k}"), BLOCKS).write.parquet(out)
         rows = spark.read.schema(BLOCKS).parquet(out)
         few = rows.where("grp = 'few'").select("word").toLocalIterator()
         discounts[k] = discount(sum((np.frombuffer(r.word, np.int64) for r in few), np.zeros(4, np.int64)).tolist())
-        stats.append(rows.where(f"grp = 'c{k}'"))
+        rows.where(f"grp = 'c{k}'").groupBy("shard").applyInPandas(merge_stats(f"{local}/arrays", discounts), "shard int, total long, toks long, v long, few array<long>").agg(F.sum("v")).first()
+        if k < order:
+            shutil.rmtree(f"{local}/order{k + 1}", ignore_errors=True)  # all that it held is in the arrays or the next order
         rows = rows.where(f"grp in ('tok', 'n{k - 1}')")
-    for x in stats:
-        x.groupBy("shard").applyInPandas(merge_stats(f"{local}/arrays", discounts), "shard int, total long, toks long, v long, few array<long>").agg(F.sum("v")).first()
     sums = rows.groupBy("shard").applyInPandas(merge_words(f"{local}/arrays"), "shard int, total long, toks long, v long, few array<long>")
     got = sums.agg(F.sum("total"), F.sum("toks"), F.sum("v"), *[F.sum(F.col("few")[i]) for i in range(7)]).first()
+    shutil.rmtree(f"{local}/order2", ignore_errors=True)
     total, n_tokens, n_words, *few = [x or 0 for x in got]
     discounts[1] = discount(few[:4])
     left = sum(d * t for d, t in zip(discounts[1], few[4:], strict=True)) / total if total else 1.0
@@ -335,5 +345,5 @@ def held_out(col: str | Column = "doc_id") -> Column:
 
 def op1_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.where(~held_out()))
+    model = fit(docs.where(~held_out()), order=ORDER)
     return score(docs.withColumn("held_out", held_out()), model)

@@ -82,6 +82,15 @@ def test_lm_matches_plain_version(spark, sf):
     assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_lm_query_sees_contexts_of_two_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    model = lm.fit(docs.where(~lm.held_out()), order=3)
+    assert sorted(os.listdir(os.path.dirname(model.path))) == ["arrays"]
+    want = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
+    got = {r.doc_id: r.score for r in lm.op1_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
+    assert got == pytest.approx(want)
+
+
 def test_lm_of_higher_order_and_of_nothing(spark):
     model = lm.fit(table_of(spark, ["a b c d", "a b c e", "b c d"] * 3), order=3)
     near, far = (r.score for r in lm.score(table_of(spark, ["a b c d", "d c b a"]), model).orderBy("doc_id").collect())
