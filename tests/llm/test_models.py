@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarmac.llm import components, jaccard, packing, quality, rpforest, secrets, topk, toxicity
+from tarmac.llm import components, jaccard, labelled, packing, quality, rpforest, secrets, topk, toxicity
 
 
 def auc(score, label):
@@ -31,6 +31,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert held_out(spark, "/root/testdata/sf0.01", toxicity.op9_toxicity, "toxic") > 0.85
 
 
+def test_long_texts_do_not_end_the_sample(spark):
+    ids = spark.range(40).withColumnRenamed("id", "doc_id")
+    first = ids.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").first().doc_id
+    labels = ids.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    docs = ids.withColumn("text", F.repeat(F.lit("x"), F.when(F.col("doc_id") == first, 20_000).otherwise(100).cast("int")))
+    rows, counts = labelled.training_rows(docs, labels, "quality", F.lit(True), max_bytes=10_000)
+    assert counts == (20, 20) and sorted(r.y for r in rows.collect()) == sorted(i % 2 for i in range(40) if i != first)
+    long = ids.withColumn("text", F.repeat(F.lit("x"), F.when(F.col("doc_id") % 2 == 1, 20_000).otherwise(100).cast("int")))
+    with pytest.raises(ValueError, match="quality 1"):
+        labelled.training_rows(long, labels, "quality", F.lit(True), max_bytes=10_000)
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_of_odd_tables(spark, module):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (3, "word " * 30000, 0.1), (3, "again", 0.1), (None, "x", 0.1)], "doc_id long, text string, score double")
