@@ -4,22 +4,19 @@ Examples are vectors of tokens, segments and loss-bearing tokens; a sequence is
 each. Per partition, pieces of open documents wait in a pool of bounded size. A sequence takes the
 piece with the largest dot product of its size and the room left (both as shares of the limits) that
 fits whole, again and again; when none fits, the piece with the largest product is cut to fill the rest.
-So a sequence ends short of its tokens only at another limit or at the end of the partition. Nothing
-is shuffled, and memory is bounded by the pool and one document.
+A piece as long as a sequence is one. So a sequence ends short of its tokens only at another limit or
+at the end of the partition. Nothing is shuffled, and memory is bounded by the pool and one document.
 
-Texts are encoded by the tokenizers library piece by piece: a pre-token (a match of the tokenizer's own
-split pattern) always encodes alike, so each task keeps the ids of those it has met, up to a bound, and
-encodes only new ones (ids are 4 bytes each, little-endian on the machines that Spark runs on). A null or empty text is the end id alone; a repeated row is packed again.
+Texts are encoded by byte-pair merging with the vocabulary of the tokenizer file, whose ids are the ranks
+of its merges; another kind of file is refused. A document may have a prompt, whose tokens come first
+and bear no loss. Null or empty text: the end id alone. A repeated row is packed again.
 """
 
 from __future__ import annotations
 
-import os
-import re
+import json
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.bpe import byte_symbols
 from tarmac.llm.common import kept, table
 
 LENGTH, SEGMENTS, POOL, END_ID = 2048, 256, 64, 1
-#: How byte-level BPE of this kind splits text, and Unicode's white space.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-CACHE = 700_000
+#: Fixed value: how byte-level BPE of this kind splits text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def tokenizer_path() -> str:
@@ -42,114 +38,105 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _split(letter: str, number: str, both: str) -> str:
-    return SPLIT.replace("{LN}", both).replace("{L}", letter).replace("{N}", number).replace("{S}", SPACE)
-
-
-class _Known(dict):
-    """ids of pre-tokens as bytes; the oldest half goes when it is full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            for k in list(islice(self, CACHE // 2)):
-                del self[k]
-        found = self[piece] = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
-        return found
-
-
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.specials = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.any = regex.compile(_split(r"\p{L}", r"\p{N}", r"\p{L}\p{N}")).findall
-        self.ascii = re.compile(_split("[A-Za-z]", "[0-9]", "A-Za-z0-9")).findall
-        self.known = _Known(self.tok.encode)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model, split = file["model"], file["pre_tokenizer"] or {}
+        vocab, merged = model["vocab"], ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [vocab[m] for m in merged]
+        if file["normalizer"] or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space") or order != sorted(order):
+            raise ValueError(f"{path} isn't byte-level BPE with ids in the order of its merges")
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        special = {t["content"]: t["id"] for t in file["added_tokens"]}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        self._encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self._parts(text)))
-
-    def _parts(self, text: str) -> list[str]:
-        split = self.ascii if text.isascii() else self.any
-        if not any(s in text for s in self.special):
-            return split(text)
-        out, at = [], 0
-        for m in self.specials.finditer(text):
-            out += [*split(text[at : m.start()]), m[0]]
-            at = m.end()
-        return out + split(text[at:])
+        return self._encode(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 class Packer:
-    """Fills sequences from pieces (key, start, tokens, loss); limits are (tokens, segments, loss)."""
+    """Fills sequences from pieces; limits are (tokens, segments, loss-bearing tokens)."""
 
     def __init__(self, limits: tuple[int, int, int], pool: int, emit: Callable):
-        self.limits, self.size, self.emit = np.array(limits, float), pool, emit
-        self.pool: list[list] = []
-        self.sizes = np.zeros((0, 3))
-        self.n = 0
-
-    def add(self, key, start: int, tokens: int, loss: int) -> None:
-        """loss: 1 if the tokens of this piece bear loss."""
+        self.limits, self.size, self.emit, self.n = limits, pool, emit, 0
+        self.keys: list[tuple] = []  # of each piece that waits: key, start, tokens that bear no loss
+        self.tokens, self.loss = np.zeros(4 * pool), np.zeros(4 * pool)  # a place that is free holds infinity tokens
+        self.free: list[int] = list(range(4 * pool))[::-1]
+        self.tokens[:] = np.inf
+        self.at: dict[int, tuple] = {}
+
+    def add(self, key, start: int, tokens: int, prompt: int = 0) -> None:
+        """prompt: the first tokens of this piece that bear no loss."""
+        most, _, loss = self.limits
         while tokens > 0:
-            n = min(tokens, int(self.limits[0]))
-            self.pool.append([key, start, n, loss])
-            start, tokens = start + n, tokens - n
-        if len(self.pool) > 2 * self.size:
-            while len(self.pool) > self.size:
-                self.fill()
+            n, quiet = min(tokens, most), min(tokens, prompt, most)
+            if n == most and n - quiet <= loss:
+                self.emit(key, start, n, self.n, 0)
+                self.n += 1
+            else:
+                self._wait(key, start, n, quiet)
+                if len(self.at) > 2 * self.size:
+                    while len(self.at) > self.size:
+                        self.fill()
+            start, tokens, prompt = start + n, tokens - n, prompt - quiet
 
     def close(self) -> None:
-        while self.pool:
+        while self.at:
             self.fill()
 
+    def _wait(self, key, start: int, n: int, quiet: int) -> None:
+        i = self.free.pop()
+        self.at[i] = (key, start, n, quiet)
+        self.tokens[i], self.loss[i] = n, n - quiet
+
+    def _leave(self, i: int) -> tuple:
+        self.free.append(i)
+        self.tokens[i] = np.inf
+        return self.at.pop(i)
+
     def fill(self) -> None:
         """Emits one sequence."""
-        pool = self.pool
-        sizes = np.array([[p[2], 1, p[2] * p[3]] for p in pool], float) / self.limits
-        room, used, at = np.ones(3), [], 0
-        open_ = np.ones(len(pool), bool)
-        eps = 1e-9
-        while True:
-            fits = open_ & (sizes <= room + eps).all(1)
-            gain = sizes @ room
-            if fits.any():
-                i = int(np.argmax(np.where(fits, gain, -1)))
-                take = pool[i][2]
-                open_[i] = False
+        most, segments, loss = self.limits
+        room, left, quiet_room, at = most, segments, loss, 0
+        while room and left:
+            gain = self.tokens * (room / most**2)
+            gain += self.loss * (quiet_room / loss**2)  # a segment is one for every piece
+            fits = (self.tokens <= room) & (self.loss <= quiet_room)
+            i = int(np.where(fits, gain, -1.0).argmax())
+            if fits[i]:
+                key, start, take, quiet = self._leave(i)
             else:
-                left = int(min(room[0] * self.limits[0] + 0.5, room[2] * self.limits[2] + 0.5)) if room[1] * self.limits[1] > 0.5 else 0
-                if left < 1 or not open_.any():
+                if not self.at:
                     break
-                i = int(np.argmax(np.where(open_, gain, -1)))
-                take = left
-            key, start, n, loss = pool[i]
+                i = int(np.where(np.isfinite(self.tokens), gain, -1.0).argmax())
+                _, _, n, quiet = self.at[i]
+                take = min(n, room, quiet + quiet_room)
+                if not take:  # all room for loss is used: a piece that begins with a prompt may still go on
+                    i = max(self.at, key=lambda j: (self.at[j][3], -j))
+                    _, _, n, quiet = self.at[i]
+                    take = min(n, room, quiet)
+                    if not take:
+                        break
+                key, start, n, quiet = self._leave(i)
+                if take < n:
+                    self._wait(key, start + take, n - take, max(0, quiet - take))
             self.emit(key, start, take, self.n, at)
             at += take
-            room = room - np.array([take, 1, take * loss]) / self.limits
-            if take < n:
-                pool[i] = [key, start + take, n - take, loss]
-                sizes[i] = np.array([n - take, 1, (n - take) * loss]) / self.limits
-        self.pool = [p for p, o in zip(pool, open_, strict=True) if o]
+            room, left, quiet_room = room - take, left - 1, quiet_room - max(0, take - quiet)
         self.n += 1
 
 
-def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH), pool: int = POOL, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int] = (LENGTH, SEGMENTS, LENGTH), pool: int = POOL, end_id: int = END_ID, keep_ids: bool = False, prompt: str | None = None) -> DataFrame:
     """A row per piece of each row of docs (doc_id, text); see op8. keep_ids adds the ids themselves.
 
-    All tokens of a document bear loss. A sequence_id is the number of the partition and of the sequence in it.
+    prompt: the column whose text comes first and bears no loss; without it, all tokens of a document do,
+    and the limit on such tokens is one on tokens. A sequence_id is the number of the partition and of the sequence in it.
     """
     path = path or tokenizer_path()
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * keep_ids
@@ -178,10 +165,11 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    raw = enc.encode(raw or "") + end
+                for doc, text, first in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    quiet = enc.encode(first) if first else b""
+                    raw = quiet + enc.encode(text or "") + end
                     ids[n_rows] = [doc, raw, len(raw) // 4]
-                    packer.add(n_rows, 0, len(raw) // 4, 1)
+                    packer.add(n_rows, 0, len(raw) // 4, len(quiet) // 4)
                     n_rows += 1
                 if len(out) > 4096:
                     yield flush()
@@ -189,7 +177,8 @@ def pack(docs: DataFrame, path: str | None = None, limits: tuple[int, int, int]
         if out:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    first = F.col(f"`{prompt}`") if prompt else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), first.cast("string")).mapInArrow(run, schema)
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
