@@ -4,12 +4,14 @@ Strong kinds (assign, access, hex) are reported wherever they occur. Weak kinds
 parts of a credential: other access identifiers, unnamed mixed-case keys of 40 characters or more,
 and endpoints. Each part opens a scope of `radius` code points on both sides of its start, and a weak
 part is reported only if the scope holds the parts that complement it: an identifier needs a secret,
-a secret an identifier, an endpoint both.
+a secret an identifier, an endpoint both. A part that overlaps another doesn't complement it, since
+both may be one string.
 
-The interval join of parts and scopes makes no pairs. Parts of a text are sorted by position, and
-running windows in both directions carry the nearest part of each class; a complement lies in the
-scope if the nearest one does. Parts are keyed by a row number, so repeated ids stay apart and the
-only key that grows is one text. Texts themselves aren't shuffled for spans, and once for redaction.
+The interval join of parts and scopes makes no pairs. The starts and ends of a text's parts are sorted by
+position; running windows in both directions carry, for each class, the last start of a part that has ended
+and the first start of one that is still to come, and a complement lies in the scope if one of these two
+does. Parts are keyed by a row number, so repeated ids stay apart and the only key that grows is one text.
+Texts themselves aren't shuffled for spans, and once for redaction.
 
 Null or empty text: no spans. Null ids and repeated rows: one result each. Extra columns pass through.
 """
@@ -59,14 +61,14 @@ def _parts(kind: str, text: Column) -> Column:
     return F.when(text.contains(hint) if hint else text.rlike(pattern), found)
 
 
-def find_secrets(df: DataFrame, text: str = "text", radius: int = RADIUS, keep_text: bool = False) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", radius: int = RADIUS, mask: str | None = None) -> DataFrame:
     """The columns of `df` without its text (and any column spans), and spans array<struct<kind, start, end>>.
 
-    Spans are in code points, end exclusive, by start and then kind as in KINDS. keep_text also
-    returns the text, which then goes through the shuffle once.
+    Spans are in code points, end exclusive, by start and then kind as in KINDS. With a mask the text stays,
+    each stretch that overlapping spans cover replaced by it; the text then goes through the shuffle once.
     """
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    carried = [c for c in df.columns if (c != text or keep_text) and c != "spans"]
+    carried = [c for c in df.columns if (c != text or mask is not None) and c != "spans"]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     none = F.struct(F.lit("").alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("len"), F.lit(False).alias("ok"))
     typed = "array<struct<kind:string,i:int,gap:int,len:int,ok:boolean>>"
@@ -75,40 +77,63 @@ def find_secrets(df: DataFrame, text: str = "text", radius: int = RADIUS, keep_t
     rows = rows.select("__row", "__of", F.explode("__p").alias("__p")).select("__row", F.when(F.col("__p.kind") == "", F.col("__of")).alias("__of"), "__p.*").repartition("__row")
     end = F.sum(F.col("gap") + F.col("len")).over(Window.partitionBy("__row", "kind").orderBy("i"))
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).where("ok or kind = ''")
-    near = {}
-    of_class = {c: [k for k in KINDS if KINDS[k][2] == c] for c in ("access", "secret")}
-    back, ahead = (Window.partitionBy("__row").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0) for by in (("start", "kind"), (F.desc("start"), F.desc("kind"))))
-    for c, kinds in of_class.items():
-        at = F.when(F.col("kind").isin(kinds), F.col("start"))
-        rows = rows.withColumn(f"__b_{c}", F.last(at, True).over(back)).withColumn(f"__a_{c}", F.last(at, True).over(ahead))
-        near[c] = F.coalesce(F.col("start") - F.col(f"__b_{c}") <= radius, F.lit(False)) | F.coalesce(F.col(f"__a_{c}") - F.col("start") <= radius, F.lit(False))
-    linked = F.when(F.col("kind").isin(*STRONG), True).when(F.col("kind") == "weak_access", near["secret"]).when(F.col("kind") == "weak_secret", near["access"]).when(F.col("kind") == "endpoint", near["access"] & near["secret"])
+    linked = _linked(rows, radius).where(F.col("kind").isin("", *STRONG) | F.col("linked"))
     span = F.struct("start", order[F.col("kind")].alias("o"), "kind", "end")
-    out = rows.groupBy("__row").agg(F.first("__of", True).alias("__of"), F.array_sort(F.collect_list(F.when(linked, span))).alias("spans"))
+    wanted = [F.first("__of", True).alias("__of"), F.array_sort(F.collect_list(F.when(F.col("kind") != "", span))).alias("spans")]
+    if mask is not None:
+        # of each stretch of overlapping spans: where the one before it ends, and where it starts
+        before = F.max(F.when(F.col("kind") != "", F.col("end"))).over(Window.partitionBy("__row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1))
+        linked = linked.withColumn("__free", F.coalesce(before, F.lit(0)))
+        fresh = (F.col("kind") != "") & (F.col("start") >= F.col("__free"))
+        wanted += [F.array_sort(F.collect_list(F.when(fresh, F.struct("start", "__free")))).alias("__stretches"), F.max("end").alias("__last")]
+    out = linked.groupBy("__row").agg(*wanted)
     spans = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return out.select(*[F.col("__of")[c].alias(c) for c in carried], spans.alias("spans"))
+    if mask is None:
+        return out.select(*[F.col("__of")[c].alias(c) for c in carried], spans.alias("spans"))
+    body = F.col("__of")[text].cast("string")
+    out = out.withColumn("__blocks", F.when(F.size("spans") > 0, F.regexp_extract_all(body, F.lit(f"(?s).{{1,{_BLOCK}}}"), F.lit(0))))
+    return out.select(*[(F.when(F.size("spans") > 0, _masked(mask)).otherwise(body) if c == text else F.col("__of")[c]).alias(c) for c in carried], spans.alias("spans"))
+
+
+def _linked(rows: DataFrame, radius: int) -> DataFrame:
+    """(__row, kind, i, __of, start, end, linked): whether the scope of a part holds its complements."""
+    classes = {c: [k for k in KINDS if KINDS[k][2] == c] for c in ("access", "secret")}
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("opens")), F.struct(F.col("end").alias("pos"), F.lit(False).alias("opens")))
+    rows = rows.select("__row", "__of", "kind", "i", "start", "end", F.explode(F.when(F.col("kind") == "", F.slice(ends, 1, 1)).otherwise(ends)).alias("__e")).select("*", "__e.*").drop("__e")
+    back, ahead = (Window.partitionBy("__row").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0) for by in (("pos", "opens"), (F.desc("pos"), F.desc("opens"))))
+    near = {}
+    for c, kinds in classes.items():
+        at = F.when(F.col("kind").isin(kinds), F.col("start"))
+        rows = rows.withColumn(f"__b_{c}", F.max(F.when(~F.col("opens"), at)).over(back)).withColumn(f"__a_{c}", F.min(F.when(F.col("opens"), at)).over(ahead))
+        near[c] = F.coalesce(F.max(F.when(F.col("opens"), F.col("start") - F.col(f"__b_{c}") <= radius).otherwise(F.col(f"__a_{c}") - F.col("start") <= radius)), F.lit(False))
+    out = rows.groupBy("__row", "kind", "i").agg(F.first("__of", True).alias("__of"), F.first("start").alias("start"), F.first("end").alias("end"), *[x.alias(c) for c, x in near.items()])
+    linked = F.when(F.col("kind") == "weak_access", F.col("secret")).when(F.col("kind") == "weak_secret", F.col("access")).when(F.col("kind") == "endpoint", F.col("access") & F.col("secret"))
+    return out.select("__row", "kind", "i", "__of", "start", "end", F.coalesce(linked, F.lit(False)).alias("linked"))
+
+
+#: Code points in each block of a text that is cut up for masking, so that a gap costs its own length.
+_BLOCK = 4096
 
 
-def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """`text` with each stretch that spans cover replaced by `mask`; overlapping spans make one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def _masked(mask: str) -> Column:
+    """The text of __blocks, each of __stretches replaced by `mask`."""
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).cast("long").alias("at"), F.concat(acc["out"], piece).alias("out"))
+    def gap(a: Column, b: Column) -> Column:
+        first = F.floor(a / _BLOCK).cast("int")
+        n = F.floor(b / _BLOCK).cast("int") - first + 1
+        return F.substring(F.array_join(F.slice("__blocks", first + 1, n), ""), (a % _BLOCK + 1).cast("int"), (b - a).cast("int"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.lit(2147483647)))))
+    pieces = F.transform("__stretches", lambda s: F.concat(gap(s["__free"], s["start"]), F.lit(mask)))
+    rest = gap(F.col("__last"), F.size("__blocks") * _BLOCK)
+    return F.concat(F.array_join(pieces, ""), rest)
 
 
-def without_secrets(docs: DataFrame) -> DataFrame:
+def without_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """`docs` with secrets in text masked, and n_chars (if it's there) what the new text has."""
     if "spans" in docs.columns:  # it makes room, and comes back
-        return without_secrets(docs.withColumnRenamed("spans", "__spans")).select(*[F.col("__spans").alias(c) if c == "spans" else F.col(f"`{c}`") for c in docs.columns])
-    # under a name of its own first: in one select, n_chars would be made of the new text column masked again
-    found = find_secrets(docs, keep_text=True).withColumn("__text", redacted(F.col("text"), F.col("spans")))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+        return without_secrets(docs.withColumnRenamed("spans", "__spans"), mask).select(*[F.col("__spans").alias(c) if c == "spans" else F.col(f"`{c}`") for c in docs.columns])
+    found = find_secrets(docs, mask=mask)
+    return found.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
@@ -129,16 +154,14 @@ def _sql() -> str:
         f"SELECT rid, '{k}' AS kind, {o} AS o, i, gaps[i] AS gap, ms[i] AS m, ({ok.get(k, 'true').replace('(m,', '(ms[i],')}) AS ok FROM (SELECT rid, regexp_split_to_array(text, {quote(p)}) AS gaps, regexp_extract_all(text, {quote(p)}) AS ms, unnest(range(1, len(regexp_extract_all(text, {quote(p)})) + 1)) AS i FROM d WHERE regexp_matches(text, {quote(p)}))"
         for o, (k, (p, _, _)) in enumerate(KINDS.items())
     )
-    near = lambda kinds: f"(coalesce(s - last(CASE WHEN kind IN ({kinds}) THEN s END IGNORE NULLS) OVER b <= {RADIUS}, false) OR coalesce(last(CASE WHEN kind IN ({kinds}) THEN s END IGNORE NULLS) OVER a - s <= {RADIUS}, false))"
     of = lambda c: ", ".join(f"'{k}'" for k, x in KINDS.items() if x[2] == c)
+    near = lambda c: f"EXISTS (SELECT 1 FROM placed q WHERE q.rid = p.rid AND q.kind IN ({of(c)}) AND abs(q.s - p.s) <= {RADIUS} AND (q.e <= p.s OR q.s >= p.e))"
     strong = ", ".join(f"'{k}'" for k in STRONG)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({found}),
-placed AS (SELECT rid, kind, o, ok, e, e - length(m) AS s FROM (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM found)),
-near AS (SELECT rid, kind, o, s, e, {near(of('access'))} AS has_access, {near(of('secret'))} AS has_secret FROM placed WHERE ok
-  WINDOW b AS (PARTITION BY rid ORDER BY s, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY rid ORDER BY s DESC, kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-kept AS (SELECT rid, kind, o, s, kind || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM near WHERE kind IN ({strong}) OR (kind = 'weak_access' AND has_secret) OR (kind = 'weak_secret' AND has_access) OR (kind = 'endpoint' AND has_access AND has_secret)),
+placed AS (SELECT rid, kind, o, e, e - n AS s FROM (SELECT rid, kind, o, ok, length(m) AS n, sum(length(gap) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i) AS e FROM found) WHERE ok),
+kept AS (SELECT rid, kind, o, s, kind || ':' || s::BIGINT || ':' || e::BIGINT AS x FROM placed p WHERE kind IN ({strong}) OR (kind = 'weak_access' AND {near('secret')}) OR (kind = 'weak_secret' AND {near('access')}) OR (kind = 'endpoint' AND {near('access')} AND {near('secret')})),
 g AS (SELECT rid, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in STRONG)}, string_agg(x, ',' ORDER BY s, o) FILTER (kind IN ({strong})) AS base, string_agg(x, ',' ORDER BY s, o) AS spans FROM kept GROUP BY rid)
 SELECT doc_id, {', '.join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)
 """
