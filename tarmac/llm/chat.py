@@ -1,10 +1,12 @@
 """Chat formatting: layouts are recognised by a hash of their nested field paths.
 
 A record's layout is its set of nested field paths, without types or order; the fingerprint is the
-hash of that set. MAPPINGS says, for each known layout, how its fields become canonical turns (role,
-text). A mapping is data: which array holds the turns and which of its fields are role and text, or
-which plain fields are turns of which role. Records of an unknown layout are returned with no turns and
-their fingerprint, so that none is lost and a mapping can be added.
+hash of that set. LAYOUTS says, as data, which paths a layout requires and how its fields become canonical
+turns (role, text): which array holds the turns and which of its fields are role and text, or which plain
+fields are turns of which role. Of the layouts whose paths a record has, the most specific one counts, so extra
+fields do no harm; the choice is made once for each fingerprint. Text that comes as a list of parts is their
+texts in order. Records of an unknown layout are returned with no turns and their fingerprint, so that none is
+lost and a layout can be added. A table has the fingerprint of its schema, JSON text one for each record.
 
 The template writes a turn as <|role|>, a line feed, the text and <|end|>. Control strings inside
 texts (those of this template and of common others) get a backslash behind their first character, in
@@ -22,18 +24,19 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.llm.common import table
 
-#: Layouts by field paths. "turns" is the array of turns, "fields" are (role, path).
+#: Layouts by the field paths that they require. "turns" is the array of turns (empty: the record itself).
 LAYOUTS: list[tuple[list[str], dict]] = [
     (["conv_id", "role", "text", "turn"], {"row": ("role", "text")}),
     (["messages[].content", "messages[].role"], {"turns": "messages", "role": "role", "text": "content"}),
     (["conversations[].from", "conversations[].value"], {"turns": "conversations", "role": "from", "text": "value"}),
-    (["id", "conversations[].from", "conversations[].value"], {"turns": "conversations", "role": "from", "text": "value"}),
+    (["[].content", "[].role"], {"turns": "", "role": "role", "text": "content"}),
     (["instruction", "output"], {"fields": [("user", ["instruction"]), ("assistant", ["output"])]}),
     (["input", "instruction", "output"], {"fields": [("user", ["instruction", "input"]), ("assistant", ["output"])]}),
     (["prompt", "response"], {"fields": [("user", ["prompt"]), ("assistant", ["response"])]}),
@@ -48,7 +51,12 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-MAPPINGS = {fingerprint(p): m for p, m in LAYOUTS}
+def layout_of(paths: list[str]) -> int | None:
+    """Which of LAYOUTS counts for a record of such paths: the one that requires most, the first of equals."""
+    has = lambda p: any(x == p or x.startswith((f"{p}[]", f"{p}.")) for x in paths)
+    fit = [(-len(need), i) for i, (need, _) in enumerate(LAYOUTS) if all(map(has, need))]
+    return min(fit)[1] if fit else None
+
 
 CONTROL = r"/?s>|\|[A-Za-z_]+\|>|/?INST\]|<SYS>>|</SYS>>"
 _ESCAPE, _UNESCAPE = rf"([<\[])(\\*)({CONTROL})", rf"([<\[])\\(\\*)({CONTROL})"
@@ -63,26 +71,42 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def variant_fingerprint(v: Column) -> Column:
-    """Fingerprint of a variant's layout: its schema without scalar types, one path a line."""
-    return F.sha2(_variant_layout(v), 256)
+_TOKEN = re.compile(r"`((?:[^`]|``)*)`: |([^<>,`: ]+): |(OBJECT|ARRAY)<|>|, |[A-Z_]+(?:\([\d,]+\))?")
 
 
-def _variant_layout(v: Column) -> Column:
-    # schema_of_variant sorts field names; scalar types go, so numbers and strings make one layout
-    return F.regexp_replace(F.schema_of_variant(v), r": (STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|DATE|TIMESTAMP(_NTZ)?|DECIMAL\(\d+,\d+\)|BINARY|VARIANT)", "")
+def variant_paths(schema: str) -> list[str]:
+    """Nested field paths of what schema_of_variant says; an empty object or array is a path itself."""
+    out: list[str] = []
+    open_: list[list] = [["", False, True]]  # path, whether it is an array, whether nothing is in it yet
+    name = ""
+    for m in _TOKEN.finditer(schema):
+        path, in_array, _ = open_[-1]
+        at = path + "[]" if in_array else f"{path}.{name}" if path and name else path + name
+        if m[1] is not None or m[2]:
+            name = m[1].replace("``", "`") if m[1] is not None else m[2]
+        elif m[3]:
+            open_[-1][2] = False
+            open_.append([at, m[3] == "ARRAY", True])
+            name = ""
+        elif m[0] == ">":
+            if len(open_) > 1 and open_.pop()[2]:
+                out.append(path)
+        elif m[0] != ", ":
+            open_[-1][2] = False
+            out.append(at)
+    return out
 
 
-def _layout_text(paths: list[str]) -> str:
-    """What _variant_layout gives for such paths (objects and arrays of objects, two levels)."""
-    tree: dict = {}
-    for p in paths:
-        head, _, tail = p.partition("[].")
-        tree.setdefault(head, []).extend([tail] if tail else [])
-    return "OBJECT<" + ", ".join(f"{k}: ARRAY<OBJECT<{', '.join(sorted(v))}>>" if v else k for k, v in sorted(tree.items())) + ">"
+def _recognised(schema: Column) -> Column:
+    """Fingerprint and layout of a variant's schema; worked out once for each different schema of a batch."""
 
+    def run(schemas: pd.Series) -> pd.DataFrame:
+        paths = {s: variant_paths(s) for s in schemas.dropna().unique()}
+        known = {s: (fingerprint(p), layout_of(p)) for s, p in paths.items()}
+        rows = [known.get(s, (None, None)) for s in schemas]
+        return pd.DataFrame({"fingerprint": pd.Series([r[0] for r in rows], dtype="object"), "layout": pd.array([r[1] for r in rows], "Int32")})
 
-VARIANT_MAPPINGS = {hashlib.sha256(_layout_text(p).encode()).hexdigest(): m for p, m in LAYOUTS}
+    return F.pandas_udf(run, T.StructType().add("fingerprint", T.StringType()).add("layout", T.IntegerType()))(schema)
 
 
 def _role(c: Column) -> Column:
@@ -90,40 +114,56 @@ def _role(c: Column) -> Column:
     return F.coalesce(named[F.lower(c)], F.lower(c), F.lit(""))
 
 
-def _turn(role: str, text: str):
-    return lambda t: F.struct(_role(t[role]).alias("role"), F.coalesce(t[text], F.lit("")).alias("text"))
+def _text(v: Column) -> Column:
+    """A variant as text: of a list, the texts of its parts in order; a part without text is its JSON."""
+    part = lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.try_variant_get(p, "$", "string"), F.lit(""))
+    parts = F.try_variant_get(v, "$", "array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))
+
+
+def _turn(m: dict):
+    return lambda t: F.struct(_role(F.try_variant_get(t, f"$.{m['role']}", "string")).alias("role"), _text(F.try_variant_get(t, f"$.{m['text']}", "variant")).alias("text"))
+
+
+TURNS = "array<struct<role:string,text:string>>"
 
 
 def turns_of_json(df: DataFrame, col: str) -> DataFrame:
     """Adds layout (fingerprint, null for text that isn't JSON) and turns array<struct<role, text>>."""
-    v = F.try_parse_json(F.col(col))
     get = lambda path, kind: F.try_variant_get(F.col("__v"), path, kind)
+    plain = lambda p: F.nullif(_text(get(f"$.{p}", "variant")), F.lit(""))
     turns = F.lit(None)
-    for mark, m in VARIANT_MAPPINGS.items():
+    for i, (_, m) in enumerate(LAYOUTS):
         if "turns" in m:
-            many = get(f"$.{m['turns']}", f"array<struct<`{m['role']}`: string, `{m['text']}`: string>>")
-            made = F.transform(many, _turn(m["role"], m["text"]))
+            many = get(f"$.{m['turns']}" if m["turns"] else "$", "array<variant>")
+            made = F.transform(many, _turn(m))
         elif "fields" in m:
-            made = F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *[F.nullif(get(f"$.{p}", "string"), F.lit("")) for p in paths]).alias("text")) for role, paths in m["fields"]])
+            made = F.array(*[F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *map(plain, paths)).alias("text")) for role, paths in m["fields"]])
         else:
-            one = [get(f"$.{c}", "string") for c in m["row"]]
-            made = F.array(F.struct(_role(one[0]).alias("role"), F.coalesce(one[1], F.lit("")).alias("text")))
-        turns = F.when(F.col("layout") == mark, made).otherwise(turns)
-    return df.withColumn("__v", v).withColumn("layout", variant_fingerprint(F.col("__v"))).withColumn("turns", F.coalesce(turns, F.array().cast("array<struct<role:string,text:string>>"))).drop("__v")
+            role, text = m["row"]
+            made = F.array(F.struct(_role(get(f"$.{role}", "string")).alias("role"), F.coalesce(plain(text), F.lit("")).alias("text")))
+        turns = F.when(F.col("__l.layout") == i, made.cast(TURNS)).otherwise(turns)
+    out = df.withColumn("__v", F.try_parse_json(F.col(f"`{col}`").cast("string"))).withColumn("__l", _recognised(F.schema_of_variant("__v")))
+    return out.withColumn("layout", F.col("__l.fingerprint")).withColumn("turns", F.coalesce(turns, F.array().cast(TURNS))).drop("__v", "__l")
 
 
 def turn_rows(df: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table that holds a turn per row, by its schema's fingerprint.
+    """(conv_id, turn, role, text) of a table of any known layout, by its schema's fingerprint.
 
-    With columns beyond those of a known layout, the largest layout inside them counts.
+    A table of a turn per row is taken as it is. Of a table of a conversation per row, conv_id is the column of that
+    name or a number of the row, turn the place in it; roles then get their canonical names.
     """
-    paths = set(schema_paths(df.schema))
-    inside = sorted((p for p, _ in LAYOUTS if set(p) <= paths), key=len)
-    mapping = MAPPINGS.get(fingerprint(list(paths))) or (MAPPINGS[fingerprint(inside[-1])] if inside else None)
-    if mapping is None or "row" not in mapping:
-        raise ValueError(f"no mapping for a table with fields {schema_paths(df.schema)}")
-    role, text = mapping["row"]
-    return df.select("conv_id", "turn", F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    paths = schema_paths(df.schema)
+    found = layout_of(paths)
+    if found is None:
+        raise ValueError(f"no mapping for a table with fields {paths} (fingerprint {fingerprint(paths)})")
+    mapping = LAYOUTS[found][1]
+    if "row" in mapping:
+        role, text = mapping["row"]
+        return df.select("conv_id", "turn", F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    number = F.col("conv_id").cast("long") if "conv_id" in df.columns else F.monotonically_increasing_id()
+    records = turns_of_json(df.select(number.alias("conv_id"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("__json")), "__json")
+    return records.select("conv_id", F.posexplode("turns").alias("turn", "t")).select("conv_id", "turn", "t.role", "t.text")
 
 
 def escaped(text: Column) -> Column:
@@ -134,6 +174,11 @@ def unescaped(text: str) -> str:
     return re.sub(_UNESCAPE, r"\1\2\3", text)
 
 
+def escaped_role(role: Column) -> Column:
+    """Also without |>, which ends a role."""
+    return F.regexp_replace(escaped(role), r"\|(\\*)>", r"|\\$1>")
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """The formatted pieces of conversations: (conv_id, turn, piece, loss_start, loss_end).
 
@@ -142,7 +187,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     points in the piece; they are equal where nothing is learned.
     """
     body = escaped(F.col("text"))
-    head = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>\n"))
+    head = F.concat(F.lit("<|"), escaped_role(F.col("role")), F.lit("|>\n"))
     start = F.length(head)
     learn = F.col("role") == "assistant"
     pieces = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -152,54 +197,60 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def parsed(piece: str) -> tuple[str, str]:
     """Role and text of a formatted piece."""
     role, _, rest = piece[2:].partition("|>\n")
-    return unescaped(role), unescaped(rest.removesuffix("<|end|>"))
+    return unescaped(re.sub(r"\|\\(\\*)>", r"|\1>", role)), unescaped(rest.removesuffix("<|end|>"))
+
+
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """Reads formatted conversations back, piece by piece: one row of digests for each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        state: list = []
+
+        def row() -> tuple:
+            return (now[0], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
 
-        def row() -> dict:
-            return {"conv_id": now[0], "n_turns": state[0], "turns_sha256": state[1].hexdigest(), "loss_chars": state[2], "loss_sha256": state[3].hexdigest(), "formatted_chars": state[4]}
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(DIGESTS)], schema=DIGESTS)
 
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                key = (None if pd.isna(r.conv_id) else int(r.conv_id),)
-                if key != now:
+            for conv_id, piece, start, end in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "piece", "loss_start", "loss_end")), strict=True):
+                if now != (conv_id,):
                     if now is not None:
                         out.append(row())
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text = parsed(r.piece)
-                learned = unescaped(r.piece[r.loss_start : r.loss_end])
+                    now, state = (conv_id,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                role, text = parsed(piece)
+                learned = unescaped(piece[start:end])
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[2] += len(learned)
                 state[3].update(learned.encode())
-                state[4] += len(r.piece)
-            yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+                state[4] += len(piece)
+            yield made(out)
         if now is not None:
-            yield pd.DataFrame([row()]).astype({"conv_id": "Int64"})
+            yield made([row()])
 
-    return pieces.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return pieces.select(F.col("conv_id").cast("long"), "piece", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
-    return digests(format_turns(turn_rows(rows.union(tricky))))
+    return digests(format_turns(turn_rows(table(spark, sf_dir, "conversations").unionByName(tricky, allowMissingColumns=True))))
 
 
 def _sql() -> str:
     esc = lambda c: f"regexp_replace({c}, '{_ESCAPE}', '\\1\\\\\\2\\3', 'g')"
+    role = rf"regexp_replace({esc('role')}, '\|(\\*)>', '|\\\1>', 'g')"
     return f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-  string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant') AS loss,
-  sum(length({esc('role')}) + length({esc('text')}) + length('<||>') + 1 + length('<|end|>'))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant') AS loss,
+  sum(length({role}) + length({esc('text')}) + length('<||>') + 1 + length('<|end|>'))::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(coalesce(loss, ''))::BIGINT AS loss_chars, sha256(coalesce(loss, '')) AS loss_sha256, formatted_chars FROM g
 """
 
