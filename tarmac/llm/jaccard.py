@@ -2,17 +2,20 @@
 
 Texts become sets of hashed n-grams of words (A-Z in lower case, split at white space); fewer words
 than n make one n-gram. Texts with equal sets are a class and go on as one. Band and row counts come
-from the threshold and the recall wanted at it. Classes that share a band hash are linked to the
-smallest class of that bucket; connected groups of such links hold all candidate pairs. Groups are cut
-into tiles of two blocks of at most BLOCK classes; a task compares the classes of one tile that share a
-band hash, counts the links and passes on a spanning forest of them. So no pair of rows is emitted
-or dropped, a copy costs nothing, and a large group is spread over many tasks.
+from the threshold and the recall wanted at it. Classes that share a band hash are a bucket; connected
+buckets are a group. Full sets are compared either bucket by bucket, a pair counting in the first band that
+it shares, or group by group, whichever ships fewer texts: dense groups (many near copies) are
+compared as wholes, wide ones (chance collisions in boilerplate) by buckets. Both give the same links.
+Buckets and groups are cut into tiles of two blocks of at most BLOCK classes; a task compares the classes of
+one tile that share a band hash, counts the links and passes on a spanning forest of them. So no pair of rows
+is emitted or dropped, a copy costs nothing, and a large group is spread over many tasks.
 
 One row per document: class_id (smallest doc_id with that set), n_links (other documents with a
 similarity of at least the threshold, copies included), component_id (smallest doc_id reachable by
-links), kept (the one document of its component that stays: the smallest doc_id).
+links), kept (whether its doc_id is that smallest one).
 Documents without words and rows without doc_id link with nothing and are kept. Repeated rows are
-copies of each other. A class is named by a 64-bit hash of its set.
+copies of each other; rows of one doc_id with different texts are linked as texts, each of its own class.
+A class is named by a 64-bit hash of its set.
 """
 
 from __future__ import annotations
@@ -176,7 +179,10 @@ def _compare(n: int, threshold: float):
         # in a tile of two blocks, links within one of them are counted in its own tile
         close &= np.triu(np.ones_like(close), 1) if a == b else (block[:, None] == a) & (block[None, :] == b)
         i, j = np.nonzero(close)
-        meet = (sig[i] == sig[j]).any(1) if len(i) < 1 << 16 else np.concatenate([(sig[i[k : k + 65536]] == sig[j[k : k + 65536]]).any(1) for k in range(0, len(i), 65536)])
+        meet, band = np.zeros(len(i), bool), pdf.band.iloc[0]
+        for k in range(0, len(i), 1 << 16):
+            same = sig[i[k : k + 65536]] == sig[j[k : k + 65536]]
+            meet[k : k + 65536] = same.any(1) & ((band < 0) | (same.argmax(1) == band))
         i, j = i[meet], j[meet]
         node, copies = pdf.node.to_numpy(), pdf.copies.to_numpy()
         links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
@@ -187,37 +193,81 @@ def _compare(n: int, threshold: float):
     return run
 
 
-def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_links, component_id, kept) of each row of docs (doc_id, text)."""
+def _tiles(classes: DataFrame) -> DataFrame:
+    """Candidates among classes (node, bands): (key, band, a, b, node, block), with band -1 where a whole group is compared."""
+    exploded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
+    buckets = exploded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    inside = written(exploded.join(buckets, ["band", "hash"]), "buckets")
+    groups = written(components(inside.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))), "groups")
+    blocks = lambda n: F.ceil(n / BLOCK)
+    # texts that a group ships as one, and bucket by bucket; the members of a bucket are all in one group
+    each = inside.where("node = least").join(groups, F.col("node") == F.col("id")).groupBy("component_id").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
+    sizes = groups.groupBy("component_id").agg(F.count("*").alias("n")).join(each, "component_id").withColumn("whole", F.col("n") * blocks(F.col("n")) <= F.col("apart"))
+    member = groups.join(sizes.select("component_id", F.col("n").alias("size"), "whole"), "component_id")
+    whole = member.where("whole").select(F.col("component_id").alias("key"), F.lit(-1).alias("band"), F.col("id").alias("node"), blocks(F.col("size")).cast("int").alias("blocks"))
+    wide = member.where("not whole").select(F.col("id").alias("node")).join(inside, "node").select(F.col("hash").alias("key"), "band", "node", blocks(F.col("n")).cast("int").alias("blocks"))
+    placed = whole.union(wide).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
+    return placed.select("key", "band", "node", "block", other).select("key", "band", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "node", "block")
+
+
+def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of each row, and (node, class_id, n_links, component_id, keeper) of each class.
+
+    keeper: of the classes of a component, the one of the smallest doc_id, then node.
+    """
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, n, bands, rows), "signed")
     classes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    exploded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = exploded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = written(components(exploded.join(buckets, ["band", "hash"]).where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))), "groups")
-    sizes = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    member = groups.join(sizes, "component_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    member = member.join(classes, F.col("id") == F.col("node")).drop("id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tiles = member.select("component_id", "node", "class_id", "copies", "bands", "block", other).select("*", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b")).drop("o")
     texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text"))
-    found = tiles.join(texts, "class_id").groupBy("component_id", "a", "b").applyInPandas(_compare(n, threshold), "node long, other long, links long")
+    found = _tiles(classes).join(classes, "node").join(texts, "class_id").groupBy("key", "band", "a", "b").applyInPandas(_compare(n, threshold), "node long, other long, links long")
     found = written(found, "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     named = linked.join(classes.select(F.col("node").alias("id"), "class_id"), "id")
-    first = named.groupBy("component_id").agg(F.min("class_id").alias("first"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("class_id", "id")).alias("first"))
     named = named.join(first, "component_id").select(F.col("id").alias("node"), "first")
-    result = classes.drop("bands").join(counts, "node", "left").join(named, "node", "left").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "class_id").alias("component_id"))
-    out = sig.select("doc_id", "node").join(result, "node", "left")
+    result = classes.drop("bands").join(counts, "node", "left").join(named, "node", "left")
+    return sig.select("doc_id", "node"), result.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.id") == F.col("node"), F.lit(True)).alias("keeper"))
+
+
+def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(doc_id, class_id, n_links, component_id, kept) of each row of docs (doc_id, text)."""
+    sig, result = _linked(docs, n, threshold, recall)
+    out = sig.join(result, "node", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay: one of each component; all rows without doc_id."""
-    keep = link_documents(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+def _with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
+    """`docs` and a column of each row's class, null for a text without words."""
+    names = [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = [node_of(s) if len(s) else None for s in shingles(batch.column(0), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.int64())], names)
+
+    return docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema.add(name, "long"))
+
+
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of `docs` that stay: one of each component, of the smallest doc_id; all rows without words or doc_id.
+
+    Rows are told apart by doc_id; those of a repeated doc_id by their text as well, so different texts
+    of one id are each judged by themselves. Of rows of one id with equal n-grams, one of the smallest text stays.
+    """
+    sig, result = _linked(docs, n, threshold, recall)
+    keep = result.where("keeper").select("node", F.col("class_id").alias("__id"))
+    known = sig.where("doc_id is not null").join(keep, "node", "left")
+    ids = known.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("node").isNull() | F.coalesce(F.col("doc_id") == known["__id"], F.lit(False))).alias("__stays"))
+    named = docs.where("doc_id is not null").join(ids.where("__n > 1 or __stays"), F.col("doc_id").cast("long") == F.col("__id"))
+    single = named.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    many = _with_node(named.where("__n > 1").select(*[F.col(f"`{c}`") for c in docs.columns]), n, "__node")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    own = keep.select(F.col("node").alias("__kept"), "__id")
+    chosen = many.where("__node is not null").join(own, (F.col("__node") == F.col("__kept")) & (F.col("doc_id").cast("long") == F.col("__id")), "left_semi").groupBy("doc_id", "__node").agg(F.min_by(whole, F.coalesce(F.col("text"), F.lit(""))).alias("__row")).select("__row.*")
+    return single.union(chosen).union(many.where("__node is null").drop("__node")).union(docs.where("doc_id is null"))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

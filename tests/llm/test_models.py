@@ -125,6 +125,35 @@ def test_jaccard_join_matches_brute_force(spark):
     assert jaccard.link_documents(docs.limit(0)).count() == 0
 
 
+def test_repeated_ids_lose_no_text(spark):
+    rnd = random.Random(2)
+    text = lambda: " ".join(rnd.choice("abcdefgh") * 3 + str(rnd.randint(0, 99)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (3, c, "x"), (3, c, "y"), (3, c.upper(), "y"), (4, c + " more", "z"), (5, None, None), (5, " ", None), (None, c, "n"), (0, "one two", "q"), (0, c + " tail", "q"), (0, c + " more", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    left = jaccard.one_of_each(docs)
+    assert left.columns == docs.columns
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "", r.node or "") for r in left.collect())
+    kept_c = [g for g in got if g[0] == 0 and g[1] != "one two"]
+    assert len(kept_c) == 1 and kept_c[0][1] in (c + " tail", c + " more")
+    assert [g for g in got if g not in kept_c] == sorted([(-1, c, "n"), (0, "one two", "q"), (1, a, "x"), (1, b, "x"), (5, "", ""), (5, " ", "")])
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+    assert jaccard.one_of_each(docs.withColumn("doc_id", F.col("doc_id").cast("int")).where("doc_id = 1")).count() == 2
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_groups_and_buckets_give_the_same_links(spark, whole, monkeypatch):
+    """Chains of texts that share half their n-grams, cut into small tiles."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10**6 if whole else 8)
+    rnd = random.Random(7)
+    words = [rnd.choice("abcdefgh") * 2 + str(k) for k in range(600)]
+    texts = [" ".join(words[k : k + 60]) for k in range(0, 520, 4)] + [" ".join(words[k : k + 60]) + " x" for k in range(0, 520, 8)]
+    sets = [shingle_set(t) for t in texts]
+    links, comp = brute_links(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9)
+    got = {r.doc_id: r for r in jaccard.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_links for i in range(len(texts))] == links and [got[i].component_id for i in range(len(texts))] == comp
+
+
 def test_bands_reach_the_recall():
     for t, r in ((0.8, 0.9995), (0.5, 0.9), (0.9, 0.99)):
         bands, rows = jaccard.bands_for(t, r, 200)

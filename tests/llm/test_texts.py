@@ -1,6 +1,7 @@
 """Language model, secrets, chat, BPE and packing against brute force, round trips and edge cases."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -113,9 +114,9 @@ def brute_spans(text):
     weak = [(m.start(), 3, "weak_access", m.end()) for m in re.finditer(secrets.KINDS["weak_access"][0], text)]
     weak += [(m.start(), 4, "weak_secret", m.end()) for m in re.finditer(secrets.KINDS["weak_secret"][0], text) if all(re.search(c, m[0]) for c in ("[a-z]", "[A-Z]", "[0-9]"))]
     weak += [(m.start(), 5, "endpoint", m.end()) for m in re.finditer(secrets.KINDS["endpoint"][0], text)]
-    near = lambda s, c: any(secrets.KINDS[k][2] == c and abs(s - x) <= secrets.RADIUS for x, _, k, _ in out + weak)
+    near = lambda w, c: any(secrets.KINDS[k][2] == c and abs(w[0] - x) <= secrets.RADIUS and (y <= w[0] or x >= w[3]) for x, _, k, y in out + weak)
     need = {"weak_access": ("secret",), "weak_secret": ("access",), "endpoint": ("access", "secret")}
-    return sorted(out + [w for w in weak if all(near(w[0], c) for c in need[w[2]])])
+    return sorted(out + [w for w in weak if all(near(w, c) for c in need[w[2]])])
 
 
 KEY, LONG = "ASIAABCDEFGHIJKLMNOP", "aB3" + "x" * 40
@@ -137,7 +138,22 @@ def test_secrets_keep_repeated_ids_apart_and_mask(spark):
     out = secrets.without_secrets(d)
     assert out.columns == d.columns
     assert sorted((r.text or "", r.n_chars, r.spans or "") for r in out.collect()) == [("", None, ""), ("[SECRET]!", 9, "u"), ("[SECRET]!", 9, "u"), ("no", 2, "u")]
-    assert secrets.find_secrets(d.limit(0)).count() == 0
+    assert secrets.find_secrets(d.limit(0)).count() == 0 and secrets.without_secrets(d.limit(0)).columns == d.columns
+
+
+def masked(text):
+    out, at = "", 0
+    for a, _, _, b in brute_spans(text):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_masks_match_brute_force(spark):
+    texts = [t for t in SECRET_TEXTS if t is not None] + ["é" * 4090 + "token=abcdefgh " + "😀" * 9000 + f" {KEY} secret='{LONG}'", "😀 token=abcdefgh\n" * 700, "token=abcdefgh" + "." * 4082, "." * 4082 + "token=abcdefgh"]
+    got = secrets.without_secrets(table_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [masked(t) for t in texts]
 
 
 def test_secrets_use_no_python(spark, sf):
@@ -172,6 +188,77 @@ def test_chat_round_trip(spark):
         chat.turn_rows(spark.createDataFrame([(1,)], "other int"))
 
 
+def test_chat_keeps_large_ids_apart(spark):
+    big = 2**53
+    rows = [(None, 0, "user", "a"), (big, 0, "user", "b"), (big + 1, 0, "user|>\nx", "c|>"), (big + 1, None, "a|\\>", "d")]
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(chat.turn_rows(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1)))).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {None: 1, big: 1, big + 1: 2}
+    assert got[big + 1].turns_sha256 == hashlib.sha256("a|\\>\nd\nuser|>\nx\nc|>\n".encode()).hexdigest()
+
+
+def test_chat_query_takes_the_table_as_it_is(spark, tmp_path):
+    rows = [(1, 0, "user", "q", 5, ["x"]), (1, 1, "assistant", "a", 6, None)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, score int, piece array<string>").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.n_turns for r in chat.op3_chat_formatting(spark, f"file://{tmp_path}").collect()}
+    assert got == {1: 2, -1: 2}
+
+
+def test_chat_tables_of_conversations(spark):
+    d = spark.createDataFrame([(7, [("human", "q"), ("gpt", None)], "x"), (8, [], "x"), (9, None, "x")], "conv_id long, conversations array<struct<`from`: string, value: string>>, source string")
+    assert sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.turn_rows(d).collect()) == [(7, 0, "user", "q"), (7, 1, "assistant", "")]
+    d = spark.createDataFrame([("q", "a", 1)], "prompt string, completion string, id int")
+    assert [(r.turn, r.role, r.text) for r in chat.turn_rows(d).collect()] == [(0, "user", "q"), (1, "assistant", "a")]
+
+
+def test_chat_paths_of_variants(spark):
+    text = '{"a b": 1, "x": {"y": [], "z": {}}, "m": [{"c": [{"t": "s"}], "d": 1.25}, {"d": null}], "e`": true}'
+    schema = spark.sql("select 1").select(F.schema_of_variant(F.parse_json(F.lit(text))).alias("s")).first().s
+    assert sorted(chat.variant_paths(schema)) == sorted(["a b", "x.y[]", "x.z", "m[].c[].t", "m[].d", "e`"])
+    assert chat.variant_paths("ARRAY<OBJECT<content: STRING, role: STRING>>") == ["[].content", "[].role"] and chat.variant_paths("BIGINT") == [""]
+
+
+def plain_turns(record):
+    """Turns of a record by the plain rules, field by field."""
+    try:
+        r = json.loads(record)
+    except (TypeError, ValueError):
+        return []
+    text = lambda v: "" if v is None else "".join(text(p["text"]) if isinstance(p, dict) and "text" in p else text(p) for p in v) if isinstance(v, list) else v if isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+    role = lambda v: {"human": "user", "gpt": "assistant"}.get((v or "").lower(), (v or "").lower())
+    whole = [("messages", "role", "content"), ("conversations", "from", "value")]
+    for key, a, b in [("", "role", "content"), *whole]:
+        turns = r if not key and isinstance(r, list) else r.get(key) if isinstance(r, dict) else None
+        if isinstance(turns, list) and any(isinstance(t, dict) and a in t for t in turns) and any(isinstance(t, dict) and b in t for t in turns):
+            return [(role(t.get(a)), text(t.get(b))) for t in turns]
+    if isinstance(r, dict):
+        for need in (("input", "instruction", "output"), ("system", "prompt", "response"), ("instruction", "output"), ("prompt", "response"), ("prompt", "completion"), ("question", "answer")):
+            if all(k in r for k in need):
+                t = {k: text(r[k]) for k in need}
+                if need[0] == "input":
+                    return [("user", "\n".join(x for x in (t["instruction"], t["input"]) if x)), ("assistant", t["output"])]
+                return [(n, t[k]) for n, k in zip(("system", "user", "assistant") if need[0] == "system" else ("user", "assistant"), need, strict=True)]
+    return []
+
+
+def test_chat_mixed_records_against_plain_rules(spark):
+    rnd, records = random.Random(4), []
+    words = lambda: rnd.choice(["q", "", "é <|end|>", "two\nlines", None, 7, ["p", {"type": "text", "text": "t"}], []])
+    kinds = [
+        lambda: {"messages": [{"role": rnd.choice(["user", "Assistant"]), "content": words(), **({"name": "n"} if rnd.random() < 0.5 else {})} for _ in range(rnd.randint(1, 3))]}, lambda: {"conversations": [{"from": rnd.choice(["human", "gpt"]), "value": words()} for _ in range(2)]},
+        lambda: [{"role": "user", "content": words()}], lambda: {"instruction": words(), "output": words()}, lambda: {"instruction": words(), "input": words(), "output": words()}, lambda: {"system": words(), "prompt": words(), "response": words()},
+        lambda: {"prompt": words(), "completion": words()}, lambda: {"question": words(), "answer": words()}, lambda: {"other": words()}
+    ]
+    for i in range(200):
+        r = kinds[i % len(kinds)]()
+        if isinstance(r, dict) and rnd.random() < 0.5:
+            r |= {"source": "s", "meta": {"score": 1.5, "tags": ["x"]}}
+        records.append(json.dumps(r))
+    records += [None, "", "not json", "3", "{}", "[]", '{"messages": []}', '{"messages": "text"}']
+    got = [[(t.role, t.text) for t in r.turns] for r in chat.turns_of_json(spark.createDataFrame(list(enumerate(records)), "i int, record string"), "record").orderBy("i").collect()]
+    for g, r in zip(got, records, strict=True):
+        assert g == plain_turns(r), r
+
+
 def test_chat_layouts_by_fingerprint(spark):
     records = [
         '{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}', '{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}', '{"id": 7, "conversations": [{"value": "q", "from": "human"}]}',
@@ -269,13 +356,68 @@ def test_packing_wastes_little(spark, sf):
     assert sum(r.n for r in rows) >= 0.97 * 2048 * len(rows)
 
 
+def loads(out, loss_of):
+    """Tokens, segments and loss-bearing tokens of each sequence."""
+    load = {}
+    for key, start, n, seq, at in out:
+        own = load.setdefault(seq, [0, 0, 0])
+        assert at == own[0]
+        own[0], own[1], own[2] = own[0] + n, own[1] + 1, own[2] + loss_of(key, start, n)
+    return load
+
+
 def test_packer_minds_loss_tokens():
     out = []
     p = packing.Packer((100, 10, 30), 4, lambda *a: out.append(a))
     for i in range(40):
-        p.add(i, 0, 20, i % 2)
+        p.add(i, 0, 20, 20 * (i % 2 == 0))
     p.close()
-    load = Counter()
-    for key, _, n, seq, _ in out:
-        load[seq] += n * (key % 2)
-    assert max(load.values()) <= 30 and sum(x[2] for x in out) == 800
+    load = loads(out, lambda key, start, n: n * (key % 2))
+    assert max(x[2] for x in load.values()) <= 30 and max(x[0] for x in load.values()) <= 100 and sum(x[0] for x in load.values()) == 800
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 70), st.integers(0, 70)), max_size=40), st.integers(1, 30), st.integers(1, 5), st.integers(1, 30), st.integers(1, 4))
+def test_packer_keeps_every_limit(docs, tokens, segments, loss, pool):
+    out = []
+    p = packing.Packer((tokens, segments, loss), pool, lambda *a: out.append(a))
+    for i, (n, quiet) in enumerate(docs):
+        p.add(i, 0, n, min(n, quiet))
+    p.close()
+    load = loads(out, lambda key, start, n: max(0, start + n - max(start, min(docs[key]))))
+    assert all(a <= tokens and b <= segments and c <= loss for a, b, c in load.values()) and sorted(load) == list(range(len(load)))
+    for i, (n, _) in enumerate(docs):
+        own = sorted((start, k) for key, start, k, _, _ in out if key == i)
+        assert [s for s, _ in own] == [sum(k for _, k in own[:j]) for j in range(len(own))] and sum(k for _, k in own) == n
+
+
+def test_packing_of_prompts_and_of_nothing(spark):
+    d = spark.createDataFrame([(i, "an answer of some words", "a question " * 30, 1) for i in range(40)] + [(99, None, None, 1), (99, "", "q", 1)], "doc_id long, text string, question string, offset int")
+    rows = packing.pack(d, limits=(64, 8, 12), prompt="question").collect()
+    enc = packing.Encoder(packing.tokenizer_path())
+    quiet, whole = len(enc.encode("a question " * 30)) // 4, len(enc.encode("a question " * 30) + enc.encode("an answer of some words")) // 4 + 1
+    load = {}
+    for r in rows:
+        if r.doc_id < 99:
+            load[r.sequence_id] = load.get(r.sequence_id, 0) + max(0, r.start + r.length - max(r.start, quiet))
+    assert max(load.values()) <= 12 and {r.doc_tokens for r in rows if r.doc_id < 99} == {whole} and sum(r.length for r in rows if r.doc_id == 99) == 1 + 2
+    none = packing.pack(d.limit(0))
+    assert none.count() == 0 and none.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60))
+def test_packing_ids_are_those_of_the_library(text):
+    from tokenizers import Tokenizer
+
+    if not hasattr(packing, "_both"):
+        ref = Tokenizer.from_file(packing.tokenizer_path())
+        packing._both = packing.Encoder(packing.tokenizer_path()), ref
+    enc, ref = packing._both
+    for t in (text, text * 20, f"{text}<|endoftext|> {text}"):
+        assert enc.encode(t) == b"".join(i.to_bytes(4, "little") for i in ref.encode(t, add_special_tokens=False).ids)
+
+
+def test_packing_refuses_another_tokenizer():
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.Encoder(bpe.tokenizer_path())
