@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions.order import quantiles
+
 CLEAR = ("Clear", "Fair", "Fair / Windy")
 #: Weather conditions by group; the rules are tried in this order.
 WEATHER_RULES = [
@@ -94,6 +96,7 @@ def period_month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+#: Fixed values here and in season: hours of the day and months by name.
 def time_period(hour: Column, scheme: str = "quarters") -> Column:
     """quarters: 6, 12, 18, 24; uneven: up to 5, 11, 17, 21, later."""
     if scheme == "quarters":
@@ -134,7 +137,7 @@ def fixed_bin(c: Column, name: str) -> Column:
 
 def quantile_bin(df: DataFrame, col: str, probs: list[float], labels: list[str], out: str) -> DataFrame:
     """Bins between quantiles of the whole column: right-closed, the lowest value included."""
-    cut = df.agg(*[F.percentile(col, p).alias(f"__q{i}") for i, p in enumerate(probs)])
+    cut = quantiles(df, [], col, {f"__q{i}": p for i, p in enumerate(probs)})
     c = F.col(col)
     cases = [(c <= F.col(f"__q{i + 1}"), label) for i, label in enumerate(labels)]
     return df.crossJoin(F.broadcast(cut)).withColumn(out, F.when(c.isNotNull(), _chain(cases, None))).drop(*cut.columns)
@@ -162,6 +165,7 @@ def clip(c: Column, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(hi)), F.lit(lo)))
 
 
+#: Limits and names of the levels.
 def vtest_level(c: Column) -> Column:
     """Traffic-light level of a v-test."""
     return _chain([(c <= -4, "Muy bajo"), (c < -1.96, "Bajo"), (c <= 1.96, "Neutro"), (c < 4, "Alto")], "Muy alto")

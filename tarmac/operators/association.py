@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.functions.stats import chi2_p
-from tarmac.operators.summary import avg_rank, contingency, cumulative, frequencies
+from tarmac.functions.order import avg_rank, cumulative, ranged
+from tarmac.operators.summary import contingency, frequencies
+
+
+#: Most rows or columns of a table that is simulated.
+MOST_LEVELS = 2000
 
 
 def correlation(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
@@ -37,16 +42,18 @@ def xi(df: DataFrame, x: str, y: str, key: str = "row_id") -> DataFrame:
     """(x, y, n, xi): Chatterjee's coefficient; ties in x are ordered by key.
 
     1 - n * sum |r(i+1) - r(i)| / (2 * sum l(i) * (n - l(i))), r and l the numbers of values not above, not below.
-    Rows are numbered in range partitions; a neighbour across a border is found through its number.
+    Rows are sorted in range partitions; the row after a partition's last one is the first of the next partition.
     """
     d = df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     counts = d.groupBy("y").agg(F.count("*").alias("m"))
     total = d.agg(F.count("*").alias("n"))
     ranks = cumulative(counts, ["y"], "m", "r").crossJoin(F.broadcast(total)).select(F.col("y").alias("__y"), "r", (F.col("n") - F.col("r") + F.col("m")).alias("l"), "n")
-    rows = d.join(ranks, F.col("y") == F.col("__y")).withColumn("one", F.lit(1))
-    numbered = cumulative(rows, ["x", key], "one", "i").select("i", "r", "l", "n")
-    pairs = numbered.join(numbered.select((F.col("i") - 1).alias("i"), F.col("r").alias("after")), "i", "left")
-    s = pairs.agg(F.sum(F.abs(F.col("after") - F.col("r"))).alias("d"), F.sum(F.col("l") * (F.col("n") - F.col("l"))).alias("b"), F.max("n").alias("n"))
+    rows = ranged(d.join(ranks, F.col("y") == F.col("__y")).select("x", key, "r", "l", "n"), ["x", key])
+    first = rows.groupBy("__p").agg(F.min_by("r", F.struct("x", key)).alias("r"))
+    next_ = first.select("__p", F.lead("r").over(Window.orderBy("__p")).alias("__next"))  # a row for each partition
+    after = F.coalesce(F.lead("r").over(Window.partitionBy("__p").orderBy("x", key)), F.col("__next"))
+    pairs = rows.join(F.broadcast(next_), "__p").withColumn("after", after)
+    s = pairs.agg(F.sum(F.abs(F.col("after") - F.col("r"))).alias("d"), F.sum((F.col("l") * (F.col("n") - F.col("l"))).cast("double")).alias("b"), F.max("n").alias("n"))
     return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", (1 - F.try_divide(F.col("n") * F.col("d"), 2 * F.col("b"))).alias("xi"))
 
 
@@ -92,7 +99,9 @@ def chi_square(df: DataFrame, r: str, c: str, simulate: int = 0, seed: int = 1)
     got = stat.first()
     if got.min_expected is None or got.min_expected >= 5:
         return out
-    margins = [[x[0] for x in cells.groupBy(k).agg(F.sum("n").alias("n")).orderBy(k).select("n").collect()] for k in ("row_cat", "col_cat")]
+    margins = [[x[0] for x in cells.groupBy(k).agg(F.sum("n").alias("n")).orderBy(k).select("n").limit(MOST_LEVELS + 1).collect()] for k in ("row_cat", "col_cat")]
+    if max(map(len, margins)) > MOST_LEVELS:
+        raise ValueError(f"more than {MOST_LEVELS} levels to simulate")
     return stat.withColumn("p_value", F.lit(simulated_p(df.sparkSession, *margins, float(got.statistic), simulate, seed)))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.operators.neighbours import gower, nearest_rep, ranges_of
 from tarmac.operators.sampling import order_of, sample_frac_per_group, sample_proportional
+from tarmac.sources.stages import staged
 
 MOST_SAMPLE = 5000
 
@@ -90,7 +91,7 @@ def assign(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, label:
 
 def lloyd(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, max_iter: int = 60, tol: float = 1e-6) -> tuple[DataFrame, np.ndarray]:
     """k-means from given centres: each round is one scan and a group-by of k groups."""
-    df = df.select(key, *cols).persist()
+    df = staged(df.select(key, *cols), "kmeans")  # rounds and the lazy result read it
     for _ in range(max_iter):
         got = assign(df, centres, cols, key).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in cols]).collect()
         new = centres.copy()
@@ -100,13 +101,12 @@ def lloyd(df: DataFrame, centres: np.ndarray, cols: list[str], key: str, max_ite
         centres = new
         if moved < tol:
             break
-    df.unpersist()
     return assign(df, centres, cols, key), centres
 
 
 def hier_kmeans(df: DataFrame, cols: list[str], strata: str, key: str = "row_id", sample: int = 1000, k: int | None = 5, height: float | None = None, max_iter: int = 60) -> tuple[DataFrame, np.ndarray]:
     """Ward on a stratified sample, cut at k clusters or a height; its centres seed k-means on all rows."""
-    small = sample_proportional(df.select(key, strata, *cols), strata, sample, key).limit(MOST_SAMPLE).toPandas().sort_values(key)
+    small = sample_proportional(df.select(key, strata, *cols), strata, sample, key).limit(MOST_SAMPLE + 1).toPandas().sort_values(key)
     return lloyd(df, ward_centres(small[cols].to_numpy(float), k, height), cols, key, max_iter)
 
 
@@ -121,14 +121,15 @@ def reassign_small(df: DataFrame, cols: list[str], min_size: int, key: str = "ro
     return out.join(F.broadcast(sizes), label).withColumn(label, F.col("__new")).drop("__new")
 
 
-def kmeans_grid(df: DataFrame, cols: list[str], ks: list[int], key: str = "row_id", max_iter: int = 100, seed: int = 42) -> DataFrame:
-    """(key, cols, k3, k4, ...): labels of k-means for each k."""
+def kmeans_grid(df: DataFrame, cols: list[str], ks: list[int], key: str = "row_id", max_iter: int = 100, seed: int = 42, starts: int = 1) -> DataFrame:
+    """(key, cols, k3, k4, ...): labels of k-means for each k, of the start with the smallest cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    out = VectorAssembler(inputCols=cols, outputCol="__x").transform(df.select(key, *cols))
+    out = rows = VectorAssembler(inputCols=cols, outputCol="__x").transform(staged(df.select(key, *cols), "kmeans-grid"))
     for k in ks:
-        out = KMeans(k=k, featuresCol="__x", predictionCol=f"k{k}", initMode="k-means||", maxIter=max_iter, seed=seed).fit(out).transform(out)
+        models = [KMeans(k=k, featuresCol="__x", predictionCol=f"k{k}", initMode="k-means||", maxIter=max_iter, seed=seed + s).fit(rows) for s in range(starts)]
+        out = min(models, key=lambda m: m.summary.trainingCost).transform(out)
     return out.drop("__x")
 
 
@@ -149,7 +150,9 @@ def silhouette_sample(d: np.ndarray, labels: np.ndarray) -> np.ndarray:
 def silhouette(df: DataFrame, cols: list[str], label: str, key: str = "row_id", sample: int | None = None) -> float:
     """Mean silhouette by squared Euclidean distance on all rows, or by distance on a bounded sample."""
     if sample:
-        s = df.select(key, label, *cols).orderBy(order_of(key, 1), key).limit(min(sample, MOST_SAMPLE)).toPandas()
+        if sample > MOST_SAMPLE:
+            raise ValueError(f"more than {MOST_SAMPLE} rows in a sample")
+        s = df.select(key, label, *cols).orderBy(order_of(key, 1), key).limit(sample).toPandas()
         return float(silhouette_sample(euclidean(s[cols].to_numpy(float)), s[label].to_numpy()).mean())
     from pyspark.ml.evaluation import ClusteringEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -158,10 +161,19 @@ def silhouette(df: DataFrame, cols: list[str], label: str, key: str = "row_id",
     return ClusteringEvaluator(featuresCol="__x", predictionCol="__l").evaluate(v)
 
 
+def gower_silhouette(df: DataFrame, num: list[str], cat: list[str], label: str, key: str = "row_id", sample: int = 1000) -> float:
+    """Mean silhouette by Gower distance on a bounded hash sample; ranges are those of all rows."""
+    if sample > MOST_SAMPLE:
+        raise ValueError(f"more than {MOST_SAMPLE} rows in a sample")
+    s = df.select(key, label, *num, *cat).orderBy(order_of(key, 1), key).limit(sample).toPandas()
+    xn, xc = s[num].to_numpy(float), s[cat].to_numpy(object)
+    return float(silhouette_sample(gower(xn, xn, xc, xc, ranges_of(df, num)), s[label].to_numpy()).mean())
+
+
 def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "row_id", dunn_sample: int = 1000) -> DataFrame:
     """(k, silhouette, ch, dunn, within, between, ratio) of the labellings k3, k4, ... of df."""
     rows = []
-    df = df.persist()
+    df = staged(df, "criteria")
     for k in ks:
         lab = f"k{k}"
         g = df.groupBy(lab).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.coalesce(F.var_pop(c) * F.count("*"), F.lit(0.0)).alias(f"s_{c}") for c in cols]).collect()
@@ -176,7 +188,6 @@ def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "
         widest = d[same].max() if same.any() else 0.0
         dunn = float(d[~same].min() / widest) if (~same).any() and widest > 0 else 0.0
         rows.append((k, float(silhouette_sample(d, labels).mean()), between / max(len(g) - 1, 1) / (within / max(n - len(g), 1)) if within else 0.0, dunn, within, between, between / (within + between) if within + between else 0.0))
-    df.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, ch double, dunn double, within double, between double, ratio double")
 
 
@@ -188,19 +199,20 @@ def select_clustering(metrics: DataFrame, min_share: float = 0.08, near: float =
     return m.crossJoin(F.broadcast(best)).where(F.col("score") >= F.col("best") - near).orderBy("imbalance", F.desc("score"), "k").limit(1).drop("best")
 
 
-def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str = "row_id", n_init: int = 5, max_iter: int = 20, seed: int = 42, lam: float | None = None) -> tuple[DataFrame, dict]:
+def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str = "row_id", n_init: int = 5, max_iter: int = 20, seed: int = 42, lam: float | None = None, sample: int = 2000) -> tuple[DataFrame, dict]:
     """(key, cluster) and prototypes of k-prototypes; lambda is mean variance over mean Gini impurity.
 
-    Starts compete on a bounded sample; the best one goes on over all rows. A round is one scan: nearest
+    Starts compete on a hash sample of `sample` rows; the best one goes on over all rows. A round is one scan: nearest
     prototypes in Arrow batches, then sums of numbers and counts of levels per cluster.
     """
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat]).dropna().persist()
+    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in num], *[F.col(c).cast("string").alias(c) for c in cat]).dropna()
+    d = staged(d, "prototypes")
     if lam is None:
         var = np.mean([x or 0.0 for x in d.agg(*[F.var_samp(c) for c in num]).first()])
         total = d.count()
-        gini = np.mean([1 - sum((r["count"] / total) ** 2 for r in d.groupBy(c).count().collect()) for c in cat])
+        gini = np.mean([1 - (d.groupBy(c).count().agg(F.sum((F.col("count") / total) ** 2)).first()[0] or 0.0) for c in cat])
         lam = float(var / max(gini, 1e-9))
-    small = d.orderBy(order_of(key, seed), key).limit(2000).toPandas()
+    small = d.orderBy(order_of(key, seed), key).limit(sample).toPandas()
     sn, sc = small[num].to_numpy(float), small[cat].to_numpy(object)
 
     def distance(xn: np.ndarray, xc: np.ndarray, pn: np.ndarray, pc: np.ndarray) -> np.ndarray:
@@ -251,10 +263,20 @@ def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str
         if np.abs(new_n - pn).max() < 1e-9 and (new_c == pc).all():
             break
         pn, pc = new_n, new_c
-    d.unpersist()
     return labelled(pn, pc).select(key, "cluster"), {"num": pn, "cat": pc, "lambda": lam}
 
 
+def kprototypes_grid(df: DataFrame, num: list[str], cat: list[str], ks: list[int], key: str = "row_id", silhouette_rows: int = 1000, **how) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(method, k, silhouette, min_prop, imbalance) of k-prototypes for each k, by Gower distance, and the labels."""
+    rows, labels = [], {}
+    for k in ks:
+        labels[k] = staged(kprototypes(df, num, cat, k, key, **how)[0], "prototypes-labels")
+        n = [r["count"] for r in labels[k].groupBy("cluster").count().collect()]
+        s = gower_silhouette(df.select(key, *num, *cat).join(labels[k], key), num, cat, "cluster", key, silhouette_rows)
+        rows.append(("kprototypes", k, s, min(n) / sum(n), max(n) / min(n)))
+    return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, min_prop double, imbalance double"), labels
+
+
 def cure_mixed(df: DataFrame, num: list[str], cat: list[str], strata: str, k: int, key: str = "row_id", frac: float = 0.35, min_n: int = 10, n_rep: int = 5, most: int = 2000) -> DataFrame:
     """(key, cluster, distance): average linkage by Gower distance on a stratified sample, n_rep spread
     representatives per cluster (the medoid, then the farthest in turn), all rows to the nearest one.

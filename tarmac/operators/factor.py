@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tarmac.operators.inference import anova
 from tarmac.operators.summary import contingency
 
-MOST_COLUMNS = 500
+MOST_COLUMNS, MOST_CELLS = 500, 1_000_000
 
 
 def eigen_table(spark, values: np.ndarray) -> DataFrame:
@@ -69,14 +70,11 @@ class Axes:
     values: np.ndarray
 
     def project(self, df: DataFrame, ncp: int, keep: list[str]) -> DataFrame:
-        """keep and dim_1..dim_ncp of every row, as column expressions over one array of differences."""
-        x = F.array(*[(F.col(c).cast("double") if level is None else F.coalesce(F.col(c).cast("string") == level, F.lit(False)).cast("double")) for c, level in self.columns])
-        base = (self.centre / self.scale) @ self.loadings
-        dims = []
-        for k in range(min(ncp, self.loadings.shape[1])):
-            w = F.array(*[F.lit(float(v)) for v in self.loadings[:, k] / self.scale])
-            dims.append((F.aggregate(F.zip_with("__x", w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) - float(base[k])).alias(f"dim_{k + 1}"))
-        return df.withColumn("__x", x).select(*keep, *dims)
+        """keep and dim_1..dim_ncp of every row, as sums of weighted columns, which are compiled."""
+        x = [(F.col(c).cast("double") if level is None else F.coalesce(F.col(c).cast("string") == level, F.lit(False)).cast("double")).alias(f"__x{i}") for i, (c, level) in enumerate(self.columns)]
+        weights, base = self.loadings / self.scale[:, None], (self.centre / self.scale) @ self.loadings
+        dims = [(reduce(lambda a, b: a + b, [F.col(f"__x{i}") * float(w) for i, w in enumerate(weights[:, k])]) - float(base[k])).alias(f"dim_{k + 1}") for k in range(min(ncp, self.loadings.shape[1]))]
+        return df.select(*keep, *x).select(*keep, *dims)
 
     def variables(self, spark) -> DataFrame:
         """(variable, level, axis, coord, contribution in percent)."""
@@ -170,7 +168,9 @@ def top_individuals(coords: DataFrame, rows: DataFrame, key: str, dims: list[str
 def ca(df: DataFrame, r: str, c: str) -> tuple[DataFrame, DataFrame]:
     """Correspondence analysis of a contingency table: eigenvalues, and (side, category, axis, coord, contribution, cos2)."""
     spark = df.sparkSession
-    cells = contingency(df, r, c).select("row_cat", "col_cat", "n").toPandas()
+    cells = contingency(df, r, c).select("row_cat", "col_cat", "n").limit(MOST_CELLS + 1).toPandas()
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"a table of more than {MOST_CELLS} cells")
     t = cells.pivot(index="row_cat", columns="col_cat", values="n").sort_index().sort_index(axis=1)
     return _ca(spark, t.to_numpy(float), list(t.index), list(t.columns))
 

@@ -9,19 +9,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.operators.neighbours import gower, ranges_of
+from tarmac.functions.order import quantiles
+from tarmac.operators.neighbours import gower, knn_join, ranges_of
 from tarmac.operators.sampling import order_of
 from tarmac.operators.summary import mode_value
-
-MOST_DONORS = 5000
+from tarmac.sources.stages import remove, scratch, stage_path
 
 
 def impute_simple(df: DataFrame, spec: dict[str, str]) -> DataFrame:
     """spec: column to mean, median, mode, or =text for a level of that name."""
-    numeric = {c: how for c, how in spec.items() if how in ("mean", "median")}
-    fills: dict = {}
-    if numeric:
-        fills |= df.agg(*[(F.avg(c) if how == "mean" else F.percentile(c, 0.5)).alias(c) for c, how in numeric.items()]).first().asDict()
+    means, medians = ([c for c, how in spec.items() if how == kind] for kind in ("mean", "median"))
+    fills: dict = df.agg(*[F.avg(c).alias(c) for c in means]).first().asDict() if means else {}
+    if medians:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in medians]).unpivot([], medians, "variable", "value")
+        fills |= {r.variable: r.m for r in quantiles(long, ["variable"], "value", {"m": 0.5}).collect()}
     for c, how in spec.items():
         if how == "mode":
             got = mode_value(df, c).first()
@@ -88,19 +89,24 @@ def _linear(x: list[str], beta: np.ndarray):
 
 
 def _chain(df: DataFrame, cols: list[str], sweeps: int, key: str, fill) -> DataFrame:
-    """Sweeps over columns with nulls; fill(df, others, col) gives new values in __new. Others hold current values."""
-    from tarmac.plans.stage import stage_path
+    """Sweeps over columns with nulls; fill(df, others, col, sweep) gives new values in __new. Others hold current values.
 
-    marked = df.withColumns({f"__miss_{c}": F.col(c).isNull() for c in cols})
-    now = impute_simple(marked.withColumns({c: F.col(c).cast("double") for c in cols}), {c: "mean" for c in cols})
+    Each column is written before the next one uses it, and what it was made from goes.
+    """
     spark = df.sparkSession
+    marked = df.withColumns({f"__miss_{c}": F.col(c).isNull() for c in cols})
+    now, before = impute_simple(marked.withColumns({c: F.col(c).cast("double") for c in cols}), {c: "mean" for c in cols}), None
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first().asDict()
     for s in range(sweeps):
         for c in [c for c in cols if gaps[c]]:
-            now = fill(now, [o for o in cols if o != c], c, s).withColumn(c, F.when(F.col(f"__miss_{c}"), F.col("__new")).otherwise(F.col(c))).drop("__new")
-        path = stage_path(spark, "impute")  # a written table ends the lineage of a sweep
-        now.write.parquet(path)
-        now = spark.read.parquet(path)
+            path = stage_path(spark, "impute")
+            with scratch(spark):
+                new = fill(now, [o for o in cols if o != c], c, s)
+                new.withColumn(c, F.when(F.col(f"__miss_{c}"), F.col("__new")).otherwise(F.col(c))).select(*now.columns).write.parquet(path)
+            now = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return now.drop(*[f"__miss_{c}" for c in cols])
 
 
@@ -108,36 +114,33 @@ def impute_pmm(df: DataFrame, cols: list[str], m: int = 1, sweeps: int = 5, key:
     """Chained predictive mean matching of numeric columns.
 
     A column's prediction is linear in the others, from sums of products over all rows; a missing value
-    becomes the observed value of one of the k donors of nearest prediction, drawn by hash. Donors are a
-    bounded hash sample of MOST_DONORS observed rows. With average, m draws of the last sweep are averaged.
+    becomes the observed value of one of the k donors of nearest prediction, drawn by hash, of all observed rows
+    (ties to the smaller key). With average, m draws are averaged in each sweep; else impute_multiple gives m tables.
     """
 
     def fill(now: DataFrame, others: list[str], c: str, s: int) -> DataFrame:
         seen = now.where(~F.col(f"__miss_{c}"))
-        gram = _gram(seen, others, c)
-        pred = _linear(others, _solve(gram))
-        donors = seen.select(key, pred.alias("p"), F.col(c).alias("v")).orderBy(order_of(key, seed + s), key).limit(MOST_DONORS).toPandas().sort_values(["p", "v"])
-        held = now.sparkSession.sparkContext.broadcast((donors.p.to_numpy(), donors.v.to_numpy()))
-        draws = m if average else 1
-
-        @F.pandas_udf("double")
-        def match(p: pd.Series, h: pd.Series) -> pd.Series:
-            dp, dv = held.value
-            n = min(k, len(dp))
-            at = np.searchsorted(dp, p.to_numpy())
-            window = np.clip(at[:, None] + np.arange(-n, n)[None, :], 0, len(dp) - 1)
-            near = np.argsort(np.abs(dp[window] - p.to_numpy()[:, None]), 1, kind="stable")[:, :n]
-            out = np.zeros(len(p))
-            for i in range(draws):
-                pick = ((h.to_numpy() >> (i * 5)) & 0xFFFFF) % n
-                out += dv[np.take_along_axis(window, near, 1)[np.arange(len(p)), pick]]
-            return pd.Series(out / draws)
-
-        return now.withColumn("__new", match(pred, F.xxhash64(key, F.lit(seed), F.lit(s), F.lit(c))))
+        pred = _linear(others, _solve(_gram(seen, others, c)))
+        donors = seen.select(key, pred.alias("__pred"), F.col(c).alias("__value"))
+        near = knn_join(now.where(F.col(f"__miss_{c}")).select(key, pred.alias("__pred")), donors, ["__pred"], k, key)
+        lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("__l"))
+        draw = lambda i: F.element_at("__l", (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(s), F.lit(c), i), F.size("__l")) + 1).cast("int"))["neighbour"]
+        drawn = lists.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit((m if average else 1) - 1)), draw)).alias("__donor"))
+        values = drawn.join(donors.select(F.col(key).alias("__donor"), "__value"), "__donor").groupBy(key).agg(F.avg("__value").alias("__new"))
+        return now.join(values, key, "left")
 
     return _chain(df, cols, sweeps, key, fill)
 
 
+def impute_multiple(df: DataFrame, cols: list[str], m: int, sweeps: int = 5, key: str = "row_id", seed: int = 500, k: int = 5) -> DataFrame:
+    """m chained imputations by predictive mean matching, one below the other: column imputation from 1 to m."""
+    parts = [impute_pmm(df, cols, 1, sweeps, key, seed + i, k).withColumn("imputation", F.lit(i + 1)) for i in range(m)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def impute_chained(df: DataFrame, cols: list[str], method: str = "regression", sweeps: int = 2, key: str = "row_id") -> DataFrame:
     """Chained imputation of numeric columns by linear regression, or by random forests of 10 trees."""
 
@@ -170,22 +173,23 @@ def impute_by_cluster(df: DataFrame, complete: list[str], targets: list[str], k:
             out = impute_group_mean(out, c, ["__group"])
         else:
             modes = mode_by(out, "__group", c, "__mode")
-            out = out.join(F.broadcast(modes), "__group", "left").withColumn(c, F.coalesce(F.col(c), F.col("__mode"))).drop("__mode")
+            out = out.join(F.broadcast(modes), "__group", "left")  # k rows
+            out = out.withColumn(c, F.coalesce(F.col(c), F.col("__mode"))).drop("__mode")
     return out.drop("__group")
 
 
-def impute_knn(df: DataFrame, target: str, num: list[str], cat: list[str], k: int = 5, key: str = "row_id", seed: int = 500) -> DataFrame:
+def impute_knn(df: DataFrame, target: str, num: list[str], cat: list[str], k: int = 5, key: str = "row_id", seed: int = 500, donors: int = 20_000) -> DataFrame:
     """The median (numbers) or most frequent value (labels) of the k donors nearest by mixed distance.
 
-    Donors are a bounded hash sample of MOST_DONORS rows that have the value.
+    Donors are `donors` rows that have the value, the first by hash: mixed distances have no order to search by.
     """
     from tarmac.operators.summary import is_numeric
 
     number = is_numeric(df.schema[target].dataType)
-    donors = df.where(F.col(target).isNotNull()).orderBy(order_of(key, seed), key).limit(MOST_DONORS).select(key, target, *num, *cat).toPandas()
-    if not len(donors):
+    few = df.where(F.col(target).isNotNull()).orderBy(order_of(key, seed), key).limit(donors).select(key, target, *num, *cat).toPandas()
+    if not len(few):
         return df
-    held = df.sparkSession.sparkContext.broadcast((donors[num].to_numpy(float), donors[cat].to_numpy(object), donors[target].to_numpy(), ranges_of(df, num)))
+    held = df.sparkSession.sparkContext.broadcast((few[num].to_numpy(float), few[cat].to_numpy(object), few[target].to_numpy(), ranges_of(df, num)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dn, dc, dv, ranges = held.value

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.functions.order import avg_rank, cumulative
 from tarmac.functions.stats import chi2_p, f_p, normal_p, t_p
-from tarmac.operators.summary import avg_rank
 
 P = "p_value_descriptive"
 
@@ -28,8 +28,7 @@ def kruskal(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     """(variable, h, dof, p): rank test with tie correction, from counts of different values."""
     counts = _long(df, cols, by).groupBy("variable", by, "value").agg(F.count("*").alias("n"))
     ties = counts.groupBy("variable", "value").agg(F.sum("n").alias("t"))
-    w = Window.partitionBy("variable").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    rank = ties.withColumn("c", F.sum("t").over(w)).withColumn("rank", F.col("c") - F.col("t") + (F.col("t") + 1) / 2)
+    rank = cumulative(ties, ["value"], "t", "c", ["variable"]).withColumn("rank", F.col("c") - F.col("t") + (F.col("t") + 1) / 2)
     sums = counts.join(rank, ["variable", "value"]).groupBy("variable", by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     corr = rank.groupBy("variable").agg(F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     h = sums.groupBy("variable").agg(F.sum("n").cast("double").alias("n"), F.count("*").alias("k"), F.sum(F.col("r") ** 2 / F.col("n")).alias("s")).join(corr, "variable")
@@ -89,9 +88,9 @@ def pairwise_wilcoxon(df: DataFrame, col: str, by: str) -> DataFrame:
     counts = df.where(F.col(col).isNotNull() & F.col(by).isNotNull()).groupBy(F.col(by).alias("g"), F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
     groups = counts.select("g").distinct()
     pairs = groups.select(F.col("g").alias("a")).join(groups.select(F.col("g").alias("b")), F.col("a") < F.col("b"))
-    rows = pairs.join(counts, (F.col("g") == F.col("a")) | (F.col("g") == F.col("b"))).groupBy("a", "b", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("t"))
-    w = Window.partitionBy("a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = rows.withColumn("rank", F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2)
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("g"))
+    rows = counts.join(sides, "g").groupBy("a", "b", "v").agg(F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("na"), F.sum("n").alias("t"))
+    ranked = cumulative(rows, ["v"], "t", "c", ["a", "b"]).withColumn("rank", F.col("c") - F.col("t") + (F.col("t") + 1) / 2)
     s = ranked.groupBy("a", "b").agg(F.sum(F.col("na") * F.col("rank")).alias("ra"), F.sum("na").cast("double").alias("n1"), F.sum("t").cast("double").alias("n"), F.sum(F.col("t").cast("double") ** 3 - F.col("t")).alias("ties"))
     n1, n, n2 = F.col("n1"), F.col("n"), F.col("n") - F.col("n1")
     u = F.col("ra") - n1 * (n1 + 1) / 2

@@ -27,7 +27,7 @@ def keep_variables(vt: DataFrame, chosen: DataFrame, on: list[str]) -> DataFrame
 
 def complete_grid(a: DataFrame, b: DataFrame) -> DataFrame:
     """All combinations of two short lists (clusters and variables)."""
-    return a.crossJoin(F.broadcast(b))
+    return a.crossJoin(b)
 
 
 def attach_clusters(df: DataFrame, labels: DataFrame, key: str = "row_id") -> DataFrame:
@@ -36,7 +36,7 @@ def attach_clusters(df: DataFrame, labels: DataFrame, key: str = "row_id") -> Da
 
 def attach_zone_names(zones: DataFrame, rows: DataFrame, cell: str, cols: list[str]) -> DataFrame:
     """The most common value of each of `cols` in each zone's cell."""
-    few = rows.join(F.broadcast(zones.select(cell)), cell, "left_semi")
+    few = rows.join(zones.select(cell), cell, "left_semi")
     return reduce(lambda z, c: z.join(mode_by(few, cell, c), cell, "left"), cols, zones)
 
 
@@ -50,5 +50,5 @@ def centroid_distances(a: DataFrame, b: DataFrame, ka: str, kb: str, cols: list[
     """Distances between two short lists of centres, ranked for each of the first; equal names are skipped."""
     other = b.select(kb, *[F.col(c).alias(f"__{c}") for c in cols])
     d = F.sqrt(reduce(lambda x, y: x + y, [(F.col(c) - F.col(f"__{c}")) ** 2 for c in cols]))
-    out = a.crossJoin(F.broadcast(other)).where(F.col(ka) != F.col(kb)).withColumn("distance", d).drop(*[f"__{c}" for c in cols])
+    out = a.crossJoin(other).where(F.col(ka) != F.col(kb)).withColumn("distance", d).drop(*[f"__{c}" for c in cols])
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(ka).orderBy("distance", kb)))

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.stats import chi2_quantile
+from tarmac.functions.order import quantiles
+from tarmac.functions.stats import chi2_quantile, chi2_sf
 from tarmac.operators.neighbours import knn_join, standardised
 from tarmac.operators.sampling import order_of
+from tarmac.sources.stages import staged
 
 
 def _long(df: DataFrame, cols: list[str], key: str) -> DataFrame:
@@ -24,7 +26,7 @@ def _beyond(df: DataFrame, cols: list[str], key: str, stats: DataFrame, lo: Colu
 
 
 def outlier_iqr(df: DataFrame, cols: list[str], key: str = "row_id", k: float = 1.5) -> DataFrame:
-    s = _long(df, cols, key).groupBy("variable").agg(F.percentile("value", 0.25).alias("a"), F.percentile("value", 0.75).alias("b"))
+    s = quantiles(_long(df, cols, key), ["variable"], "value", {"a": 0.25, "b": 0.75})
     gap = (F.col("b") - F.col("a")) * k
     return _beyond(df, cols, key, s, F.col("a") - gap, F.col("b") + gap, "iqr")
 
@@ -37,8 +39,8 @@ def outlier_zscore(df: DataFrame, cols: list[str], key: str = "row_id", k: float
 def outlier_hampel(df: DataFrame, cols: list[str], key: str = "row_id", k: float = 3.0) -> DataFrame:
     """Beyond median ± k * 1.4826 * MAD."""
     long = _long(df, cols, key)
-    m = long.groupBy("variable").agg(F.percentile("value", 0.5).alias("m"))
-    s = long.join(F.broadcast(m), "variable").groupBy("variable").agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("value") - F.col("m")), 0.5).alias("d"))
+    m = quantiles(long, ["variable"], "value", {"m": 0.5})
+    s = quantiles(long.join(F.broadcast(m), "variable"), ["variable"], F.abs(F.col("value") - F.col("m")), {"d": 0.5}).join(m, "variable")  # a row for each variable
     return _beyond(df, cols, key, s, F.col("m") - k * 1.4826 * F.col("d"), F.col("m") + k * 1.4826 * F.col("d"), "hampel")
 
 
@@ -71,59 +73,87 @@ def outlier_mahalanobis(df: DataFrame, cols: list[str], key: str = "row_id", q:
     return df.dropna(subset=cols).where(mahalanobis(cols, mean, cov) > chi2_quantile(q, len(cols))).select(key, F.lit("mahalanobis").alias("method"))
 
 
-def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support: float = 0.75, q: float = 0.99, rounds: int = 10) -> DataFrame:
-    """The same around a minimum-covariance-determinant centre, found by concentration steps on all rows.
+def _scatter(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    cov = np.cov(x, rowvar=False).reshape(x.shape[1], -1)
+    return x.mean(0), cov, float(np.linalg.slogdet(cov + 1e-12 * np.eye(x.shape[1]))[1])
 
-    Starts from medians and absolute deviations; each step keeps the share `support` of nearest rows.
+
+def _starts(x: np.ndarray, support: float, n_starts: int, keep: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Centres and covariances of the smallest determinants on a sample, from random subsets and concentration steps."""
+    rng, h, found = np.random.default_rng(seed), max(int(np.ceil(support * len(x))), x.shape[1] + 1), []
+
+    def step(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        d = x - mean
+        return _scatter(x[np.argsort(((d @ np.linalg.pinv(cov)) * d).sum(1), kind="stable")[:h]])
+
+    for _ in range(n_starts):
+        at = _scatter(x[rng.choice(len(x), x.shape[1] + 1, replace=False)])
+        for _ in range(2):
+            at = step(*at[:2])
+        found.append(at)
+    found = sorted(found, key=lambda f: f[2])[: 3 * keep]
+    for _ in range(10):
+        found = [step(*f[:2]) for f in found]
+    return [f[:2] for f in sorted(found, key=lambda f: f[2])[:keep]]
+
+
+def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support: float = 0.75, q: float = 0.99, rounds: int = 10, starts: int = 100, sample: int = 1500, keep: int = 2, seed: int = 1) -> DataFrame:
+    """The same around a minimum-covariance-determinant centre.
+
+    `starts` random subsets compete on a hash sample of `sample` rows; the best `keep` of them, and medians with
+    absolute deviations, go on with concentration steps on all rows, each keeping the share `support` of nearest
+    rows. The smallest determinant counts. The cut of a step is an approximate quantile, 1 in 10,000 by rank.
     """
-    d = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols).persist()
+    d = staged(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols), "robust")
     p = len(cols)
-    med = np.array(d.agg(*[F.percentile(c, 0.5) for c in cols]).first(), float)
-    mad = np.array(d.agg(*[F.percentile(F.abs(F.col(c) - float(m)), 0.5) for c, m in zip(cols, med, strict=True)]).first(), float)
-    mean, cov = med, np.diag(np.where(mad > 0, (1.4826 * mad) ** 2, 1.0))
-    last = np.inf
-    for _ in range(rounds):
-        dist = mahalanobis(cols, mean, cov)
-        cut = d.agg(F.percentile_approx(dist, support, 10_000)).first()[0]
-        if cut is None:
-            break
-        mean, cov = moments(d.where(dist <= cut), cols)
-        det = float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1])
-        if abs(last - det) < 1e-9:
-            break
-        last = det
-    d.unpersist()
+    small = d.orderBy(order_of(key, seed), key).limit(sample).toPandas()[cols].to_numpy(float)
+    if len(small) <= p + 1:
+        return d.limit(0).select(key, F.lit("robust").alias("method"))
+    long = d.unpivot([key], cols, "variable", "value")
+    med = {r.variable: r.m for r in quantiles(long, ["variable"], "value", {"m": 0.5}).collect()}
+    centred = F.abs(F.col("value") - F.create_map(*[F.lit(x) for c in cols for x in (c, float(med[c]))])[F.col("variable")])
+    mad = {r.variable: r.m for r in quantiles(long, ["variable"], centred, {"m": 0.5}).collect()}
+    scale = np.array([1.4826 * mad[c] for c in cols])
+    best = None
+    for mean, cov in [(np.array([med[c] for c in cols]), np.diag(np.where(scale > 0, scale**2, 1.0))), *_starts(small, support, starts, keep, seed)]:
+        last = np.inf
+        for _ in range(rounds):
+            dist = mahalanobis(cols, mean, cov)
+            cut = d.agg(F.percentile_approx(dist, support, 10_000)).first()[0]
+            mean, cov = moments(d.where(dist <= cut), cols)
+            det = float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1])
+            if abs(last - det) < 1e-9:
+                break
+            last = det
+        if best is None or det < best[0]:
+            best = (det, mean, cov)
     # the covariance of the central share is widened to that of all rows of a normal sample
-    from tarmac.functions.stats import chi2_sf
-
     factor = support / (1 - chi2_sf(chi2_quantile(support, p), p + 2))
-    return d.where(mahalanobis(cols, mean, cov * factor) > chi2_quantile(q, p)).select(key, F.lit("robust").alias("method"))
+    return d.where(mahalanobis(cols, best[1], best[2] * factor) > chi2_quantile(q, p)).select(key, F.lit("robust").alias("method"))
 
 
-def outlier_knn(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 1, top_n: int = 200, reference: int = 5000) -> DataFrame:
-    """The top_n rows farthest from their kth neighbour in a bounded reference sample of standardised rows."""
+def outlier_knn(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 1, top_n: int = 200) -> DataFrame:
+    """The top_n rows farthest from their kth neighbour among all standardised rows."""
     z = standardised(df, cols, key)
-    near = knn_join(z, z.orderBy(order_of(key, 42), key).limit(reference), cols, k, key)
+    near = knn_join(z, z, cols, k, key)
     return near.where(F.col("rank") == k).orderBy(F.desc("distance"), key).limit(top_n).select(key, "distance", F.lit("knn").alias("method"))
 
 
-def lof_scores(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 5, scale: bool = True, reference: int = 5000) -> DataFrame:
-    """(row_id, lof): local outlier factor against a bounded reference sample (all rows, if fewer).
+def lof_scores(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 5, scale: bool = True) -> DataFrame:
+    """(row_id, lof): local outlier factor among all rows.
 
     Distances of 0 among copies give a reachability of 0; a density is then capped, so copies score 1.
     """
     z = standardised(df, cols, key) if scale else df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
-    ref = z.orderBy(order_of(key, 42), key).limit(reference)
-    near = knn_join(z, ref, cols, k, key)
-    kdist = knn_join(ref, ref, cols, k, key).where(F.col("rank") == k).select(F.col(key).alias("neighbour"), F.col("distance").alias("kdist"))
-    reach = near.join(F.broadcast(kdist), "neighbour").withColumn("reach", F.greatest("distance", "kdist"))
-    lrd = reach.groupBy(key).agg((1 / F.greatest(F.avg("reach"), F.lit(1e-10))).alias("lrd"))
-    of_ref = lrd.join(F.broadcast(ref.select(key)), key, "left_semi").select(F.col(key).alias("neighbour"), F.col("lrd").alias("nlrd"))
-    return near.join(F.broadcast(of_ref), "neighbour").groupBy(key).agg(F.avg("nlrd").alias("nlrd")).join(lrd, key).select(key, (F.col("nlrd") / F.col("lrd")).alias("lof"))
+    near = staged(knn_join(z, z, cols, k, key), "neighbours")
+    kdist = near.groupBy(key).agg(F.max("distance").alias("kdist")).withColumnRenamed(key, "neighbour")
+    lrd = staged(near.join(kdist, "neighbour").groupBy(key).agg((1 / F.greatest(F.avg(F.greatest("distance", "kdist")), F.lit(1e-10))).alias("lrd")), "densities")
+    of = lrd.select(F.col(key).alias("neighbour"), F.col("lrd").alias("nlrd"))
+    return near.join(of, "neighbour").groupBy(key).agg(F.avg("nlrd").alias("nlrd")).join(lrd, key).select(key, (F.col("nlrd") / F.col("lrd")).alias("lof"))
 
 
-def outlier_lof(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 5, cut: float = 2.0, scale: bool = True, reference: int = 5000) -> DataFrame:
-    return lof_scores(df, cols, key, k, scale, reference).where(F.col("lof") > cut).select(key, F.lit("lof").alias("method"))
+def outlier_lof(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 5, cut: float = 2.0, scale: bool = True) -> DataFrame:
+    return lof_scores(df, cols, key, k, scale).where(F.col("lof") > cut).select(key, F.lit("lof").alias("method"))
 
 
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
@@ -158,11 +188,13 @@ def iforest_depths(df: DataFrame, cols: list[str], key: str = "row_id", trees: i
     Trees are grown in Spark, one group each, broadcast (their size doesn't depend on the data), and used in one scan.
     """
     d = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
-    total = d.count()
-    share = min(1.0, 3.0 * sample / max(total, 1))
     spark = df.sparkSession
-    ids = spark.range(trees).select(F.col("id").alias("tree"))
-    picked = d.crossJoin(F.broadcast(ids)).withColumn("u", F.pmod(F.xxhash64(key, "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share)
+    # a row draws a tree number `draws` times, each with a chance; a tree gets 3 times the rows that it takes, on average
+    rate = 3.0 * sample * trees / max(d.count(), 1)
+    draws = min(max(1, int(np.ceil(rate))), 3 * trees)
+    hashed = lambda salt: F.pmod(F.xxhash64(key, "draw", F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+    drawn = d.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).where(hashed(0) / float(1 << 30) < rate / draws)
+    picked = drawn.withColumn("tree", hashed(1) % trees).groupBy(key, "tree").agg(*[F.first(c).alias(c) for c in cols]).withColumn("u", F.xxhash64(key, "tree", F.lit(seed)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         import pickle

@@ -23,7 +23,7 @@ def vtest_category(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     """(cluster, variable, level, n, level_in_cluster, cluster_in_level, overall, v_test) by the hypergeometric law."""
     long = df.where(F.col(by).isNotNull()).select(by, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([by], cols, "variable", "level").where("level is not null")
     n = long.groupBy(by, "variable", "level").agg(F.count("*").alias("n"))
-    full = n.select(by).distinct().crossJoin(F.broadcast(n.select("variable", "level").distinct())).join(n, [by, "variable", "level"], "left").fillna(0, ["n"])
+    full = n.select(by).distinct().crossJoin(n.select("variable", "level").distinct()).join(n, [by, "variable", "level"], "left").fillna(0, ["n"])
     w = lambda *p: F.sum("n").over(Window.partitionBy("variable", *p))
     d = full.withColumns({"nk": w(by), "nj": w("level"), "total": w()})
     return d.withColumn("v_test", hypergeometric_vtest(F.col("n"), F.col("nk"), F.col("nj"), F.col("total"))).select(F.col(by).alias("cluster"), "variable", "level", "n", F.try_divide(F.col("n"), F.col("nk")).alias("level_in_cluster"), F.try_divide(F.col("n"), F.col("nj")).alias("cluster_in_level"), (F.col("nj") / F.col("total")).alias("overall"), "v_test")

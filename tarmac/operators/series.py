@@ -18,7 +18,7 @@ def monthly_series(df: DataFrame, key: str, period: str, min_months: int = 6) ->
     """(key, period, total) with zeros for missing months; series of fewer than min_months active ones go."""
     counts = df.where(F.col(key).isNotNull() & F.col(period).isNotNull()).groupBy(key, period).agg(F.count("*").alias("total"))
     active = counts.groupBy(key).agg(F.count("*").alias("m")).where(F.col("m") >= min_months).select(key)
-    grid = active.crossJoin(F.broadcast(counts.select(period).distinct()))
+    grid = active.crossJoin(counts.select(period).distinct())
     return grid.join(counts, [key, period], "left").fillna(0, ["total"])
 
 
@@ -26,12 +26,12 @@ def series_features(long: DataFrame, key: str, period: str) -> DataFrame:
     """total, mean, sd, max, active months and share, mean of non-zero, peak over mean, slope over the index."""
     months = long.select(period).distinct().withColumn("i", F.row_number().over(Window.orderBy(period)))
     t = F.col("total")
-    g = long.join(F.broadcast(months), period).groupBy(key).agg(F.sum("total").alias("total_sum"), F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), F.max("total").alias("max"), F.count_if(t > 0).alias("active"), (F.count_if(t > 0) / F.count("*")).alias("active_share"), F.avg(F.when(t > 0, t)).alias("mean_nonzero"), F.regr_slope(t.cast("double"), F.col("i").cast("double")).alias("slope"))
+    g = long.join(months, period).groupBy(key).agg(F.sum("total").alias("total_sum"), F.avg("total").alias("mean"), F.stddev_samp("total").alias("sd"), F.max("total").alias("max"), F.count_if(t > 0).alias("active"), (F.count_if(t > 0) / F.count("*")).alias("active_share"), F.avg(F.when(t > 0, t)).alias("mean_nonzero"), F.regr_slope(t.cast("double"), F.col("i").cast("double")).alias("slope"))
     return g.withColumn("peak_ratio", F.try_divide(F.col("max"), F.col("mean")))
 
 
 def cluster_period_profile(long: DataFrame, labels: DataFrame, key: str, period: str, cols: list[str]) -> DataFrame:
-    return long.join(F.broadcast(labels), key).groupBy("cluster", period).agg(*[F.avg(c).alias(c) for c in cols])
+    return long.join(labels, key).groupBy("cluster", period).agg(*[F.avg(c).alias(c) for c in cols])
 
 
 def dtw(a: np.ndarray, b: np.ndarray, window: int | None = None) -> float:

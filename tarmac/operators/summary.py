@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarmac.functions.order import avg_rank, cumulative, null_safe, quantiles  # noqa: F401
+
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 
@@ -50,33 +52,37 @@ def corrected_kurtosis(c: str) -> Column:
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
     """A row per column: n, mean, sd, quartiles, share of nulls, corrected skewness and kurtosis."""
-    return _long(df, cols).groupBy("variable").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"),
-        *[F.percentile("value", p).alias(f"q{int(p * 100)}") for p in (0.25, 0.5, 0.75)], F.max("value").alias("max"),
+    long = _long(df, cols)
+    stats = long.groupBy("variable").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
         (F.count_if(F.col("value").isNull()) / F.count("*") * 100).alias("missing_pct"), corrected_skew("value").alias("skew"), corrected_kurtosis("value").alias("kurtosis"),
     )
+    return stats.join(quantiles(long, ["variable"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), "variable", "left").select("variable", "n", "mean", "sd", "min", "q25", "q50", "q75", "max", "missing_pct", "skew", "kurtosis")
 
 
 def numeric_stats(df: DataFrame, cols: list[str], by: str | None = None, probs: list[float] | None = None) -> DataFrame:
     """Deciles, shape and numbers of values beyond the 1.5 IQR fences, overall or by group."""
     probs = probs or [i / 10 for i in range(11)]
     ids = [by] if by else []
-    long = _long(df, cols, ids)
-    g = long.groupBy("variable", *ids)
-    stats = g.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.skewness("value").alias("skew"), *[F.percentile("value", p).alias(f"p{round(p * 100)}") for p in probs], F.percentile("value", 0.25).alias("__a"), F.percentile("value", 0.75).alias("__b"))
+    long, keys = _long(df, cols, ids), ["variable", *ids]
+    names = [f"p{round(p * 100)}" for p in probs]
+    moments = long.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.skewness("value").alias("skew"))
+    stats = null_safe(moments, quantiles(long, keys, "value", dict(zip(names, probs, strict=True)) | {"__a": 0.25, "__b": 0.75}), keys, "left")
     lo, hi = (F.col("__a") - 1.5 * (F.col("__b") - F.col("__a")), F.col("__b") + 1.5 * (F.col("__b") - F.col("__a")))
-    keys = ["variable", *ids]
-    out = long.join(F.broadcast(stats.select(*keys, lo.alias("__lo"), hi.alias("__hi"))), keys).groupBy(*keys).agg(F.count_if((F.col("value") < F.col("__lo")) | (F.col("value") > F.col("__hi"))).alias("outliers"))
-    return stats.drop("__a", "__b").join(out, keys)
+    out = null_safe(long, stats.select(*keys, lo.alias("__lo"), hi.alias("__hi")), keys).groupBy(*keys).agg(F.count_if((F.col("value") < F.col("__lo")) | (F.col("value") > F.col("__hi"))).alias("outliers"))
+    return null_safe(stats.select(*keys, "n", "mean", "sd", "skew", *names), out, keys)
 
 
 def describe_by(df: DataFrame, cols: list[str], by: str, trim: float = 0.1) -> DataFrame:
     """n, mean, sd, median, trimmed mean, mad, min, max, range, skewness, kurtosis, se by group."""
     long = _long(df, cols, [by]).where("value is not null")
     keys = ["variable", by]
-    first = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.5).alias("median"), F.percentile("value", trim).alias("__lo"), F.percentile("value", 1 - trim).alias("__hi"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("skew"), (F.kurtosis("value")).alias("kurtosis"))
-    second = long.join(F.broadcast(first), keys).groupBy(*keys).agg(F.avg(F.when(F.col("value").between(F.col("__lo"), F.col("__hi")), F.col("value"))).alias("trimmed"), (1.4826 * F.percentile(F.abs(F.col("value") - F.col("median")), 0.5)).alias("mad"))
-    return first.join(second, keys).select(*keys, "n", "mean", "sd", "median", "trimmed", "mad", "min", "max", (F.col("max") - F.col("min")).alias("range"), "skew", "kurtosis", (F.col("sd") / F.sqrt("n")).alias("se"))
+    moments = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"))
+    first = null_safe(moments, quantiles(long, keys, "value", {"median": 0.5, "__lo": trim, "__hi": 1 - trim}), keys)
+    near = null_safe(long, first.select(*keys, "median", "__lo", "__hi"), keys)
+    second = near.groupBy(*keys).agg(F.avg(F.when(F.col("value").between(F.col("__lo"), F.col("__hi")), F.col("value"))).alias("trimmed"))
+    mad = quantiles(near, keys, F.abs(F.col("value") - F.col("median")), {"mad": 0.5}).withColumn("mad", 1.4826 * F.col("mad"))
+    return null_safe(null_safe(first, second, keys), mad, keys).select(*keys, "n", "mean", "sd", "median", "trimmed", "mad", "min", "max", (F.col("max") - F.col("min")).alias("range"), "skew", "kurtosis", (F.col("sd") / F.sqrt("n")).alias("se"))
 
 
 def frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -173,8 +179,10 @@ def cluster_balance(df: DataFrame, cluster: str) -> DataFrame:
 def cluster_numeric_profile(df: DataFrame, cluster: str, cols: list[str]) -> DataFrame:
     """(cluster, variable, n, pct, mean, sd, median)."""
     total = df.groupBy(cluster).agg(F.count("*").alias("n")).withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
-    stats = _long(df, cols, [cluster]).groupBy(cluster, "variable").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", 0.5).alias("median"))
-    return stats.join(F.broadcast(total), cluster)
+    long, keys = _long(df, cols, [cluster]), [cluster, "variable"]
+    stats = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    stats = null_safe(stats, quantiles(long, keys, "value", {"median": 0.5}), keys, "left")
+    return stats.join(total, cluster)
 
 
 def cluster_rates(df: DataFrame, cluster: str, flags: list[str], severity: str = "severity") -> DataFrame:
@@ -193,7 +201,7 @@ def cluster_categorical_profile(df: DataFrame, cluster: str, cols: list[str], mi
 def contingency(df: DataFrame, r: str, c: str) -> DataFrame:
     """(row_cat, col_cat, n, row_share, col_share), zero cells included; nulls left out."""
     counts = df.where(F.col(r).isNotNull() & F.col(c).isNotNull()).groupBy(F.col(r).cast("string").alias("row_cat"), F.col(c).cast("string").alias("col_cat")).agg(F.count("*").alias("n"))
-    full = counts.select("row_cat").distinct().crossJoin(F.broadcast(counts.select("col_cat").distinct())).join(counts, ["row_cat", "col_cat"], "left").fillna(0, ["n"])
+    full = counts.select("row_cat").distinct().crossJoin(counts.select("col_cat").distinct()).join(counts, ["row_cat", "col_cat"], "left").fillna(0, ["n"])
     return full.withColumn("row_share", F.col("n") / F.sum("n").over(Window.partitionBy("row_cat"))).withColumn("col_share", F.col("n") / F.sum("n").over(Window.partitionBy("col_cat")))
 
 
@@ -229,7 +237,8 @@ def histogram(df: DataFrame, col: str, bins: int = 45) -> DataFrame:
 
 
 def quantile_of(df: DataFrame, col: str, probs: list[float]) -> DataFrame:
-    return df.agg(*[F.percentile(col, p).alias(f"p{round(p * 100)}") for p in probs])
+    """One row of exact quantiles, p50 for 0.5."""
+    return quantiles(df, [], col, {f"p{round(p * 100)}": p for p in probs})
 
 
 def stack(*dfs: DataFrame) -> DataFrame:
@@ -273,28 +282,5 @@ def with_row_id(df: DataFrame, key: str | None = None, out: str = "row_id") -> D
     return df.withColumn(out, F.col(key) if key else F.monotonically_increasing_id())
 
 
-def avg_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """`df` with the average rank of `col`, ties sharing it, within `by`.
-
-    Ranks are made over different values with their counts, in range partitions with offsets from the
-    partitions before, so no partition needs the whole order.
-    """
-    by = by or []
-    counts = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("__v")).agg(F.count("*").alias("__n"))
-    ranked = cumulative(counts, [*by, "__v"], "__n", "__c", by).select(*by, "__v", (F.col("__c") - F.col("__n") + (F.col("__n") + 1) / 2).alias(out))
-    return df.join(ranked, [F.col(col).eqNullSafe(F.col("__v")), *[df[b].eqNullSafe(ranked[b]) for b in by]] if by else F.col(col) == F.col("__v"), "left").drop("__v", *[ranked[b] for b in by])
-
-
-def cumulative(df: DataFrame, order: list[str], n: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Running sum of `n` in the given order (within `by`), without one task for all rows."""
-    if by:
-        return df.withColumn(out, F.sum(n).over(Window.partitionBy(*by).orderBy(*[c for c in order if c not in by]).rowsBetween(Window.unboundedPreceding, 0)))
-    part = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    sums = part.groupBy("__p").agg(F.sum(n).alias("__s"))
-    before = sums.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    own = F.sum(n).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return part.withColumn(out, own).join(F.broadcast(before), "__p").withColumn(out, F.col(out) + F.col("__before")).drop("__p", "__before")
-
-
 def is_numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)

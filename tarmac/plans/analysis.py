@@ -61,19 +61,20 @@ def outliers_by_robust_distance(spark, d):
 
 SQUARES = " + ".join(f"(z.{c} - r.{c}) ** 2" for c in NUM)
 NEAR = f"""{I}, b AS (SELECT row_id, {LIST} FROM i WHERE {" AND ".join(f"{c} IS NOT NULL" for c in NUM)}), m AS (SELECT {", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in NUM)} FROM b),
- z AS (SELECT row_id, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NUM)} FROM b, m), r AS (SELECT * FROM z ORDER BY md5(concat(row_id::VARCHAR, '42')), row_id LIMIT 2000),
- k AS (SELECT * FROM (SELECT z.row_id, r.row_id AS neighbour, sqrt({SQUARES}) AS d, row_number() OVER (PARTITION BY z.row_id ORDER BY {SQUARES}, r.row_id) AS rn FROM z JOIN r ON z.row_id <> r.row_id) WHERE rn <= 5)"""
+ z AS MATERIALIZED (SELECT row_id, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in NUM)} FROM b, m),
+ few AS (SELECT z.row_id, min({{'d': {SQUARES}, 'id': r.row_id}}, 5) AS near FROM z JOIN z r ON z.row_id <> r.row_id GROUP BY z.row_id),
+ k AS (SELECT row_id, near[rn].id AS neighbour, sqrt(near[rn].d) AS d, rn FROM few, range(1, 6) x(rn))"""
 
 
 @query(f"{NEAR} SELECT row_id, round(d, 6) AS distance, 'knn' AS method FROM k WHERE rn = 5 ORDER BY d DESC, row_id LIMIT 200")
 def outliers_by_knn(spark, d):
-    return rounded(outliers.outlier_knn(incidents(spark, d), NUM, k=5, top_n=200, reference=2000))
+    return rounded(outliers.outlier_knn(incidents(spark, d), NUM, k=5, top_n=200))
 
 
 @query(f"""{NEAR}, kd AS (SELECT row_id, d AS kd FROM k WHERE rn = 5), lrd AS (SELECT k.row_id, 1 / greatest(avg(greatest(d, kd)), 1e-10) AS lrd FROM k JOIN kd ON kd.row_id = k.neighbour GROUP BY 1)
  SELECT k.row_id, 'lof' AS method FROM k JOIN lrd a ON a.row_id = k.neighbour JOIN lrd b ON b.row_id = k.row_id GROUP BY k.row_id, b.lrd HAVING avg(a.lrd) / b.lrd > 2""")
 def outliers_by_lof(spark, d):
-    return outliers.outlier_lof(incidents(spark, d), NUM, reference=2000)
+    return outliers.outlier_lof(incidents(spark, d), NUM)
 
 
 @query()
@@ -293,24 +294,10 @@ def variables_by_vtest(spark, d):
     return rounded(profile.variable_ranking(profile.vtest_numeric(incidents(spark, d), NUM, "severity")), 4)
 
 
-@query()
-def traffic_light_panel(spark, d):
-    df = incidents(spark, d).withColumn("severe", (F.col("severity") >= 3).cast("int")).withColumn("c", F.hour("start_time") % 3)
-    vt = profile.vtest_numeric(df, [*NUM, "severity"], "severe").select("cluster", "variable", "v_test")
-    return rounded(profile.traffic_light(vt, strong=2.0, keep=0.5), 4)
-
-
-@query()
-def traffic_light_grid(spark, d):
-    df = incidents(spark, d)
-    sizes = df.groupBy(F.col("severity").alias("cluster")).agg(F.count("*").alias("n"))
-    return rounded(profile.tlp_grid(profile.vtest_numeric(df, NUM, "severity"), sizes), 4)
-
-
 # factors
 
 
-def _base(spark, d):
+def base_rows(spark, d):
     df = incidents(spark, d).withColumns({"temperature_c": features.f_to_c(F.col("temperature_f")), "weather_group": features.weather_group(F.col("weather_condition")), "wind_group": features.wind_group(F.col("wind_direction"))})
     return impute.impute_simple(df, {"temperature_c": "median", "humidity": "median", "weather_group": "mode", "wind_group": "mode", "sunrise_sunset": "mode"}).select("row_id", "state", "county", "severity", "temperature_c", "humidity", "pressure_in", "wind_speed_mph", "weather_group", "wind_group", "sunrise_sunset")
 
@@ -320,27 +307,27 @@ FNUM, FCAT = ["temperature_c", "humidity", "pressure_in", "wind_speed_mph"], ["w
 
 @query()
 def famd_coordinates(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     return rounded(factor.famd(base, FNUM, FCAT, 8).project(base, 8, ["row_id"]))
 
 
 @query()
 def famd_eigenvalues(spark, d):
-    axes = factor.famd(_base(spark, d), FNUM, FCAT, 8)
+    axes = factor.famd(base_rows(spark, d), FNUM, FCAT, 8)
     eig = factor.eigen_table(spark, axes.values)
     return rounded(eig.withColumn("kept", F.col("axis") <= factor.choose_dims(eig)))
 
 
 @query()
 def mca_axes(spark, d):
-    axes = factor.mca(_base(spark, d), FCAT, 5)
+    axes = factor.mca(base_rows(spark, d), FCAT, 5)
     eig = factor.retain(factor.eigen_table(spark, axes.values), len(FCAT))
     return rounded(factor.top_contributions(axes.variables(spark), 1).join(eig.select("axis", "eigenvalue"), "axis", "left"))
 
 
 @query()
 def mca_supplementary(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     dims = ["dim_1", "dim_2"]
     coords = factor.mca(base, FCAT, 2).project(base, 2, ["row_id", "severity", "humidity"])
     return rounded(factor.supplementary(coords, ["severity"], dims))
@@ -348,21 +335,21 @@ def mca_supplementary(spark, d):
 
 @query()
 def axis_description(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     coords = factor.famd(base, FNUM, FCAT, 3).project(base, 3, ["row_id", "severity", *FNUM])
     return rounded(factor.dimdesc(coords, FNUM, ["severity"], ["dim_1", "dim_2", "dim_3"]), 4)
 
 
 @query()
 def top_individuals(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     coords = factor.famd(base, FNUM, FCAT, 2).project(base, 2, ["row_id"])
     return rounded(factor.top_individuals(coords, base.select("row_id", "state", "severity"), "row_id", ["dim_1", "dim_2"]))
 
 
 @query()
 def principal_axes(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     return rounded(factor.pca(base, FNUM, 2).project(base, 2, ["row_id"]))
 
 
@@ -375,7 +362,7 @@ def correspondence_of_parts(spark, d):
 
 
 def _coords(spark, d):
-    base = _base(spark, d)
+    base = base_rows(spark, d)
     dims = [f"dim_{i}" for i in range(1, 6)]
     return factor.famd(base, FNUM, FCAT, 5).project(base, 5, ["row_id", "state"]), dims
 
@@ -397,7 +384,7 @@ def hierarchy_by_height(spark, d):
 @query()
 def kmeans_labels(spark, d):
     coords, dims = _coords(spark, d)
-    return cluster.kmeans_grid(coords, dims, [3, 4], max_iter=20).select("row_id", "k3", "k4")
+    return cluster.kmeans_grid(coords, dims, [3, 4], max_iter=20, starts=3).select("row_id", "k3", "k4")
 
 
 @query()
@@ -409,12 +396,12 @@ def kmeans_criteria(spark, d):
 
 @query()
 def kprototypes_labels(spark, d):
-    return cluster.kprototypes(_base(spark, d), FNUM, FCAT, 2, n_init=3, max_iter=5)[0]
+    return cluster.kprototypes(base_rows(spark, d), FNUM, FCAT, 2, n_init=3, max_iter=5)[0]
 
 
 @query()
 def cure_labels(spark, d):
-    return rounded(cluster.cure_mixed(_base(spark, d), FNUM, FCAT, "state", 2, most=600))
+    return rounded(cluster.cure_mixed(base_rows(spark, d), FNUM, FCAT, "state", 2))
 
 
 @query()
@@ -586,7 +573,8 @@ def points_in_polygon(spark, d):
     return spatial.within(_points(spark, d), [(-7490, 4010), (-7430, 4010), (-7490, 4070)], "x", "y").select("row_id")
 
 
-@query()
+@query(f"""{CELLS_SQL}, b AS (SELECT cell, split_part(cell, '_', 1)::DOUBLE AS q, split_part(cell, '_', 2)::DOUBLE AS r FROM g), c AS (SELECT cell, 5 * (sqrt(3.0::DOUBLE) * q + sqrt(3.0::DOUBLE) / 2 * r) AS x, 7.5 * r AS y, radians(60.0::DOUBLE * k - 30) AS a FROM b, range(6) o(k))
+ SELECT cell, round((y + 5 * sin(a)) / 110.574::DOUBLE + 40.5, 6) AS lat, round((x + 5 * cos(a)) / (111.32::DOUBLE * cos(radians(40.5::DOUBLE))) - 75, 6) AS lng FROM c""")
 def cell_boundaries(spark, d):
     from tarmac.plans.reports import cells
 

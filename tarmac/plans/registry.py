@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tarmac.plans import analysis, reports, rows  # noqa: F401
+from tarmac.plans import analysis, reports, rows, selection  # noqa: F401
 from tarmac.plans.common import ORACLES, QUERIES  # noqa: F401

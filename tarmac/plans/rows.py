@@ -181,7 +181,7 @@ def stemmed_descriptions(spark, d):
 @query(f"{I} SELECT id, severity, humidity, state FROM i")
 def csv_round_trip(spark, d):
     """Written as CSV stage, read back with the declared schema."""
-    from tarmac.plans.stage import stage_path
+    from tarmac.sources.stages import stage_path
 
     path = stage_path(spark, "csv")
     tables.write_stage(incidents(spark, d).select("id", "severity", "humidity", "state"), path, fmt="csv")
