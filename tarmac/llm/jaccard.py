@@ -28,6 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarmac.llm.common import table, written
 from tarmac.llm.components import components
@@ -239,16 +240,16 @@ def link_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, re
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _with_node(docs: DataFrame, n: int, name: str) -> DataFrame:
-    """`docs` and a column of each row's class, null for a text without words."""
-    names = [*docs.columns, name]
+def _with_node(rows: DataFrame, n: int) -> DataFrame:
+    """rows (id, row, text) with node: the class of each text, null without words."""
+    names = ["id", "row", "text", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [node_of(s) if len(s) else None for s in shingles(batch.column(0), n)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.int64())], names)
+            nodes = [node_of(s) if len(s) else None for s in shingles(batch.column(2), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.int64())], names)
 
-    return docs.select(F.col("text").cast("string").alias("__text"), *[F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema.add(name, "long"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("node", T.LongType())]))
 
 
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -258,16 +259,16 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     of one id are each judged by themselves. Of rows of one id with equal n-grams, one of the smallest text stays.
     """
     sig, result = _linked(docs, n, threshold, recall)
-    keep = result.where("keeper").select("node", F.col("class_id").alias("__id"))
-    known = sig.where("doc_id is not null").join(keep, "node", "left")
-    ids = known.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("node").isNull() | F.coalesce(F.col("doc_id") == known["__id"], F.lit(False))).alias("__stays"))
-    named = docs.where("doc_id is not null").join(ids.where("__n > 1 or __stays"), F.col("doc_id").cast("long") == F.col("__id"))
-    single = named.where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    many = _with_node(named.where("__n > 1").select(*[F.col(f"`{c}`") for c in docs.columns]), n, "__node")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    own = keep.select(F.col("node").alias("__kept"), "__id")
-    chosen = many.where("__node is not null").join(own, (F.col("__node") == F.col("__kept")) & (F.col("doc_id").cast("long") == F.col("__id")), "left_semi").groupBy("doc_id", "__node").agg(F.min_by(whole, F.coalesce(F.col("text"), F.lit(""))).alias("__row")).select("__row.*")
-    return single.union(chosen).union(many.where("__node is null").drop("__node")).union(docs.where("doc_id is null"))
+    keep = result.where("keeper").select(F.col("node").alias("kept"), F.col("class_id").alias("kept_id"))
+    judged = sig.where("doc_id is not null").join(keep, (F.col("node") == F.col("kept")) & (F.col("doc_id") == F.col("kept_id")), "left")
+    ids = judged.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("node").isNull() | F.col("kept").isNotNull()).alias("stays"))
+    # whole rows travel in one column, so that no name of theirs meets one of these
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    named = rows.join(ids.where("times > 1 or stays"), F.col("id") == F.col("doc_id"))
+    many = _with_node(named.where("times > 1").select("id", "row", "text"), n)
+    chosen = many.where("node is not null").join(keep, (F.col("node") == F.col("kept")) & (F.col("id") == F.col("kept_id")), "left_semi").groupBy("id", "node").agg(F.min_by("row", "text").alias("row"))
+    every = named.where("times = 1").select("row").union(chosen.select("row")).union(many.where("node is null").select("row")).union(rows.where("id is null").select("row"))
+    return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
