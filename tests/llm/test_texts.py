@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from itertools import chain
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,70 +36,99 @@ def lower(s):
 # op1
 
 
-def plain_kneser_ney(texts, order=2):
-    toks = [["<s>", *WORD.findall(lower(t or "")), "</s>"] for t in texts]
-    big = Counter(p for t in toks for p in zip(t, t[1:]))  # noqa: B905
-    cont = Counter(b for _, b in big)
-    ctx = Counter()
+def plain_kneser_ney(texts, order):
+    """A function of (context, word) by the formulas, with dictionaries; the vocabulary; counts of words."""
+    toks = [WORD.findall(lower(t or "")) + ["</s>"] for t in texts]
+    counts = {order: Counter(tuple((["<s>"] * (order - 1) + t)[i : i + order]) for t in toks for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])  # different words before
+    cut = {k: lm.discount([sum(v == m for v in c.values()) for m in (1, 2, 3, 4)]) for k, c in counts.items()}
+    total, v = sum(counts[1].values()), len(counts[1])
+    left = sum(cut[1][min(n, 3) - 1] for n in counts[1].values()) / total
     follow = {}
-    for (a, _), n in big.items():
-        ctx[a] += n
-        follow.setdefault(a, Counter())[min(n, 3)] += 1
-
-    def discounts(values):
-        few = [sum(v == k for v in values) for k in (1, 2, 3, 4)]
-        return lm.discount(few)
-
-    d2, d1 = discounts(big.values()), discounts(cont.values())
-    total, v = sum(cont.values()), len(cont)
-    left = sum(d1[min(n, 3) - 1] for n in cont.values()) / total
-
-    def p(a, b):
-        c = cont.get(b, 0)
-        base = (c - (d1[min(c, 3) - 1] if c else 0)) / total + left / (v + 1)
-        if a not in ctx:
-            return base
-        n = big.get((a, b), 0)
-        gamma = sum(d2[k - 1] * m for k, m in follow[a].items()) / ctx[a]
-        return (n - (d2[min(n, 3) - 1] if n else 0)) / ctx[a] + gamma * base
-
-    return p, set(cont), Counter(x for t in toks for x in t[1:])
-
-
-def test_lm_matches_plain_version(spark, sf):
-    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + TRICKY
-    train, model = docs[:40] + TRICKY, None
-    p, vocab, counts = plain_kneser_ney(train)
-    model = lm.fit(table_of(spark, train))
-    assert (model.n_tokens, model.n_words) == (sum(counts.values()), len(counts))
+    for k in range(2, order + 1):
+        for g, n in counts[k].items():
+            own = follow.setdefault(g[:-1], [0, 0.0])
+            own[0] += n
+            own[1] += cut[k][min(n, 3) - 1]
+
+    def p(context, word):
+        k = len(context) + 1
+        n = counts[k].get((*context, word), 0)
+        n -= cut[k][min(n, 3) - 1] if n else 0
+        if k == 1:
+            return n / total + left / (v + 1)
+        lower_ = p(context[1:], word)
+        if context not in follow:
+            return lower_
+        whole, mass = follow[context]
+        return n / whole + mass / whole * lower_
+
+    return p, {g[0] for g in counts[1]}, Counter(x for t in toks for x in t)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_matches_plain_version(spark, sf, order, monkeypatch):
+    if order == 3:  # several shards, blocks and parts
+        monkeypatch.setattr(lm, "SHARD_BYTES", 20_000)
+    docs = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + TRICKY + ["hot " * 600, "Hot hot"]
+    train = docs[:40] + TRICKY + docs[-2:-1]
+    p, vocab, counts = plain_kneser_ney(train, order)
+    model = lm.fit(table_of(spark, train), order=order)
+    assert (model.n_tokens, model.n_words) == (sum(counts.values()), len(counts)) and (model.arrays.n_shards > 5) == (order == 3)
     rows = lm.score(table_of(spark, docs, True), model).orderBy("doc_id").collect()
     assert len(rows) == len(docs)
     for r, t in zip(rows, docs, strict=True):
-        tok = ["<s>", *WORD.findall(lower(t or "")), "</s>"]
-        assert r.n_tokens == len(tok) - 1 and r.n_known == sum(x in counts for x in tok[1:])
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(tok, tok[1:])), rel=1e-9)  # noqa: B905
+        tok = WORD.findall(lower(t or "")) + ["</s>"]
+        full = ["<s>"] * (order - 1) + tok
+        assert r.n_tokens == len(tok) and r.n_known == sum(x in counts for x in tok)
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(full[i : i + order - 1]), x)) for i, x in enumerate(tok)), rel=1e-9)
         n, v = sum(counts.values()), len(counts)
-        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tok[1:]), rel=1e-9)
-    total = sum(p("the", w) for w in vocab) + p("the", "never-seen")
-    assert total == pytest.approx(1.0, abs=1e-9)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tok), rel=1e-9)
+    context = ("hot",) * (order - 1)
+    assert sum(p(context, w) for w in vocab) + p(context, "never-seen") == pytest.approx(1.0, abs=1e-9)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**63 - 1), st.integers(0, 300), st.integers(0, 3), st.integers(1, 2**40)), min_size=1, max_size=60))
+def test_lm_blocks_are_reversible(rows):
+    columns, values = [np.array(c, np.uint64) for c in list(zip(*rows, strict=True))[:3]], [np.array([r[3] for r in rows], np.int64)]
+    want = Counter()
+    for *g, n in rows:
+        want[tuple(g)] += n
+    got = lm.merged(columns, values)
+    assert list(zip(*[c.tolist() for c in got[0]], strict=True)) == sorted(want) and got[1][0].tolist() == [want[g] for g in sorted(want)]
+    back = lm.unpacked(lm.packed(*got))
+    assert [c.tolist() for c in back[0] + back[1]] == [c.tolist() for c in got[0] + got[1]]
+
+
+def test_lm_arrays_keep_large_numbers(tmp_path):
+    arrays, rng = lm.Arrays(str(tmp_path), 3), np.random.default_rng(5)
+    key = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) << np.uint64(1))
+    values = rng.choice([0, 1, 7, 254, 255, 256, 2**40], (len(key), 2))
+    sh = lm.shard_of(key, 3)
+    for s in range(3):
+        arrays.put("t", s, key[sh == s], list(values[sh == s].T))
+    asked = np.concatenate((key[::-1], key[:50] + np.uint64(1)))
+    place, got = arrays.find("t", asked, 2)
+    assert (got[: len(key)] == values[::-1]).all() and (place[: len(key)] >= 0).all() and (place[len(key) :] == -1).all() and not got[len(key) :].any()
 
 
 def test_lm_query_sees_contexts_of_two_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     model = lm.fit(docs.where(~lm.held_out()), order=3)
-    assert sorted(os.listdir(os.path.dirname(model.path))) == ["arrays"]
+    assert os.listdir(os.path.dirname(model.arrays.path)) == ["arrays"]
     want = {r.doc_id: r.score for r in lm.score(docs, model).collect()}
     got = {r.doc_id: r.score for r in lm.op1_lm_scoring(spark, "/root/testdata/sf0.001").collect()}
     assert got == pytest.approx(want)
 
 
-def test_lm_of_higher_order_and_of_nothing(spark):
-    model = lm.fit(table_of(spark, ["a b c d", "a b c e", "b c d"] * 3), order=3)
-    near, far = (r.score for r in lm.score(table_of(spark, ["a b c d", "d c b a"]), model).orderBy("doc_id").collect())
-    assert near > far
-    none = lm.fit(table_of(spark, ["x"]).limit(0))
+def test_lm_of_nothing_and_one_text(spark):
+    none = lm.fit(table_of(spark, ["x"]).limit(0), order=3)
     assert lm.score(table_of(spark, ["x y", None]), none).orderBy("doc_id").first().score == 0.0
-    assert lm.score(table_of(spark, ["x"]).limit(0), model).count() == 0
+    assert lm.score(table_of(spark, ["x"]).limit(0), none).count() == 0
+    one = lm.fit(table_of(spark, [None]), order=3)
+    assert [r.n_known for r in lm.score(table_of(spark, [None, "x"]), one).orderBy("doc_id").collect()] == [1, 1]
 
 
 # op2
