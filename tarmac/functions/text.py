@@ -44,6 +44,14 @@ def unify_lanes(c: Column) -> Column:
     return c
 
 
+def english(spark) -> list[str]:
+    """Spark's own English list with this module's, as they are and as they look without punctuation."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    words = {*ENGLISH, *StopWordsRemover.loadDefaultStopWords("english")}
+    return sorted(words | {w.replace("'", "") for w in words})
+
+
 def remove_stopwords(c: Column, words: list[str]) -> Column:
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
     return F.array_join(F.filter(F.split(c, r"\s+"), lambda x: ~F.array_contains(stop, x)), " ")
@@ -62,7 +70,7 @@ def squeeze_space(c: Column) -> Column:
 
 
 def clean(c: Column, stopwords: list[str] | None = None) -> Column:
-    """All steps but stemming. Null stays null."""
+    """All steps but stemming. Null stays null. stopwords: lower-case words without punctuation; by default ENGLISH and DOMAIN."""
     c = F.lower(fuse_exits(fuse_highways(c)))
     c = unify_lanes(strip_punct(symbols_to_space(c)))
     c = remove_stopwords(c, ENGLISH + DOMAIN if stopwords is None else stopwords)

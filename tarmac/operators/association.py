@@ -27,12 +27,12 @@ def correlation(df: DataFrame, cols: list[str], method: str = "pearson") -> Data
 
 
 def redundant(corr: DataFrame, cut: float = 0.85) -> list[str]:
-    """Columns to drop: of each pair over the cut, in order of strength, the one of the larger mean correlation."""
+    """Columns to drop: of each pair over the cut, in order of strength, the one of the larger mean correlation (to 9 digits; then by name)."""
     rows = {(r.a, r.b): abs(r.r or 0.0) for r in corr.collect()}
     cols = sorted({a for a, _ in rows})
-    mean = {c: sum(rows[c, o] for o in cols if o != c) / max(len(cols) - 1, 1) for c in cols}
+    mean = {c: round(sum(rows[c, o] for o in cols if o != c) / max(len(cols) - 1, 1), 9) for c in cols}
     gone: list[str] = []
-    for (a, b), r in sorted(rows.items(), key=lambda x: (-x[1], x[0])):
+    for (a, b), r in sorted(rows.items(), key=lambda x: (-round(x[1], 9), x[0])):
         if a < b and r > cut and a not in gone and b not in gone:
             gone.append(max((a, b), key=lambda c: (mean[c], c)))
     return sorted(gone)

@@ -68,6 +68,7 @@ class Axes:
     scale: np.ndarray
     loadings: np.ndarray
     values: np.ndarray
+    active: int = 0  # categorical columns of a multiple correspondence analysis
 
     def project(self, df: DataFrame, ncp: int, keep: list[str]) -> DataFrame:
         """keep and dim_1..dim_ncp of every row, as sums of weighted columns, which are compiled."""
@@ -77,8 +78,20 @@ class Axes:
         return df.select(*keep, *x).select(*keep, *dims)
 
     def variables(self, spark) -> DataFrame:
-        """(variable, level, axis, coord, contribution in percent)."""
-        rows = [(c, level, k + 1, float(self.loadings[j, k] * np.sqrt(self.values[k])), float(self.loadings[j, k] ** 2 * 100)) for j, (c, level) in enumerate(self.columns) for k in range(self.loadings.shape[1])]
+        """(variable, level, axis, coord, contribution in percent).
+
+        coord is a number's correlation with the axis, or the mean coordinate of the rows of a level; in a multiple
+        correspondence analysis that mean over the root of the eigenvalue.
+        """
+        share = self.loadings**2 / np.maximum((self.loadings**2).sum(0), 1e-300) * 100
+
+        def coord(j: int, k: int) -> float:
+            v, value = self.loadings[j, k], self.values[k]
+            if self.active:
+                return v * np.sqrt(value) * self.active / self.scale[j]
+            return v * np.sqrt(value) if self.columns[j][1] is None else v * value / self.scale[j]
+
+        rows = [(c, level, k + 1, float(coord(j, k)), float(share[j, k])) for j, (c, level) in enumerate(self.columns) for k in range(self.loadings.shape[1])]
         return spark.createDataFrame(rows, "variable string, level string, axis int, coord double, contribution double")
 
 
@@ -112,7 +125,7 @@ def mca(df: DataFrame, active: list[str], ncp: int = 10) -> Axes:
     """Multiple correspondence analysis: the categorical case, with eigenvalues divided by the number of columns."""
     axes = famd(df, [], active, ncp)
     axes.values = axes.values / len(active)
-    axes.loadings = axes.loadings / np.sqrt(len(active))
+    axes.loadings, axes.active = axes.loadings / np.sqrt(len(active)), len(active)
     return axes
 
 

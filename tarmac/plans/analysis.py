@@ -485,7 +485,7 @@ def _english(spark, d):
 
 
 def _terms(spark, d):
-    docs = _english(spark, d).withColumn("text", text.clean(F.col("text")))
+    docs = _english(spark, d).withColumn("text", text.clean(F.col("text"), text.english(spark) + text.DOMAIN))
     return topics.dtm(docs, "text", min_docs=40)
 
 
