@@ -2,7 +2,7 @@
 
 A tree splits by a random direction at the median, again and again; points near the split, SPILL of the
 points on each side, go both ways. Upper splits are fitted on a bounded sample of SAMPLE vectors, the
-ones with the smallest hash of their id; below, when there are more vectors than the sample resolves,
+ones with the smallest hash; below, when there are more vectors than the sample resolves,
 directions go on at random, through the centre of the sample's leaf. A node whose sample is one clump (mean
 cosine to its centre over TIGHT) isn't split. Deeper trees miss more, so their number follows from the depth.
 Splits would part the pairs of a large loose group, so groups in which the sample shows links come first: a ball
@@ -213,27 +213,23 @@ def _placed(nodes: DataFrame, forests: dict[int, tuple[Balls, list[Tree]]]) -> D
     return nodes.mapInPandas(run, "node long, dim int, v binary, copies long, codes array<long>")
 
 
-def first_common(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Kind of each list of codes, and for two kinds the smallest code that both hold (or the largest long)."""
-    kinds: dict[bytes, int] = {}
-    kind = np.array([kinds.setdefault(c.tobytes(), len(kinds)) for c in codes])
-    lists = [np.frombuffer(b, np.int64) for b in kinds]
-    every, col = np.unique(np.concatenate(lists), return_inverse=True)
-    has = np.zeros((len(lists), len(every)), bool)
-    has[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), col] = True
-    out = np.full((len(lists), len(lists)), np.iinfo(np.int64).max)
-    for i in range(len(every) - 1, -1, -1):  # smaller codes overwrite
-        w = np.flatnonzero(has[:, i])
-        out[np.ix_(w, w)] = every[i]
-    return kind, out
+def code_bits(codes: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each list of codes: two lists have a code in common where their rows have a bit in common."""
+    row = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+    _, col, n = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    shared = n[col] > 1  # a code of one list alone is in common with none
+    row, col = row[shared], (np.cumsum(n > 1) - 1)[col[shared]]
+    out = np.zeros((len(codes), 8 * (int(col.max(initial=-1)) // 64 + 1)), np.uint8)
+    np.bitwise_or.at(out, (row, col // 8), (1 << (col % 8)).astype(np.uint8))
+    return out.view(np.uint64)
 
 
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = _unit(pdf.v.tolist(), int(pdf.dim.iloc[0]))
         node, copies, block = pdf.node.to_numpy(), pdf.copies.to_numpy(), pdf.block.to_numpy()
-        code, a, b = pdf.code.iloc[0], pdf.a.iloc[0], pdf.b.iloc[0]
-        kind, common = first_common([np.asarray(c, np.int64) for c in pdf.codes])
+        a, b = pdf.a.iloc[0], pdf.b.iloc[0]
+        earlier = code_bits([np.asarray(c, np.int64) for c in pdf.codes])
         links, top = np.zeros(len(x), np.int64), []
         left, right = (np.flatnonzero(block == s) for s in (a, b))
         for s in range(0, len(left), 256):
@@ -241,7 +237,9 @@ def _compare(threshold: float):
             i, j = left[s : s + 256][i], right[j]
             if a == b:
                 i, j = i[i < j], j[i < j]
-            mine = common[kind[i], kind[j]] == code
+            mine = np.ones(len(i), bool)  # pairs that meet in no earlier leaf
+            for c in range(0, len(i), 1 << 16):
+                mine[c : c + 65536] = ~(earlier[i[c : c + 65536]] & earlier[j[c : c + 65536]]).any(1)
             i, j = i[mine], j[mine]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -259,24 +257,28 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int |
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding)."""
     rows = written(_packed(vectors.select(F.col("vec_id").cast("long"), "embedding")), "vectors")
     usable = rows.where("v is not null and vec_id is not null")
-    nodes = written(usable.groupBy("dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).select("node", "dim", "v", "copies"), "distinct-vectors")
+    distinct = usable.groupBy("dim", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    nodes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "dim", "v", "copies", "vec_id"), "distinct-vectors")
     forests = {}
     for dim, n in nodes.groupBy("dim").count().collect():
         share = min(1.0, 2.0 * SAMPLE / n + 0.001)  # what can't be among the first SAMPLE stays in the tasks
-        head = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))
-        sample = [r.v for r in nodes.where((F.col("dim") == dim) & head).select("node", "v").orderBy(F.pmod(F.xxhash64("node"), F.lit(1 << 20)), F.xxhash64("node"), "node").limit(SAMPLE).collect()]
+        head = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) <= int(share * (1 << 20))
+        sample = [r.v for r in nodes.where((F.col("dim") == dim) & head).select("v").orderBy(F.pmod(F.xxhash64("v"), F.lit(1 << 20)), F.xxhash64("v"), "v").limit(SAMPLE).collect()]
         forests[dim] = _grown(_unit([bytes(v) for v in sample], dim), n, trees, leaf, spill, threshold)
     if not forests:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    placed = written(_placed(nodes, forests), "placed")
-    member = placed.withColumn("code", F.explode("codes"))
+    placed = written(_placed(nodes.drop("vec_id"), forests), "placed")
+    # of its list of leaves, a row takes along the ones before the leaf
+    member = placed.withColumn("code", F.explode("codes")).withColumn("codes", F.filter("codes", lambda c: c < F.col("code")))
     sizes = placed.select("dim", F.explode("codes").alias("code")).groupBy("dim", "code").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
     member = member.join(sizes, ["dim", "code"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("a", F.least("block", "o")).withColumn("b", F.greatest("block", "o")).drop("o", "blocks")
     found = written(tiles.groupBy("dim", "code", "a", "b").applyInPandas(_compare(threshold), "node long, other long, links long"), "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    linked = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst"))).select(F.col("id").alias("node"), "component_id")
-    result = nodes.join(counts, "node", "left").join(linked, "node", "left").select("dim", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "node").alias("component_id"))
+    linked = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst"))).select(F.col("id").alias("node"), F.col("component_id").alias("root"))
+    first = linked.join(nodes.select("node", "vec_id"), "node").groupBy("root").agg(F.min("vec_id").alias("first"))
+    linked = linked.join(first, "root").select("node", "first")
+    result = nodes.join(counts, "node", "left").join(linked, "node", "left").select("dim", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "vec_id").alias("component_id"))
     out = rows.join(result, ["dim", "v"], "left")
     usable = F.col("v").isNotNull() & F.col("vec_id").isNotNull()
     own = F.when(usable, F.col("component_id")).otherwise(F.col("vec_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarmac.llm import components, jaccard, labelled, packing, quality, rpforest, secrets, topk, toxicity
+from tarmac.llm import text as words
 
 
 def auc(score, label):
@@ -55,6 +56,63 @@ def test_classifiers_of_odd_tables(spark, module):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def plain_mix(x):
+    mask = (1 << 64) - 1
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return x ^ (x >> 31)
+
+
+def plain_slice(raw):
+    mask = (1 << 64) - 1
+    return plain_mix((sum(int(words.CODES[b]) * pow(int(words.BASE), k, 1 << 64) for k, b in enumerate(raw)) + len(raw)) & mask)
+
+
+def plain_quality(model, text):
+    """One feature after the other: words, pairs of words, n-grams of bytes."""
+    raw, mask = text.encode(), (1 << 64) - 1
+    hashes = [plain_slice(w) for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+    found = list(hashes)
+    found += [1 if a == b else plain_mix((a * 0x9E3779B97F4A7C15 + b) & mask) for a, b in zip(hashes, hashes[1:])]  # noqa: B905
+    for n in quality.NGRAMS:
+        found += [((int.from_bytes(raw[i : i + n], "little") + n) * 0xD6E8FEB86659FD93) & mask for i in range(len(raw) - n + 1)]
+    z = sum(float(model.table[f >> (64 - quality.BITS)]) for f in found) / (len(found) + quality.DAMPING)
+    return 1 / (1 + np.exp(-np.clip(model.slope * z + model.offset, -30, 30)))
+
+
+def plain_toxicity(model, text):
+    counts, z = {}, model.offset
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
+        for key in [plain_slice(w), *[plain_slice(w[:n]) + 1 for n in toxicity.PREFIX if len(w) > n]]:
+            place = (key & ((1 << 64) - 1)) >> (64 - toxicity.BITS)
+            counts[place] = counts.get(place, 0) + 1
+    for place, n in counts.items():
+        at = np.flatnonzero(model.places == place)
+        if len(at):
+            z += sum(model.weights[at[0], k] for k, least in enumerate(toxicity.LEVELS) if n >= least)
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+@pytest.mark.parametrize("module, query, plain, label, fold, cut", [(quality, "op4_quality_classifier", plain_quality, "quality", (4, 2), 0.7), (toxicity, "op9_toxicity", plain_toxicity, "toxic", (5, 0), 0.5)])
+def test_scores_against_plain_loops(spark, tmp_path, module, query, plain, label, fold, cut):
+    """The query's rows are those of a loop over features with the model that it fits, on whole texts of each kind."""
+    some = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(150).select("doc_id", "text")
+    odd = [(10_000, None), (10_001, ""), (10_002, " \n"), (10_003, "Ééé! moron morons MORON " * 4), (10_004, "a b a b b b"), (10_005, "word " * 3000), (None, "no id"), (10_006, "same"), (10_006, "same")]
+    docs = some.union(spark.createDataFrame(odd, some.schema)).withColumns({"score": F.lit("x"), "__y": F.lit(1)})
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").join(some.select("doc_id"), "doc_id")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    model = module.train(docs.select("doc_id", "text"), labels)
+    rows = getattr(module, query)(spark, f"file://{tmp_path}").collect()
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = plain(model, text[r.doc_id])
+        assert r.score == pytest.approx(want, abs=1e-6) and r.predicted == int(r.score >= cut)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % fold[0] == fold[1])
+    assert module.score(docs, model).columns == [*docs.columns] and dict(module.score(docs, model).dtypes)["score"] == "double"
+
+
 def test_swaps_spare_neutral_mentions():
     rnd, texts, labels = random.Random(3), [], []
     for i in range(400):
@@ -190,6 +248,23 @@ def test_forest_recall_and_edges(spark):
     assert [exact[i] for i in range(len(vs))] == links
 
 
+def test_repeated_vector_ids_are_vectors_of_their_own(spark):
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.01]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in rpforest.link_vectors(d).collect())
+    assert got == [(1, 2, 1, True)] * 3 + [(2, 0, 2, True)] * 2
+
+
+def test_code_bits():
+    rng = np.random.default_rng(1)
+    codes = [np.unique(rng.integers(0, 300, rng.integers(0, 9))) for _ in range(60)]
+    bits = rpforest.code_bits(codes)
+    for i in range(60):
+        for j in range(60):
+            if i != j:
+                assert bool((bits[i] & bits[j]).any()) == bool(set(codes[i]) & set(codes[j]))
+    assert not rpforest.code_bits([np.zeros(0, np.int64)] * 3).any()
+
+
 def test_forest_recall_in_a_loose_large_group(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 64))
@@ -241,6 +316,34 @@ def test_top_k_keeps_rows_where_bins_pass_the_range(spark):
         assert sorted(got[1000 + q]) == [(k + 1, i, -x) for k, (x, i) in enumerate(s)]
 
 
+def test_top_k_of_repeated_ids(spark):
+    rows = spark.createDataFrame([(0, [1.0]), (7, [3.0]), (7, [3.0]), (8, [2.0]), (0, [9.0])], "id long, v array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(rows.where("v = array(1.0D)"), rows, 3).collect())
+    assert got == [(0, 1, 7, 3), (0, 2, 7, 3), (0, 3, 8, 2)]  # rows of the query's own id take no part
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, repeated ids of different texts, extra columns of clashing names; and tables without rows."""
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"node": F.lit(1), "bands": F.lit("x"), "spans": F.lit(None).cast("string"), "score": F.lit(0.5), "sequence_id": F.col("doc_id"), "__n": F.lit(2)})
+    good = docs.join(labels.where("quality = 1 and toxic = 0").select("doc_id"), "doc_id", "left_semi").orderBy(F.length("text").desc()).limit(2).collect()
+    odd = [r.asDict() for r in good]
+    odd = [odd[0] | {"doc_id": 900_001}, odd[1] | {"doc_id": 900_001, "text": odd[1]["text"][::-1][:10] + odd[1]["text"]}, odd[0] | {"doc_id": None}, odd[0] | {"doc_id": 900_002, "text": None}, odd[0] | {"doc_id": 900_003, "text": "", "lang": None, "source": None, "n_chars": None}]
+    docs = docs.union(spark.createDataFrame([tuple(r[c] for c in docs.columns) for r in odd], docs.schema))
+    docs.write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    labels.union(labels.limit(1).select(*[F.lit(None).cast(f.dataType) for f in labels.schema])).write.parquet(f"file://{tmp_path}/odd/labels.parquet")
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = spark.createDataFrame(stage(spark, now, f"file://{tmp_path}/odd").collect(), docs.schema)
+        assert now.columns == docs.columns and now.count() > 0
+    rows = corpus_pipeline.run(spark, f"file://{tmp_path}/odd")
+    assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {r.doc_id for r in now.select("doc_id").distinct().collect()}
+    docs.limit(0).write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    labels.limit(0).write.parquet(f"file://{tmp_path}/none/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
+
+
 def test_pipeline_against_its_operators(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
