@@ -9,12 +9,12 @@ from tarmac.sources.stages import staged
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """`df` with __p, the number of its range partition: all of p comes before all of p + 1 in the order.
+    """`df` with __range, the number of its range partition: all of p comes before all of p + 1 in the order.
 
     Bounds come from a sample of the rows, anew in each plan, so the rows are written once with their number
     and everything that is derived from them sees the same partitions.
     """
-    return staged(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranged")
+    return staged(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
 
 
 def cumulative(df: DataFrame, order: list[str], n: str, out: str, by: list[str] | None = None) -> DataFrame:
@@ -26,10 +26,10 @@ def cumulative(df: DataFrame, order: list[str], n: str, out: str, by: list[str]
     by = by or []
     order = [*by, *[c for c in order if c not in by]]
     part = ranged(df, order)
-    sums = part.groupBy("__p").agg(F.sum(n).alias("__s"))
-    before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.sum(n).over(Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    got = part.withColumn(out, own).join(F.broadcast(before), "__p").withColumn(out, F.col(out) + F.col("__before")).drop("__p", "__before")  # a row for each partition
+    sums = part.groupBy("__range").agg(F.sum(n).alias("__s"))
+    before = sums.select("__range", F.coalesce(F.sum("__s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum(n).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = part.withColumn(out, own).join(F.broadcast(before), "__range").withColumn(out, F.col(out) + F.col("__before")).drop("__range", "__before")  # a row for each partition
     if not by:
         return got
     first = got.groupBy(*by).agg(F.min(F.col(out) - F.col(n)).alias("__first"))

@@ -49,10 +49,10 @@ def xi(df: DataFrame, x: str, y: str, key: str = "row_id") -> DataFrame:
     total = d.agg(F.count("*").alias("n"))
     ranks = cumulative(counts, ["y"], "m", "r").crossJoin(F.broadcast(total)).select(F.col("y").alias("__y"), "r", (F.col("n") - F.col("r") + F.col("m")).alias("l"), "n")
     rows = ranged(d.join(ranks, F.col("y") == F.col("__y")).select("x", key, "r", "l", "n"), ["x", key])
-    first = rows.groupBy("__p").agg(F.min_by("r", F.struct("x", key)).alias("r"))
-    next_ = first.select("__p", F.lead("r").over(Window.orderBy("__p")).alias("__next"))  # a row for each partition
-    after = F.coalesce(F.lead("r").over(Window.partitionBy("__p").orderBy("x", key)), F.col("__next"))
-    pairs = rows.join(F.broadcast(next_), "__p").withColumn("after", after)
+    first = rows.groupBy("__range").agg(F.min_by("r", F.struct("x", key)).alias("r"))
+    next_ = first.select("__range", F.lead("r").over(Window.orderBy("__range")).alias("__next"))  # a row for each partition
+    after = F.coalesce(F.lead("r").over(Window.partitionBy("__range").orderBy("x", key)), F.col("__next"))
+    pairs = rows.join(F.broadcast(next_), "__range").withColumn("after", after)
     s = pairs.agg(F.sum(F.abs(F.col("after") - F.col("r"))).alias("d"), F.sum((F.col("l") * (F.col("n") - F.col("l"))).cast("double")).alias("b"), F.max("n").alias("n"))
     return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", (1 - F.try_divide(F.col("n") * F.col("d"), 2 * F.col("b"))).alias("xi"))
 

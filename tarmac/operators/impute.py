@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.order import quantiles
-from tarmac.operators.neighbours import gower, knn_join, ranges_of
+from tarmac.functions.order import cumulative, quantiles
+from tarmac.operators.neighbours import gower, ranges_of
 from tarmac.operators.sampling import order_of
 from tarmac.operators.summary import mode_value
 from tarmac.sources.stages import remove, scratch, stage_path
@@ -110,24 +110,36 @@ def _chain(df: DataFrame, cols: list[str], sweeps: int, key: str, fill) -> DataF
     return now.drop(*[f"__miss_{c}" for c in cols])
 
 
+def _donors(now: DataFrame, pred: Column, c: str, key: str, k: int) -> DataFrame:
+    """(key, __near) of each row that misses c: (distance, prediction, key, value) of the k donors nearest to its prediction.
+
+    All rows are numbered by prediction, observed ones counting; a missing row's place says which numbers can be near.
+    """
+    rows = now.select(key, pred.alias("__p"), F.col(f"__miss_{c}").alias("__m"), F.col(c).alias("__v")).withColumn("__one", (~F.col("__m")).cast("int"))
+    placed = cumulative(rows, ["__p", "__m", key], "__one", "__c")
+    seen = placed.where("not __m").select(F.col("__c").alias("__at"), F.struct("__p", F.col(key).alias("__k"), "__v").alias("__donor"))
+    miss = placed.where("__m").select(key, "__p", "__c")
+    spots = miss.select("__c").distinct().withColumn("__at", F.explode(F.sequence(F.col("__c") - (k - 1), F.col("__c") + k)))
+    lists = spots.join(seen, "__at").groupBy("__c").agg(F.collect_list("__donor").alias("__l"))  # 2 * k at most
+    far = lambda x: F.struct(F.abs(x["__p"] - F.col("__p")).alias("d"), x["__p"].alias("p"), x["__k"].alias("k"), x["__v"].alias("v"))
+    return miss.join(lists, "__c").select(key, F.slice(F.sort_array(F.transform("__l", far)), 1, k).alias("__near"))
+
+
 def impute_pmm(df: DataFrame, cols: list[str], m: int = 1, sweeps: int = 5, key: str = "row_id", seed: int = 500, k: int = 5, average: bool = False) -> DataFrame:
     """Chained predictive mean matching of numeric columns.
 
     A column's prediction is linear in the others, from sums of products over all rows; a missing value
     becomes the observed value of one of the k donors of nearest prediction, drawn by hash, of all observed rows
-    (ties to the smaller key). With average, m draws are averaged in each sweep; else impute_multiple gives m tables.
+    (of equally near ones, those next to it in the order of prediction and key). With average, m draws are averaged
+    in each sweep; impute_multiple gives m tables.
     """
 
     def fill(now: DataFrame, others: list[str], c: str, s: int) -> DataFrame:
-        seen = now.where(~F.col(f"__miss_{c}"))
-        pred = _linear(others, _solve(_gram(seen, others, c)))
-        donors = seen.select(key, pred.alias("__pred"), F.col(c).alias("__value"))
-        near = knn_join(now.where(F.col(f"__miss_{c}")).select(key, pred.alias("__pred")), donors, ["__pred"], k, key)
-        lists = near.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("__l"))
-        draw = lambda i: F.element_at("__l", (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(s), F.lit(c), i), F.size("__l")) + 1).cast("int"))["neighbour"]
-        drawn = lists.select(key, F.explode(F.transform(F.sequence(F.lit(0), F.lit((m if average else 1) - 1)), draw)).alias("__donor"))
-        values = drawn.join(donors.select(F.col(key).alias("__donor"), "__value"), "__donor").groupBy(key).agg(F.avg("__value").alias("__new"))
-        return now.join(values, key, "left")
+        pred = _linear(others, _solve(_gram(now.where(~F.col(f"__miss_{c}")), others, c)))
+        draw = lambda i: F.element_at("__near", (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(s), F.lit(c), i), F.size("__near")) + 1).cast("int"))["v"]
+        n = m if average else 1
+        drawn = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), draw), F.lit(0.0), lambda a, b: a + b) / n
+        return now.join(_donors(now, pred, c, key, k).select(key, drawn.alias("__new")), key, "left")
 
     return _chain(df, cols, sweeps, key, fill)
 

@@ -127,13 +127,13 @@ def knn_join(df: DataFrame, ref: DataFrame, cols: list[str], k: int, key: str =
         """(q, keys, d): for each question (cols, q, cell, r), the nearest points of the cell within r."""
 
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            p, out = right[cols].to_numpy(float), []
-            keys = right["keys"].to_numpy()
+            p, keys, out = right[cols].to_numpy(float), right["keys"].to_numpy(object), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             for a in range(0, len(left) if len(p) else 0, 256):
                 part = left.iloc[a : a + 256]
                 row, at, d = nearest(part[cols].to_numpy(float), p, k + 1, (part.r.to_numpy(float) * (1 + 1e-9)) ** 2)
-                out.append(pd.DataFrame({"q": part.q.to_numpy()[row], "keys": [keys[i] for i in at], "d": d}))
-            return pd.concat(out) if out else pd.DataFrame({"q": pd.Series(dtype="int64"), "keys": pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
+                out.append((part.q.to_numpy(np.int64)[row], at, d))
+            q, at, d = map(np.concatenate, zip(*out, strict=True))
+            return pd.DataFrame({"q": q, "keys": pd.Series([keys[i] for i in at], dtype=object), "d": d})
 
         sizes = blocks(q, "b").join(pieces, "cell")
         left, right = tiled(q, "b", "a", sizes, "q").groupBy("cell", "__a", "__b"), tiled(home, "a", "b", sizes, "keys").groupBy("cell", "__a", "__b")
