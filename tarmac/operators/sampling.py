@@ -29,7 +29,7 @@ def _by_size(df: DataFrame, by: str, want: Column, key: str, seed: int) -> DataF
     sizes = df.groupBy(by).agg(F.count("*").alias("n"))
     sizes = sizes.withColumn("total", F.sum("n").over(Window.partitionBy())).withColumn("__want", want)
     share = F.col("__want") / F.col("n")
-    rows = df.join(F.broadcast(sizes), by).withColumn("__o", order_of(key, seed))
+    rows = df.join(sizes, by).withColumn("__o", order_of(key, seed))
     head = F.conv(F.substring("__o", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     # of n uniform heads, more than `want` lie below share plus 10 standard deviations and 100 rows
     near = rows.where(head <= share + 10 * F.sqrt(share / F.col("n")) + 100 / F.col("n"))
