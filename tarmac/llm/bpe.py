@@ -1,7 +1,7 @@
 """BPE encoding and decoding as streaming machines with bounded memory.
 
-Encoding. Text is fed in chunks. Pre-tokens that are complete are encoded whole; their ids are kept for
-reuse, up to a bound. A pre-token that doesn't end is encoded while it grows: the merge list has a
+Encoding. Text is fed in chunks. Pre-tokens that are complete are merged whole by the tokenizers library; their
+ids are kept for reuse, up to a bound. A pre-token that doesn't end is encoded while it grows: the merge list has a
 sufficient lookahead, so a token is stable, and emitted, once that many symbols are known behind it.
 
 Lookahead. Seen as passes over the text in order of priority, an unknown continuation can only change
@@ -28,6 +28,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,11 +66,29 @@ def lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
     return most + 1  # the last known symbol may still become the last of its word
 
 
+class Spelling:
+    """Byte strings by number, joined for many numbers at once."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.length = np.array([len(p) for p in pieces], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+
+    def join(self, ids: list[int]) -> bytes:
+        at = np.array(ids, np.int64)
+        n = self.length[at]
+        first = np.cumsum(n) - n
+        where = np.repeat(self.start[at] - first, n)
+        where += np.arange(len(where))
+        return self.bytes[where].tobytes()
+
+
 class Tokenizer:
     """What a tokenizer file says, and the ids of words met so far."""
 
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer as Library
 
         with open(path, encoding="utf-8") as f:
             d = json.load(f)
@@ -86,7 +105,9 @@ class Tokenizer:
         self.token = [""] * (max([*self.vocab.values(), *self.special.values()]) + 1)
         for t, i in chain(self.vocab.items(), self.special.items()):
             self.token[i] = t
-        self.number = [str(i) for i in range(len(self.token))]
+        self.numbers = Spelling([b" %d" % i for i in range(len(self.token))])
+        self.spelling = Decoder.spelling(self.token)
+        self.model = Library.from_file(path).model
         # what a run of letters or of other signs goes on with
         self.goes_on = {"L": regex.compile(r"\p{L}*"), "O": regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]*")}
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -98,9 +119,8 @@ class Tokenizer:
         return [self.symbol[b] for b in text.encode("utf-8")]
 
     def word(self, word: str) -> tuple[int, ...]:
-        s = self.symbols(word)
-        s[-1] += self.suffix
-        return tuple(self.vocab[t] for t in self.merge(s))
+        """ids of a whole pre-token; the model itself puts the suffix behind its last symbol."""
+        return tuple([t.id for t in self.model.tokenize("".join(self.symbols(word)))])
 
     def merge(self, s: list[str]) -> list[str]:
         """Merges the pair of the best rank, the leftmost first, until none is left."""
@@ -264,25 +284,29 @@ class Encoder:
 class Decoder:
     """Text of ids, fed piece by piece; an incomplete character waits for its other bytes.
 
-    decoder: what the file names as its decoder; None joins token strings by spaces.
+    spelling: the bytes of each token, made once by spelling() for what the file names as its decoder. Without
+    one, token strings are joined by spaces.
     """
 
-    def __init__(self, token: list[str], decoder: str | None = None):
-        self.token, self.decoder, self.first = token, decoder, True
-        self.bytes = {c: bytes([b]) for b, c in enumerate(byte_symbols())}
+    def __init__(self, spelling: Spelling, decoder: str | None = None):
+        self.pieces, self.skip = spelling, decoder is None  # the space before the first token
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
+    @staticmethod
+    def spelling(token: list[str], decoder: str | None = None) -> Spelling:
+        if decoder is None:
+            return Spelling([b" " + t.encode() for t in token])
+        byte = {c: bytes([b]) for b, c in enumerate(byte_symbols())}
+        return Spelling([b"".join(byte.get(c) or c.encode() for c in t) for t in token])
+
     def feed(self, ids: list[int]) -> str:
-        if self.decoder is None:
-            if not ids:
-                return ""
-            text = " ".join(map(self.token.__getitem__, ids))
-            text, self.first = (text if self.first else " " + text), False
-            return text
-        return self.utf8.decode(b"".join(self.bytes.get(c) or c.encode() for i in ids for c in self.token[i]))
+        raw = self.pieces.join(ids)
+        if self.skip and raw:
+            raw, self.skip = raw[1:], False
+        return self.utf8.decode(raw)
 
     def finish(self) -> str:
-        return "" if self.decoder is None else self.utf8.decode(b"", True)
+        return self.utf8.decode(b"", True)
 
 
 def encoded(text: str, tok: Tokenizer, chunk: int = CHUNK) -> Iterator[list[int]]:
@@ -305,7 +329,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
                 ids = [list(chain.from_iterable(encoded(t or "", tok))) for t in part.column(1).to_pylist()]
                 texts = []
                 for x in ids:
-                    d = Decoder(tok.token)
+                    d = Decoder(tok.spelling)
                     texts.append(d.feed(x) + d.finish())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
@@ -321,10 +345,11 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column(1):
-                n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok.token)
+                n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok.spelling)
                 for ids in encoded(text.as_py() or "", tok):
                     if ids:
-                        ids_hash.update((" " * bool(n) + " ".join(map(tok.number.__getitem__, ids))).encode())
+                        numbers = tok.numbers.join(ids)
+                        ids_hash.update(numbers if n else numbers[1:])
                         text_hash.update(decoder.feed(ids).encode())
                         n += len(ids)
                 text_hash.update(decoder.finish().encode())

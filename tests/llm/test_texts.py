@@ -322,11 +322,23 @@ def test_bpe_matches_the_library(word_bpe):
         want = ref.encode(t, add_special_tokens=False).ids
         for size in (bpe.CHUNK, 7, 1) if len(t) < 100 else (bpe.CHUNK, 999):
             assert list(chain.from_iterable(bpe.encoded(t, tok, size))) == want, t
-        d = bpe.Decoder(tok.token)
+        d = bpe.Decoder(tok.spelling)
         half = len(want) // 2
         assert d.feed(want[:half]) + d.feed(want[half:]) + d.finish() == ref.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abcdethinsr'1é漢 ")), min_size=1, max_size=30))
+def test_bpe_own_merges_are_those_of_the_model(text):
+    if not hasattr(bpe, "_tok"):
+        bpe._tok = bpe.Tokenizer(bpe.tokenizer_path())
+    tok = bpe._tok
+    for word in (text, text * 4):
+        s = tok.symbols(word)
+        s[-1] += tok.suffix
+        assert tuple(tok.vocab[t] for t in tok.merge(s)) == tok.word(word)
+
+
 def test_bpe_holds_a_bounded_part(word_bpe):
     tok, _ = word_bpe
     machine = bpe.Encoder(tok)
@@ -342,7 +354,7 @@ def test_byte_decoder_waits_for_whole_characters():
     token = [ref.id_to_token(i) for i in range(ref.get_vocab_size())]
     text = "é漢字😀 ok"
     ids = ref.encode(text, add_special_tokens=False).ids
-    d = bpe.Decoder(token, "ByteLevel")
+    d = bpe.Decoder(bpe.Decoder.spelling(token, "ByteLevel"), "ByteLevel")
     assert "".join(d.feed([i]) for i in ids) + d.finish() == text
 
 
