@@ -134,7 +134,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with a double column `out`; the table of numbers, 1 MB, is broadcast."""
+    """`docs` with a double column `out`, in place of one of that name; the table of numbers, 1 MB, is broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -201,7 +201,7 @@ def _descend(y: np.ndarray, used: np.ndarray, x: tuple, d: tuple, weight: np.nda
 
 
 def score(docs: DataFrame, model: Model, col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with a double column `out`; the few weights that aren't 0 are broadcast."""
+    """`docs` with a double column `out`, in place of one of that name; the few weights that aren't 0 are broadcast."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
