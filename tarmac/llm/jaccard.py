@@ -263,9 +263,9 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     judged = sig.where("doc_id is not null").join(keep, (F.col("node") == F.col("kept")) & (F.col("doc_id") == F.col("kept_id")), "left")
     ids = judged.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("node").isNull() | F.col("kept").isNotNull()).alias("stays"))
     # whole rows travel in one column, so that no name of theirs meets one of these
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     named = rows.join(ids.where("times > 1 or stays"), F.col("id") == F.col("doc_id"))
-    many = _with_node(named.where("times > 1").select("id", "row", "text"), n)
+    many = _with_node(named.where("times > 1").select("id", "row", F.col("row")["text"].cast("string").alias("text")), n)
     chosen = many.where("node is not null").join(keep, (F.col("node") == F.col("kept")) & (F.col("id") == F.col("kept_id")), "left_semi").groupBy("id", "node").agg(F.min_by("row", "text").alias("row"))
     every = named.where("times = 1").select("row").union(chosen.select("row")).union(many.where("node is null").select("row")).union(rows.where("id is null").select("row"))
     return every.select(*[F.col("row")[c].alias(c) for c in docs.columns])
