@@ -1,8 +1,8 @@
 """BPE encoding and decoding as streaming machines with bounded memory.
 
-Encoding. Text is fed in chunks. Pre-tokens that are complete are merged whole by the tokenizers library; their
-ids are kept for reuse, up to a bound. A pre-token that doesn't end is encoded while it grows: the merge list has a
-sufficient lookahead, so a token is stable, and emitted, once that many symbols are known behind it.
+Encoding. Text is fed in chunks, cut into pre-tokens as it comes, and each pre-token goes through a transducer over its
+symbols: the merge list has a sufficient lookahead, so a token is stable, and emitted, once that many symbols are known
+behind it, or when the pre-token ends. What the transducer gave for a short pre-token is kept for reuse, up to a bound.
 
 Lookahead. Seen as passes over the text in order of priority, an unknown continuation can only change
 what lies left of it by a merge u+v in which v reaches into the unknown. That makes u unknown too, to
@@ -13,6 +13,11 @@ token sequence is the encoding of its own text, so what was emitted can be forgo
 Decoding. Tokens are mapped to bytes and these to text by an incremental UTF-8 machine that holds an
 incomplete character until it ends; a tokenizer without a decoder joins token strings by spaces.
 
+Unicode. Characters that older tables know and that aren't marks are normalised and classed by Python; texts
+with others are normalised by the normaliser of the tokenizer file, and such characters are classed by what its own splitting
+does with them, so that its tables count. Text is cut before characters that compose with nothing before
+them; a run without any (marks, vowels and finals of Hangul) is held whole.
+
 Supported are tokenizer files with a word-splitting pattern, byte-level symbols and an end-of-word
 suffix. Null text is the empty text, which has no ids; special tokens in a text are those tokens.
 """
@@ -26,6 +31,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain, islice
 
 import numpy as np
@@ -54,6 +60,29 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _old(c: str) -> bool:
+    """Known to the tables of Unicode 3.2, and neither a mark nor a part of a Hangul syllable."""
+    return unicodedata.ucd_3_2_0.category(c) not in ("Cn", "Cs") and unicodedata.category(c)[0] != "M" and not "\u1100" <= c <= "\u11ff"
+
+
+@cache
+def usual() -> str:
+    """The characters of the basic plane that need no table of the library, as ranges of a pattern."""
+    out, first = [], None
+    for i in range(0x10001):
+        if i < 0x10000 and _old(chr(i)):
+            first = i if first is None else first
+        elif first is not None:
+            out.append(f"\\u{first:04x}-\\u{i - 1:04x}")
+            first = None
+    return "".join(out)
+
+
+def stands_alone(c: str) -> bool:
+    """Composes with nothing before it: no mark, no vowel or final of Hangul, nothing that Python's tables don't know."""
+    return c < "\x80" or (unicodedata.category(c) not in ("Mn", "Mc", "Me", "Cn") and not unicodedata.combining(c) and not "\u1160" <= c <= "\u11ff" and not "\ud7b0" <= c <= "\ud7ff")
+
+
 def lookahead(merges: list[tuple[str, str]], suffix: str = "") -> int:
     """Symbols that must be known behind a token to make it stable, for merges by priority."""
     reach: dict[str, int] = {}  # left side: how far back the unknown can reach by rules that merge it
@@ -107,20 +136,45 @@ class Tokenizer:
             self.token[i] = t
         self.numbers = Spelling([b" %d" % i for i in range(len(self.token))])
         self.spelling = Decoder.spelling(self.token)
-        self.model = Library.from_file(path).model
+        library = Library.from_file(path)
+        self.normaliser, self.splitter = library.normalizer, library.pre_tokenizer
+        self.unusual = re.compile(f"[^{usual()}]")
+        self.classes: dict[int, str] = {}  # of unusual characters met so far: a character of their class
         # what a run of letters or of other signs goes on with
         self.goes_on = {"L": regex.compile(r"\p{L}*"), "O": regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]*")}
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.split_ascii = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z]+|[0-9]|[^{SPACE}A-Za-z0-9]+")
         self.letter = regex.compile(r"\p{L}")
+        self.longest = max(1024, 2 * self.lookahead)  # symbols that the transducer holds before it looks for stable tokens
         self.known: dict[str, tuple] = _Known(self)
 
     def symbols(self, text: str) -> list[str]:
         return [self.symbol[b] for b in text.encode("utf-8")]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """ids of a whole pre-token; the model itself puts the suffix behind its last symbol."""
-        return tuple([t.id for t in self.model.tokenize("".join(self.symbols(word)))])
+    def normal(self, raw: str) -> str:
+        """Composed and in lower case, each character by itself: no final sigma."""
+        if raw.isascii():
+            return raw.lower()
+        if self.unusual.search(raw):
+            return self.normaliser.normalize_str(raw)
+        return unicodedata.normalize("NFC", raw).replace("Σ", "σ").lower()
+
+    def classed(self, text: str) -> str:
+        """The text with one character of the same class in place of each unusual one."""
+        if text.isascii() or not (found := set(self.unusual.findall(text))):
+            return text
+        size = lambda x: len(self.splitter.pre_tokenize_str(x))
+        for c in found:
+            if ord(c) not in self.classes:
+                self.classes[ord(c)] = "x" if size("x" + c) == 1 else "#" if size("#" + c) == 1 else "0" if size("0" + c) == 2 else " "
+        return text.translate(self.classes)
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of normalised text."""
+        if text.isascii():
+            return self.split_ascii.findall(text)
+        like = self.classed(text)
+        return self.split.findall(text) if like is text else [text[m.start() : m.end()] for m in self.split.finditer(like)]
 
     def merge(self, s: list[str]) -> list[str]:
         """Merges the pair of the best rank, the leftmost first, until none is left."""
@@ -158,8 +212,32 @@ class Tokenizer:
         return [t for t in s if t is not None]
 
 
+class Transducer:
+    """Merges the symbols of one pre-token. feed() gives the ids of what has become stable, finish() those of the rest."""
+
+    def __init__(self, tok: Tokenizer, longest: int | None = None):
+        self.tok, self.longest, self.held = tok, longest or tok.longest, []
+
+    def feed(self, symbols: list[str]) -> list[int]:
+        self.held += symbols
+        if len(self.held) <= self.longest:
+            return []
+        out, at, most = [], 0, len(self.held) - self.tok.lookahead
+        for t in self.tok.merge(self.held[:]):
+            if at + len(t) > most:
+                break
+            out.append(self.tok.vocab[t])
+            at += len(t)
+        self.held = self.held[at:]
+        return out
+
+    def finish(self) -> list[int]:
+        self.held[-1] += self.tok.suffix
+        return [self.tok.vocab[t] for t in self.tok.merge(self.held)]
+
+
 class _Known(dict):
-    """ids of words; the oldest half goes when it is full."""
+    """ids of pre-tokens as the transducer gives them; the oldest half goes when it is full."""
 
     def __init__(self, tok: Tokenizer):
         super().__init__()
@@ -169,7 +247,8 @@ class _Known(dict):
         if len(self) >= CACHE:
             for k in list(islice(self, CACHE // 2)):
                 del self[k]
-        ids = self.tok.word(word)
+        machine = Transducer(self.tok)
+        ids = (*machine.feed(self.tok.symbols(word)), *machine.finish())
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -180,10 +259,10 @@ class Encoder:
 
     def __init__(self, tok: Tokenizer, longest: int | None = None):
         self.tok = tok
-        self.longest = longest or max(1024, 2 * tok.lookahead)  # symbols of a pre-token that are held whole
+        self.longest = longest or tok.longest  # symbols of a pre-token that are held whole
         self.raw = ""  # text that isn't normalised yet
         self.text = ""  # normalised text from the first pre-token that may go on
-        self.run: tuple[str, list[str]] | None = None  # kind and symbols of a pre-token that is being emitted
+        self.run: tuple[str, Transducer] | None = None  # kind and machine of a pre-token that is being emitted
 
     def feed(self, chunk: str) -> list[int]:
         self.raw += chunk
@@ -198,14 +277,13 @@ class Encoder:
         return self._through_specials(head, True)
 
     def _cut(self) -> int:
-        """Where normalisation can be cut: before an ASCII character that starts no special token, at best a space."""
+        """Where normalisation can be cut: before a character that composes with nothing before it and starts no special token, at best a space."""
         raw = self.raw
         at = raw.rfind(" ")
         if at > 0:
             return at
         for i in range(len(raw) - 1, 0, -1):
-            c = raw[i]
-            if (c < "\x80" or (not unicodedata.combining(c) and unicodedata.normalize("NFC", raw[i - 1] + c) == unicodedata.normalize("NFC", raw[i - 1]) + unicodedata.normalize("NFC", c))) and not self._in_special(raw, i):
+            if stands_alone(raw[i]) and not self._in_special(raw, i):
                 return i
         return 0
 
@@ -218,38 +296,29 @@ class Encoder:
 
     def _through_specials(self, raw: str, last: bool) -> list[int]:
         if "<" not in raw or not self.tok.specials.search(raw):
-            return self._words(self._normal(raw), last)
+            return self._words(self.tok.normal(raw), last)
         out: list[int] = []
         at = 0
         for m in self.tok.specials.finditer(raw):
-            out += self._words(self._normal(raw[at : m.start()]), True)
+            out += self._words(self.tok.normal(raw[at : m.start()]), True)
             out.append(self.tok.special[m[0]])
             at = m.end()
-        return out + self._words(self._normal(raw[at:]), last)
-
-    @staticmethod
-    def _normal(raw: str) -> str:
-        if not raw.isascii():
-            raw = unicodedata.normalize("NFC", raw).replace("Σ", "σ")  # each character by itself: no final sigma
-        return raw.lower()
+        return out + self._words(self.tok.normal(raw[at:]), last)
 
     def _words(self, fresh: str, last: bool) -> list[int]:
         """ids of the pre-tokens that are complete in what is held and `fresh`."""
         out: list[int] = []
         if self.run:
-            kind, held = self.run
-            more = self.tok.goes_on[kind].match(fresh)[0]
-            held += self.tok.symbols(more)
+            kind, machine = self.run
+            more = fresh[: self.tok.goes_on[kind].match(self.tok.classed(fresh)).end()]
             fresh = fresh[len(more) :]
-            if fresh or last:
-                held[-1] += self.tok.suffix
-                out += [self.tok.vocab[t] for t in self.tok.merge(held)]
-                self.run = None
-            else:
-                return self._stable()
+            out += machine.feed(self.tok.symbols(more))
+            if not fresh and not last:
+                return out
+            out += machine.finish()
+            self.run = None
         text = self.text + fresh
-        split = self.tok.split_ascii if text.isascii() else self.tok.split
-        found = split.findall(text)
+        found = self.tok.pieces(text)
         if last:
             self.text = ""
         else:
@@ -261,23 +330,10 @@ class Encoder:
             self.text = text[keep:]
         out += chain.from_iterable(map(self.tok.known.__getitem__, found))
         if len(self.text) > self.longest:
-            kind = "L" if self.tok.letter.match(self.text) else "O"
-            self.run, self.text = (kind, self.tok.symbols(self.text)), ""
-            out += self._stable()
-        return out
-
-    def _stable(self) -> list[int]:
-        """Emits the tokens of the current run that lie further back than the lookahead."""
-        kind, held = self.run
-        if len(held) <= self.longest:
-            return []
-        out, at = [], 0
-        for t in self.tok.merge(held[:]):
-            if at + len(t) > len(held) - self.tok.lookahead:
-                break
-            out.append(self.tok.vocab[t])
-            at += len(t)
-        self.run = (kind, held[at:])
+            machine = Transducer(self.tok, self.longest)
+            self.run = "L" if self.tok.letter.match(self.tok.classed(self.text)) else "O", machine
+            out += machine.feed(self.tok.symbols(self.text))
+            self.text = ""
         return out
 
 
