@@ -7,14 +7,16 @@ fits whole, again and again; when none fits, the piece with the largest product
 A piece as long as a sequence is one. So a sequence ends short of its tokens only at another limit or
 at the end of the partition. Nothing is shuffled, and memory is bounded by the pool and one document.
 
-Texts are encoded by byte-pair merging with the vocabulary of the tokenizer file, whose ids are the ranks
-of its merges; another kind of file is refused. A document may have a prompt, whose tokens come first
+Texts are encoded by byte-pair merging (tiktoken) with the vocabulary of the tokenizer file, whose ids are the ranks
+of its merges; another kind of file is refused. Long runs of white space, which overflow the stack of the splitting
+pattern, are cut out and merged as the one piece that they are. A document may have a prompt, whose tokens come first
 and bear no loss. Null or empty text: the end id alone. A repeated row is packed again.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -24,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.bpe import byte_symbols
+from tarmac.llm.bpe import SPACE, byte_symbols
 from tarmac.llm.common import kept, table
 
 LENGTH, SEGMENTS, POOL, END_ID = 2048, 256, 64, 1
 #: Fixed value: how byte-level BPE of this kind splits text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG = re.compile(f"[{SPACE}]{{4096,}}")
 
 
 def tokenizer_path() -> str:
@@ -54,10 +57,20 @@ class Encoder:
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
-        self._encode = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special).encode_to_numpy
+        self.model = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
 
     def encode(self, text: str) -> bytes:
-        return self._encode(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+        parts, at = [], 0
+        for m in LONG.finditer(text):
+            # the run is one piece, but that its last character goes to what follows
+            end = m.end() if m.end() == len(text) or text.startswith(self.special, m.end()) else m.end() - 1
+            parts += [self._encoded(text[at : m.start()]), np.array(self.model._encode_single_piece(text[m.start() : end]), "<u4")]
+            at = end
+        return b"".join(p.tobytes() for p in [*parts, self._encoded(text[at:])])
+
+    def _encoded(self, text: str) -> np.ndarray:
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
 
 class Packer:
