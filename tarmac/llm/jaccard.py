@@ -6,8 +6,8 @@ from the threshold and the recall wanted at it. Classes that share a band hash a
 buckets are a group. Full sets are compared either bucket by bucket, a pair counting in the first band that
 it shares, or group by group, whichever ships fewer texts: dense groups (many near copies) are
 compared as wholes, wide ones (chance collisions in boilerplate) by buckets. Both give the same links.
-Buckets and groups are cut into tiles of two blocks of at most BLOCK classes; a task compares the classes of
-one tile that share a band hash, counts the links and passes on a spanning forest of them. So no pair of rows
+Buckets and groups are cut by hash into blocks of about BLOCK classes or BLOCK_BYTES of text, whichever is less, and tiles
+are pairs of blocks; a task compares the classes of one tile that share a band hash, counts the links and passes on a spanning forest of them. So no pair of rows
 is emitted or dropped, a copy costs nothing, and a large group is spread over many tasks.
 
 One row per document: class_id (smallest doc_id with that set), n_links (other documents with a
@@ -15,7 +15,8 @@ similarity of at least the threshold, copies included), component_id (smallest d
 links), kept (whether its doc_id is that smallest one).
 Documents without words and rows without doc_id link with nothing and are kept. Repeated rows are
 copies of each other; rows of one doc_id with different texts are linked as texts, each of its own class.
-A class is named by a 64-bit hash of its set.
+A class is named by a 63-bit hash of its set, and its text, one for each class, is found by doc_id and a 64-bit hash
+of the text, so that many rows of one id cost what others do.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tarmac.llm.components import components
 from tarmac.llm.text import BASE, U, hashed, mix
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9995, 64
-BLOCK, COLUMNS = 512, 2048
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 16 << 20, 2048
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -95,8 +96,9 @@ def _signer(bands: int, rows: int):
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, bands) of each row; node is null where nothing can be linked."""
+    """(doc_id, node, bands, key, bytes) of each row; node is null where nothing can be linked, key and bytes are hash and size of the text."""
     sign = _signer(bands, rows)
+    names = ["doc_id", "node", "bands", "key", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +112,7 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 sigs = sign([s for s, k in zip(held, known, strict=True) if k]) if known.any() else np.zeros((0, bands), np.uint64)
                 nodes = iter([node_of(s) for s, k in zip(held, known, strict=True) if k])
                 offsets = np.concatenate(([0], np.cumsum(known * bands))).astype(np.int32)
-                return pa.RecordBatch.from_arrays([part, pa.array([next(nodes) if k else None for k in known], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sigs.view(np.int64).ravel()))], ["doc_id", "node", "bands"])
+                return pa.RecordBatch.from_arrays([part, pa.array([next(nodes) if k else None for k in known], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(sigs.view(np.int64).ravel())), batch.column(2).slice(a, len(held)), batch.column(3).slice(a, len(held))], names)
 
             for s in shingles(batch.column(1), n):
                 held.append(s)
@@ -121,7 +123,8 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             if held:
                 yield flush(first, held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, bands array<long>")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text), F.octet_length(text).cast("long")).mapInArrow(run, "doc_id long, node long, bands array<long>, key long, bytes long")
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -167,9 +170,6 @@ def _compare(n: int, threshold: float):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = list(shingles(pa.array(pdf.text, pa.string()), n))
-        right = np.array([len(s) > 0 and node_of(s) == k for s, k in zip(sets, pdf.node, strict=True)], bool)
-        right &= ~pdf.node.duplicated().to_numpy() if right.all() else ~pdf.node.where(right, -1 - np.arange(len(pdf))).duplicated().to_numpy()
-        pdf, sets = pdf[right], [s for s, k in zip(sets, right, strict=True) if k]
         if len(sets) < 2:
             return pd.DataFrame({"node": [], "other": [], "links": []}, dtype="Int64")
         sizes = np.array([len(s) for s in sets])
@@ -195,18 +195,18 @@ def _compare(n: int, threshold: float):
 
 
 def _tiles(classes: DataFrame) -> DataFrame:
-    """Candidates among classes (node, bands): (key, band, a, b, node, block), with band -1 where a whole group is compared."""
-    exploded = classes.select("node", F.posexplode("bands").alias("band", "hash"))
-    buckets = exploded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    """Candidates among classes (node, bands, bytes): (key, band, a, b, node, block), with band -1 where a whole group is compared."""
+    exploded = classes.select("node", "bytes", F.posexplode("bands").alias("band", "hash"))
+    buckets = exploded.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count("*").alias("n"), F.sum("bytes").alias("all")).where("n > 1")
     inside = written(exploded.join(buckets, ["band", "hash"]), "buckets")
-    groups = written(components(inside.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))), "groups")
-    blocks = lambda n: F.ceil(n / BLOCK)
-    # texts that a group ships as one, and bucket by bucket; the members of a bucket are all in one group
-    each = inside.where("node = least").join(groups, F.col("node") == F.col("id")).groupBy("component_id").agg(F.sum(F.col("n") * blocks(F.col("n"))).alias("apart"))
-    sizes = groups.groupBy("component_id").agg(F.count("*").alias("n")).join(each, "component_id").withColumn("whole", F.col("n") * blocks(F.col("n")) <= F.col("apart"))
-    member = groups.join(sizes.select("component_id", F.col("n").alias("size"), "whole"), "component_id")
-    whole = member.where("whole").select(F.col("component_id").alias("key"), F.lit(-1).alias("band"), F.col("id").alias("node"), blocks(F.col("size")).cast("int").alias("blocks"))
-    wide = member.where("not whole").select(F.col("id").alias("node")).join(inside, "node").select(F.col("hash").alias("key"), "band", "node", blocks(F.col("n")).cast("int").alias("blocks"))
+    groups = written(components(inside.where("node <> least").select(F.col("node").alias("src"), F.col("least").alias("dst"))).join(classes.select(F.col("node").alias("id"), "bytes"), "id"), "groups")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("all") / BLOCK_BYTES)).cast("int")
+    # bytes that a group ships as one, and bucket by bucket; the members of a bucket are all in one group
+    each = inside.where("node = least").join(groups.select("id", "component_id"), F.col("node") == F.col("id")).groupBy("component_id").agg(F.sum(F.col("all") * blocks).alias("apart"))
+    sizes = groups.groupBy("component_id").agg(F.count("*").alias("n"), F.sum("bytes").alias("all")).withColumn("blocks", blocks).join(each, "component_id").withColumn("whole", F.col("all") * F.col("blocks") <= F.col("apart"))
+    member = groups.join(sizes.select("component_id", "blocks", "whole"), "component_id")
+    whole = member.where("whole").select(F.col("component_id").alias("key"), F.lit(-1).alias("band"), F.col("id").alias("node"), "blocks")
+    wide = member.where("not whole").select(F.col("id").alias("node")).join(inside, "node").select(F.col("hash").alias("key"), "band", "node", blocks.alias("blocks"))
     placed = whole.union(wide).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
     return placed.select("key", "band", "node", "block", other).select("key", "band", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "node", "block")
@@ -219,16 +219,21 @@ def _linked(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[D
     """
     bands, rows = bands_for(threshold, recall)
     sig = written(signed(docs, n, bands, rows), "signed")
-    classes = written(sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.col("text").cast("string").alias("text"))
-    found = _tiles(classes).join(classes, "node").join(texts, "class_id").groupBy("key", "band", "a", "b").applyInPandas(_compare(n, threshold), "node long, other long, links long")
+    first = F.min(F.struct("doc_id", "key", "bytes"))
+    classes = sig.where("node is not null").groupBy("node").agg(first.alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    classes = written(classes.select("node", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("text_key"), F.col("first.bytes").alias("bytes"), "copies", "bands"), "classes")
+    text = F.col("text").cast("string")
+    # a text for each class: rows of one id differ by the hash of their text, repeated rows are taken once
+    texts = docs.select(F.col("doc_id").cast("long").alias("class_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).groupBy("class_id", "text_key").agg(F.first("text").alias("text"))
+    candidates = _tiles(classes.select("node", "bands", "bytes")).join(classes.drop("bytes"), "node")
+    found = candidates.join(texts, ["class_id", "text_key"]).groupBy("key", "band", "a", "b").applyInPandas(_compare(n, threshold), "node long, other long, links long")
     found = written(found, "links")
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     linked = components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     named = linked.join(classes.select(F.col("node").alias("id"), "class_id"), "id")
     first = named.groupBy("component_id").agg(F.min(F.struct("class_id", "id")).alias("first"))
     named = named.join(first, "component_id").select(F.col("id").alias("node"), "first")
-    result = classes.drop("bands").join(counts, "node", "left").join(named, "node", "left")
+    result = classes.drop("bands", "text_key", "bytes").join(counts, "node", "left").join(named, "node", "left")
     return sig.select("doc_id", "node"), result.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first.class_id", "class_id").alias("component_id"), F.coalesce(F.col("first.id") == F.col("node"), F.lit(True)).alias("keeper"))
 
 
