@@ -41,7 +41,8 @@ def redundant(corr: DataFrame, cut: float = 0.85) -> list[str]:
 def xi(df: DataFrame, x: str, y: str, key: str = "row_id") -> DataFrame:
     """(x, y, n, xi): Chatterjee's coefficient; ties in x are ordered by key.
 
-    1 - n * sum |r(i+1) - r(i)| / (2 * sum l(i) * (n - l(i))), r and l the numbers of values not above, not below.
+    1 - n * sum |r(i+1) - r(i)| / (2 * sum l(i) * (n - l(i))), r and l the numbers of values not above, not below. Sums and
+    products are doubles, since they grow with the cube of the rows.
     Rows are sorted in range partitions; the row after a partition's last one is the first of the next partition.
     """
     d = df.select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
@@ -53,8 +54,9 @@ def xi(df: DataFrame, x: str, y: str, key: str = "row_id") -> DataFrame:
     next_ = first.select("__range", F.lead("r").over(Window.orderBy("__range")).alias("__next"))  # a row for each partition
     after = F.coalesce(F.lead("r").over(Window.partitionBy("__range").orderBy("x", key)), F.col("__next"))
     pairs = rows.join(F.broadcast(next_), "__range").withColumn("after", after)
-    s = pairs.agg(F.sum(F.abs(F.col("after") - F.col("r"))).alias("d"), F.sum((F.col("l") * (F.col("n") - F.col("l"))).cast("double")).alias("b"), F.max("n").alias("n"))
-    return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", (1 - F.try_divide(F.col("n") * F.col("d"), 2 * F.col("b"))).alias("xi"))
+    n, ll = (F.col(c).cast("double") for c in ("n", "l"))
+    s = pairs.agg(F.sum(F.abs(F.col("after") - F.col("r")).cast("double")).alias("d"), F.sum(ll * (n - ll)).alias("b"), F.max("n").alias("n"))
+    return s.select(F.lit(x).alias("x"), F.lit(y).alias("y"), "n", (1 - F.try_divide(n * F.col("d"), 2 * F.col("b"))).alias("xi"))
 
 
 def xi_matrix(df: DataFrame, cols: list[str], key: str = "row_id", low: float | None = None, high: float | None = None) -> DataFrame:
@@ -78,7 +80,7 @@ def near_zero_variance(df: DataFrame, cols: list[str], ratio: float = 95 / 5, un
 def residuals(df: DataFrame, r: str, c: str) -> DataFrame:
     """(row_cat, col_cat, n, expected, residual): adjusted standardised residuals."""
     cells = contingency(df, r, c).select("row_cat", "col_cat", "n")
-    rows, cols, every = (F.sum("n").over(Window.partitionBy(*p)) for p in (["row_cat"], ["col_cat"], []))
+    rows, cols, every = (F.sum("n").over(Window.partitionBy(*p)).cast("double") for p in (["row_cat"], ["col_cat"], []))
     d = cells.withColumns({"__r": rows, "__c": cols}).withColumn("__t", every)
     e = F.col("__r") * F.col("__c") / F.col("__t")
     adj = F.sqrt(e * (1 - F.col("__r") / F.col("__t")) * (1 - F.col("__c") / F.col("__t")))
@@ -136,8 +138,8 @@ def cramers_v(df: DataFrame, cols: list[str], target: str) -> DataFrame:
     """(variable, v) of each column against the target, strongest first. All columns are counted in one pass."""
     d = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("t"), *[F.col(c).cast("string").alias(c) for c in cols])
     n = d.unpivot(["t"], cols, "variable", "level").where("level is not null").groupBy("variable", "level", "t").agg(F.count("*").alias("n"))
-    w = lambda *p: F.sum("n").over(Window.partitionBy("variable", *p))
-    m = n.withColumns({"r": w("level"), "c": w("t"), "total": w()})
+    w = lambda *p: F.sum("n").over(Window.partitionBy("variable", *p)).cast("double")
+    m = n.withColumns({"n": F.col("n").cast("double"), "r": w("level"), "c": w("t"), "total": w()})
     # empty cells add their expected counts, which sum to total minus those of the filled cells
     s = m.groupBy("variable").agg((F.sum(F.col("n") * F.col("n") / (F.col("r") * F.col("c") / F.col("total"))) - F.max("total")).alias("chi2"), F.max("total").alias("total"), F.count_distinct("level").alias("a"), F.count_distinct("t").alias("b"))
     return s.select("variable", F.sqrt(F.try_divide(F.greatest(F.col("chi2"), F.lit(0.0)), F.col("total") * (F.least("a", "b") - 1))).alias("v")).orderBy(F.desc("v"), "variable")

@@ -48,8 +48,8 @@ def chi_square_by(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     """(variable, statistic, dof, p) of many categorical columns against clusters, counted in one pass."""
     d = df.where(F.col(by).isNotNull()).select(F.col(by).alias("g"), *[F.col(c).cast("string").alias(c) for c in cols])
     n = d.unpivot(["g"], cols, "variable", "level").where("level is not null").groupBy("variable", "level", "g").agg(F.count("*").alias("n"))
-    w = lambda *p: F.sum("n").over(Window.partitionBy("variable", *p))
-    m = n.withColumns({"r": w("level"), "c": w("g"), "total": w()})
+    w = lambda *p: F.sum("n").over(Window.partitionBy("variable", *p)).cast("double")
+    m = n.withColumns({"n": F.col("n").cast("double"), "r": w("level"), "c": w("g"), "total": w()})
     s = m.groupBy("variable").agg((F.sum(F.col("n") * F.col("n") * F.col("total") / (F.col("r") * F.col("c"))) - F.max("total")).alias("statistic"), ((F.count_distinct("level") - 1) * (F.count_distinct("g") - 1)).alias("dof"))
     return s.withColumn(P, chi2_p(F.col("statistic"), F.col("dof")))
 

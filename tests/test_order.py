@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarmac.functions.order import avg_rank, cumulative, quantiles
-from tarmac.operators import association, impute, neighbours, outliers
+from tarmac.operators import association, impute, inference, neighbours, outliers
 from tarmac.sources import stages
 
 N = 600_000
@@ -48,6 +48,25 @@ def test_xi_of_many_rows(wide):
     assert association.xi(df, "x", "y").first().xi == pytest.approx(want, abs=1e-9)
 
 
+def test_xi_where_products_pass_the_range_of_longs(spark):
+    """4,000,000 rows: n times the summed differences of ranks, about n**3 / 3, is above 2**63."""
+    n = 4_000_000
+    df = spark.range(n).select(F.col("id").alias("row_id"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)).alias("y"))
+    same = association.xi(df.withColumn("y", F.col("x")), "x", "y").first()
+    assert same.n == n and same.xi > 0.99
+    assert abs(association.xi(df, "x", "y").first().xi) < 0.01
+
+
+def test_counts_whose_products_pass_the_range_of_longs(spark):
+    """Tables are counted, so a large one is planted by counts: the statistic of n times a table is n times its own."""
+    small = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "x"), ("b", "y"), ("b", "y"), ("b", "y")], "r string, c string")
+    times = 400_000
+    many = small.crossJoin(spark.range(times)).select("r", "c")
+    assert inference.chi_square_by(many, ["r"], "c").first().statistic == pytest.approx(times * inference.chi_square_by(small, ["r"], "c").first().statistic)
+    assert association.cramers_v(many, ["r"], "c").first().v == pytest.approx(association.cramers_v(small, ["r"], "c").first().v)
+    assert sorted(r.expected / times for r in association.residuals(many, "r", "c").collect()) == pytest.approx(sorted(r.expected for r in association.residuals(small, "r", "c").collect()))
+
+
 def test_ranks_and_quantiles_of_many_rows(spark):
     df, pdf = numbers(spark)
     got = avg_rank(df, "x").agg(F.sum("rank").alias("a"), F.sum(F.col("rank") * F.pmod("row_id", F.lit(89))).alias("b")).first()
