@@ -67,15 +67,27 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return F.coalesce(*[F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"))) for h, p, v in longest], F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), the value being made once a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _times(p: int):
+    return lambda c: c * p
+
+
 def _grams(text: Column, salt: int) -> Column:
     """Buckets of the n-grams of a text between its ends."""
     codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
 
-    def of(n: int) -> Column:
-        place = lambda i: F.pmod(sum((F.element_at(codes, (i + j).cast("int")) * PRIMES[j] for j in range(n)), F.lit(salt * n)), F.lit(BUCKETS)).cast("int")
-        return F.when(F.length(text) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(text) + 3 - n), place)).otherwise(F.array().cast("array<int>"))
+    def of(codes: Column, n: int) -> Column:
+        many = F.greatest(F.size(codes) - (n - 1), F.lit(0))
+        total = F.transform(F.slice(codes, 1, many), lambda c: c * PRIMES[0] + salt * n)
+        for j in range(1, n):
+            total = F.zip_with(total, F.transform(F.slice(codes, j + 1, many), _times(PRIMES[j])), lambda a, b: a + b)
+        return F.transform(total, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
 
-    return F.when(F.length(text) > 0, F.concat(*[of(n) for n in NGRAMS])).otherwise(F.array().cast("array<int>"))
+    return F.when(F.length(text) > 0, _with(codes, lambda c: F.concat(*[of(c, n) for n in NGRAMS]))).otherwise(F.array().cast("array<int>"))
 
 
 def features(host: Column, path: Column) -> Column:
@@ -91,8 +103,8 @@ class Model:
     def margin(self, grams: Column) -> Column:
         """Log odds of label 1, from buckets as features() gives them."""
         known = F.from_json(F.lit(json.dumps(self.weights)), "array<double>")  # one constant
-        total = F.aggregate(grams, F.lit(0.0), lambda z, b: z + F.get(known, b))
-        return F.lit(self.offset) + F.coalesce(F.try_divide(total, F.sqrt(F.size(grams).cast("double"))), F.lit(0.0))
+        mean = lambda g: F.try_divide(F.aggregate(g, F.lit(0.0), lambda z, b: z + F.get(known, b)), F.sqrt(F.size(g).cast("double")))
+        return F.lit(self.offset) + F.coalesce(_with(grams, mean), F.lit(0.0))
 
 
 def train(labelled: DataFrame, steps: int = STEPS, rate: float = RATE, momentum: float = MOMENTUM, decay: float = DECAY) -> Model:
