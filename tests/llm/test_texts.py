@@ -6,9 +6,10 @@ import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pytest
@@ -329,14 +330,44 @@ def test_bpe_matches_the_library(word_bpe):
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("abcdethinsr'1é漢 ")), min_size=1, max_size=30))
-def test_bpe_own_merges_are_those_of_the_model(text):
-    if not hasattr(bpe, "_tok"):
-        bpe._tok = bpe.Tokenizer(bpe.tokenizer_path())
-    tok = bpe._tok
+def test_bpe_merges_are_those_of_the_library(word_bpe, text):
+    tok, ref = word_bpe
     for word in (text, text * 4):
-        s = tok.symbols(word)
-        s[-1] += tok.suffix
-        assert tuple(tok.vocab[t] for t in tok.merge(s)) == tok.word(word)
+        symbols = tok.symbols(word)
+        ids = [t.id for t in ref.model.tokenize("".join(symbols))]
+        for size, longest in ((len(symbols), None), (1, None), (5, 1)):
+            machine, got = bpe.Transducer(tok, longest), []
+            for a in range(0, len(symbols), size):
+                got += machine.feed(symbols[a : a + size])
+            assert got + machine.finish() == ids
+
+
+def test_bpe_ids_come_from_the_transducer(word_bpe, monkeypatch):
+    """Every pre-token that isn't known yet goes through it, and nothing else makes ids."""
+    seen, feed = [], bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, symbols: (seen.append("".join(symbols)), feed(self, symbols))[1])
+    tok = bpe.Tokenizer(bpe.tokenizer_path())
+    text = "the quick fox, the lazy dog's 2 naps"
+    assert list(chain.from_iterable(bpe.encoded(text, tok))) == word_bpe[1].encode(text, add_special_tokens=False).ids
+    assert seen == ["the", "quick", "fox", ",", "lazy", "dog", "'s", "2", "naps"] and set(tok.known) == set(seen)
+    assert not any(hasattr(x, "tokenize") for x in vars(tok).values())  # no model of the library
+
+
+def test_bpe_of_any_unicode(word_bpe):
+    """Hangul in parts at every boundary; marks, compositions and characters of any table, in chunks of any size."""
+    tok, ref = word_bpe
+    rnd, syllable = random.Random(5), "\u1100\u1161\u11a8"
+    texts = [syllable, syllable * 2, f"abc\n{syllable}{syllable}\t{syllable}", "\u1100\u1161", "\u1161\u11a8", "\uac00\u11a8x", " " + syllable]
+    texts += ["".join(x) for k in (2, 3) for x in product("\u1100\u1161\u11a8a", repeat=k)]
+    marks = [chr(i) for i in range(0x110000) if unicodedata.category(chr(i))[0] == "M" or unicodedata.decomposition(chr(i)) and not unicodedata.decomposition(chr(i)).startswith("<")]
+    everything = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts += ["".join(rnd.choice([rnd.choice(some), "a", "1", "!", " "][: rnd.choice([1, 5])]) for _ in range(rnd.randint(1, 9))) for some in (marks, everything) for _ in range(1200)]
+    for t in texts:
+        want = ref.encode(t, add_special_tokens=False).ids
+        for size in range(1, 8) if len(t) < 4 else (rnd.randint(1, 7), bpe.CHUNK):
+            assert list(chain.from_iterable(bpe.encoded(t, tok, size))) == want, (t.encode("unicode_escape"), size)
+    for t in (syllable * 30_000, "".join(everything)):
+        assert list(chain.from_iterable(bpe.encoded(t, tok))) == ref.encode(t, add_special_tokens=False).ids
 
 
 def test_bpe_holds_a_bounded_part(word_bpe):
@@ -344,7 +375,7 @@ def test_bpe_holds_a_bounded_part(word_bpe):
     machine = bpe.Encoder(tok)
     for _ in range(50):
         machine.feed("thequickbrown" * 80)
-        assert len(machine.raw) + len(machine.text) + len(machine.run[1] if machine.run else []) < machine.longest + 2 * 13 * 80
+        assert len(machine.raw) + len(machine.text) + len(machine.run[1].held if machine.run else []) < machine.longest + 2 * 13 * 80
 
 
 def test_byte_decoder_waits_for_whole_characters():
@@ -463,3 +494,25 @@ def test_packing_ids_are_those_of_the_library(text):
 def test_packing_refuses_another_tokenizer():
     with pytest.raises(ValueError, match="byte-level"):
         packing.Encoder(bpe.tokenizer_path())
+
+
+@pytest.mark.parametrize("text", [" ", "\n", "a", "#", "7", "é", "漢字", "　 \n\x85", "word ", "abcdefghij"])
+@pytest.mark.parametrize("around", [("", ""), ("a", "b"), ("", "<|endoftext|>x"), ("'s", "\n")])
+def test_packing_ids_of_long_runs(text, around):
+    """Runs that the splitting pattern can't take, from just above where they are cut out up to a million characters."""
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(packing.tokenizer_path())
+    ref.no_truncation()
+    ref.no_padding()
+    enc = packing.Encoder(packing.tokenizer_path())
+    for n in (4095, 4096, 4097, 1_000_000 if around == ("a", "b") else 5000):
+        run = around[0] + text * (n // len(text)) + around[1]
+        assert np.frombuffer(enc.encode(run), "<u4").tolist() == ref.encode(run, add_special_tokens=False).ids
+
+
+def test_packing_of_a_million_spaces(spark):
+    rows = packing.pack(table_of(spark, ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x"])).collect()
+    assert {r.doc_id for r in rows} == {0, 1, 2}
+    for r in rows:
+        assert sum(x.length for x in rows if x.doc_id == r.doc_id) == r.doc_tokens
