@@ -9,22 +9,26 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.operators.mixed import gower_silhouette
 from tarmac.operators.neighbours import gower, nearest_rep, ranges_of
 from tarmac.operators.sampling import order_of, sample_frac_per_group, sample_proportional
 from tarmac.sources.stages import staged
 
 MOST_SAMPLE = 5000
+#: Clusters that a task of cure_mixed merges, and how many times fewer it leaves.
+CHUNK, PARTIAL = 512, 16
 
 
-def linkage(d: np.ndarray, method: str = "ward") -> list[tuple[int, int, float, int]]:
+def linkage(d: np.ndarray, method: str = "ward", mass: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
     """Merges (a, b, height, size) of a distance matrix by Lance-Williams updates; new clusters count on from n.
 
     ward is the D2 form: heights are distances, squares are updated. average is the mean distance.
+    mass: how many rows each item of the matrix stands for, one by default.
     """
     n = len(d)
     d = d.astype(float) ** 2 if method == "ward" else d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    ids, sizes = list(range(n)), np.ones(n)
+    ids, sizes = list(range(n)), np.ones(n) if mass is None else mass.astype(float)
     near = d.argmin(1) if n > 1 else np.zeros(n, int)
     alive, merges = np.ones(n, bool), []
     for step in range(n - 1):
@@ -161,17 +165,11 @@ def silhouette(df: DataFrame, cols: list[str], label: str, key: str = "row_id",
     return ClusteringEvaluator(featuresCol="__x", predictionCol="__l").evaluate(v)
 
 
-def gower_silhouette(df: DataFrame, num: list[str], cat: list[str], label: str, key: str = "row_id", sample: int = 1000) -> float:
-    """Mean silhouette by Gower distance on a bounded hash sample; ranges are those of all rows."""
-    if sample > MOST_SAMPLE:
-        raise ValueError(f"more than {MOST_SAMPLE} rows in a sample")
-    s = df.select(key, label, *num, *cat).orderBy(order_of(key, 1), key).limit(sample).toPandas()
-    xn, xc = s[num].to_numpy(float), s[cat].to_numpy(object)
-    return float(silhouette_sample(gower(xn, xn, xc, xc, ranges_of(df, num)), s[label].to_numpy()).mean())
-
-
 def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "row_id", dunn_sample: int = 1000) -> DataFrame:
-    """(k, silhouette, ch, dunn, within, between, ratio) of the labellings k3, k4, ... of df."""
+    """(k, silhouette, ch, dunn, within, between, ratio) of the labellings k3, k4, ... of df.
+
+    Silhouettes are those of all rows, by differences as shares of the columns' ranges; Dunn's index is that of a hash sample.
+    """
     rows = []
     df = staged(df, "criteria")
     for k in ks:
@@ -187,7 +185,7 @@ def cluster_criteria(df: DataFrame, cols: list[str], ks: list[int], key: str = "
         same = labels[:, None] == labels[None, :]
         widest = d[same].max() if same.any() else 0.0
         dunn = float(d[~same].min() / widest) if (~same).any() and widest > 0 else 0.0
-        rows.append((k, float(silhouette_sample(d, labels).mean()), between / max(len(g) - 1, 1) / (within / max(n - len(g), 1)) if within else 0.0, dunn, within, between, between / (within + between) if within + between else 0.0))
+        rows.append((k, gower_silhouette(df, cols, [], lab, key), between / max(len(g) - 1, 1) / (within / max(n - len(g), 1)) if within else 0.0, dunn, within, between, between / (within + between) if within + between else 0.0))
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, ch double, dunn double, within double, between double, ratio double")
 
 
@@ -266,33 +264,75 @@ def kprototypes(df: DataFrame, num: list[str], cat: list[str], k: int, key: str
     return labelled(pn, pc).select(key, "cluster"), {"num": pn, "cat": pc, "lambda": lam}
 
 
-def kprototypes_grid(df: DataFrame, num: list[str], cat: list[str], ks: list[int], key: str = "row_id", silhouette_rows: int = 1000, **how) -> tuple[DataFrame, dict[int, DataFrame]]:
-    """(method, k, silhouette, min_prop, imbalance) of k-prototypes for each k, by Gower distance, and the labels."""
+def kprototypes_grid(df: DataFrame, num: list[str], cat: list[str], ks: list[int], key: str = "row_id", **how) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """(method, k, silhouette, min_prop, imbalance) of k-prototypes for each k, by mixed distance over all rows, and the labels."""
     rows, labels = [], {}
     for k in ks:
         labels[k] = staged(kprototypes(df, num, cat, k, key, **how)[0], "prototypes-labels")
         n = [r["count"] for r in labels[k].groupBy("cluster").count().collect()]
-        s = gower_silhouette(df.select(key, *num, *cat).join(labels[k], key), num, cat, "cluster", key, silhouette_rows)
+        s = gower_silhouette(df.select(key, *num, *cat).join(labels[k], key), num, cat, "cluster", key)
         rows.append(("kprototypes", k, s, min(n) / sum(n), max(n) / min(n)))
     return df.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, min_prop double, imbalance double"), labels
 
 
-def cure_mixed(df: DataFrame, num: list[str], cat: list[str], strata: str, k: int, key: str = "row_id", frac: float = 0.35, min_n: int = 10, n_rep: int = 5, most: int = 2000) -> DataFrame:
-    """(key, cluster, distance): average linkage by Gower distance on a stratified sample, n_rep spread
-    representatives per cluster (the medoid, then the farthest in turn), all rows to the nearest one.
+def spread(d: np.ndarray, weight: np.ndarray, n: int) -> list[int]:
+    """The medoid (smallest weighted sum of distances), then the farthest in turn: n of them, or all."""
+    chosen = [int((d * weight).sum(1).argmin())]
+    while len(chosen) < min(n, len(d)):
+        far = d[:, chosen].min(1)
+        far[chosen] = -1.0
+        chosen.append(int(far.argmax()))
+    return chosen
+
 
-    The sample is frac of each stratum, but `most` rows at most, the first by hash order.
+def _joined(members: pd.DataFrame, num: list[str], cat: list[str], ranges: list[float], k: int, n_rep: int) -> pd.DataFrame:
+    """Clusters (__part) of representatives with weights, merged to k by average linkage; each keeps n_rep spread representatives.
+
+    The distance of two clusters is the weighted mean over their representatives, for single rows that of average linkage itself.
     """
-    small = sample_frac_per_group(df.select(key, strata, *[c for c in [*num, *cat] if c != strata]).dropna(), strata, frac, min_n, key).orderBy(order_of(key, 3), key).limit(most).toPandas()
-    ranges = ranges_of(df, num)
-    xn, xc = small[num].to_numpy(float), small[cat].to_numpy(object)
-    d = gower(xn, xn, xc, xc, ranges)
-    labels = cut(linkage(d, "average"), len(d), k)
-    reps = []
+    part, first = np.unique(members["__part"].to_numpy(), return_inverse=True)
+    d = gower(members[num].to_numpy(float), members[num].to_numpy(float), members[cat].to_numpy(object), members[cat].to_numpy(object), ranges)
+    w = members["__weight"].to_numpy(float)
+    into = np.zeros((len(part), len(members)))
+    into[first, np.arange(len(members))] = w
+    mass = into.sum(1)
+    between = (into @ d @ into.T) / np.outer(mass, mass)
+    labels = cut(linkage(between, "average", mass), len(part), min(k, len(part)))[first]
+    out = []
     for g in range(labels.max() + 1):
         at = np.flatnonzero(labels == g)
-        chosen = [at[d[np.ix_(at, at)].sum(1).argmin()]]
-        while len(chosen) < min(n_rep, len(at)):
-            chosen.append(at[d[np.ix_(at, chosen)].min(1).argmax()])
-        reps.append(small.iloc[chosen].assign(cluster=g))
-    return nearest_rep(df.dropna(subset=[*num, *cat]), pd.concat(reps), num, cat, ranges, key)
+        kept = at[spread(d[np.ix_(at, at)], w[at], n_rep)]
+        out.append(members.iloc[kept].assign(__part=f"{members['__part'].iloc[at[0]]}", __weight=w[at].sum() / len(kept)))
+    return pd.concat(out)
+
+
+def cure_mixed(df: DataFrame, num: list[str], cat: list[str], strata: str, k: int, key: str = "row_id", frac: float = 0.35, min_n: int = 10, n_rep: int = 5) -> DataFrame:
+    """(key, cluster, distance): average linkage by mixed distance on `frac` of each stratum, n_rep spread representatives
+    per cluster (the medoid, then the farthest in turn), all rows to the nearest one.
+
+    The sample may be as large as the table is, so it is clustered in rounds: chunks of about CHUNK clusters (at first single
+    rows), dealt by hash, are each merged to a PARTIAL-th of their number, which keep their representatives and weights, until
+    one chunk holds what is left; that is merged to k. A sample of at most CHUNK rows is one chunk from the start, and then the result is
+    that of average linkage on it. Rows with a null in the columns are left out.
+    """
+    cols = list(dict.fromkeys([*num, *cat]))
+    rows = df.select(key, *[c for c in dict.fromkeys([*cols, strata])]).dropna()
+    small = sample_frac_per_group(rows, strata, frac, min_n, key)
+    ranges, kinds = ranges_of(df, num), dict(df.dtypes)
+    left = staged(small.select(F.col(key).cast("string").alias("__part"), F.lit(1.0).alias("__weight"), *cols), "cure-sample")
+    schema = ", ".join(["__part string", "__weight double", *[f"`{c}` {kinds[c]}" for c in cols]])
+    while (n := left.select("__part").distinct().count()) > CHUNK:
+        chunks = -(-n // CHUNK)
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _joined(pdf.drop(columns="__chunk").sort_values(["__part", *cols]), num, cat, ranges, max(k, pdf["__part"].nunique() // PARTIAL), n_rep)
+
+        left = staged(left.withColumn("__chunk", F.pmod(F.xxhash64("__part", F.lit(n)), F.lit(chunks))).groupBy("__chunk").applyInPandas(merge, schema), "cure-clusters")
+    last = left.toPandas().sort_values(["__part", *cols])  # CHUNK clusters of n_rep representatives at most
+    if not len(last):
+        return df.limit(0).select(key, F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
+    reps = _joined(last, num, cat, ranges, k, n_rep)
+    reps["cluster"] = np.unique(reps["__part"], return_inverse=True)[1]
+    size = reps.groupby("cluster")["__weight"].sum()
+    order = {g: i for i, g in enumerate(sorted(size.index, key=lambda g: (-size[g], g)))}  # larger clusters first
+    return nearest_rep(df.dropna(subset=cols), reps.assign(cluster=reps.cluster.map(order)), num, cat, ranges, key)

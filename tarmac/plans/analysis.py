@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import clean, features, text
-from tarmac.operators import association, cluster, factor, impute, inference, outliers, profile, sampling, series, spatial, summary, topics
+from tarmac.operators import association, cluster, factor, impute, inference, mixed, outliers, profile, sampling, series, spatial, summary, topics
 from tarmac.plans.common import I, query, rounded, t
 from tarmac.plans.reports import CELLS_SQL, CONT, LONG, NUM
 from tarmac.plans.rows import TC, WC
@@ -131,12 +131,14 @@ def imputed_by_pmm(spark, d):
 
 @query()
 def imputed_by_averaged_pmm(spark, d):
-    return impute.impute_pmm(incidents(spark, d).select("row_id", *NUM), NUM, m=5, sweeps=1, average=True).select("row_id", *NUM)
+    cols = [*NUM, "sunrise_sunset"]
+    return impute.impute_pmm(incidents(spark, d).select("row_id", *cols), cols, m=5, sweeps=1, average=True, bootstrap=True).select("row_id", *cols)
 
 
 @query()
 def imputed_by_regression(spark, d):
-    return rounded(impute.impute_chained(incidents(spark, d).select("row_id", *NUM), NUM).select("row_id", *NUM))
+    cols = [*NUM, "sunrise_sunset"]
+    return rounded(impute.impute_chained(incidents(spark, d).select("row_id", *cols), cols, bootstrap=True).select("row_id", *cols))
 
 
 @query()
@@ -149,9 +151,13 @@ def imputed_by_cluster(spark, d):
     return rounded(impute.impute_by_cluster(incidents(spark, d), ["pressure_in", "wind_speed_mph"], ["humidity", "sunrise_sunset"], sample=400).select("row_id", "humidity", "sunrise_sunset"))
 
 
-@query()
+@query(f"""{I}, r AS (SELECT max(pressure_in) - min(pressure_in) AS p, max(wind_speed_mph) - min(wind_speed_mph) AS w FROM i),
+ d AS (SELECT a.row_id, b.humidity, row_number() OVER (PARTITION BY a.row_id ORDER BY (coalesce(abs(a.pressure_in - b.pressure_in) / p, 0) + coalesce(abs(a.wind_speed_mph - b.wind_speed_mph) / w, 0) + coalesce((a.state <> b.state)::INT, 0)) / ((a.pressure_in + b.pressure_in IS NOT NULL)::INT + (a.wind_speed_mph + b.wind_speed_mph IS NOT NULL)::INT + (a.state || b.state IS NOT NULL)::INT), b.row_id) AS n
+  FROM i a, i b, r WHERE a.humidity IS NULL AND b.humidity IS NOT NULL QUALIFY n <= 5)
+ SELECT row_id, coalesce(humidity, m)::DOUBLE AS humidity FROM i LEFT JOIN (SELECT row_id, median(humidity) AS m FROM d GROUP BY 1) USING (row_id)""")
 def imputed_by_neighbours(spark, d):
-    return impute.impute_knn(incidents(spark, d), "humidity", ["pressure_in", "wind_speed_mph"], ["state"]).select("row_id", "humidity")
+    out = impute.impute_knn(incidents(spark, d), "humidity", ["pressure_in", "wind_speed_mph"], ["state"])
+    return out.select("row_id", F.col("humidity").cast("double"))
 
 
 @query(f"{I}, a AS (SELECT coalesce(sunrise_sunset, 'Day') AS bin FROM i), b AS (SELECT sunrise_sunset AS bin FROM i WHERE sunrise_sunset IS NOT NULL), x AS (SELECT bin, count(*) / sum(count(*)) OVER () AS before FROM b GROUP BY 1), y AS (SELECT bin, count(*) / sum(count(*)) OVER () AS after FROM a GROUP BY 1) SELECT bin, round(coalesce(before, 0), 6) AS before, round(coalesce(after, 0), 6) AS after FROM x FULL JOIN y USING (bin)")
@@ -387,6 +393,20 @@ def kmeans_labels(spark, d):
     return cluster.kmeans_grid(coords, dims, [3, 4], max_iter=20, starts=3).select("row_id", "k3", "k4")
 
 
+SILHOUETTE_NUM, SILHOUETTE_CAT = ["temperature_f", "humidity", "wind_speed_mph"], ["sunrise_sunset", "weather_condition"]
+SHARES = [*[f"abs(a.{c} - b.{c}) / nullif(r_{c}, 0)" for c in SILHOUETTE_NUM], *[f"(a.{c} <> b.{c})::INT" for c in SILHOUETTE_CAT]]
+BOTH = [f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c in SILHOUETTE_NUM + SILHOUETTE_CAT]
+
+
+@query(f"""{I}, x AS (SELECT row_id, severity, {", ".join(SILHOUETTE_NUM + SILHOUETTE_CAT)} FROM i), r AS (SELECT {", ".join(f"max({c}) - min({c}) AS r_{c}" for c in SILHOUETTE_NUM)} FROM i),
+ d AS (SELECT a.row_id, a.severity, b.severity AS other, sum(({" + ".join(f"coalesce({s}, 0)" for s in SHARES)}) / greatest({" + ".join(BOTH)}, 1)) AS d, count(*) AS n FROM x a, x b, r GROUP BY ALL),
+ s AS (SELECT row_id, severity, max(d / greatest(n - 1, 1)) FILTER (severity = other) AS a, min(d / n) FILTER (severity <> other) AS b, max(n) FILTER (severity = other) AS own FROM d GROUP BY ALL)
+ SELECT severity, count(*) AS n, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(CASE WHEN own = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) + 0.0 AS silhouette FROM s GROUP BY 1""")
+def silhouettes_of_severities(spark, d):
+    s = mixed.gower_silhouettes(incidents(spark, d), SILHOUETTE_NUM, SILHOUETTE_CAT, "severity")
+    return rounded(s.groupBy("severity").agg(F.count("*").alias("n"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg("silhouette").alias("silhouette")))
+
+
 @query()
 def kmeans_criteria(spark, d):
     coords, dims = _coords(spark, d)
