@@ -124,8 +124,8 @@ class Index:
     def __init__(self, cells: pd.DataFrame, n_num: int, n_cat: int, known: list[int], ranges: list[float]):
         """known: the label columns that cells are told apart by; the others may mismatch or not."""
         self.has, self.count = cells["has"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
-        self.low, self.high = (np.stack(cells[c].to_numpy()).astype(float) if n_num and len(cells) else np.zeros((len(cells), 0)) for c in ("low", "high"))
-        self.levels = np.stack(cells["levels"].to_numpy()).astype(np.int64) if known and len(cells) else np.zeros((len(cells), 0), np.int64)
+        self.low, self.high = (np.array(cells[c].tolist(), float).reshape(len(cells), n_num) for c in ("low", "high"))
+        self.levels = np.array(cells["levels"].tolist(), np.int64).reshape(len(cells), len(known))
         self.n_num, self.n_cat, self.known, self.ranges = n_num, n_cat, known, ranges
 
     def bounds(self, x: np.ndarray, s: np.ndarray, has: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,16 +30,17 @@ def spark_table(spark, p):
     return spark.createDataFrame([tuple(None if v is None or v != v else v for v in r) for r in p.itertuples(index=False, name=None)], KIND)
 
 
-@pytest.mark.parametrize("each", [32, 5])
-def test_silhouettes_match_brute_force(spark, monkeypatch, each):
+@pytest.mark.parametrize("n, each, full", [(2000, 32, ["one", "t"]), (200, 6, ["a", "one", "t"])])
+def test_silhouettes_match_brute_force(spark, monkeypatch, n, each, full):
     monkeypatch.setattr(mixed, "PASS", each)
-    p = table(2000)
+    p = table(n)
+    p[full] = table(n, nulls=False)[full]
     p.loc[7, "g"] = 9  # a label of one row
     p.loc[[3, 11], [*NUM, *CAT]] = None
     d, _ = distances(p)
     want = cluster.silhouette_sample(d, p.g.to_numpy())
     got = mixed.gower_silhouettes(spark_table(spark, p), NUM, CAT, "g").toPandas().set_index("row_id").sort_index()
-    assert np.allclose(got.silhouette, want, atol=1e-9) and got.silhouette[7] == 0 and len(got) == 2000
+    assert np.allclose(got.silhouette, want, atol=1e-9) and got.silhouette[7] == 0 and len(got) == n
     assert mixed.gower_silhouette(spark_table(spark, p), NUM, CAT, "g") == pytest.approx(want.mean())
 
 

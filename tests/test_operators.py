@@ -1,5 +1,7 @@
 """Operators on small tables: hand-computed values, slow versions and invariants."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +102,44 @@ def test_detectors_find_planted_rows(spark):
     assert len(ids(outliers.outlier_robust(d, cols))) < 40
 
 
+def test_forest_by_level_against_a_plain_version(spark):
+    """The same draws and cuts, one row and tree after the other; equal rows, a constant column, and nulls."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(rng.normal()), float(rng.integers(0, 4)), 5.0) for i in range(60)] + [(60 + i, 0.5, 1.0, 5.0) for i in range(6)] + [(70, 40.0, 3.0, 5.0), (71, None, 1.0, 5.0)]
+    d = spark.createDataFrame(rows, "row_id long, a double, b double, c double").withColumns({"tree": F.lit("x"), "node": F.lit(1)})
+    got = {r.row_id: r.depth for r in outliers.iforest_depths_by_level(d, ["a", "b", "c"], trees=5, at_once=2, seed=9).collect()}
+    seed, most = 9, int(np.ceil(np.log2(0.5 * 67)))
+    uniform = lambda *salt: (F.xxhash64(*salt, F.lit(seed)) / float(2**63) + 1) / 2
+    grid = spark.range(5).select(F.col("id").cast("int").alias("tree")).join(spark.range(1, 2 << most).select(F.col("id").alias("node")))
+    cuts = {(r.tree, r.node): (r.c, r.u) for r in grid.select("tree", "node", uniform("tree", "node", F.lit("column")).alias("c"), uniform("tree", "node", F.lit("cut")).alias("u")).collect()}
+    draws = spark.range(72).join(spark.range(5).select(F.col("id").cast("int").alias("tree"))).select("id", "tree", uniform("id", "tree", F.lit("draw")).alias("u")).collect()
+    times = {(r.id, r.tree): sum(r.u >= sum(np.exp(-0.5) * 0.5**k / math.factorial(k) for k in range(m + 1)) for m in range(12)) for r in draws}
+    want = dict.fromkeys(range(71), 0.0)
+
+    def grow(tree, node, inside, depth):
+        drawn = [(i, x) for i, x in inside if times[i, tree]]
+        n = sum(times[i, tree] for i, _ in drawn)
+        wide = [j for j in range(3) if drawn and max(x[j] for _, x in drawn) > min(x[j] for _, x in drawn)]
+        if n < 2 or depth == most or not wide:
+            for i, _ in inside:
+                want[i] += depth + (2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n >= 2 else 0)
+            return
+        c, u = cuts[tree, node]
+        j = wide[int(c * len(wide))]
+        lo, hi = min(x[j] for _, x in drawn), max(x[j] for _, x in drawn)
+        cut = lo + u * (hi - lo)
+        for side in (0, 1):
+            grow(tree, 2 * node + side, [(i, x) for i, x in inside if (x[j] >= cut) == bool(side)], depth + 1)
+
+    for tree in range(5):
+        grow(tree, 1, [(r[0], r[1:]) for r in rows if r[1] is not None], 0)
+    assert set(got) == {r[0] for r in rows if r[1] is not None}
+    assert all(got[i] == pytest.approx(want[i] / 5) for i in got)
+    flagged = {r.row_id for r in outliers.outlier_iforest(d, ["a", "b", "c"], trees=20, share=0.5).collect()}
+    assert 70 in flagged
+    assert outliers.outlier_iforest(d.limit(0), ["a"], trees=2, share=0.5).count() == 0
+
+
 def test_imputation_keeps_what_was_observed(df):
     base = df.select("row_id", "state", *NUM, "sunrise_sunset")
     before = {r.row_id: r for r in base.collect()}
