@@ -4,7 +4,8 @@ A record's layout is its set of nested field paths, without types or order; the
 hash of that set. LAYOUTS says, as data, which paths a layout requires and how its fields become canonical
 turns (role, text): which array holds the turns and which of its fields are role and text, or which plain
 fields are turns of which role. Of the layouts whose paths a record has, the most specific one counts, so extra
-fields do no harm; the choice is made once for each fingerprint. Text that comes as a list of parts is their
+fields do no harm. That choice is kept in a table from fingerprint to mapping: each new fingerprint is matched with LAYOUTS once,
+and records and tables find their mapping by the hash. Text that comes as a list of parts is their
 texts in order. Records of an unknown layout are returned with no turns and their fingerprint, so that none is
 lost and a layout can be added. A table has the fingerprint of its schema, JSON text one for each record.
 
@@ -71,6 +72,28 @@ def schema_paths(schema: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+class Mappings:
+    """A table from fingerprint to the number of a layout, or None; MOST fingerprints are kept, the oldest go first."""
+
+    MOST = 100_000
+
+    def __init__(self):
+        self.known: dict[str, int | None] = {fingerprint(need): i for i, (need, _) in enumerate(LAYOUTS)}
+        self.matched = 0  # fingerprints that weren't in the table
+
+    def of(self, paths: list[str]) -> tuple[str, int | None]:
+        key = fingerprint(paths)
+        if key not in self.known:
+            if len(self.known) >= self.MOST:
+                del self.known[next(iter(self.known))]
+            self.known[key] = layout_of(paths)
+            self.matched += 1
+        return key, self.known[key]
+
+
+#: Of this process: the driver's for tables, each worker's for records.
+MAPPINGS = Mappings()
+
 _TOKEN = re.compile(r"`((?:[^`]|``)*)`: |([^<>,`: ]+): |(OBJECT|ARRAY)<|>|, |[A-Z_]+(?:\([\d,]+\))?")
 
 
@@ -98,11 +121,10 @@ def variant_paths(schema: str) -> list[str]:
 
 
 def _recognised(schema: Column) -> Column:
-    """Fingerprint and layout of a variant's schema; worked out once for each different schema of a batch."""
+    """Fingerprint of a variant's schema, hashed once for each different schema of a batch, and the layout under that fingerprint."""
 
     def run(schemas: pd.Series) -> pd.DataFrame:
-        paths = {s: variant_paths(s) for s in schemas.dropna().unique()}
-        known = {s: (fingerprint(p), layout_of(p)) for s, p in paths.items()}
+        known = {s: MAPPINGS.of(variant_paths(s)) for s in schemas.dropna().unique()}
         rows = [known.get(s, (None, None)) for s in schemas]
         return pd.DataFrame({"fingerprint": pd.Series([r[0] for r in rows], dtype="object"), "layout": pd.array([r[1] for r in rows], "Int32")})
 
@@ -154,9 +176,9 @@ def turn_rows(df: DataFrame) -> DataFrame:
     name or a number of the row, turn the place in it; roles then get their canonical names.
     """
     paths = schema_paths(df.schema)
-    found = layout_of(paths)
+    name, found = MAPPINGS.of(paths)
     if found is None:
-        raise ValueError(f"no mapping for a table with fields {paths} (fingerprint {fingerprint(paths)})")
+        raise ValueError(f"no mapping for a table with fields {paths} (fingerprint {name})")
     mapping = LAYOUTS[found][1]
     if "row" in mapping:
         role, text = mapping["row"]
@@ -242,6 +264,28 @@ def op3_chat_formatting(spark, sf_dir: str) -> DataFrame:
     return digests(format_turns(turn_rows(table(spark, sf_dir, "conversations").unionByName(tricky, allowMissingColumns=True))))
 
 
+def mixed_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): each turn as JSON text, in one of four layouts by its number and conversation."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    turn = F.struct(role.alias("role"), text.alias("content"))
+    kinds = [F.to_json(F.struct(F.array(turn).alias("messages"))), F.to_json(F.array(turn)), F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(role.alias("from"), text.alias("value"))).alias("conversations"))), F.to_json(F.struct(F.array(F.struct(F.lit("n").alias("name"), role.alias("role"), F.array(text).alias("content"))).alias("messages"), F.lit("x").alias("source")))]
+    which = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(len(kinds)))
+    return turns.select("conv_id", "turn", F.coalesce(*[F.when(which == i, k) for i, k in enumerate(kinds)]).alias("record"))
+
+
+def chat_mixed_layouts(spark, sf_dir: str) -> DataFrame:
+    """Conversations whose turns come as records of several layouts, each converted by its fingerprint, then formatted and read back."""
+    records = turns_of_json(mixed_records(table(spark, sf_dir, "conversations")), "record")
+    turns = records.select("conv_id", "turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
+    return digests(format_turns(turns)).select("conv_id", "n_turns", "turns_sha256", "loss_chars")
+
+
+MIXED_SQL = """
+WITH t AS (SELECT conv_id, turn, CASE lower(role) WHEN 'human' THEN 'user' WHEN 'prompter' THEN 'user' WHEN 'gpt' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'model' THEN 'assistant' ELSE coalesce(lower(role), '') END AS role, coalesce(text, '') AS text FROM conversations)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars FROM t GROUP BY conv_id
+"""
+
+
 def _sql() -> str:
     esc = lambda c: f"regexp_replace({c}, '{_ESCAPE}', '\\1\\\\\\2\\3', 'g')"
     role = rf"regexp_replace({esc('role')}, '\|(\\*)>', '|\\\1>', 'g')"

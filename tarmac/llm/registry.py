@@ -18,6 +18,7 @@ QUERIES = {
     "op11_url_filters": urls.op11_url_filters,
     "op12_hard_negative_mining": fagin.op12_hard_negative_mining,
     "op13_centroid_clustering": simplex.op13_centroid_clustering,
+    "chat_mixed_layouts": chat.chat_mixed_layouts,
 }
 ORACLES = {
     "op2_secret_scans": secrets.OP2_SQL,
@@ -26,4 +27,5 @@ ORACLES = {
     "op11_url_filters": urls.OP11_SQL,
     "op12_hard_negative_mining": fagin.OP12_SQL,
     "op13_centroid_clustering": simplex.OP13_SQL,
+    "chat_mixed_layouts": chat.MIXED_SQL,
 }

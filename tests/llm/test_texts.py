@@ -301,6 +301,32 @@ def test_chat_layouts_by_fingerprint(spark):
     assert got == [both, both, both[:1], both, [("user", "q\nmore"), ("assistant", "a")], both, both, [("user", "q"), ("assistant", "4")], [("system", "s"), *both], [], [], []]
 
 
+def test_chat_mappings_are_found_by_the_hash(spark, monkeypatch):
+    """What the table says under a fingerprint is what a record or a table gets; a new fingerprint is matched once."""
+    fresh = chat.Mappings()
+    paths = ["prompt", "response", "extra"]
+    assert fresh.of(paths) == fresh.of(paths[::-1]) == (chat.fingerprint(paths), 6) and fresh.matched == 1
+    assert fresh.of(["prompt", "response"])[1] == 6 and fresh.of(["strange"])[1] is None and fresh.matched == 2
+    monkeypatch.setattr(chat, "MAPPINGS", fresh)
+    table = spark.createDataFrame([("q", "a", 1)], "prompt string, completion string, extra int")
+    fresh.known[chat.fingerprint(["prompt", "completion", "extra"])] = 9  # as if it were a layout of question and answer
+    assert [(r.role, r.text) for r in chat.turn_rows(table).collect()] == [("user", ""), ("assistant", "")]
+    monkeypatch.setattr(fresh, "MOST", 3)
+    for i in range(50):
+        fresh.of([f"field{i}"])
+    assert len(fresh.known) < 15
+
+
+def test_chat_mixed_layouts_keep_every_turn(spark):
+    rows = [(1, 0, "user", "a <|end|>"), (1, 1, "assistant", None), (1, 2, None, "x"), (1, 3, "GPT", '{"messages": []}'), (2, None, "user", "[1]"), (None, 5, "system", ""), (2, 1, "user", "é"), (2, 1, "user", "é")]
+    d = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    records = chat.turns_of_json(chat.mixed_records(d), "record").collect()
+    assert len({r.layout for r in records}) == 4 and all(len(r.turns) == 1 for r in records)
+    role = lambda r: {"gpt": "assistant"}.get((r or "").lower(), (r or "").lower())
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.conv_id, r.turn, r.turns[0].role, r.turns[0].text) for r in records), key=key) == sorted(((c, n, role(r), t or "") for c, n, r, t in rows), key=key)
+
+
 # op7
 
 
