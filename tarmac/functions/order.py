@@ -17,23 +17,24 @@ def ranged(df: DataFrame, order: list[str]) -> DataFrame:
     return staged(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranged")
 
 
-def cumulative(df: DataFrame, order: list[str], n: str, out: str, by: list[str] | None = None) -> DataFrame:
-    """Running sum of `n` (not negative) in the given order, within `by` if given; rows of equal order share no sum.
+def cumulative(df: DataFrame, order: list[str], n: str, out: str, by: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Running sum of `n` (not negative) in the given order, within `by` if given; rows of equal order share no sum. total: also the whole sum, within `by`.
 
-    A partition adds what the partitions before it hold, a group takes off what comes before its first row, so
-    neither the table nor a hot group is one task.
+    A partition sums its own rows of each group and adds what the partitions before it hold of the one that it goes on with,
+    so neither the table nor a hot group is one task. The rows are sorted and summed once.
     """
     by = by or []
-    order = [*by, *[c for c in order if c not in by]]
-    part = ranged(df, order)
-    sums = part.groupBy("__range").agg(F.sum(n).alias("__s"))
-    before = sums.select("__range", F.coalesce(F.sum("__s").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.sum(n).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    got = part.withColumn(out, own).join(F.broadcast(before), "__range").withColumn(out, F.col(out) + F.col("__before")).drop("__range", "__before")  # a row for each partition
-    if not by:
-        return got
-    first = got.groupBy(*by).agg(F.min(F.col(out) - F.col(n)).alias("__first"))
-    return null_safe(got, first, by).withColumn(out, F.col(out) - F.col("__first")).drop("__first")
+    rest = [c for c in order if c not in by]
+    part = ranged(df, [*by, *rest])
+    got = part.withColumn(out, F.sum(n).over(Window.partitionBy("__range", *by).orderBy(*(rest or by)).rowsBetween(Window.unboundedPreceding, 0)))
+    sums = part.groupBy("__range", *by).agg(F.sum(n).alias("__s"))
+    before = F.coalesce(F.sum("__s").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # of the groups of a partition, only its first one can go on from before: a row for each partition at most
+    before = sums.withColumn("__before", before).where("__before > 0").drop("__s")
+    named = F.broadcast(before.withColumnsRenamed({c: f"__key_{c}" for c in ["__range", *by]}))
+    on = [F.col("__range") == F.col("__key___range"), *[F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in by]]
+    got = got.join(named, on, "left").withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop("__range", "__before", *[f"__key_{c}" for c in ["__range", *by]])
+    return null_safe(got, part.groupBy(*by).agg(F.sum(n).alias(total)), by) if total else got
 
 
 def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -60,8 +61,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[s
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
     counts = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
-    placed = cumulative(counts, [*keys, "__v"], "__n", "__c", keys)
-    totals = placed.groupBy(*keys).agg(F.max("__c").alias("__total"))
+    placed = cumulative(counts, [*keys, "__v"], "__n", "__c", keys, "__total")
     start = F.col("__c") - F.col("__n")
 
     def at(p: float) -> Column:
@@ -70,4 +70,4 @@ def quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[s
         mean = place(F.max("__total"))
         return low + (high - low) * (mean - F.floor(mean))
 
-    return null_safe(placed, totals, keys).groupBy(*keys).agg(*[at(p).alias(name) for name, p in probs.items()])
+    return placed.groupBy(*keys).agg(*[at(p).alias(name) for name, p in probs.items()])

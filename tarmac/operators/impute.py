@@ -243,7 +243,7 @@ def _donors(now: DataFrame, pred: Column, c: str, key: str, k: int) -> DataFrame
     All rows are numbered by prediction, observed ones counting; a missing row's place says which numbers can be near.
     """
     rows = now.select(key, pred.alias("__p"), F.col(f"__miss_{c}").alias("__m"), F.col(c).alias("__v")).withColumn("__one", (~F.col("__m")).cast("int"))
-    placed = cumulative(rows, ["__p", "__m", key], "__one", "__c")
+    placed = staged(cumulative(rows, ["__p", "__m", key], "__one", "__c"), "placed")  # read for both sides
     seen = placed.where("not __m").select(F.col("__c").alias("__at"), F.struct("__p", F.col(key).alias("__k"), "__v").alias("__donor"))
     miss = placed.where("__m").select(key, "__p", "__c")
     spots = miss.select("__c").distinct().withColumn("__at", F.explode(F.sequence(F.col("__c") - (k - 1), F.col("__c") + k)))

@@ -104,13 +104,33 @@ def series_pam(pairs: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     return near.select(F.col("x").alias("key"), names[F.col("b.m")].alias("cluster"))
 
 
-def ts_metrics(pairs: DataFrame, labels: dict[tuple[str, int], DataFrame]) -> DataFrame:
-    """(method, k, silhouette, min_prop, imbalance) of labellings {(method, k): (key, cluster)}."""
+def cophenetic(merges: list[tuple], n: int) -> np.ndarray:
+    """(n, n): the height of the merge that first brings two items together."""
+    out, inside = np.zeros((n, n)), {i: [i] for i in range(n)}
+    for step, (a, b, height, _) in enumerate(merges):
+        left, right = inside.pop(a), inside.pop(b)
+        out[np.ix_(left, right)] = height
+        out[np.ix_(right, left)] = height
+        inside[n + step] = left + right
+    return out
+
+
+def ts_metrics(pairs: DataFrame, labels: dict[tuple[str, int], DataFrame], trees: dict[str, str] | None = None) -> DataFrame:
+    """(method, k, silhouette, min_prop, imbalance, cophenetic) of labellings {(method, k): (key, cluster)}.
+
+    trees: the linkage of those methods that are hierarchies, whose distances are correlated with the heights at which
+    two series come together; null for others, and where either doesn't vary.
+    """
     keys, d = _matrix(pairs)
+    upper = np.triu_indices(len(keys), 1)
+    fits = {}
+    for method, link in (trees or {}).items():
+        x, y = d[upper], cophenetic(linkage(d, link), len(keys))[upper]
+        fits[method] = float(np.corrcoef(x, y)[0, 1]) if len(x) and x.std() > 0 and y.std() > 0 else None
     rows = []
     for (method, k), lab in labels.items():
         got = {r.key: r.cluster for r in lab.collect()}
         y = np.array([got[x] for x in keys])
         sizes = np.bincount(np.unique(y, return_inverse=True)[1])
-        rows.append((method, k, float(silhouette_sample(d, y).mean()), float(sizes.min() / sizes.sum()), float(sizes.max() / sizes.min())))
-    return pairs.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, min_prop double, imbalance double")
+        rows.append((method, k, float(silhouette_sample(d, y).mean()), float(sizes.min() / sizes.sum()), float(sizes.max() / sizes.min()), fits.get(method)))
+    return pairs.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, min_prop double, imbalance double, cophenetic double")

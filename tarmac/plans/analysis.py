@@ -482,7 +482,7 @@ def series_metrics(spark, d):
     p = _pairs(spark, d).cache()
     h = series.series_hclust(p, [2, 6])
     labels = {("hclust", k): h.where(F.col("k") == k) for k in (2, 6)} | {("pam", 4): series.series_pam(p, 4)}
-    return rounded(series.ts_metrics(p, labels))
+    return rounded(series.ts_metrics(p, labels, {"hclust": "ward"}))
 
 
 @query(f"{SERIES} SELECT c_nationkey % 3 AS cluster, period, round(avg(total), 6) AS total FROM s GROUP BY 1, 2")

@@ -342,6 +342,23 @@ def test_series_metrics(spark, sf):
         own = d[i][(lab == lab[i]) & (np.arange(len(keys)) != i)]
         other = min(d[i][lab == g].mean() for g in set(lab) - {lab[i]})
         s.append((other - own.mean()) / max(own.mean(), other) if len(own) else 0.0)
+    # heights of lowest common merges, by following each pair up the tree
+    parent = {}
+    for step, (a, b, height, _) in enumerate(cluster.linkage(d)):
+        parent[a] = parent[b] = (len(keys) + step, height)
+
+    def meet(i, j):
+        above = {}
+        while i in parent:
+            i, above[i] = parent[i][0], parent[i][1]
+        while True:
+            j, height = parent[j]
+            if j in above:
+                return height
+
+    pairs_of = [(i, j) for i in range(len(keys)) for j in range(i)]
+    want = np.corrcoef([d[i, j] for i, j in pairs_of], [meet(i, j) for i, j in pairs_of])[0, 1]
+    assert got[got.method == "hclust"].cophenetic.tolist() == pytest.approx([want] * 2, abs=1e-5) and got[got.method == "pam"].cophenetic.isna().all()
     mine = got[(got.method == "hclust") & (got.k == 2)].iloc[0]
     assert mine.silhouette == pytest.approx(np.mean(s), abs=1e-4) and mine.min_prop == pytest.approx(min(Counter(lab).values()) / len(lab), abs=1e-5)
 
