@@ -14,8 +14,13 @@ often. An n-gram and the context of the same words are one entry. Lower orders a
 other, so that little of what is passed down lies on disk twice.
 
 Scoring. Tasks map the arrays of a shard into memory, one file each, and look up the sorted hashes of a block of
-texts shard by shard; the model is neither broadcast nor copied. The shared folder must therefore be mounted (a
-file: path).
+texts shard by shard; the model is neither broadcast nor copied. A worker keeps its maps, and blocks grow with the number of
+shards, so that opened files don't grow with the square of the bytes (up to MAPS shards and MOST_BLOCK tokens, some hundred
+GB; beyond, each block opens its files again). The shared folder must therefore be mounted (a file: path).
+
+Clashes. Words are told apart by 64-bit hashes: of w different words, some two clash with probability w**2 / 2**65. N-grams
+are told apart by 64 bits of which SHARD_BITS say the shard: of a context with f different followers, some two clash with
+probability f**2 / 2**43 at most.
 
 Null or empty texts consist of the end token. Texts in both folds are scored by the same model.
 Words outside training get the uniform share of the lowest order. With no training text at all,
@@ -28,6 +33,8 @@ import glob
 import mmap
 import os
 import shutil
+import sys
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import mounted, publish, remainder, shared_dir, shards, table, text_bytes
+from tarmac.llm.common import kept, mounted, publish, remainder, shared_dir, shards, table, text_bytes
 from tarmac.llm.text import U, hashed, mix
 
 END = U(0x1234F00DCAFE5678)
@@ -47,11 +54,20 @@ BOS, UNKNOWN = U(0), U(1 << 62)
 BLOCK, SCORED, SHARD_BYTES = 1 << 20, 1 << 19, 12 << 20
 #: Words in the longest n-gram of the registered query; parts in which a lower order is merged.
 ORDER, PARTS = 3, 8
+#: Mapped files that a worker keeps. Where a map needs no open file (Python 3.13) only the system's limit on maps counts.
+MAPS, UNTRACKED = (20_000, {"trackfd": False}) if sys.version_info >= (3, 13) else (500, {})
+#: Tokens that a look into a shard is to serve, and most tokens of a block.
+SERVED, MOST_BLOCK = 64, 1 << 23
 #: Leading bits of a hash that say the shard.
 SHARD_BITS = 22
 ROWS = "part int, shard int, kind string, data binary, few array<long>"
 
 
+def block_for(n_shards: int, least: int) -> int:
+    """Tokens of a block: at least `least`, more where there are many shards, so that looks into shards grow with the tokens."""
+    return max(least, min(SERVED * n_shards, MOST_BLOCK))
+
+
 def tokens(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Like text.hashed(), with the end token after the words of each row."""
     for a, b, h, n in hashed(col):
@@ -170,11 +186,20 @@ class Arrays:
         publish(f"{self.path}/{name}-{s}", np.array([len(keys), len(wide), wide.shape[1], len(large)], np.int64), keys, small, large.astype(np.int64), wide[large])
 
     def get(self, name: str, s: int) -> tuple | None:
-        path = f"{self.path}/{name}-{s}"
-        if not os.path.exists(path):
-            return None
+        """A table's arrays in mapped memory; a worker keeps the last MAPS that it opened, so that blocks of tokens share them."""
+        maps, path = kept(("maps", self.path), OrderedDict), f"{self.path}/{name}-{s}"
+        if path in maps:
+            maps.move_to_end(path)
+        elif os.path.exists(path):
+            maps[path] = self._mapped(path)
+            if len(maps) > MAPS:
+                maps.popitem(last=False)
+        return maps.get(path)
+
+    @staticmethod
+    def _mapped(path: str) -> tuple:
         with open(path, "rb") as f:
-            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, **UNTRACKED)
         n, rows, width, m = np.frombuffer(held, np.int64, 4).tolist()
         at = 32 + 8 * n
         after = at + -(-rows * width // 8) * 8
@@ -273,7 +298,7 @@ def count_grams(arrays: Arrays, order: int):
             for _, _, tok, n in tokens(batch.column(0)):
                 held.append((tok, n))
                 size += len(tok)
-                if size >= BLOCK:
+                if size >= block_for(arrays.n_shards, BLOCK):
                     yield flush()
                     held, size = [], 0
         if size:
@@ -469,7 +494,7 @@ def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
     """
     rest = [c for c in docs.columns if c not in (col, *ADDED)]
     schema = docs.select(*[F.col(f"`{c}`") for c in rest]).schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("perplexity", "double")
-    names = list(schema.names)
+    names, most = list(schema.names), block_for(model.arrays.n_shards, SCORED)
 
     def scored(tok: np.ndarray, n: np.ndarray) -> list[pa.Array]:
         c, p = model.score(tok, n)
@@ -485,7 +510,7 @@ def score(docs: DataFrame, model: Model, col: str = "text") -> DataFrame:
             for _, b, tok, n in tokens(batch.column(0)):
                 held.append((tok, n))
                 size, end = size + len(tok), b
-                if size >= SCORED or b == batch.num_rows:
+                if size >= most or b == batch.num_rows:
                     made = scored(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
                     yield pa.RecordBatch.from_arrays([*other.slice(start, end - start).columns, *made], names=names)
                     start, held, size = end, [], 0

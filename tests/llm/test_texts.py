@@ -115,6 +115,26 @@ def test_lm_arrays_keep_large_numbers(tmp_path):
     assert (got[: len(key)] == values[::-1]).all() and (place[: len(key)] >= 0).all() and (place[len(key) :] == -1).all() and not got[len(key) :].any()
 
 
+def test_lm_opens_each_shard_once(tmp_path, monkeypatch):
+    """However many blocks look into the shards; with room for fewer maps, results stay the same."""
+    arrays, opened = lm.Arrays(str(tmp_path), 8), []
+    keys = np.sort(np.random.default_rng(1).integers(1, 1 << 63, 4000, dtype=np.uint64) << lm.U(1))
+    sh = lm.shard_of(keys, 8)
+    for s in range(8):
+        arrays.put("t", s, keys[sh == s], [np.flatnonzero(sh == s) + 1])
+    mapped = lm.Arrays._mapped
+    monkeypatch.setattr(lm.Arrays, "_mapped", staticmethod(lambda path: (opened.append(path), mapped(path))[1]))
+    for maps, times in ((lm.MAPS, 8), (3, 8 * 10)):
+        monkeypatch.setattr(lm, "MAPS", maps)
+        lm.kept(("other",), dict)  # what was kept goes
+        opened.clear()
+        for _ in range(10):
+            _, found = arrays.find("t", keys, 1)
+            assert (found[:, 0] == np.arange(4000) + 1).all()
+        assert len(opened) == times
+    assert lm.block_for(10, lm.SCORED) == lm.SCORED and lm.block_for(1 << 16, lm.SCORED) == 1 << 22 and lm.block_for(1 << 22, lm.SCORED) == lm.MOST_BLOCK
+
+
 def test_lm_query_sees_contexts_of_two_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     model = lm.fit(docs.where(~lm.held_out()), order=3)
