@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.sources.stages import remove, stage_path
+
+#: Most terms of a model by Gibbs sampling.
+MOST_TERMS = 200_000
+
 
 def dtm(df: DataFrame, text: str, key: str = "doc_id", min_docs: int = 5, min_len: int = 3) -> DataFrame:
     """(doc_id, term, tf) of terms in at least min_docs documents."""
@@ -77,3 +86,109 @@ def topic_scan(counts: DataFrame, ks: list[int], iters: int = 10, seed: int = 42
         rows.append((k, float((u[i] * u[j]).sum(1).mean()), float((kl(p[i], m) + kl(p[j], m)).mean() / 2)))
     vectors.unpersist()
     return counts.sparkSession.createDataFrame(rows, "k int, mean_cosine double, mean_divergence double")
+
+
+# topics by Gibbs sampling
+
+
+@dataclass
+class GibbsTopics:
+    """What a sampler left: tokens with their topics, and counts of terms by topic."""
+
+    state: DataFrame  # (doc_id, terms array<int>, z array<int>)
+    vocab: list[str]
+    counts: np.ndarray  # (terms, topics)
+    alpha: float
+    delta: float
+
+    def terms(self, n: int = 15) -> DataFrame:
+        """(topic, rank, term, weight): the n heaviest terms of each topic, ties in the order of the vocabulary."""
+        p = (self.counts + self.delta) / (self.counts.sum(0) + len(self.vocab) * self.delta)
+        rows = [(k, r + 1, self.vocab[i], float(p[i, k])) for k in range(p.shape[1]) for r, i in enumerate(np.argsort(-p[:, k], kind="stable")[:n])]
+        return self.state.sparkSession.createDataFrame(rows, "topic int, rank int, term string, weight double")
+
+    def shares(self) -> DataFrame:
+        """(doc_id, topic, share) of every document with terms."""
+        k = self.counts.shape[1]
+        n = [F.size(F.filter("z", _is(i))) for i in range(k)]
+        share = F.array(*[(x + self.alpha) / (F.size("z") + k * self.alpha) for x in n])
+        return self.state.select("doc_id", F.posexplode(share).alias("topic", "share"))
+
+
+def _is(i: int):
+    return lambda z: z == i
+
+
+def gibbs_lda(counts: DataFrame, k: int, alpha: float = 0.2, delta: float = 0.1, sweeps: int = 500, seed: int = 67) -> GibbsTopics:
+    """A topic model of (doc_id, term, tf) by collapsed Gibbs sampling, distributed over documents.
+
+    In a sweep every document draws a topic for each of its tokens in turn: from its own counts, which follow each draw, and from the
+    counts of terms by topic as the sweep before left them, without the token itself. Then the counts are added up anew. So documents don't depend
+    on each other within a sweep, and with draws that follow from seed, sweep and document the result is the same for
+    any partitioning. The table of counts (terms times topics, MOST_TERMS terms at most) is all that is shared; tokens are written
+    after each sweep, and those of the sweep before go.
+    """
+    spark = counts.sparkSession
+    known = counts.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(MOST_TERMS + 1).collect()
+    if len(known) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    vocab = [r.term for r in known]
+    ids = spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "term string, i int")
+    tokens = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", F.col("tf").cast("int").alias("tf")))), lambda x: F.array_repeat(x["i"], x["tf"])))
+    docs = counts.join(ids, "term").groupBy("doc_id").agg(tokens.alias("terms"))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def swept(rows: DataFrame, sweep: int, table: np.ndarray | None) -> DataFrame:
+        held = spark.sparkContext.broadcast(table)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                draws = [np.random.Generator(np.random.Philox(key=[h & (2**64 - 1), seed * 1_000_003 + sweep])).random(len(t)) for h, t in zip(pdf.h.tolist(), pdf.terms, strict=True)]
+                z = [(u * k).astype(np.int64) for u in draws] if held.value is None else _drawn(list(pdf.terms), list(pdf.z), draws, held.value, alpha, delta)
+                yield pd.DataFrame({"doc_id": pdf.doc_id, "terms": pdf.terms, "z": z})
+
+        return rows.withColumn("h", F.xxhash64("doc_id")).mapInPandas(run, f"doc_id {kind}, terms array<int>, z array<int>")
+
+    def counted(rows: DataFrame) -> np.ndarray:
+        each = rows.select(F.explode(F.arrays_zip("terms", "z")).alias("x")).groupBy("x.terms", "x.z").count().collect()  # terms times topics
+        table = np.zeros((len(vocab), k))
+        for r in each:
+            table[r.terms, r.z] = r["count"]
+        return table
+
+    state, before = docs, None
+    for sweep in range(sweeps + 1):  # the first one deals topics out
+        path = stage_path(spark, "gibbs")
+        swept(state, sweep, counted(state) if sweep else None).write.parquet(path)
+        state = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    return GibbsTopics(state, vocab, counted(state), alpha, delta)
+
+
+def _drawn(terms: list[np.ndarray], z: list[np.ndarray], draws: list[np.ndarray], table: np.ndarray, alpha: float, delta: float) -> list[np.ndarray]:
+    """New topics of the tokens of some documents: the documents go on side by side, each token after the one before it."""
+    k, size = table.shape[1], np.array([len(t) for t in terms])
+    order = np.argsort(-size, kind="stable")  # those that still have tokens come first
+    start = np.concatenate(([0], np.cumsum(size[order])))[:-1]
+    w, now, u = (np.concatenate([x[i] for i in order]) if len(order) else np.zeros(0) for x in (terms, z, draws))
+    w, now = w.astype(np.int64), now.astype(np.int64)
+    own = np.zeros((len(order), k))
+    np.add.at(own, (np.repeat(np.arange(len(order)), size[order]), now), 1)
+    total = table.sum(0) + len(table) * delta
+    for i in range(int(size.max(initial=0))):
+        rows = np.arange(np.searchsorted(-size[order], -i, "left"))
+        at = start[rows] + i
+        was = now[at]
+        own[rows, was] -= 1
+        less = np.zeros((len(rows), k))
+        less[rows, was] = 1
+        p = np.cumsum((own[rows] + alpha) * (table[w[at]] - less + delta) / (total - less), 1)
+        new = np.minimum((p <= (u[at] * p[:, -1])[:, None]).sum(1), k - 1)
+        own[rows, new] += 1
+        now[at] = new
+    out: list = [None] * len(order)
+    for j, i in enumerate(order):
+        out[i] = now[start[j] : start[j] + size[i]]
+    return out

@@ -527,6 +527,17 @@ def document_topics(spark, d):
     return rounded(topics.doc_topics(model, vectors, t(spark, d, "documents").select("doc_id", "source")))
 
 
+@query()
+def gibbs_topic_terms(spark, d):
+    return rounded(topics.gibbs_lda(_terms(spark, d), 2, sweeps=20).terms())
+
+
+@query()
+def gibbs_document_topics(spark, d):
+    shares = topics.gibbs_lda(_terms(spark, d), 4, sweeps=20).shares()
+    return rounded(shares.join(t(spark, d, "documents").select("doc_id", "source"), "doc_id"))
+
+
 @query()
 def topic_count_scan(spark, d):
     return rounded(topics.topic_scan(_terms(spark, d), [2, 4, 6], iters=3))

@@ -388,6 +388,45 @@ def test_topics_separate_two_subjects(spark):
     assert all(set(names[t]) == found[t] for t in names)
 
 
+@pytest.mark.parametrize("k", [2, 4])
+def test_gibbs_finds_planted_topics(spark, k):
+    """Subjects come back whole at K = 2 and 4, whatever the partitioning."""
+    rng = np.random.default_rng(k)
+    subjects = [[f"word{s}{i}" for i in range(6)] for s in range(k)]
+    rows = [(i, " ".join(rng.choice(subjects[i % k], 25))) for i in range(30 * k)]
+    counts = topics.dtm(spark.createDataFrame(rows, "doc_id long, text string"), "text", min_docs=2)
+    model = topics.gibbs_lda(counts, k, sweeps=15)
+    found = {}
+    for r in model.terms(6).collect():
+        found.setdefault(r.topic, set()).add(r.term)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, subjects))
+    shares = model.shares().toPandas()
+    assert shares.groupby("doc_id").share.sum().to_numpy() == pytest.approx(1)
+    main = shares.loc[shares.groupby("doc_id").share.idxmax()].set_index("doc_id").topic
+    assert len(set(main)) == k and all(main[i] == main[i % k] for i in range(30 * k))
+    again = topics.gibbs_lda(counts.repartition(7, "term"), k, sweeps=15)
+    key = lambda m: {r.doc_id: (r.terms, r.z) for r in m.state.collect()}
+    assert key(model) == key(again)
+
+
+def test_gibbs_draws_against_a_plain_loop():
+    rng = np.random.default_rng(1)
+    size, k, v = [7, 0, 12, 1], 3, 5
+    terms, z, u = ([f(n) for n in size] for f in (lambda n: rng.integers(0, v, n), lambda n: rng.integers(0, k, n), rng.random))
+    table = np.zeros((v, k))
+    for t, y in zip(terms, z, strict=True):
+        np.add.at(table, (t, y), 1)
+    for t, y, d, got in zip(terms, z, u, topics._drawn(terms, z, u, table, 0.2, 0.1), strict=True):
+        now = y.tolist()
+        for i, w in enumerate(t):
+            p = []
+            for j in range(k):
+                own = sum(x == j for m, x in enumerate(now) if m != i)
+                p.append((own + 0.2) * (table[w, j] - (y[i] == j) + 0.1) / (table[:, j].sum() - (y[i] == j) + v * 0.1))
+            now[i] = next((j for j in range(k) if d[i] * sum(p) < sum(p[: j + 1])), k - 1)
+        assert now == got.tolist()
+
+
 def test_topic_queries(spark, sf):
     terms = run(spark, sf, "topic_top_terms")
     for _, g in terms.groupby("topic"):
