@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from tarmac.operators.inference import anova
 from tarmac.operators.summary import contingency
+from tarmac.sources.stages import staged
 
 MOST_COLUMNS, MOST_CELLS = 500, 1_000_000
+CA_ROWS = "side string, category string, axis int, coord double, contribution double, cos2 double"
 
 
 def eigen_table(spark, values: np.ndarray) -> DataFrame:
@@ -178,16 +180,95 @@ def top_individuals(coords: DataFrame, rows: DataFrame, key: str, dims: list[str
     return rows.join(F.broadcast(best.select(key, "score")), key)
 
 
-def ca(df: DataFrame, r: str, c: str) -> tuple[DataFrame, DataFrame]:
-    """Correspondence analysis of a contingency table: eigenvalues, and (side, category, axis, coord, contribution, cos2)."""
+def ca(df: DataFrame, r: str, c: str, ncp: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Correspondence analysis of a contingency table: eigenvalues, and (side, category, axis, coord, contribution, cos2).
+
+    All axes of a table of at most MOST_CELLS cells; with ncp, the first ncp axes of a table of any size (ca_sparse).
+    """
     spark = df.sparkSession
+    if ncp:
+        counts = df.where(F.col(r).isNotNull() & F.col(c).isNotNull()).groupBy(F.col(r).cast("string").alias("row"), F.col(c).cast("string").alias("col")).agg(F.count("*").alias("n"))
+        return ca_sparse(counts, ncp)
     cells = contingency(df, r, c).select("row_cat", "col_cat", "n").limit(MOST_CELLS + 1).toPandas()
     if len(cells) > MOST_CELLS:
-        raise ValueError(f"a table of more than {MOST_CELLS} cells")
+        raise ValueError(f"a table of more than {MOST_CELLS} cells: say how many axes are wanted (ncp)")
     t = cells.pivot(index="row_cat", columns="col_cat", values="n").sort_index().sort_index(axis=1)
     return _ca(spark, t.to_numpy(float), list(t.index), list(t.columns))
 
 
+def ca_sparse(cells: DataFrame, ncp: int, extra: int = 6, rounds: int = 300, tol: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """The first ncp axes of a table of counts (row, col, n), of any size: as ca().
+
+    Subspace iteration on the scaled table, whose cells are all that is kept: ncp + extra vectors on the columns are carried to the rows and
+    back, each way one join and one sum, the known first pair (square roots of the masses) is taken out, and they are made orthonormal
+    again from their products, small matrices on the driver. It ends when the eigenvalues stand still. Signs make the row coordinate
+    of largest size positive.
+    """
+    spark = cells.sparkSession
+    cells = staged(cells.where("n > 0").groupBy(F.col("row").cast("string").alias("row"), F.col("col").cast("string").alias("col")).agg(F.sum("n").cast("double").alias("n")), "ca-counts")
+    n = cells.agg(F.sum("n")).first()[0] or 0.0
+    rows, cols = (staged(cells.groupBy(x).agg((F.sum("n") / n).alias("m")), "ca-masses") for x in ("row", "col"))
+    q = min(ncp + extra, rows.count() - 1, cols.count() - 1)
+    if q < 1:
+        return eigen_table(spark, np.zeros(0)), spark.createDataFrame([], CA_ROWS)
+    table = cells.join(rows.withColumnRenamed("m", "a"), "row").join(cols.withColumnRenamed("m", "b"), "col")
+    table = staged(table.select("row", "col", (F.col("n") / n / F.sqrt(F.col("a") * F.col("b"))).alias("w"), (F.col("n") / n).alias("p"), "a", "b"), "ca-cells")
+    total = table.agg(F.sum(F.col("w") ** 2)).first()[0] - 1
+    axes = range(q)
+
+    def carried(vectors: DataFrame, side: str, other: str, mass: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        """(other, m, x) of vectors (side, x), without the known first one, and the products of what is left."""
+        moved = table.join(vectors.select(side, "x"), side).groupBy(other).agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in axes]).alias("x")).join(mass, other)
+        moved = staged(moved, "ca-vectors")
+        known = moved.agg(*[F.sum(F.sqrt("m") * F.col("x")[i]) for i in axes]).first()
+        clean = moved.select(other, "m", F.array(*[F.col("x")[i] - F.sqrt("m") * float(known[i]) for i in axes]).alias("x"))
+        pairs = [(i, j) for i in axes for j in range(i, q)]
+        got = clean.agg(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in pairs]).first()
+        gram = np.zeros((q, q))
+        for (i, j), v in zip(pairs, got, strict=True):
+            gram[i, j] = gram[j, i] = v
+        return clean, gram
+
+    def turned(vectors: DataFrame, by: np.ndarray) -> DataFrame:
+        return vectors.withColumn("x", F.array(*[sum((F.col("x")[i] * float(by[i, j]) for i in axes), F.lit(0.0)) for j in range(by.shape[1])]))
+
+    def whitened(gram: np.ndarray) -> np.ndarray:
+        values, vectors = np.linalg.eigh(gram)
+        keep = np.maximum(values, 1e-14 * max(values.max(), 1e-300))
+        return vectors / np.sqrt(keep)
+
+    start = cols.select("col", "m", F.array(*[F.xxhash64("col", F.lit(i)) / float(2**63) for i in axes]).alias("x"))
+    on_rows, gram = carried(start, "col", "row", rows)
+    last = np.zeros(q)
+    for _ in range(rounds):
+        on_cols, gram = carried(turned(on_rows, whitened(gram)), "row", "col", cols)
+        on_rows, gram = carried(turned(on_cols, whitened(gram)), "col", "row", rows)
+        values = np.sort(np.linalg.eigvalsh(gram))[::-1]
+        if np.abs(values - last)[:ncp].max() <= tol * max(values[0], 1e-300):
+            break
+        last = values
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(values)[::-1][: min(ncp, q)]
+    values = np.maximum(values[order], 0)
+    # rows: products of the table with orthonormal vectors, so their length is the singular value
+    on_rows = staged(turned(on_rows, vectors[:, order]), "ca-rows")
+    q = len(order)
+    axes = range(q)
+    # carried back, vectors on the columns have the eigenvalue as their length
+    back = table.join(on_rows.select("row", "x"), "row").groupBy("col").agg(F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in axes]).alias("x")).join(cols, "col")
+    top = on_rows.agg(*[F.max_by(F.sign(F.col("x")[i]), F.struct(F.round(F.abs(F.col("x")[i] / F.sqrt("m")), 9), "row")) for i in axes]).first()
+    far = {side: table.groupBy(side).agg((F.sum(F.col("p") ** 2 / F.col(opposite)) / F.first(own) ** 2 - 1).alias("far")) for side, own, opposite in (("row", "a", "b"), ("col", "b", "a"))}
+    parts = []
+    for side, data, scale in (("row", on_rows, np.ones(q)), ("col", back, np.sqrt(values))):
+        x = F.array(*[F.struct(F.lit(i + 1).alias("axis"), (F.col("x")[i] * float(top[i] or 1.0) / max(float(scale[i]), 1e-150)).alias("x"), F.lit(float(values[i])).alias("value")) for i in axes])
+        long = data.join(far[side], side).select(F.lit(side).alias("side"), F.col(side).alias("category"), "m", "far", F.explode(x).alias("v"))
+        coord = F.col("v.x") / F.sqrt("m")
+        parts.append(long.select("side", "category", "v.axis", coord.alias("coord"), F.coalesce(F.try_divide(F.col("v.x") ** 2 * 100, F.col("v.value")), F.lit(0.0)).alias("contribution"), F.coalesce(F.try_divide(coord**2, F.greatest("far", F.lit(1e-300))), F.lit(0.0)).alias("cos2")))
+    share = values * 100 / max(total, 1e-300)
+    eig = spark.createDataFrame([(i + 1, float(v), float(share[i]), float(share[: i + 1].sum())) for i, v in enumerate(values)], "axis int, eigenvalue double, percent double, cumulative double")
+    return eig, parts[0].unionByName(parts[1])
+
+
 def _ca(spark, t: np.ndarray, rows: list[str], cols: list[str]) -> tuple[DataFrame, DataFrame]:
     p = t / t.sum()
     a, b = p.sum(1), p.sum(0)
@@ -206,12 +287,15 @@ def ca_text(dtm: DataFrame, ncp: int = 2, most_terms: int = 2000) -> tuple[DataF
     """Correspondence analysis of (doc_id, term, tf): eigenvalues, (term, axis, coord, contribution), (doc_id, dim_1..).
 
     The term by term matrix is summed from pairs of terms of the same document, in Arrow batches of whole
-    documents; terms beyond the most_terms most frequent are refused, prune them first.
+    documents. With more terms than most_terms the axes come from ca_sparse, which holds no matrix of terms; the table of
+    eigenvalues then has ncp of them.
     """
     spark = dtm.sparkSession
     terms = dtm.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(most_terms + 1).toPandas()
     if len(terms) > most_terms:
-        raise ValueError(f"more than {most_terms} terms")
+        eig, found = ca_sparse(dtm.select(F.col("doc_id").cast("string").alias("row"), F.col("term").alias("col"), F.col("tf").alias("n")), ncp)
+        scores = found.where("side = 'row'").groupBy(F.col("category").cast(dict(dtm.dtypes)["doc_id"]).alias("doc_id")).agg(*[F.max(F.when(F.col("axis") == x + 1, F.col("coord"))).alias(f"dim_{x + 1}") for x in range(ncp)])
+        return eig, found.where("side = 'col'").select(F.col("category").alias("term"), "axis", "coord", "contribution"), scores
     total = float(terms.n.sum())
     v = len(terms)
     held = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms.term)})

@@ -173,6 +173,29 @@ def test_ca_matches_chi_square(spark, sf):
     assert inertia == pytest.approx(got.statistic / got.n, rel=1e-9)
 
 
+def test_sparse_ca_equals_the_dense_one(spark):
+    """Axes, contributions and cos2 of the table as it is, and of documents with more terms than are held at once."""
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(np.exp(rng.normal(0, 1, (14, 2)) @ rng.normal(0, 1, (2, 9))))
+    df = spark.createDataFrame([(f"r{i}", f"c{j}") for i, j in np.ndindex(counts.shape) for _ in range(counts[i, j])] + [(None, "c1"), ("r1", None)], "a string, b string")
+    eig, found = factor.ca(df, "a", "b")
+    some, mine = factor.ca(df, "a", "b", ncp=2)
+    assert [r.eigenvalue for r in some.orderBy("axis").collect()] == pytest.approx([r.eigenvalue for r in eig.where("axis <= 2").orderBy("axis").collect()], rel=1e-8)
+    assert [r.percent for r in some.orderBy("axis").collect()] == pytest.approx([r.percent for r in eig.where("axis <= 2").orderBy("axis").collect()], rel=1e-6)
+    want = {(r.side, r.category, r.axis): r for r in found.where("axis <= 2").collect()}
+    got = {(r.side, r.category, r.axis): r for r in mine.collect()}
+    assert got.keys() == want.keys()
+    for axis in (1, 2):
+        sign = 1 if np.dot([got[k].coord for k in want if k[2] == axis], [want[k].coord for k in want if k[2] == axis]) > 0 else -1
+        for k in (k for k in want if k[2] == axis):
+            assert (got[k].coord * sign, got[k].contribution, got[k].cos2) == pytest.approx((want[k].coord, want[k].contribution, want[k].cos2), abs=1e-6)
+    dtm = spark.createDataFrame([(i, f"t{j}", int(counts[i, j])) for i, j in np.ndindex(counts.shape) if counts[i, j]], "doc_id long, term string, tf long")
+    dense, sparse = factor.ca_text(dtm), factor.ca_text(dtm, most_terms=3)
+    a, b = ({r.doc_id: r.dim_1 for r in x[2].collect()} for x in (dense, sparse))
+    assert np.abs(np.corrcoef([a[i] for i in a], [b[i] for i in a])[0, 1]) == pytest.approx(1, abs=1e-9)
+    assert factor.ca_sparse(dtm.select(F.col("doc_id").alias("row"), F.col("term").alias("col"), F.col("tf").alias("n")).limit(0), 2)[1].count() == 0
+
+
 def test_ca_text_matches_ca(spark):
     rows = [(d, t, n) for d, t, n in ((1, "a", 3), (1, "b", 1), (2, "a", 1), (2, "c", 4), (3, "b", 2), (3, "c", 1))]
     dtm = spark.createDataFrame(rows, "doc_id long, term string, tf long")
