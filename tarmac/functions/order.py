@@ -53,14 +53,14 @@ def avg_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "r
     return df.join(ranked, [F.col(col) == F.col("__v"), *[F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by]], "left").drop("__v", *[f"__by_{b}" for b in by])
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
-    """(keys, a column per entry of probs): exact quantiles, linear between neighbours, of each group.
+def quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], times: str | None = None) -> DataFrame:
+    """(keys, a column per entry of probs): exact quantiles, linear between neighbours, of each group. times: how often a row counts.
 
     Values are counted, the counts summed in order, and each quantile read where the sum passes its place. Nulls are
     left out; a group without values has no row, but without keys there is always one.
     """
     v = (F.col(value) if isinstance(value, str) else value).cast("double")
-    counts = df.select(*keys, v.alias("__v")).where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    counts = df.select(*keys, v.alias("__v"), (F.col(times) if times else F.lit(1)).alias("__t")).where(F.col("__v").isNotNull()).groupBy(*keys, "__v").agg(F.sum("__t").alias("__n"))
     placed = cumulative(counts, [*keys, "__v"], "__n", "__c", keys, "__total")
     start = F.col("__c") - F.col("__n")
 

@@ -38,9 +38,9 @@ def outlier_zscore(df: DataFrame, cols: list[str], key: str = "row_id", k: float
 
 def outlier_hampel(df: DataFrame, cols: list[str], key: str = "row_id", k: float = 3.0) -> DataFrame:
     """Beyond median ± k * 1.4826 * MAD."""
-    long = _long(df, cols, key)
-    m = quantiles(long, ["variable"], "value", {"m": 0.5})
-    s = quantiles(long.join(F.broadcast(m), "variable"), ["variable"], F.abs(F.col("value") - F.col("m")), {"d": 0.5}).join(m, "variable")  # a row for each variable
+    counts = staged(_long(df, cols, key).groupBy("variable", "value").agg(F.count("*").alias("times")), "value-counts")
+    m = staged(quantiles(counts, ["variable"], "value", {"m": 0.5}, "times"), "medians")  # a row for each variable
+    s = quantiles(counts.join(F.broadcast(m), "variable"), ["variable"], F.abs(F.col("value") - F.col("m")), {"d": 0.5}, "times").join(m, "variable")
     return _beyond(df, cols, key, s, F.col("m") - k * 1.4826 * F.col("d"), F.col("m") + k * 1.4826 * F.col("d"), "hampel")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.functions.order import avg_rank, cumulative, null_safe, quantiles  # noqa: F401
+from tarmac.sources.stages import staged
 
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
@@ -78,10 +79,13 @@ def describe_by(df: DataFrame, cols: list[str], by: str, trim: float = 0.1) -> D
     long = _long(df, cols, [by]).where("value is not null")
     keys = ["variable", by]
     moments = long.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurtosis"))
-    first = null_safe(moments, quantiles(long, keys, "value", {"median": 0.5, "__lo": trim, "__hi": 1 - trim}), keys)
-    near = null_safe(long, first.select(*keys, "median", "__lo", "__hi"), keys)
-    second = near.groupBy(*keys).agg(F.avg(F.when(F.col("value").between(F.col("__lo"), F.col("__hi")), F.col("value"))).alias("trimmed"))
-    mad = quantiles(near, keys, F.abs(F.col("value") - F.col("median")), {"mad": 0.5}).withColumn("mad", 1.4826 * F.col("mad"))
+    counts = staged(long.groupBy(*keys, "value").agg(F.count("*").alias("times")), "value-counts")  # all that order and deviations need
+    first = null_safe(moments, quantiles(counts, keys, "value", {"median": 0.5, "__lo": trim, "__hi": 1 - trim}, "times"), keys)
+    first = staged(first, "moments")
+    near = null_safe(counts, first.select(*keys, "median", "__lo", "__hi"), keys)
+    inside = F.when(F.col("value").between(F.col("__lo"), F.col("__hi")), F.col("times"))
+    second = near.groupBy(*keys).agg((F.sum(inside * F.col("value")) / F.sum(inside)).alias("trimmed"))
+    mad = quantiles(near, keys, F.abs(F.col("value") - F.col("median")), {"mad": 0.5}, "times").withColumn("mad", 1.4826 * F.col("mad"))
     return null_safe(null_safe(first, second, keys), mad, keys).select(*keys, "n", "mean", "sd", "median", "trimmed", "mad", "min", "max", (F.col("max") - F.col("min")).alias("range"), "skew", "kurtosis", (F.col("sd") / F.sqrt("n")).alias("se"))
 
 
