@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tarmac.operators.cluster import cut, linkage, silhouette_sample
-
-MOST_SERIES = 5000
+from tarmac.operators.cluster import linkage
+from tarmac.sources.stages import remove, stage_path, staged
 
 
 def monthly_series(df: DataFrame, key: str, period: str, min_months: int = 6) -> DataFrame:
@@ -62,25 +62,110 @@ def dtw_pairs(long: DataFrame, key: str, period: str, value: str, window: int |
     return pairs.mapInPandas(run, f"i {kind}, j {kind}, d double")
 
 
-def _matrix(pairs: DataFrame) -> tuple[list, np.ndarray]:
-    p = pairs.limit(MOST_SERIES**2 // 2).toPandas()
-    keys = sorted(set(p.i) | set(p.j))
-    if len(keys) > MOST_SERIES:
-        raise ValueError(f"more than {MOST_SERIES} series")
-    at = {k: n for n, k in enumerate(keys)}
-    d = np.zeros((len(keys), len(keys)))
-    i, j = p.i.map(at).to_numpy(), p.j.map(at).to_numpy()
-    d[i, j] = d[j, i] = p.d.to_numpy()
-    return keys, d
+def hierarchy(pairs: DataFrame, method: str = "ward", few: int = 1000) -> DataFrame:
+    """(item, into, height, step): a cluster bears its smallest item's name, so every other item is absorbed once.
 
+    pairs: (i, j, d), every pair of items once, each way round. Ward updates squares (heights are distances again),
+    average takes the mean distance; ties go to the smaller names. Each round merges, over the whole table of pairs,
+    all clusters that are nearest to each other: both linkages never bring a third cluster nearer than that, so the tree
+    is the one that single merges give, but for ties. The last `few` clusters are merged on the driver. Heights never
+    fall on the way up. A pair that is missing or has no distance is refused.
+    """
+    ward, spark = method == "ward", pairs.sparkSession
+    one = lambda c: F.struct(F.col(c).alias("c"), F.lit(1.0).alias("n"), F.lit(0.0).alias("top"), F.lit(0.0).alias("w"))
+    d = F.col("d").cast("double")
+    first = pairs.where(d.isNotNull() & ~F.isnan(d)).select(F.least(one("i"), one("j")).alias("lo"), F.greatest(one("i"), one("j")).alias("hi"), (d * d if ward else d).alias("e"))
+    path = stage_path(spark, "cluster-pairs")
+    first.write.parquet(path)
+    near = spark.read.schema(first.schema).parquet(path)
+    items = near.select(F.explode(F.array("lo.c", "hi.c")).alias("c")).distinct().count()
+    if 2 * near.count() != items * (items - 1) or 2 * pairs.count() != items * (items - 1):
+        raise ValueError("the table lacks pairs, repeats some or has some without a distance")
+    kind, trees, step = near.schema["lo"].dataType["c"].dataType.simpleString(), [], 0
+    far = 2 * F.col("lo.n") * F.col("hi.n") / (F.col("lo.n") + F.col("hi.n")) * F.col("e") if ward else F.col("e")
+    while items > max(few, 1):
+        step += 1
+        ranked = near.select(F.struct(far.alias("far"), "lo", "hi", "e").alias("p"))
+        best = ranked.select("p", F.explode(F.array("p.lo.c", "p.hi.c")).alias("c")).groupBy("c").agg(F.min("p").alias("p"))
+        met = best.groupBy("p").count().where("count = 2").select("p.*", F.greatest(F.sqrt(F.greatest("p.far", F.lit(0.0))) if ward else F.col("p.far"), "p.lo.top", "p.hi.top").alias("height"))
+        met = staged(met, "merges")
+        trees.append(met.select(F.col("hi.c").alias("item"), F.col("lo.c").alias("into"), "height", F.lit(step).alias("step")))
+        items -= met.count()
+        n = F.col("lo.n") + F.col("hi.n")
+        merged = F.struct(F.col("lo.c").alias("c"), n.alias("n"), F.col("height").alias("top"), (F.col("lo.n") * F.col("hi.n") / (n * n) * F.col("e") if ward else F.lit(0.0)).alias("w"))
+        moved = met.select(F.explode(F.array(*[F.struct(F.col(f"{s}.c").alias("c"), merged.alias("m"), (F.col(f"{s}.n") / n).alias("share")) for s in ("lo", "hi")])).alias("x")).select("x.*")
+        out = near
+        for s in ("lo", "hi"):
+            out = out.join(moved.toDF(f"__{s}", f"m_{s}", f"share_{s}"), F.col(f"{s}.c") == F.col(f"__{s}"), "left")
+            same = F.struct(F.col(f"{s}.c").alias("c"), F.col(f"{s}.n").alias("n"), F.col(f"{s}.top").alias("top"), F.lit(0.0).alias("w"))
+            out = out.withColumn(f"new_{s}", F.coalesce(f"m_{s}", same)).withColumn(f"share_{s}", F.coalesce(f"share_{s}", F.lit(1.0)))
+        out = out.where(F.col("new_lo.c") != F.col("new_hi.c"))
+        out = out.groupBy(F.least("new_lo", "new_hi").alias("lo"), F.greatest("new_lo", "new_hi").alias("hi")).agg(F.sum(F.col("e") * F.col("share_lo") * F.col("share_hi")).alias("e"))
+        out = out.select("lo", "hi", (F.col("e") - F.col("lo.w") - F.col("hi.w")).alias("e"))
+        last, path = path, stage_path(spark, "cluster-pairs")
+        out.write.parquet(path)
+        near = spark.read.schema(out.schema).parquet(path)
+        remove(spark, last)
+    rest = near.select(F.col("lo.c").alias("i"), F.col("hi.c").alias("j"), F.col("lo.n").alias("ni"), F.col("hi.n").alias("nj"), F.col("lo.top").alias("ti"), F.col("hi.top").alias("tj"), (F.sqrt(F.greatest(far, F.lit(0.0))) if ward else far).alias("d")).collect()
+    remove(spark, path)
+    trees.append(spark.createDataFrame(_last_merges(rest, method, step), f"item {kind}, into {kind}, height double, step int"))
+    return staged(reduce(DataFrame.union, trees), "hierarchy")
+
+
+def _last_merges(rest: list, method: str, step: int) -> list[tuple]:
+    known = {r.i: (r.ni, r.ti) for r in rest} | {r.j: (r.nj, r.tj) for r in rest}
+    names = sorted(known)
+    at, d = {c: n for n, c in enumerate(names)}, np.zeros((len(names), len(names)))
+    for r in rest:
+        d[at[r.i], at[r.j]] = d[at[r.j], at[r.i]] = r.d
+    name, top, out = list(names), [known[c][1] for c in names], []
+    for s, (a, b, height, _) in enumerate(linkage(d, method, np.array([known[c][0] for c in names]))):
+        into, item = sorted((name[a], name[b]))
+        name.append(into)
+        top.append(max(height, top[a], top[b]))
+        out.append((item, into, top[-1], step + s + 1))
+    return out
 
-def series_hclust(pairs: DataFrame, ks: list[int], method: str = "ward") -> DataFrame:
-    """(k, key, cluster) by hierarchical grouping of the distance table. Ward on warping distances isn't a variance
-    criterion; average linkage is the other choice."""
-    keys, d = _matrix(pairs)
-    merges = linkage(d, method)
-    rows = [(k, x, int(c)) for k in ks if k <= len(keys) for x, c in zip(keys, cut(merges, len(keys), k), strict=True)]
-    return pairs.sparkSession.createDataFrame([(k, x.item() if hasattr(x, "item") else x, c) for k, x, c in rows], f"k int, key {dict(pairs.dtypes)['i']}, cluster int")
+
+def ascents(tree: DataFrame) -> DataFrame:
+    """(item, up): the mergers {height, step, item, into} that an item goes through, rising, by doubling.
+
+    up: those in which the cluster's name changes for the item; empty for the smallest item of all.
+    """
+    hops = tree.select("item", F.array(F.struct("height", "step", "item", "into")).alias("up"), F.col("into").alias("at"))
+    root = tree.join(tree.select(F.col("item").alias("into")), "into", "left_anti").select(F.col("into").alias("item")).distinct()
+    up = staged(hops.union(root.select("item", F.array().cast(hops.schema["up"].dataType), "item")), "ascents")
+    while not up.join(up.where(F.size("up") > 0).select(F.col("item").alias("at")), "at", "left_semi").isEmpty():
+        further = up.select(F.col("item").alias("at"), F.col("up").alias("more"), F.col("at").alias("end"))
+        up = staged(up.join(further, "at").select("item", F.concat("up", "more").alias("up"), F.col("end").alias("at")), "ascents")
+    return up.select("item", "up")
+
+
+def _below(row: Row) -> Callable[[Column], Column]:
+    limit = F.struct(F.lit(row.height).alias("height"), F.lit(row.step).cast("int").alias("step"), F.lit(row["item"]).alias("item"))
+    return lambda x: F.struct(x["height"].alias("height"), x["step"].alias("step"), x["item"].alias("item")) < limit
+
+
+def series_hclust(pairs: DataFrame, ks: list[int], method: str = "ward", few: int = 1000) -> DataFrame:
+    """(k, key, cluster) by hierarchical grouping of the distance table, larger clusters first; a k above the number of
+    series gives no rows. Ward on warping distances isn't a variance criterion; average linkage is the other choice."""
+    tree = hierarchy(pairs, method, few)
+    n = tree.count() + 1
+    high = tree.orderBy(F.desc("height"), F.desc("step"), F.desc("item")).limit(max([*ks, 2]) - 1).collect()
+    up, parts = ascents(tree), []
+    for k in ks:
+        if not 1 <= k <= n or n == 1:
+            continue
+        low = F.col("up")
+        if k > 1:
+            low = F.filter("up", _below(high[k - 2]))
+        parts.append(up.select(F.lit(k).alias("k"), F.col("item").alias("key"), F.coalesce(F.try_element_at(low, F.lit(-1))["into"], F.col("item")).alias("root")))
+    kind = dict(tree.dtypes)["item"]
+    if not parts:
+        return pairs.sparkSession.createDataFrame([], f"k int, key {kind}, cluster int")
+    rows = reduce(DataFrame.union, parts)
+    labels = rows.groupBy("k", "root").count().withColumn("cluster", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("count"), "root")) - 1)
+    return rows.join(labels, ["k", "root"]).select("k", "key", "cluster")
 
 
 def series_pam(pairs: DataFrame, k: int, rounds: int = 10) -> DataFrame:
@@ -104,33 +189,37 @@ def series_pam(pairs: DataFrame, k: int, rounds: int = 10) -> DataFrame:
     return near.select(F.col("x").alias("key"), names[F.col("b.m")].alias("cluster"))
 
 
-def cophenetic(merges: list[tuple], n: int) -> np.ndarray:
-    """(n, n): the height of the merge that first brings two items together."""
-    out, inside = np.zeros((n, n)), {i: [i] for i in range(n)}
-    for step, (a, b, height, _) in enumerate(merges):
-        left, right = inside.pop(a), inside.pop(b)
-        out[np.ix_(left, right)] = height
-        out[np.ix_(right, left)] = height
-        inside[n + step] = left + right
-    return out
+def cophenetic(pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """pairs with `height`: that of the merger which first brings the two items of a pair together."""
+    up = ascents(tree)
+    names = F.concat(F.array("item"), F.col("up.into"))
+    heights = F.concat(F.array(F.lit(0.0)), F.col("up.height"))
+    side = lambda s: up.select(F.col("item").alias(s), names.alias(f"names_{s}"), heights.alias(f"heights_{s}"))
+    both = pairs.join(side("i"), "i").join(side("j"), "j").withColumn("meet", F.array_intersect("names_i", "names_j")[0])
+    at = lambda s: F.element_at(f"heights_{s}", F.array_position(f"names_{s}", F.col("meet")).cast("int"))
+    return both.withColumn("height", F.greatest(at("i"), at("j"))).select(*pairs.columns, "height")
 
 
-def ts_metrics(pairs: DataFrame, labels: dict[tuple[str, int], DataFrame], trees: dict[str, str] | None = None) -> DataFrame:
+def ts_metrics(pairs: DataFrame, labels: dict[tuple[str, int], DataFrame], trees: dict[str, str] | None = None, few: int = 1000) -> DataFrame:
     """(method, k, silhouette, min_prop, imbalance, cophenetic) of labellings {(method, k): (key, cluster)}.
 
     trees: the linkage of those methods that are hierarchies, whose distances are correlated with the heights at which
-    two series come together; null for others, and where either doesn't vary.
+    two series come together; null for others, and where either doesn't vary. A series alone in its cluster, and any
+    where there is one cluster only, has silhouette 0. All of it is aggregation over the table of pairs.
     """
-    keys, d = _matrix(pairs)
-    upper = np.triu_indices(len(keys), 1)
-    fits = {}
+    spark = pairs.sparkSession
+    labelled = reduce(DataFrame.union, [lab.select(F.lit(method).alias("method"), F.lit(k).alias("k"), "key", "cluster") for (method, k), lab in labels.items()])
+    labelled = staged(labelled, "labels")
+    both = pairs.select(F.col("i").alias("x"), F.col("j").alias("key"), "d").union(pairs.select("j", "i", "d"))
+    means = both.join(labelled, "key").groupBy("method", "k", "x", "cluster").agg(F.avg("d").alias("mean"))
+    own = labelled.select("method", "k", F.col("key").alias("x"), F.col("cluster").alias("own"))
+    mine, other = F.max(F.when(F.col("cluster") == F.col("own"), F.col("mean"))), F.min(F.when(F.col("cluster") != F.col("own"), F.col("mean")))
+    rows = means.join(own, ["method", "k", "x"]).groupBy("method", "k", "x").agg(mine.alias("a"), other.alias("b"))
+    score = rows.groupBy("method", "k").agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
+    sizes = labelled.groupBy("method", "k", "cluster").count().groupBy("method", "k").agg((F.min("count") / F.sum("count")).alias("min_prop"), (F.max("count") / F.min("count")).alias("imbalance"))
+    fits = []
     for method, link in (trees or {}).items():
-        x, y = d[upper], cophenetic(linkage(d, link), len(keys))[upper]
-        fits[method] = float(np.corrcoef(x, y)[0, 1]) if len(x) and x.std() > 0 and y.std() > 0 else None
-    rows = []
-    for (method, k), lab in labels.items():
-        got = {r.key: r.cluster for r in lab.collect()}
-        y = np.array([got[x] for x in keys])
-        sizes = np.bincount(np.unique(y, return_inverse=True)[1])
-        rows.append((method, k, float(silhouette_sample(d, y).mean()), float(sizes.min() / sizes.sum()), float(sizes.max() / sizes.min()), fits.get(method)))
-    return pairs.sparkSession.createDataFrame(rows, "method string, k int, silhouette double, min_prop double, imbalance double, cophenetic double")
+        r = cophenetic(pairs, hierarchy(pairs, link, few)).agg(F.corr("d", "height").alias("fit")).first()
+        fits.append((method, r.fit if r.fit is not None and np.isfinite(r.fit) else None))
+    fit = spark.createDataFrame(fits, "method string, cophenetic double")
+    return sizes.join(score, ["method", "k"], "left").fillna(0.0, ["silhouette"]).join(fit, "method", "left").select("method", "k", "silhouette", "min_prop", "imbalance", "cophenetic")
