@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.order import quantiles
+from tarmac.functions.order import nth, quantiles
 from tarmac.functions.stats import chi2_quantile, chi2_sf
 from tarmac.operators.neighbours import knn_join, standardised
 from tarmac.operators.sampling import order_of
@@ -49,15 +50,21 @@ def outlier_counts(*flags: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), flags).groupBy("variable", "method").agg(F.count("*").alias("n"))
 
 
+def _moments(cols: list[str]) -> list[Column]:
+    return [*[F.avg(c) for c in cols], *[F.covar_samp(cols[i], cols[j]) for i in range(len(cols)) for j in range(i, len(cols))]]
+
+
+def _read_moments(r: list, p: int) -> tuple[np.ndarray, np.ndarray]:
+    cov = np.zeros((p, p))
+    for (i, j), v in zip(((i, j) for i in range(p) for j in range(i, p)), r[p:], strict=True):
+        cov[i, j] = cov[j, i] = v or 0.0
+    return np.array([x or 0.0 for x in r[:p]]), cov
+
+
 def moments(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Mean and sample covariance of complete rows, in one aggregate."""
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    r = d.agg(*[F.avg(c) for c in cols], *[F.covar_samp(cols[i], cols[j]) for i, j in pairs]).first()
-    cov = np.zeros((len(cols), len(cols)))
-    for (i, j), v in zip(pairs, r[len(cols) :], strict=True):
-        cov[i, j] = cov[j, i] = v or 0.0
-    return np.array([x or 0.0 for x in r[: len(cols)]]), cov
+    return _read_moments(list(d.agg(*_moments(cols)).first()), len(cols))
 
 
 def mahalanobis(cols: list[str], mean: np.ndarray, cov: np.ndarray) -> Column:
@@ -101,8 +108,8 @@ def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support:
     """The same around a minimum-covariance-determinant centre.
 
     `starts` random subsets compete on a hash sample of `sample` rows; the best `keep` of them, and medians with
-    absolute deviations, go on with concentration steps on all rows, each keeping the share `support` of nearest
-    rows. The smallest determinant counts. The cut of a step is an approximate quantile, 1 in 10,000 by rank.
+    absolute deviations, go on together with concentration steps on all rows, each keeping the share `support` of
+    nearest rows, exactly (with those as far as the last of them). The smallest determinant counts.
     """
     d = staged(df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols), "robust")
     p = len(cols)
@@ -114,22 +121,23 @@ def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support:
     centred = F.abs(F.col("value") - F.create_map(*[F.lit(x) for c in cols for x in (c, float(med[c]))])[F.col("variable")])
     mad = {r.variable: r.m for r in quantiles(long, ["variable"], centred, {"m": 0.5}).collect()}
     scale = np.array([1.4826 * mad[c] for c in cols])
-    best = None
-    for mean, cov in [(np.array([med[c] for c in cols]), np.diag(np.where(scale > 0, scale**2, 1.0))), *_starts(small, support, starts, keep, seed)]:
-        last = np.inf
-        for _ in range(rounds):
-            dist = mahalanobis(cols, mean, cov)
-            cut = d.agg(F.percentile_approx(dist, support, 10_000)).first()[0]
-            mean, cov = moments(d.where(dist <= cut), cols)
-            det = float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1])
-            if abs(last - det) < 1e-9:
-                break
-            last = det
-        if best is None or det < best[0]:
-            best = (det, mean, cov)
+    fits = [(np.array([med[c] for c in cols]), np.diag(np.where(scale > 0, scale**2, 1.0))), *_starts(small, support, starts, keep, seed)]
+    size = lambda cov: float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1])
+    live, h = {i: np.inf for i in range(len(fits))}, math.ceil(support * d.count())
+    for _ in range(rounds):
+        dists = {i: mahalanobis(cols, *fits[i]) for i in live}
+        cuts = nth(d, list(dists.values()), [h] * len(dists))
+        taken = F.array(*[F.when(dist <= cut, F.lit(i)) for (i, dist), cut in zip(dists.items(), cuts, strict=True)])
+        for r in d.select(*cols, F.explode(F.array_compact(taken)).alias("__fit")).groupBy("__fit").agg(*_moments(cols)).collect():
+            fits[r[0]] = _read_moments(list(r[1:]), p)
+        now = {i: size(fits[i][1]) for i in live}
+        live = {i: det for i, det in now.items() if not abs(live[i] - det) < 1e-9}
+        if not live:
+            break
+    best = min(fits, key=lambda f: size(f[1]))
     # the covariance of the central share is widened to that of all rows of a normal sample
     factor = support / (1 - chi2_sf(chi2_quantile(support, p), p + 2))
-    return d.where(mahalanobis(cols, best[1], best[2] * factor) > chi2_quantile(q, p)).select(key, F.lit("robust").alias("method"))
+    return d.where(mahalanobis(cols, best[0], best[1] * factor) > chi2_quantile(q, p)).select(key, F.lit("robust").alias("method"))
 
 
 def outlier_knn(df: DataFrame, cols: list[str], key: str = "row_id", k: int = 1, top_n: int = 200) -> DataFrame:

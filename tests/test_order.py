@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tarmac.functions import order, stats
 from tarmac.functions.order import avg_rank, cumulative, quantiles
 from tarmac.operators import association, impute, inference, neighbours, outliers
 from tarmac.sources import stages
@@ -166,3 +167,31 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="share"):
         stages.stage_path(Fake, "x")
+
+
+@pytest.mark.parametrize(("bins", "few"), [(4096, 1000), (3, 2), (64, 0)])
+def test_nth_is_exact_in_skewed_and_repeated_values(spark, bins, few):
+    rng = np.random.default_rng(4)
+    cols = [rng.normal(size=300) ** 2, np.repeat([2.0, 5.0, 7.0], 100), 10.0 ** rng.uniform(-12, 12, 300)]
+    d = spark.createDataFrame([tuple(float(c[i]) for c in cols) for i in range(300)] + [(None, None, None)], "a double, b double, c double")
+    for rank in (1, 150, 225, 300):
+        got = order.nth(d, [F.col("a"), F.col("b"), F.col("c")], [rank] * 3, bins, few)
+        assert got == [float(np.sort(c)[rank - 1]) for c in cols]
+    with pytest.raises(ValueError):
+        order.nth(d, [F.col("a")], [301])
+
+
+def test_robust_distance_equals_plain_concentration(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.multivariate_normal([0, 0], [[2, 1], [1, 3]], 260), rng.normal([9, -8], 0.5, (40, 2))])
+    d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "row_id long, a double, b double")
+    flagged = {r.row_id for r in outliers.outlier_robust(d, ["a", "b"], rounds=30).collect()}
+
+    # from the centre that the planted group cannot move, nearest 225 rows again and again
+    mean, cov = np.median(x, 0), np.diag((1.4826 * np.median(np.abs(x - np.median(x, 0)), 0)) ** 2)
+    dist = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    for _ in range(60):
+        near = np.argsort(dist(mean, cov), kind="stable")[:225]
+        mean, cov = x[near].mean(0), np.cov(x[near], rowvar=False)
+    factor = 0.75 / (1 - stats.chi2_sf(stats.chi2_quantile(0.75, 2), 4))
+    assert flagged == {int(i) for i in np.flatnonzero(dist(mean, cov * factor) > stats.chi2_quantile(0.99, 2))} and flagged >= set(range(260, 300))
