@@ -17,16 +17,19 @@ def _plane(lat: Column, lng: Column) -> tuple[Column, Column]:
     return (lng - LNG0) * KM_LNG * F.cos(F.radians(F.lit(LAT0))), (lat - LAT0) * KM_LAT
 
 
-def hex_cell(lat: Column, lng: Column, size: float = 5.0) -> Column:
-    """Axial coordinates q_r of the hexagon (of `size` km from centre to corner) that holds a point."""
-    x, y = _plane(lat, lng)
-    q, r = (F.sqrt(F.lit(3.0)) / 3 * x - y / 3) / size, (2.0 / 3 * y) / size
+def nearest_axial(q: Column, r: Column) -> tuple[Column, Column]:
+    """Axial coordinates (whole numbers, as doubles) of the hexagon that holds a place: of three rounded ones, the worst is made good."""
     s = -q - r
     rq, rr, rs = (F.floor(v + 0.5).cast("double") for v in (q, r, s))
     dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
     fix_q = (dq > dr) & (dq > ds)
-    a = F.when(fix_q, -(rr + rs)).otherwise(rq)
-    b = F.when(fix_q, rr).when(dr > ds, -(rq + rs)).otherwise(rr)
+    return F.when(fix_q, -(rr + rs)).otherwise(rq), F.when(fix_q, rr).when(dr > ds, -(rq + rs)).otherwise(rr)
+
+
+def hex_cell(lat: Column, lng: Column, size: float = 5.0) -> Column:
+    """Axial coordinates q_r of the hexagon (of `size` km from centre to corner) that holds a point."""
+    x, y = _plane(lat, lng)
+    a, b = nearest_axial((F.sqrt(F.lit(3.0)) / 3 * x - y / 3) / size, (2.0 / 3 * y) / size)
     return F.concat(a.cast("bigint").cast("string"), F.lit("_"), b.cast("bigint").cast("string"))
 
 

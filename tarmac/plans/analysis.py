@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarmac.functions import clean, features, text
-from tarmac.operators import association, cluster, factor, impute, inference, mixed, outliers, profile, sampling, series, spatial, summary, topics
+from tarmac.operators import association, cluster, factor, impute, inference, mixed, outliers, profile, sampling, series, spatial, sphere, summary, topics
 from tarmac.plans.common import I, query, rounded, t
 from tarmac.plans.reports import CELLS_SQL, CONT, LONG, NUM
 from tarmac.plans.rows import TC, WC
@@ -620,6 +620,47 @@ def largest_cells(spark, d):
     return summary.top_n(cells(spark, d).groupBy("cell").agg(F.count("*").alias("n")), "n", 10, "cell")
 
 
+def _nearest_axial_sql(source: str, keep: str) -> str:
+    """Rows of `source` with q and t rounded to the hexagon that holds them."""
+    return f"""(SELECT {keep}, CASE WHEN dq > dt AND dq > ds THEN -(rt + rs) ELSE rq END::BIGINT AS q, CASE WHEN dq > dt AND dq > ds THEN rt WHEN dt > ds THEN -(rq + rs) ELSE rt END::BIGINT AS t
+ FROM (SELECT *, abs(rq - q) AS dq, abs(rt - t) AS dt, abs(rs - (-q - t)) AS ds FROM (SELECT *, floor(q + 0.5) AS rq, floor(t + 0.5) AS rt, floor(-q - t + 0.5) AS rs FROM {source})))"""
+
+
+def _sphere_sql(resolution: int) -> str:
+    turn = sphere.ALPHA**resolution / sphere.RHO
+    faces = ", ".join(f"({f}, {', '.join(repr(float(x)) + '::DOUBLE' for x in v.ravel())})" for f, v in enumerate(sphere.FACES))
+    return f"""{I}, p AS (SELECT row_id, severity, cos(radians(start_lat)) * cos(radians(start_lng)) AS x, cos(radians(start_lat)) * sin(radians(start_lng)) AS y, sin(radians(start_lat)) AS z FROM i WHERE start_lat BETWEEN -90 AND 90 AND start_lng BETWEEN -180 AND 180),
+ f(face, cx, cy, cz, ux, uy, uz, vx, vy, vz) AS (VALUES {faces}),
+ n AS (SELECT row_id, severity, face, x * cx + y * cy + z * cz AS near, x * ux + y * uy + z * uz AS u, x * vx + y * vy + z * vz AS v FROM p, f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY near DESC, face) = 1),
+ a AS (SELECT *, (u / near * {turn.imag!r}::DOUBLE + v / near * {turn.real!r}::DOUBLE) * {2 / 3**0.5!r}::DOUBLE AS t, u / near * {turn.real!r}::DOUBLE - v / near * {turn.imag!r}::DOUBLE - t / 2 AS q FROM n),
+ c AS (SELECT * FROM {_nearest_axial_sql("a", "row_id, severity, face")})"""
+
+
+def _on_sphere(spark, d):
+    return clean.valid_coords(incidents(spark, d)).select("severity", sphere.sphere_cell(F.col("start_lat"), F.col("start_lng")).alias("cell"))
+
+
+@query(f"""{_sphere_sql(7)}, g AS (SELECT face, q, t, count(*) AS n, avg(severity) AS mean_severity FROM c GROUP BY 1, 2, 3),
+ up AS (SELECT face, q AS q0, t AS t0, n, mean_severity, (3 * q + t) / 7.0::DOUBLE AS q, (2 * t - q) / 7.0::DOUBLE AS t FROM g)
+ SELECT concat_ws('_', 7, face, q0, t0) AS cell, concat_ws('_', 6, face, q, t) AS parent, n, round(mean_severity, 6) AS mean_severity FROM {_nearest_axial_sql("up", "face, q0, t0, n, mean_severity")}""")
+def cells_on_sphere(spark, d):
+    g = _on_sphere(spark, d).groupBy("cell").agg(F.count("*").alias("n"), F.avg("severity").alias("mean_severity"))
+    return rounded(g.select("cell", sphere.sphere_parent(F.col("cell")).alias("parent"), "n", "mean_severity"))
+
+
+@query(f"""{_sphere_sql(6)} SELECT concat_ws('_', 6, face, q, t) AS cell, count(*) AS n, round(avg((severity >= 3)::INT) * 100, 6) AS severe_pct FROM c GROUP BY 1""")
+def severity_on_sphere(spark, d):
+    """Share of severe incidents in the coarser cells."""
+    rows = clean.valid_coords(incidents(spark, d)).withColumn("cell", sphere.sphere_cell(F.col("start_lat"), F.col("start_lng"), 6))
+    return rounded(rows.groupBy("cell").agg(F.count("*").alias("n"), (F.avg((F.col("severity") >= 3).cast("int")) * 100).alias("severe_pct")))
+
+
+@query()
+def boundaries_on_sphere(spark, d):
+    b = _on_sphere(spark, d).select("cell").distinct().withColumn("corner", F.explode(sphere.sphere_boundary(F.col("cell"))))
+    return rounded(b.select("cell", "corner.lat", "corner.lng"))
+
+
 # whole flows
 
 
