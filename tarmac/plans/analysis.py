@@ -295,6 +295,15 @@ def vtests_of_categories(spark, d):
     return rounded(profile.vtest_category(incidents(spark, d), ["weather_condition", "sunrise_sunset", "state"], "severity"), 4)
 
 
+@query(f"""{I}, l AS (SELECT severity AS cluster, variable, level FROM (SELECT severity, weather_condition, sunrise_sunset, state FROM i WHERE severity IS NOT NULL) UNPIVOT (level FOR variable IN (weather_condition, sunrise_sunset, state))),
+ c AS (SELECT cluster, variable, level, count(*) AS n FROM l GROUP BY 1, 2, 3), k AS (SELECT cluster, variable, sum(n) AS nk FROM c GROUP BY 1, 2), j AS (SELECT variable, level, sum(n) AS nj FROM c GROUP BY 1, 2), a AS (SELECT variable, sum(n) AS total FROM c GROUP BY 1)
+ SELECT k.cluster, j.variable, j.level, coalesce(c.n, 0)::BIGINT AS n, round(coalesce(c.n, 0) / nk, 6) AS level_in_cluster, round(coalesce(c.n, 0) / nj, 6) AS cluster_in_level, round(nj / total, 6) AS overall
+ FROM k JOIN j ON k.variable = j.variable JOIN a ON a.variable = j.variable LEFT JOIN c ON c.cluster = k.cluster AND c.variable = j.variable AND c.level = j.level""")
+def shares_of_levels(spark, d):
+    """What the tests of categories rest on: counts and shares, without the tail of the hypergeometric law."""
+    return rounded(profile.vtest_category(incidents(spark, d), ["weather_condition", "sunrise_sunset", "state"], "severity").drop("v_test"))
+
+
 @query(f"""{I}, {G}, o AS (SELECT variable, count(*) AS n0, avg(value) AS m0, var_pop(value) AS s2 FROM ({LONG}) WHERE value IS NOT NULL GROUP BY 1) SELECT variable, round(max(abs((m - m0) / sqrt(s2 / n * (n0 - n) / (n0 - 1)))), 4) AS max_abs_vtest FROM g JOIN o USING (variable) GROUP BY 1""")
 def variables_by_vtest(spark, d):
     return rounded(profile.variable_ranking(profile.vtest_numeric(incidents(spark, d), NUM, "severity")), 4)

@@ -202,3 +202,12 @@ def long_to_wide(spark, d):
 @query("SELECT l_orderkey, l_linenumber, variable, value FROM lineitem UNPIVOT (value FOR variable IN (l_quantity, l_discount, l_tax))")
 def wide_to_long(spark, d):
     return tables.to_long(t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"])
+
+
+@query(f"{I} SELECT row_id, state, severity, round(start_lat, 6) AS start_lat, round(start_lng, 6) AS start_lng FROM i WHERE start_lat BETWEEN -90 AND 90 AND start_lng BETWEEN -180 AND 180 AND state IS NOT NULL AND severity IS NOT NULL")
+def gated_rows(spark, d):
+    """Cleaned rows, let through only if no null and no place off the map is left."""
+    cols = ["row_id", "state", "severity", "start_lat", "start_lng"]
+    df = clean.complete_cases(clean.valid_coords(incidents(spark, d)).select(*cols), cols)
+    df = clean.require_no_nulls(df, cols)
+    return rounded(clean.require(df, F.col("start_lat").between(-90, 90) & F.col("start_lng").between(-180, 180), "places off the map"))
