@@ -62,6 +62,13 @@ def dtw_pairs(long: DataFrame, key: str, period: str, value: str, window: int |
     return pairs.mapInPandas(run, f"i {kind}, j {kind}, d double")
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` as a table in the shared folder, and where, for the caller to remove."""
+    path = stage_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def hierarchy(pairs: DataFrame, method: str = "ward", few: int = 1000) -> DataFrame:
     """(item, into, height, step): a cluster bears its smallest item's name, so every other item is absorbed once.
 
@@ -75,20 +82,19 @@ def hierarchy(pairs: DataFrame, method: str = "ward", few: int = 1000) -> DataFr
     one = lambda c: F.struct(F.col(c).alias("c"), F.lit(1.0).alias("n"), F.lit(0.0).alias("top"), F.lit(0.0).alias("w"))
     d = F.col("d").cast("double")
     first = pairs.where(d.isNotNull() & ~F.isnan(d)).select(F.least(one("i"), one("j")).alias("lo"), F.greatest(one("i"), one("j")).alias("hi"), (d * d if ward else d).alias("e"))
-    path = stage_path(spark, "cluster-pairs")
-    first.write.parquet(path)
-    near = spark.read.schema(first.schema).parquet(path)
+    near, path = _written(first, "cluster-pairs")
     items = near.select(F.explode(F.array("lo.c", "hi.c")).alias("c")).distinct().count()
     if 2 * near.count() != items * (items - 1) or 2 * pairs.count() != items * (items - 1):
         raise ValueError("the table lacks pairs, repeats some or has some without a distance")
-    kind, trees, step = near.schema["lo"].dataType["c"].dataType.simpleString(), [], 0
+    kind, trees, made, step = near.schema["lo"].dataType["c"].dataType.simpleString(), [], [], 0
     far = 2 * F.col("lo.n") * F.col("hi.n") / (F.col("lo.n") + F.col("hi.n")) * F.col("e") if ward else F.col("e")
     while items > max(few, 1):
         step += 1
         ranked = near.select(F.struct(far.alias("far"), "lo", "hi", "e").alias("p"))
         best = ranked.select("p", F.explode(F.array("p.lo.c", "p.hi.c")).alias("c")).groupBy("c").agg(F.min("p").alias("p"))
         met = best.groupBy("p").count().where("count = 2").select("p.*", F.greatest(F.sqrt(F.greatest("p.far", F.lit(0.0))) if ward else F.col("p.far"), "p.lo.top", "p.hi.top").alias("height"))
-        met = staged(met, "merges")
+        met, at = _written(met, "merges")
+        made.append(at)
         trees.append(met.select(F.col("hi.c").alias("item"), F.col("lo.c").alias("into"), "height", F.lit(step).alias("step")))
         items -= met.count()
         n = F.col("lo.n") + F.col("hi.n")
@@ -102,14 +108,15 @@ def hierarchy(pairs: DataFrame, method: str = "ward", few: int = 1000) -> DataFr
         out = out.where(F.col("new_lo.c") != F.col("new_hi.c"))
         out = out.groupBy(F.least("new_lo", "new_hi").alias("lo"), F.greatest("new_lo", "new_hi").alias("hi")).agg(F.sum(F.col("e") * F.col("share_lo") * F.col("share_hi")).alias("e"))
         out = out.select("lo", "hi", (F.col("e") - F.col("lo.w") - F.col("hi.w")).alias("e"))
-        last, path = path, stage_path(spark, "cluster-pairs")
-        out.write.parquet(path)
-        near = spark.read.schema(out.schema).parquet(path)
+        last = path
+        near, path = _written(out, "cluster-pairs")
         remove(spark, last)
     rest = near.select(F.col("lo.c").alias("i"), F.col("hi.c").alias("j"), F.col("lo.n").alias("ni"), F.col("hi.n").alias("nj"), F.col("lo.top").alias("ti"), F.col("hi.top").alias("tj"), (F.sqrt(F.greatest(far, F.lit(0.0))) if ward else far).alias("d")).collect()
     remove(spark, path)
     trees.append(spark.createDataFrame(_last_merges(rest, method, step), f"item {kind}, into {kind}, height double, step int"))
-    return staged(reduce(DataFrame.union, trees), "hierarchy")
+    tree = staged(reduce(DataFrame.union, trees), "hierarchy")
+    remove(spark, *made)
+    return tree
 
 
 def _last_merges(rest: list, method: str, step: int) -> list[tuple]:
@@ -134,10 +141,12 @@ def ascents(tree: DataFrame) -> DataFrame:
     """
     hops = tree.select("item", F.array(F.struct("height", "step", "item", "into")).alias("up"), F.col("into").alias("at"))
     root = tree.join(tree.select(F.col("item").alias("into")), "into", "left_anti").select(F.col("into").alias("item")).distinct()
-    up = staged(hops.union(root.select("item", F.array().cast(hops.schema["up"].dataType), "item")), "ascents")
+    up, path = _written(hops.union(root.select("item", F.array().cast(hops.schema["up"].dataType), "item")), "ascents")
     while not up.join(up.where(F.size("up") > 0).select(F.col("item").alias("at")), "at", "left_semi").isEmpty():
         further = up.select(F.col("item").alias("at"), F.col("up").alias("more"), F.col("at").alias("end"))
-        up = staged(up.join(further, "at").select("item", F.concat("up", "more").alias("up"), F.col("end").alias("at")), "ascents")
+        last = path
+        up, path = _written(up.join(further, "at").select("item", F.concat("up", "more").alias("up"), F.col("end").alias("at")), "ascents")
+        remove(tree.sparkSession, last)
     return up.select("item", "up")
 
 
