@@ -116,7 +116,7 @@ def knn_join(df: DataFrame, ref: DataFrame, cols: list[str], k: int, key: str =
 
     def tiled(t: DataFrame, name: str, other: str, sizes: DataFrame, by: str) -> DataFrame:
         """Each row once for every block of the other side."""
-        block = F.pmod(F.xxhash64(by), F.col(name)).alias(f"__{name}")
+        block = F.pmod(F.xxhash64(by), F.col(name)).cast("int").alias(f"__{name}")  # of the type of the other side, since equal numbers of other types lie in other partitions
         return t.join(sizes, "cell").select(*t.columns, block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"__{other}"))
 
     home = staged(placed(points, ["keys"], f"keys array<{kind}>"), "points-by-cell")

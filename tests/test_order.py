@@ -108,6 +108,22 @@ def test_neighbours_match_brute_force(spark, monkeypatch, cell, block):
     assert got == brute_neighbours(keys, x, keys, x, 4)
 
 
+def test_neighbours_meet_over_many_partitions(spark, monkeypatch):
+    """Cells and blocks lie in partitions of their own, not in one that adaptive execution leaves of a small table."""
+    monkeypatch.setattr(neighbours, "CELL", 50)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    x, keys = np.random.default_rng(5).normal(size=(400, 2)), np.arange(400)
+    d = spark.createDataFrame([(int(a), *map(float, v)) for a, v in zip(keys, x, strict=True)], "row_id long, a double, b double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {}
+        for r in neighbours.knn_join(d, d, ["a", "b"], 3).orderBy("row_id", "rank").collect():
+            got.setdefault(r.row_id, []).append((r.neighbour, round(r.distance, 9)))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == brute_neighbours(keys, x, keys, x, 3)
+
+
 def test_neighbours_in_another_table_and_of_few_rows(spark):
     d = spark.createDataFrame([(1, 0.0), (2, 5.0), (3, 5.0)], "row_id int, a double")
     ref = spark.createDataFrame([(10, 1.0), (11, 4.0), (12, 6.0), (13, None)], "row_id int, a double")
