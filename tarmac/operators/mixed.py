@@ -232,7 +232,7 @@ def nearest_mixed(asked: DataFrame, donors: DataFrame, num: list[str], cat: list
 
     def tiled(t: DataFrame, name: str, other: str, sizes: DataFrame) -> DataFrame:
         """Each row once for every block of the other side."""
-        block = F.pmod(F.xxhash64(*point), F.col(name)).alias(f"__{name}")
+        block = F.pmod(F.xxhash64(*point), F.col(name)).cast("int").alias(f"__{name}")  # of the type of the other side, since equal numbers of other types lie in other partitions
         return t.join(sizes, "__cell").select(*t.columns, block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"__{other}"))
 
     found_kind = f"q long, d double, keys array<struct<key:{kind[key]},value:{kind[value]}>>"
@@ -243,7 +243,7 @@ def nearest_mixed(asked: DataFrame, donors: DataFrame, num: list[str], cat: list
         def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             px, ps, phas, keys, out = right[xs].to_numpy(float), right[ss].to_numpy(np.int64), right["__has"].to_numpy(np.int64), right["__keys"].to_numpy(object), []
             if not len(left) or not len(right):
-                return pd.DataFrame({"q": [], "d": [], "keys": []})
+                return pd.DataFrame({"q": [], "d": [], "keys": []}, dtype=object)  # a block may meet none; empty floats are no lists to Arrow
             least = np.empty(len(keys), object)
             least[:] = [x[0]["key"] for x in keys]
             rank = np.argsort(np.argsort(least, kind="stable"), kind="stable")

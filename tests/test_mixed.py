@@ -85,6 +85,14 @@ def test_donors_of_odd_tables(spark):
     assert impute.impute_knn(df.limit(0), "a", ["b"], ["s"]).count() == 0
 
 
+def test_blocks_without_donors_or_rows_that_ask(spark, monkeypatch):
+    """Rows are dealt to blocks by hash, so of many small blocks some are empty on one side."""
+    monkeypatch.setattr(mixed, "BLOCK", 1)
+    df = spark.createDataFrame([(i, float(i), "x") for i in range(60)], "row_id long, a double, s string")
+    got = mixed.nearest_mixed(df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1"), ["a"], ["s"], "a", 2, [59.0]).collect()
+    assert {r.row_id: [n["key"] for n in r.near] for r in got} == {i: [1, 3] if i == 0 else [i - 1, i + 1] for i in range(0, 60, 2)}
+
+
 # chained imputation with labels
 
 
