@@ -456,3 +456,30 @@ def test_corners_surround_their_cell(spark):
     assert len(got) == 18 and all(r.cell == r["at"] for r in got)
     far = inside.withColumn("corner", F.explode("c")).select("cell", spatial.hex_cell(F.col("lat") + 1.03 * (F.col("corner.lat") - F.col("lat")), F.col("lng") + 1.03 * (F.col("corner.lng") - F.col("lng"))).alias("at")).collect()
     assert all(r.cell != r["at"] for r in far)
+
+
+def test_texts_are_cut_once(spark):
+    """A topic model reads written counts and vectors, however many rounds it takes."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def noted(x):
+        seen.add(1)
+        return x
+
+    docs = spark.createDataFrame([(i, "storm rain wind" if i % 2 else "bread salt oven") for i in range(40)], "doc_id long, text string")
+    _, vectors, vocab = topics.lda(topics.dtm(docs.withColumn("text", noted("text")), "text", min_docs=2), 2, iters=3)
+    assert vectors.count() == 40 and sorted(vocab) == ["bread", "oven", "rain", "salt", "storm", "wind"] and seen.value == 40
+
+
+def test_draws_of_documents_in_groups():
+    """Any grouping of documents gives the same draws; groups take a bounded number of tokens beside their last document."""
+    rng = np.random.default_rng(3)
+    size = np.r_[rng.integers(0, 30, 50), 400, 0]
+    terms, z, draws = ([f(n) for n in size] for f in (lambda n: rng.integers(0, 9, n), lambda n: rng.integers(0, 3, n), rng.random))
+    table = rng.integers(1, 50, (9, 3)).astype(float) + 400
+    whole, parts = topics._drawn(terms, z, draws, table, 0.2, 0.1), topics._parts(size, 100)
+    assert sorted(np.concatenate(parts)) == list(range(52)) and all(size[at].sum() - size[at].min() <= 100 or len(at) == 1 for at in parts) and len(parts) > 3
+    for at in parts:
+        for i, got in zip(at, topics._drawn([terms[i] for i in at], [z[i] for i in at], [draws[i] for i in at], table, 0.2, 0.1), strict=True):
+            assert (got == whole[i]).all() and len(got) == size[i]
