@@ -483,3 +483,22 @@ def test_draws_of_documents_in_groups():
     for at in parts:
         for i, got in zip(at, topics._drawn([terms[i] for i in at], [z[i] for i in at], [draws[i] for i in at], table, 0.2, 0.1), strict=True):
             assert (got == whole[i]).all() and len(got) == size[i]
+
+
+def test_first_axes_of_many_terms(spark, monkeypatch):
+    """Scans that multiply vectors find the axes of the matrix of terms, in groups of few cells and from a new start; no table is joined."""
+    rng = np.random.default_rng(4)
+    cells = [(i, f"t{j}", int(n)) for i, row in enumerate(rng.poisson(rng.gamma(0.4, 1.5, (90, 45)) + 0.15 * (np.arange(90) % 3 == 0)[:, None])) for j, n in enumerate(row) if n]
+    counts = spark.createDataFrame(cells, "doc_id long, term string, tf long")
+    monkeypatch.setattr(factor, "ca_sparse", None)
+    monkeypatch.setattr(factor, "CELLS_AT_ONCE", 200)
+    monkeypatch.setattr(factor, "BLOCKS", 3)
+    eig, terms, docs = (x.toPandas() for x in factor.ca_text(counts, 2, most_terms=10))
+    want, wanted_terms, wanted_docs = (x.toPandas() for x in factor.ca_text(counts, 2))
+    assert np.allclose(eig[["eigenvalue", "percent", "cumulative"]], want[["eigenvalue", "percent", "cumulative"]][:2], atol=1e-8)
+    both, both_docs = terms.merge(wanted_terms, on=["term", "axis"]), docs.merge(wanted_docs, on="doc_id")
+    assert len(both) == 90 and len(both_docs) == 90 and np.allclose(both.contribution_x, both.contribution_y, atol=1e-4)
+    for k in (1, 2):
+        x, y = both_docs[f"dim_{k}_x"], both_docs[f"dim_{k}_y"]
+        s = np.sign(x @ y)
+        assert x[x.abs().argmax()] > 0 and np.allclose(x, s * y, atol=1e-5) and np.allclose(both[both.axis == k].coord_x, s * both[both.axis == k].coord_y, atol=1e-5)
