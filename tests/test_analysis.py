@@ -502,3 +502,8 @@ def test_first_axes_of_many_terms(spark, monkeypatch):
         x, y = both_docs[f"dim_{k}_x"], both_docs[f"dim_{k}_y"]
         s = np.sign(x @ y)
         assert x[x.abs().argmax()] > 0 and np.allclose(x, s * y, atol=1e-5) and np.allclose(both[both.axis == k].coord_x, s * both[both.axis == k].coord_y, atol=1e-5)
+
+
+def test_base_rows_are_made_once(spark, sf):
+    """What fits read again and again is a written table, not the view with its patterns."""
+    assert all("base-rows" in f for f in analysis.base_rows(spark, sf).inputFiles())
