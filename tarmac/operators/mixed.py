@@ -13,21 +13,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.functions.order import ranged
 from tarmac.operators.neighbours import BLOCK, CELL, SAMPLE, Cells
 from tarmac.sources.stages import staged
 
 #: Groups of rows that one pass of silhouettes sums for, most cells of the search index.
-PASS, MOST_CELLS = 32, 16_384
-
-
-def _limits(df: DataFrame, num: list[str]) -> list[tuple[float, float]]:
-    """(minimum, range) of each column, NaN apart."""
-    if not num:
-        return []
-    x = lambda c: F.nullif(F.col(c).cast("double"), F.lit(float("nan")))
-    r = df.agg(*[f(x(c)) for c in num for f in (F.min, F.max)]).first()
-    return [(float(lo), float(hi) - float(lo)) if lo is not None else (0.0, 0.0) for lo, hi in zip(r[::2], r[1::2], strict=True)]
+PASS, MOST_CELLS = 128, 16_384
+#: Rows wanted in a bucket of values, most sums of values by column, bucket and group.
+PIECE, MOST_SUMS = 16_384, 1 << 20
 
 
 def _numbered(num: list[str], cat: list[str]) -> tuple[list[Column], list[Column], Column]:
@@ -45,74 +37,207 @@ def gower_silhouettes(df: DataFrame, num: list[str], cat: list[str], label: str,
     """(key, label, a, b, silhouette) of every row by mixed distance, exact, without pairs of rows.
 
     a is the mean distance to the other rows of the row's label, b the smallest mean distance to the rows of another one.
-    The sum of a row's distances to a group of rows that have the same columns splits by column: for a label it is
-    the number of rows of the group of another level; for a number v it is v * (below - above) + (sum above - sum
-    below), which running counts and sums of the group give at each different value. So groups are (label, columns that are
-    there), each column is counted by value, and a row looks up its values. Rows without a label are left out; a
-    label of one row has silhouette 0; with one label alone, b and silhouette are null.
+    Rows without a label are left out; a label of one row has silhouette 0; with one label alone, b and silhouette are null.
     """
-    limits = _limits(df, num)
-    x, s, has = _numbered(num, cat)
-    scaled = [F.when(v.isNotNull(), (v - lo) / r if r > 0 else F.lit(0.0)) for v, (lo, r) in zip(x, limits, strict=True)]
-    rows = df.where(F.col(label).isNotNull()).select(F.col(key).alias("__key"), F.col(label).alias("__label"), has.alias("__has"), F.array(*scaled).cast("array<double>").alias("__x"), F.array(*s).cast("array<string>").alias("__s"))
-    rows = staged(rows, "silhouette-rows")
-    groups = sorted(((r["__label"], r["__has"], r["n"]) for r in rows.groupBy("__label", "__has").agg(F.count("*").alias("n")).collect()), key=str)  # labels times sets of columns
-    labels = sorted({g[0] for g in groups}, key=str)
-    size = [sum(n for g, _, n in groups if g == one) for one in labels]
-    parts = [_sums(rows, groups[a : a + PASS], labels) for a in range(0, len(groups), PASS)]
-    out = parts[0] if parts else rows.select("__key", "__label", F.array().cast("array<double>").alias("__d"))
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if len(parts) > 1:
-        out = out.groupBy("__key", "__label").agg(F.array(*[F.sum(F.col("__d")[i]) for i in range(len(labels))]).alias("__d"))
-    own = F.coalesce(*[F.when(F.col("__label") == F.lit(one), F.lit(i)) for i, one in enumerate(labels)], F.lit(0))
-    sizes = F.array(*map(F.lit, size)).cast("array<long>")
-    a = F.col("__d")[own] / F.greatest(sizes[own] - 1, F.lit(1))
-    b = F.array_min(F.filter(F.transform("__d", lambda d, i: F.when(i != own, d / sizes[i])), lambda d: d.isNotNull()))
-    out = out.withColumns({"__a": a, "__b": b, "__one": sizes[own] <= 1})
-    share = F.when(F.col("__b").isNotNull(), F.when(F.col("__one"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("__b") - F.col("__a"), F.greatest("__a", "__b")), F.lit(0.0))))
-    return out.select(F.col("__key").alias(key), F.col("__label").alias(label), F.col("__a").alias("a"), F.col("__b").alias("b"), share.alias("silhouette"))
-
-
-def _sums(rows: DataFrame, groups: list[tuple], labels: list) -> DataFrame:
-    """(__key, __label, __d): the sums of a row's distances to the rows of each label, over `groups` of (label, has, n)."""
-    many = range(len(groups))
-    group = F.coalesce(*[F.when((F.col("__label") == F.lit(g)) & (F.col("__has") == h), F.lit(i)) for i, (g, h, _) in enumerate(groups)], F.lit(-1))
-    named = rows.withColumn("__g", group)
-    values = lambda c: named.select("__key", "__label", "__has", "__g", F.posexplode(c).alias("j", "v")).where("v is not null")
-    count = F.array(*[F.count_if(F.col("__g") == i) for i in many])
-    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in many])
-
-    numbers = values("__x")
-    part = ranged(numbers.groupBy("j", "v").agg(count.alias("n")), ["j", "v"]).withColumn("t", F.transform("n", lambda n: n * F.col("v")))
-    ranges = part.groupBy("j", "__range").agg(add("n").alias("n"), add("t").alias("t"))  # a row for each partition and column
-    before = Window.partitionBy("j").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    over = lambda w, c: F.array(*[F.coalesce(F.sum(F.col(c)[i]).over(w), F.lit(0)) for i in many])
-    every = Window.partitionBy("j")
-    ranges = ranges.select("j", "__range", over(before, "n").alias("n0"), over(before, "t").alias("t0"), over(every, "n").alias("n1"), over(every, "t").alias("t1"))
-    upto = Window.partitionBy("__range", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    own = part.select("j", "v", "__range", over(upto, "n").alias("n"), over(upto, "t").alias("t")).join(F.broadcast(ranges), ["j", "__range"])
-    far = F.array(*[F.col("v") * (2 * (F.col("n")[i] + F.col("n0")[i]) - F.col("n1")[i]) + F.col("t1")[i] - 2 * (F.col("t")[i] + F.col("t0")[i]) for i in many])
-    of_numbers = numbers.join(own.select("j", "v", far.alias("far")), ["j", "v"])
-
-    levels = values("__s")
-    counts = levels.groupBy("j", "v").agg(count.alias("n"))
-    totals = counts.groupBy("j").agg(add("n").alias("n1"))  # a row for each column
-    unlike = F.array(*[(F.col("n1")[i] - F.col("n")[i]).cast("double") for i in many])
-    of_levels = levels.join(counts.join(F.broadcast(totals), "j").select("j", "v", unlike.alias("far")), ["j", "v"])
-
-    cols = ["__key", "__label", "__has", "far"]
-    found = of_numbers.select(cols).unionByName(of_levels.select(cols)).groupBy("__key", "__label", "__has").agg(add("far").alias("far"))
-    # rows without any value are at distance 0 from all
-    found = rows.select("__key", "__label", "__has").where("__has = 0").withColumn("far", F.array(*[F.lit(0.0)] * len(groups))).unionByName(found)
-    mean = [F.col("far")[i] / F.greatest(F.bit_count(F.col("__has").bitwiseAND(F.lit(h))), F.lit(1)) for i, (_, h, _) in enumerate(groups)]
-    sums = [sum((mean[i] for i in many if groups[i][0] == one), F.lit(0.0)) for one in labels]
-    return found.select("__key", "__label", F.array(*sums).alias("__d"))
+    out, labels = _silhouettes(df, num, cat, [label], key)
+    name = F.get(F.array(*[F.lit(one) for one in labels[0]]), F.col("__c0")) if labels[0] else F.lit(None)
+    return out.where("__c0 >= 0").select(F.col("__key").alias(key), name.cast(dict(df.dtypes)[label]).alias(label), F.col("a0").alias("a"), F.col("b0").alias("b"), F.col("silhouette0").alias("silhouette"))
 
 
 def gower_silhouette(df: DataFrame, num: list[str], cat: list[str], label: str, key: str = "row_id") -> float | None:
     """Mean silhouette of all rows by mixed distance; null with one label."""
-    return gower_silhouettes(df, num, cat, label, key).agg(F.avg("silhouette")).first()[0]
+    return mean_silhouettes(df, num, cat, [label], key)[0]
+
+
+def mean_silhouettes(df: DataFrame, num: list[str], cat: list[str], labels: list[str], key: str = "row_id") -> list[float | None]:
+    """gower_silhouette of several labellings, in the same passes."""
+    out, _ = _silhouettes(df, num, cat, labels, key)
+    return list(out.agg(*[F.avg(f"silhouette{i}") for i in range(len(labels))]).first())
+
+
+def _silhouettes(df: DataFrame, num: list[str], cat: list[str], names: list[str], key: str) -> tuple[DataFrame, list[list]]:
+    """(__key, and __c, a, b, silhouette with the number of each labelling), and the labels that the codes __c stand for."""
+    x, s, has = _numbered(num, cat)
+    many = range(len(names))
+    rows = df.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__l{i}") for i, c in enumerate(names)], has.alias("__has"), *[F.coalesce(v, F.lit(0.0)).alias(f"__x{j}") for j, v in enumerate(x)], *[F.when(v.isNotNull(), F.xxhash64(v)).otherwise(F.lit(0)).alias(f"__x{len(x) + j}") for j, v in enumerate(s)])
+    rows = staged(rows, "silhouette-rows")
+    found = [[(r[f"__l{i}"], r["__has"], r["n"]) for r in rows.where(f"__l{i} is not null").groupBy(f"__l{i}", "__has").agg(F.count("*").alias("n")).collect()] for i in many]  # labels times sets of columns
+    labels = [sorted({g[0] for g in f}, key=str) for f in found]
+    size = [[sum(n for one, _, n in f if one == name) for name in known] for f, known in zip(found, labels, strict=True)]
+    groups = [(i, labels[i].index(one), h, n) for i in many for one, h, n in sorted(found[i], key=str)]
+    code = [F.coalesce(*[F.when(F.col(f"__l{i}") == F.lit(one), F.lit(c)) for c, one in enumerate(labels[i])], F.lit(-1)).cast("int").alias(f"__c{i}") for i in many]
+    lim = [F.when(F.col("__has").bitwiseAND(F.lit(1 << j)) != 0, F.col(f"__x{j}")) for j in range(len(num))]
+    limits = rows.agg(*[f(v) for v in lim for f in (F.min, F.max)]).first() if num else []
+    scaled = [((F.col(f"__x{j}") - float(lo)) / (float(hi) - float(lo)) if lo is not None and hi > lo else F.lit(0.0)).alias(f"__x{j}") for j, (lo, hi) in enumerate(zip(limits[::2], limits[1::2], strict=True))]
+    rows = rows.select("__key", *code, "__has", *scaled, *[f"__x{len(num) + j}" for j in range(len(cat))])
+    first = [sum(map(len, labels[:i])) for i in range(len(names) + 1)]  # of the sums __d of a labelling
+    ds, codes = [f"__d{l}" for l in range(first[-1])], [f"__c{i}" for i in many]
+    parts = [_sums(rows, groups[a : a + PASS], labels, len(num), len(cat)) for a in range(0, len(groups), PASS)]
+    out = parts[0] if parts else rows.select("__key", *codes)
+    if len(parts) > 1:
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        out = out.groupBy("__key", *codes).agg(*[F.sum(d).alias(d) for d in ds])
+    for i in many:
+        own, sizes = F.col(f"__c{i}"), F.array(*map(F.lit, size[i])).cast("array<long>")
+        d = F.array(*[F.col(c) for c in ds[first[i] : first[i + 1]]]).cast("array<double>")
+        a = F.get(d, own) / F.greatest(F.get(sizes, own) - 1, F.lit(1))
+        b = F.array_min(F.filter(F.transform(d, lambda v, l: F.when(l != own, v / F.get(sizes, l))), lambda v: v.isNotNull()))
+        out = out.withColumns({f"a{i}": F.when(own >= 0, a), f"b{i}": F.when(own >= 0, b)})
+        share = F.when(F.get(sizes, own) <= 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col(f"b{i}") - F.col(f"a{i}"), F.greatest(f"a{i}", f"b{i}")), F.lit(0.0)))
+        out = out.withColumn(f"silhouette{i}", F.when(F.col(f"b{i}").isNotNull(), share))
+    return out, labels
+
+
+def _cuts(v: np.ndarray, pieces: int, most: int) -> np.ndarray:
+    """Lower ends of buckets, from sorted sampled values: each value its own, or, beyond `most`, equal shares with frequent values apart."""
+    after = (lambda u: np.nextafter(u, np.inf)) if v.dtype == float else (lambda u: u + 1)
+    u = np.unique(v)
+    if len(u) <= most:
+        return np.unique(np.concatenate([u, after(u)]))
+    q, n = np.unique(v[np.linspace(0, len(v) - 1, pieces + 1).astype(int)], return_counts=True)
+    return np.unique(np.concatenate([q, after(q[n > 1])]))
+
+
+def _sums(rows: DataFrame, groups: list[tuple], labels: list[list], n_num: int, n_cat: int) -> DataFrame:
+    """(__key, __c.., __d..): the sums of a row's distances to the rows of each label, over `groups` of (labelling, label, has, n).
+
+    The sum of a row's distances to a group of rows that have the same columns splits by column: for a label it is
+    the number of rows of the group of another level; for a number v it is v * (below - above) + (sum above - sum
+    below). Values are counted in buckets that a sample cuts; frequent values are buckets of their own. Where a
+    bucket holds one value, the counts of all buckets give the sum, and rows are not moved. Else the rows of a bucket, one column after
+    the other, come together and add what lies inside it. Labels are compared by 64-bit hashes.
+    """
+    spark, wide, g = rows.sparkSession, range(n_num + n_cat), len(groups)
+    xs, codes = [f"__x{j}" for j in wide], [f"__c{i}" for i in range(len(labels))]
+    first = np.cumsum([0, *map(len, labels)])
+    ds = [f"__d{l}" for l in range(first[-1])]
+    n = max(sum(r[3] for r in groups if r[0] == i) for i in range(len(labels)))
+    share = min(1.0, SAMPLE / max(n, 1))
+    sample = rows.where(F.pmod(F.xxhash64("__key", F.lit(11)), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select("__has", *xs).toPandas()
+    pieces, most = -(-n // PIECE), max(1, MOST_SUMS // (g * max(1, len(wide))))
+    cuts = []
+    for j in wide:
+        v = np.sort(sample[f"__x{j}"].to_numpy(float if j < n_num else np.int64)[(sample["__has"].to_numpy(np.int64) >> j) & 1 == 1])
+        cuts.append(_cuts(v, max(1, min(pieces, most, len(v) // 8)), most))
+    sets = np.unique([r[2] for r in groups])
+    place = np.full((len(labels), max(map(len, labels)) + 1, len(sets)), -1)  # the group of (labelling, label, columns); the last label is none
+    into = np.zeros((g, first[-1]))
+    every = np.unique([r["__has"] for r in rows.select("__has").distinct().collect()])
+    weight = np.zeros((len(every), g))
+    for at, (i, one, h, _) in enumerate(groups):
+        place[i, one, np.searchsorted(sets, h)] = at
+        into[at, first[i] + one] = 1.0
+        weight[:, at] = 1 / np.maximum(np.bitwise_count(every & h), 1)
+
+    def of_group(pdf: pd.DataFrame) -> list[np.ndarray]:
+        has = pdf["__has"].to_numpy(np.int64)
+        p = np.minimum(np.searchsorted(sets, has), len(sets) - 1)
+        return [np.where(sets[p] == has, place[i, pdf[c].to_numpy(int), p], -1) for i, c in enumerate(codes)]
+
+    def value(pdf: pd.DataFrame, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Values of a column, their buckets, and who has one."""
+        v = pdf[f"__x{j}"].to_numpy(float if j < n_num else np.int64)
+        return v, np.searchsorted(cuts[j], v, "right"), (pdf["__has"].to_numpy(np.int64) >> j) & 1 == 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = [np.zeros((len(c) + 1) * g, np.int64) for c in cuts]
+        total = [np.zeros((len(c) + 1) * g) for c in cuts]
+        low = [np.full(len(c) + 1, np.inf if j < n_num else np.iinfo(np.int64).max, c.dtype) for j, c in enumerate(cuts)]
+        high = [np.full(len(c) + 1, -np.inf if j < n_num else np.iinfo(np.int64).min, c.dtype) for j, c in enumerate(cuts)]
+        for pdf in batches:
+            of = of_group(pdf)
+            for j in wide:
+                v, b, ok = value(pdf, j)
+                np.minimum.at(low[j], b[ok], v[ok])
+                np.maximum.at(high[j], b[ok], v[ok])
+                for at in of:
+                    use = ok & (at >= 0)
+                    np.add.at(number[j], b[use] * g + at[use], 1)
+                    if j < n_num:
+                        np.add.at(total[j], b[use] * g + at[use], v[use])
+        for j in wide:
+            cell, held = np.flatnonzero(number[j]), np.flatnonzero(low[j] <= high[j])
+            yield pd.DataFrame({"j": j, "b": cell // g, "g": cell % g, "n": number[j][cell], "t": total[j][cell], "one": True, "low": 0, "v": 0.0})
+            yield pd.DataFrame({"j": j, "b": held, "g": -1, "n": 0, "t": 0.0, "one": low[j][held] == high[j][held], "low": low[j][held].view(np.int64), "v": low[j][held].astype(float)})
+
+    # group -1 says what a bucket holds, of all rows: of one value where each task has one, of the same bits
+    cells = rows.select("__has", *codes, *xs).mapInPandas(count, "j int, b int, g int, n long, t double, one boolean, low long, v double")
+    cells = cells.groupBy("j", "b", "g").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.min("one").alias("one"), F.min("low").alias("least"), F.max("low").alias("most"), F.min("v").alias("v")).toPandas()  # MOST_SUMS or so
+    tables = []
+    for j in wide:
+        bucket = cells[(cells.j == j) & (cells.g < 0)].set_index("b")
+        c = cells[(cells.j == j) & (cells.g >= 0)]
+        shape = (len(cuts[j]) + 1, g)
+        number, total, mixed = np.zeros(shape), np.zeros(shape), np.zeros(shape[0], bool)
+        number[c.b, c.g], total[c.b, c.g] = c.n, c.t
+        mixed[bucket.index] = ~bucket.one.astype(bool) | (bucket.least != bucket.most)
+        at = np.zeros(shape[0])
+        at[bucket.index] = bucket.v
+        if j < n_num:
+            far = at[:, None] * (2 * number.cumsum(0) - number.sum(0)) + total.sum(0) - 2 * total.cumsum(0)
+            tables.append((mixed, far, number.cumsum(0) - number, total.cumsum(0) - total, number.sum(0), total.sum(0)))
+        else:
+            tables.append((mixed, number.sum(0) - number, None, None, number.sum(0), None))
+    moved = [j for j in wide if tables[j][0].any()]
+    held = spark.sparkContext.broadcast(tables)
+    spread = max(1, pieces)
+
+    def named(pdf: pd.DataFrame, out: np.ndarray, step: int) -> pd.DataFrame:
+        """Rows with their sums, and where they go next: to their bucket, or, with nothing to add there, anywhere."""
+        got = pdf[["__key", *codes, "__has", *[f"__x{j}" for j in moved[step:]]]].assign(**{d: out[:, l] for l, d in enumerate(ds)})
+        if step < len(moved):
+            _, b, ok = value(pdf, moved[step])
+            got["__b"] = np.where(ok & held.value[moved[step]][0][b], b, -1 - np.arange(len(pdf)) % spread)
+        return got
+
+    def weights(pdf: pd.DataFrame) -> np.ndarray:
+        return weight[np.searchsorted(every, pdf["__has"].to_numpy(np.int64))]
+
+    def settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for a in range(0, len(whole), 4096):
+                pdf = whole.iloc[a : a + 4096]
+                far = np.zeros((len(pdf), g))
+                for j in wide:
+                    _, b, ok = value(pdf, j)
+                    ok &= ~held.value[j][0][b]
+                    far[ok] += held.value[j][1][b[ok]]
+                yield named(pdf, (far * weights(pdf)) @ into, 0)
+
+    def inside(step: int):
+        j = moved[step]
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = pdf[ds].to_numpy(float)
+            at = int(pdf["__b"].iloc[0])
+            if at >= 0:
+                _, _, below, sum_below, number, total = held.value[j]
+                v, _, _ = value(pdf, j)
+                mine = np.zeros((len(pdf), g))
+                for of in of_group(pdf):
+                    mine[np.flatnonzero(of >= 0), of[of >= 0]] = 1.0
+                if j < n_num:
+                    order = np.argsort(v, kind="stable")
+                    n_to, t_to = np.empty_like(mine), np.empty_like(mine)
+                    n_to[order], t_to[order] = mine[order].cumsum(0), (mine[order] * v[order, None]).cumsum(0)
+                    far = v[:, None] * (2 * (below[at] + n_to) - number) + total - 2 * (sum_below[at] + t_to)
+                else:
+                    u, k = np.unique(v, return_inverse=True)
+                    same = np.zeros((len(u), g))
+                    np.add.at(same, k, mine)
+                    far = number - same[k]
+                out = out + (far * weights(pdf)) @ into
+            return named(pdf, out, step + 1)
+
+        return run
+
+    kinds = dict(rows.dtypes)
+    schema = lambda step: ", ".join([*[f"{c} {kinds[c]}" for c in ["__key", *codes, "__has", *[f"__x{j}" for j in moved[step:]]]], *[f"{d} double" for d in ds], *(["__b int"] if step < len(moved) else [])])
+    out = rows.mapInPandas(settled, schema(0))
+    for step in range(len(moved)):
+        out = out.groupBy("__b").applyInPandas(inside(step), schema(step + 1))
+    return out.select("__key", *codes, *ds)
 
 
 # neighbours

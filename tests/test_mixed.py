@@ -44,6 +44,23 @@ def test_silhouettes_match_brute_force(spark, monkeypatch, n, each, full):
     assert mixed.gower_silhouette(spark_table(spark, p), NUM, CAT, "g") == pytest.approx(want.mean())
 
 
+@pytest.mark.parametrize("most, piece", [(1 << 20, 16_384), (1000, 60)])
+def test_silhouettes_of_labellings_share_their_passes(spark, monkeypatch, most, piece):
+    """Rows move only where a bucket holds several values, once a column for all labellings, and sums stay exact."""
+    monkeypatch.setattr(mixed, "MOST_SUMS", most)
+    monkeypatch.setattr(mixed, "PIECE", piece)
+    p = table(1200, seed=4)
+    p["h"] = np.random.default_rng(9).choice([0, 1, 2, 3], len(p))
+    p["s"] = [f"s{i % 700}" for i in range(len(p))]
+    d, _ = distances(p)
+    df = spark_table(spark, p.drop(columns="h")).join(spark.createDataFrame(p[["row_id", "h"]]), "row_id")
+    want = [cluster.silhouette_sample(d, p[c].to_numpy()).mean() for c in ("g", "h")]
+    assert mixed.mean_silhouettes(df, NUM, CAT, ["g", "h"]) == pytest.approx(want, abs=1e-12)
+    out, _ = mixed._silhouettes(df, NUM, CAT, ["g", "h"], "row_id")
+    moves = out._jdf.queryExecution().executedPlan().toString().count("FlatMapGroupsInPandas")
+    assert moves == (0 if most > 1000 else 4)  # b, s, t and a too, of few buckets; the constant column never
+
+
 def test_silhouettes_of_odd_tables(spark):
     p = spark_table(spark, table(50, nulls=False)).withColumns({"label": F.lit("same"), "__key": F.lit(1), "none": F.lit(None).cast("string")})
     one = mixed.gower_silhouettes(p, NUM, CAT, "label").collect()
