@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.order import nth, quantiles
+from tarmac.functions.order import quantiles
 from tarmac.functions.stats import chi2_quantile, chi2_sf
 from tarmac.operators.neighbours import knn_join, standardised
 from tarmac.operators.sampling import order_of
@@ -104,6 +105,86 @@ def _starts(x: np.ndarray, support: float, n_starts: int, keep: int, seed: int)
     return [f[:2] for f in sorted(found, key=lambda f: f[2])[:keep]]
 
 
+def _distances(x: np.ndarray, mean: np.ndarray, inv: np.ndarray) -> np.ndarray:
+    """Squared distances by products of columns: a row has the same in each scan, whatever its batch is."""
+    p, c = x.shape[1], [x[:, i] - mean[i] for i in range(x.shape[1])]
+    return reduce(lambda a, b: a + b, [c[i] * c[j] * float(inv[i, j] * (1 if i == j else 2)) for i in range(p) for j in range(i, p)])
+
+
+def _concentrated(d: DataFrame, cols: list[str], fits: dict[int, tuple[np.ndarray, np.ndarray]], h: int, small: np.ndarray, support: float, bins: int = 4096, few: int = 20_000) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centres and covariances of the h rows nearest to each fit, with those as far as the last of them; exact, in two scans mostly.
+
+    A scan counts squared distances in `bins` bins between bounds that are read from the sample, and beyond them; the next ones narrow the
+    bin of the hth row, until it holds `few` rows or one distance. The last scan sums the rows below that bin and hands its rows to the driver.
+    """
+    spark, p = d.sparkSession, len(cols)
+    at = {i: (mean, np.linalg.pinv(cov)) for i, (mean, cov) in fits.items()}
+    bound = {i: [float(v) for v in np.quantile(_distances(small, *at[i]), [max(0.0, support - 0.06), min(1.0, support + 0.06)])] for i in at}
+    todo = set(at)
+    while todo:
+        held = spark.sparkContext.broadcast((at, {i: bound[i] for i in todo}))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, bound = held.value
+            found = {i: (np.zeros(bins + 2, np.int64), np.full(bins + 2, np.inf), np.full(bins + 2, -np.inf)) for i in bound}
+            for pdf in batches:
+                x = pdf[cols].to_numpy(float)
+                for i, (lo, hi) in bound.items():
+                    v, (n, low, high) = _distances(x, *at[i]), found[i]
+                    scaled = np.clip((v - lo) / (hi - lo) if hi > lo else np.zeros(len(v)), 0, 1) * bins
+                    b = np.where(v < lo, 0, np.where(v > hi, bins + 1, 1 + np.minimum(scaled.astype(int), bins - 1)))
+                    n += np.bincount(b, minlength=bins + 2)
+                    np.minimum.at(low, b, v)
+                    np.maximum.at(high, b, v)
+            for i, (n, low, high) in found.items():
+                b = np.flatnonzero(n)
+                yield pd.DataFrame({"i": i, "b": b, "n": n[b], "lo": low[b], "hi": high[b]})
+
+        got = d.select(*cols).mapInPandas(count, "i int, b int, n long, lo double, hi double").groupBy("i", "b").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas().sort_values("b")
+        for i in list(todo):
+            mine = got[got.i == i]
+            last = mine.iloc[int((mine.n.cumsum() < h).sum())]  # the bin of the hth row
+            bound[i] = [float(last.lo), float(last.hi)]
+            if last.n <= few or last.lo == last.hi:
+                todo.remove(i)
+        held.unpersist()
+    held = spark.sparkContext.broadcast((at, bound))
+
+    def add(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+        c = np.column_stack([np.ones(len(x)), x - mean])
+        return (c.T @ c).ravel()
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, bound = held.value
+        total = {i: np.zeros((p + 1) ** 2) for i in at}
+        for pdf in batches:
+            x = pdf[cols].to_numpy(float)
+            for i, (lo, hi) in bound.items():
+                v = _distances(x, *at[i])
+                total[i] += add(x[v < lo] if lo < hi else x[v <= lo], at[i][0])
+                if lo < hi:
+                    rest = x[(v >= lo) & (v <= hi)]
+                if lo < hi and len(rest):
+                    yield pd.DataFrame({"i": i, "row": True, "x": list(rest)})
+        for i, t in total.items():
+            yield pd.DataFrame({"i": [i], "row": False, "x": [t]})
+
+    got = d.select(*cols).mapInPandas(sums, "i int, row boolean, x array<double>").toPandas()  # the sums of each task, and `few` rows
+    out = {}
+    for i, (mean, _) in at.items():
+        mine = got[got.i == i]
+        total = np.sum([t for t in mine.x[~mine.row]], axis=0)
+        rest = np.array(mine.x[mine.row].tolist(), float).reshape(-1, p)
+        if len(rest):
+            v = _distances(rest, *at[i])
+            total = total + add(rest[v <= np.partition(v, h - round(total[0]) - 1)[h - round(total[0]) - 1]], mean)
+        total = total.reshape(p + 1, p + 1)
+        n, s = total[0, 0], total[0, 1:]
+        out[i] = (mean + s / n, (total[1:, 1:] - np.outer(s, s) / n) / (n - 1))
+    held.unpersist()
+    return out
+
+
 def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support: float = 0.75, q: float = 0.99, rounds: int = 10, starts: int = 100, sample: int = 1500, keep: int = 2, seed: int = 1) -> DataFrame:
     """The same around a minimum-covariance-determinant centre.
 
@@ -125,11 +206,8 @@ def outlier_robust(df: DataFrame, cols: list[str], key: str = "row_id", support:
     size = lambda cov: float(np.linalg.slogdet(cov + 1e-12 * np.eye(p))[1])
     live, h = {i: np.inf for i in range(len(fits))}, math.ceil(support * d.count())
     for _ in range(rounds):
-        dists = {i: mahalanobis(cols, *fits[i]) for i in live}
-        cuts = nth(d, list(dists.values()), [h] * len(dists))
-        taken = F.array(*[F.when(dist <= cut, F.lit(i)) for (i, dist), cut in zip(dists.items(), cuts, strict=True)])
-        for r in d.select(*cols, F.explode(F.array_compact(taken)).alias("__fit")).groupBy("__fit").agg(*_moments(cols)).collect():
-            fits[r[0]] = _read_moments(list(r[1:]), p)
+        for i, fit in _concentrated(d, cols, {i: fits[i] for i in live}, h, small, support).items():
+            fits[i] = fit
         now = {i: size(fits[i][1]) for i in live}
         live = {i: det for i, det in now.items() if not abs(live[i] - det) < 1e-9}
         if not live:

@@ -265,3 +265,18 @@ def test_empty_tables(spark, df):
     assert outliers.outlier_iqr(none, NUM).count() == 0 and sampling.sample_proportional(none, "state", 10, "row_id").count() == 0
     assert joins.remove_rows(none, none, ["row_id"]).count() == 0 and features.collapse_rare(none, "state").count() == 0
     assert clean.complete_cases(none, NUM).count() == 0 and neighbours.standardised(none, NUM, "row_id").count() == 0
+
+
+@pytest.mark.parametrize("few, copies", [(20_000, 1), (5, 1), (5, 40)])
+def test_concentration_steps_are_exact(spark, few, copies):
+    """The h nearest rows with ties, whatever the sample says of the bounds, narrowed bin by bin or not."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(0, 1, (1200 // copies, 3)) * [1, 50, 0.01], copies, axis=0)
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "row_id long, a double, b double, c double")
+    fits = {0: (x.mean(0), np.cov(x, rowvar=False)), 2: (np.zeros(3), np.eye(3))}
+    for small in (x[:100], x[:100] * 30):
+        got = outliers._concentrated(d, ["a", "b", "c"], fits, 900, small, 0.75, bins=16, few=few)
+        for i, (mean, cov) in fits.items():
+            v = outliers._distances(x, mean, np.linalg.pinv(cov))
+            near = x[v <= np.sort(v)[899]]
+            assert np.allclose(got[i][0], near.mean(0), rtol=1e-9, atol=1e-12) and np.allclose(got[i][1], np.cov(near, rowvar=False), rtol=1e-9, atol=1e-12)
