@@ -171,13 +171,19 @@ def gower(a_num: np.ndarray, b_num: np.ndarray, a_cat: np.ndarray, b_cat: np.nda
         total += np.where(ok, d, 0)
         weight += ok
     for j in range(a_cat.shape[1]):
-        a, b = a_cat[:, None, j], b_cat[None, :, j]
-        ok = pd.notna(a_cat[:, j])[:, None] & pd.notna(b_cat[:, j])[None, :]
-        total += np.where(ok, a != b, 0)
+        a, b = coded(a_cat[:, j], b_cat[:, j])
+        ok = (a >= 0)[:, None] & (b >= 0)[None, :]
+        total += ok & (a[:, None] != b[None, :])
         weight += ok
     return total / np.maximum(weight, 1)
 
 
+def coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels of both sides as equal numbers where they are equal, nulls as -1: pairs of numbers are compared faster than pairs of objects."""
+    codes = pd.factorize(np.concatenate([a, b]))[0]
+    return codes[: len(a)], codes[len(a) :]
+
+
 def nearest_rep(df: DataFrame, reps: pd.DataFrame, num: list[str], cat: list[str], ranges: list[float], key: str, label: str = "cluster") -> DataFrame:
     """(key, label, distance) of the representative nearest by Gower distance; reps is a short table with `label`."""
     held = df.sparkSession.sparkContext.broadcast((reps[num].to_numpy(float), reps[cat].to_numpy(object), reps[label].to_numpy(int)))

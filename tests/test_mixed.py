@@ -220,3 +220,29 @@ def test_cure_of_one_chunk_is_average_linkage(spark):
     agree = pd.crosstab(got.cluster.to_numpy(), near).to_numpy()
     assert agree.max(1).sum() > 145  # but for rows that are as near to two groups
     assert cluster.cure_mixed(df.limit(0), NUM, CAT, "s", 4).count() == 0
+
+
+def test_chunks_of_cure_are_tasks_of_their_own(spark, monkeypatch):
+    """Chunks are few bytes: left to the sizes of shuffles, one task would merge them all."""
+    monkeypatch.setattr(cluster, "CHUNK", 64)
+    monkeypatch.setattr(cluster, "PARTIAL", 4)
+    tasks, merged = [], cluster.staged
+
+    def seen(df, name):
+        out = merged(df, name)
+        tasks.extend([len(out.inputFiles())] if name == "cure-clusters" else [])
+        return out
+
+    monkeypatch.setattr(cluster, "staged", seen)
+    p = spark_table(spark, table(900, nulls=False))
+    assert cluster.cure_mixed(p, NUM, CAT, "s", 2, frac=1.0).count() == 900
+    assert tasks[0] > 4
+
+
+def test_prototypes_are_summed_in_one_scan(spark):
+    """Means and most frequent levels (the smallest of ties) of the rows nearest to each prototype."""
+    p = table(500, nulls=False)
+    lab, proto = cluster.kprototypes(spark_table(spark, p), NUM, CAT, 3, max_iter=60)
+    mine = p.assign(cluster=lab.toPandas().set_index("row_id").cluster.sort_index())
+    for g, rows in mine.groupby("cluster"):
+        assert np.allclose(proto["num"][g], rows[NUM].mean()) and list(proto["cat"][g]) == [rows[c].mode().min() for c in CAT]
