@@ -12,16 +12,39 @@ from pyspark.sql import functions as F
 
 from tarmac.sources.stages import remove, stage_path, staged
 
-#: Most terms of a model by Gibbs sampling; tokens times topics of documents that go on side by side.
+#: Most terms of a model by Gibbs sampling, and of a broadcast list of terms; tokens times topics of documents that go on side by side.
 MOST_TERMS, DRAWS = 200_000, 2_000_000
 
 
 def dtm(df: DataFrame, text: str, key: str = "doc_id", min_docs: int = 5, min_len: int = 3) -> DataFrame:
-    """(doc_id, term, tf) of terms in at least min_docs documents. Texts are cut once; their counts are written."""
-    terms = df.select(F.col(key).alias("doc_id"), F.explode(F.split(text, r"\s+")).alias("term")).where(F.length("term") >= min_len)
-    counts = staged(terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf")), "term-counts")
-    often = counts.groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("term")
-    return counts.join(often, "term", "left_semi")
+    """(doc_id, term, tf) of terms in at least min_docs documents. Texts are cut once; their counts are written.
+
+    Terms are counted inside their row, so a task holds one text, and pairs of document and term don't move: only ids that stand on several rows
+    have theirs added up, and only terms beyond the MOST_TERMS most frequent are looked up by a shuffle.
+    """
+    words = F.sort_array(F.filter(F.split(text, r"\s+"), lambda x: F.length(x) >= min_len))
+    rows = df.select(F.col(key).alias("doc_id"), words.alias("w")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.withColumn("at", F.filter(F.transform("w", lambda x, i: F.when(~x.eqNullSafe(F.get("w", i - 1)), i)), F.isnotnull))  # where each term begins
+    each = F.transform("at", lambda i, k: F.struct(F.get("w", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("w")) - i).cast("long").alias("tf")))
+    rows = staged(rows.select("doc_id", "row", F.inline(each)), "term-counts")
+    counts = _added_up(rows)
+    often = staged(counts.groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs), "frequent-terms")
+    if often.count() <= MOST_TERMS:
+        return counts.join(F.broadcast(often), "term", "left_semi").select("doc_id", "term", "tf")
+    top = F.broadcast(often.orderBy(F.desc("docs"), "term").limit(MOST_TERMS))
+    rest = counts.join(top, "term", "left_anti").join(often, "term", "left_semi")
+    return counts.join(top, "term", "left_semi").unionByName(rest).select("doc_id", "term", "tf")
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    """(doc_id, term, tf) of counts by row: those of an id with several rows are summed, all others stay where they are."""
+    several = staged(rows.groupBy("doc_id").agg((F.min("row") < F.max("row")).alias("several")).where("several").select("doc_id"), "ids-of-several-rows")
+    counts = rows.drop("row")
+    if several.isEmpty():
+        return counts
+    same = counts["doc_id"].eqNullSafe(several["doc_id"])
+    sums = counts.join(several, same, "left_semi").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    return staged(counts.join(several, same, "left_anti").unionByName(sums), "term-counts")
 
 
 def _vectors(counts: DataFrame, vocab_size: int):

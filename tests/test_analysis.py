@@ -472,6 +472,33 @@ def test_texts_are_cut_once(spark):
     assert vectors.count() == 40 and sorted(vocab) == ["bread", "oven", "rain", "salt", "storm", "wind"] and seen.value == 40
 
 
+def shuffled(spark):
+    """Records that all stages so far have written to shuffles."""
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+
+def test_pairs_of_documents_and_terms_stay_in_place(spark):
+    """Terms are counted inside their rows: what moves are ids and terms, not pairs."""
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i + j) % 100}" for j in range(80))) for i in range(400)], "doc_id long, text string").repartition(2).localCheckpoint()
+    before = shuffled(spark)
+    assert topics.dtm(docs, "text", min_docs=2).count() == 400 * 80
+    assert shuffled(spark) - before < 2000
+
+
+@pytest.mark.parametrize("most", [0, 3, 200_000])
+def test_terms_of_ids_on_several_rows(spark, monkeypatch, most):
+    """Rows of one id, also of none, count as one document, whether the list of terms is broadcast or not."""
+    monkeypatch.setattr(topics, "MOST_TERMS", most)
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else i % 40, None if i == 11 else " ".join(rng.choice([f"w{j}x" for j in range(30)] + ["ab", "", "\t\n"], rng.integers(0, 12)))) for i in range(60)]
+    want = Counter((i, w) for i, x in rows if x for w in x.split() if len(w) >= 3)
+    docs = Counter(w for _, w in want)
+    got = topics.dtm(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "text", min_docs=6)
+    assert got.columns == ["doc_id", "term", "tf"] and dict(got.dtypes)["tf"] == "bigint"
+    assert sorted(map(str, got.collect())) == sorted(f"Row(doc_id={i}, term={w!r}, tf={n})" for (i, w), n in want.items() if docs[w] >= 6) and 3 < sum(n >= 6 for n in docs.values()) < 30
+
+
 def test_draws_of_documents_in_groups():
     """Any grouping of documents gives the same draws; groups take a bounded number of tokens beside their last document."""
     rng = np.random.default_rng(3)
