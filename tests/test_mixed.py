@@ -169,6 +169,12 @@ def test_bootstrap_weights_are_those_of_a_sample_with_replacement(spark):
     assert [share[k] for k in range(4)] == pytest.approx([np.exp(-1), np.exp(-1), np.exp(-1) / 2, np.exp(-1) / 6], abs=0.012)
 
 
+def test_partial_matrices_add_up_alike_in_any_order(spark):
+    parts = [(0, [0.1 * 3**i, -1e9 / 7**i]) for i in range(12)] + [(1, [1.0, 2.0])]
+    one, other = (impute._added(spark.createDataFrame(x, "r int, g array<double>").coalesce(1), 2) for x in (parts, parts[::-1]))
+    assert np.array_equal(one, other) and np.allclose(one, [np.sum([g for r, g in parts if r == i], 0) for i in (0, 1)])
+
+
 @pytest.mark.parametrize("how", ["matching", "regression"])
 def test_labels_are_filled_in_the_chain(spark, how):
     """Labels that follow from numbers come back, what was observed stays, and two runs agree."""
