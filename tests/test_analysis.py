@@ -531,6 +531,32 @@ def test_first_axes_of_many_terms(spark, monkeypatch):
         assert x[x.abs().argmax()] > 0 and np.allclose(x, s * y, atol=1e-5) and np.allclose(both[both.axis == k].coord_x, s * both[both.axis == k].coord_y, atol=1e-5)
 
 
+def test_first_axes_of_a_large_vocabulary(spark, monkeypatch):
+    """60,000 terms need no joins either; three groups of documents without common terms have two axes of eigenvalue 1, which tell the groups apart."""
+    monkeypatch.setattr(factor, "ca_sparse", None)
+    pairs = spark.range(60_000).select(F.explode(F.array(F.col("id") % 30, (F.col("id") * 7 + 3) % 30, F.col("id") % 3)).alias("doc_id"), F.concat(F.lit("t"), "id").alias("term")).distinct()
+    eig, terms, docs = factor.ca_text(pairs.withColumn("tf", F.lit(2).cast("long")), 2)
+    assert [r.eigenvalue for r in eig.orderBy("axis").collect()] == pytest.approx([1, 1], abs=1e-8) and terms.count() == 120_000
+    got = docs.toPandas().set_index("doc_id").sort_index()
+    assert len(got) == 30 and all(np.ptp(got.iloc[g::3].to_numpy(), axis=0).max() < 1e-6 for g in range(3))
+    assert min(np.abs(got.iloc[a] - got.iloc[b]).max() for a, b in ((0, 1), (0, 2), (1, 2))) > 0.5
+
+
+def test_first_axes_with_little_held(spark, monkeypatch):
+    """Three blocks of vectors and many parts of a product give the axes of the matrix of terms; an id of none is a document."""
+    rng = np.random.default_rng(6)
+    cells = [(i or None, f"t{j}", int(n)) for i, row in enumerate(rng.poisson(rng.gamma(0.4, 1.5, (80, 50)) + 0.1)) for j, n in enumerate(row) if n]
+    counts = spark.createDataFrame(cells, "doc_id long, term string, tf long").repartition(3)
+    monkeypatch.setattr(factor, "HELD", 1)
+    monkeypatch.setattr(factor, "TERMS_AT_ONCE", 7)
+    eig, terms, docs = (x.toPandas() for x in factor.ca_text(counts, 2, most_terms=10))
+    want, wanted_terms, wanted_docs = (x.toPandas() for x in factor.ca_text(counts, 2))
+    assert np.allclose(eig[["eigenvalue", "percent", "cumulative"]], want[["eigenvalue", "percent", "cumulative"]][:2], atol=1e-8)
+    both, both_docs = terms.merge(wanted_terms, on=["term", "axis"]), docs.merge(wanted_docs, on="doc_id")
+    assert len(both) == 100 and len(both_docs) == 80 and docs.doc_id.isna().sum() == 1 and np.allclose(both.contribution_x, both.contribution_y, atol=1e-4)
+    assert all(np.allclose(both_docs[f"dim_{k}_x"].abs(), both_docs[f"dim_{k}_y"].abs(), atol=1e-5) for k in (1, 2))
+
+
 def test_base_rows_are_made_once(spark, sf):
     """What fits read again and again is a written table, not the view with its patterns."""
     assert all("base-rows" in f for f in analysis.base_rows(spark, sf).inputFiles())
