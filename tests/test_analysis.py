@@ -409,6 +409,35 @@ def test_gibbs_finds_planted_topics(spark, k):
     assert key(model) == key(again)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_gibbs_takes_any_vocabulary(spark, monkeypatch, k):
+    """Terms beyond the broadcast list have their place in the model; the vocabulary and small parts of the counts give the same draws."""
+    rng = np.random.default_rng(8)
+    rows = [(i or None, " ".join(f"word{j:02}" for j in rng.integers(0, 12, 20) + 12 * (i % 3))) for i in range(45)]
+    counts = topics.dtm(spark.createDataFrame(rows, "doc_id long, text string"), "text", min_docs=2)
+    model = topics.gibbs_lda(counts, k, sweeps=3)
+    monkeypatch.setattr(topics, "MOST_TERMS", 4)
+    monkeypatch.setattr(topics, "TERMS_AT_ONCE", 5)
+    few = topics.gibbs_lda(counts.repartition(5, "term"), k, sweeps=3)
+    key = lambda m: {r.doc_id: (r.terms, r.z) for r in m.state.collect()}
+    assert key(model) == key(few) and (model.counts == few.counts).all() and model.counts.sum() == 900 and len(model.counts) == 36
+    state, names = few.state.toPandas(), {r.i: r.term for r in few.vocab.collect()}
+    want = Counter((names[i], z) for ts, zs in zip(state.terms, state.z, strict=True) for i, z in zip(ts, zs, strict=True))
+    assert all(few.counts[i, z] == want[names[i], z] for i in names for z in range(k))
+    assert Counter(names[i] for ts in state.terms for i in ts) == Counter(w for _, x in rows for w in x.split())
+    often = sorted(names, key=lambda i: (-few.counts[i].sum(), names[i]))
+    assert often == sorted(names) and few.terms(36).count() == 36 * k
+
+
+def test_gibbs_numbers_follow_from_document_and_key():
+    h, size = np.array([5, -9, 2**62, 0]), np.array([40_000, 0, 3, 40_000])
+    u = topics._uniform(h, size, 11)
+    assert [len(x) for x in u] == size.tolist() and all((x == y).all() for x, y in zip(topics._uniform(h[::-1], size[::-1], 11)[::-1], u, strict=True))
+    for x in (u[0], u[3], topics._uniform(h, size, 12)[0]):
+        assert 0 <= x.min() and x.max() < 1 and np.abs(np.histogram(x, 10, (0, 1))[0] / 4000 - 1).max() < 0.06 and abs(np.corrcoef(x[1:], x[:-1])[0, 1]) < 0.02
+    assert abs(np.corrcoef(u[0], u[3])[0, 1]) < 0.02 and abs(np.corrcoef(u[0], topics._uniform(h, size, 12)[0])[0, 1]) < 0.02
+
+
 def test_gibbs_draws_against_a_plain_loop():
     rng = np.random.default_rng(1)
     size, k, v = [7, 0, 12, 1], 3, 5
