@@ -468,6 +468,25 @@ def test_topic_queries(spark, sf):
     assert sorted(scan.k) == [2, 4, 6] and scan.mean_cosine.between(0, 1).all() and scan.mean_divergence.between(0, math.log(2) + 1e-6).all()
 
 
+def test_topic_queries_use_all_documents_and_terms(spark, sf, monkeypatch):
+    """The models of document_topics and topic_count_scan take steps of a whole corpus, as many as the model asks for, and leave no term out."""
+    from pyspark.ml.clustering import LDA
+
+    seen, fit = [], LDA.fit
+    monkeypatch.setattr(LDA, "fit", lambda self, d: seen.append((self, fit(self, d))) or seen[-1][1])
+    run(spark, sf, "document_topics")
+    run(spark, sf, "topic_count_scan")
+    terms = analysis._terms(spark, sf).select("term").distinct().count()
+    assert [(x.getK(), x.getMaxIter(), x.getSubsamplingRate(), m.vocabSize()) for x, m in seen] == [(k, 50, 1.0, terms) for k in (4, 2, 4, 6)]
+
+
+def test_rare_terms_are_in_the_models(spark):
+    pairs = spark.range(20_100).select(F.explode(F.array(F.col("id") % 50, F.col("id") % 50 + 50)).alias("doc_id"), F.concat(F.lit("t"), "id").alias("term"), F.lit(1).cast("long").alias("tf"))
+    model, vectors, vocab = topics.lda(pairs, 2, iters=2)
+    assert topics.topic_terms(model, vocab, spark, 30_000).where("topic = 0").select("term").distinct().count() == 20_100 == len(vocab)
+    assert vectors.count() == 100 and {r.features.numNonzeros() for r in vectors.collect()} == {402}
+
+
 def test_stop_words_of_the_caller(spark):
     c = spark.createDataFrame([("The red Car and a bus",)], "t string")
     assert c.select(text.clean(F.col("t"), ["car"])).first()[0] == "the red and bus" and "the" in text.english(spark) and "red" not in text.english(spark)
