@@ -306,6 +306,16 @@ def test_hierarchy_by_height(spark, sf):
     assert sizes.min() >= 200 or len(sizes) == 1
 
 
+def test_hierarchy_by_height_goes_on_to_rest(spark, sf, monkeypatch):
+    """The query's height cuts the tree into several clusters, and k-means over all rows ends at a fixed point."""
+    seen, small = [], cluster.reassign_small
+    monkeypatch.setattr(cluster, "reassign_small", lambda df, *a, **k: seen.append(df.toPandas()) or small(df, *a, **k))
+    run(spark, sf, "hierarchy_by_height")
+    x, lab = seen[0].filter(like="dim_").to_numpy(), seen[0].cluster.to_numpy()
+    centres = np.stack([x[lab == g].mean(0) for g in range(lab.max() + 1)])
+    assert len(centres) > 1 and (((x[:, None] - centres[None]) ** 2).sum(2).argmin(1) == lab).all()
+
+
 def test_kprototypes_finds_planted_groups(spark, sf):
     rng = np.random.default_rng(3)
     planted = [(i, float(rng.normal(4 * (i % 2), 0.5)), "uv"[i % 2] if rng.random() < 0.9 else "w", float(rng.normal())) for i in range(200)]
