@@ -306,6 +306,35 @@ def test_hierarchy_by_height(spark, sf):
     assert sizes.min() >= 200 or len(sizes) == 1
 
 
+@pytest.mark.parametrize("kind", ["groups", "ring", "copies", "one"])
+def test_dunn_over_all_rows(spark, kind):
+    """The nearest rows of different clusters and the farthest ones of a cluster are found among all rows."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 3)) * (1, 2, 0.3)
+    if kind == "ring":
+        turn = rng.uniform(0, 2 * np.pi, 1500)
+        x = np.column_stack([np.cos(turn), np.sin(turn), 0 * turn]) * 5 + 1e6
+    g = np.zeros(1500, int) if kind == "one" else (x[:, 0] > np.median(x[:, 0])).astype(int) + 2 * (x[:, 1] > np.median(x[:, 1]) + 1)
+    if kind == "copies":
+        x[7], g[7], g[11], x[11] = x[8], 4, 5, x[8]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    same = g[:, None] == g[None]
+    df = spark.createDataFrame([(int(k), *map(float, v)) for k, v in zip(g, x, strict=True)], "k int, a double, b double, c double")
+    least, widest = (d[~same].min() if (~same).any() else np.inf), d[same].max()
+    assert cluster.diameter(df, ["a", "b", "c"], "k") == pytest.approx(widest, rel=1e-9)
+    assert cluster.separation(df, ["a", "b", "c"], "k", sample=20) == pytest.approx(least, rel=1e-9)
+    assert cluster.dunn(df, ["a", "b", "c"], "k") == pytest.approx(0 if kind == "one" else least / widest, rel=1e-9)
+
+
+def test_kmeans_criteria_take_all_rows(spark, sf):
+    coords, dims = analysis._coords(spark, sf)
+    labels = cluster.kmeans_grid(coords, dims, [3, 4, 5], max_iter=10).toPandas()
+    whole, d = run(spark, sf, "kmeans_criteria").set_index("k"), np.sqrt(((labels[dims].to_numpy()[:, None] - labels[dims].to_numpy()[None]) ** 2).sum(2))
+    for k in (3, 4, 5):
+        same = labels[f"k{k}"].to_numpy()[:, None] == labels[f"k{k}"].to_numpy()[None]
+        assert whole.dunn[k] == pytest.approx(d[~same].min() / d[same].max(), abs=1e-4)
+
+
 def test_hierarchy_by_height_goes_on_to_rest(spark, sf, monkeypatch):
     """The query's height cuts the tree into several clusters, and k-means over all rows ends at a fixed point."""
     seen, small = [], cluster.reassign_small
