@@ -307,8 +307,9 @@ def test_hierarchy_by_height(spark, sf):
 
 
 @pytest.mark.parametrize("kind", ["groups", "ring", "copies", "one"])
-def test_dunn_over_all_rows(spark, kind):
-    """The nearest rows of different clusters and the farthest ones of a cluster are found among all rows."""
+def test_dunn_over_all_rows(spark, monkeypatch, kind):
+    """The nearest rows of different clusters and the farthest ones of a cluster are found among all rows, however few cells are broadcast."""
+    monkeypatch.setattr(cluster, "FEW_CELLS", 2 if kind in ("ring", "copies") else 20_000)
     rng = np.random.default_rng(9)
     x = rng.normal(size=(1500, 3)) * (1, 2, 0.3)
     if kind == "ring":
